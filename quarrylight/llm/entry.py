@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, hash_tree, toxicity
+from quarrylight.llm import bin_packing, decontaminate, hash_tree, ngram_join, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))[0]
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -30,7 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_toxicity, op8_hash_tree_sharding, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
