@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, decontaminate, hash_tree, ngram_join, toxicity
+from quarrylight.llm import bin_packing, decontaminate, hash_tree, ngram_join, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
+def _count(kind: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))[0]
 
@@ -38,7 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
