@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, decontaminate, hash_tree, ngram_join, secret_scan, toxicity
+from quarrylight.llm import bin_packing, decontaminate, hash_tree, license_index, ngram_join, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,12 +44,24 @@ def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign_shards(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_index.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.transform("base", lambda b: b["word"])
+    base = F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"])))
+    method = F.transform("found", lambda f: f["label"])
+    best = F.greatest(F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, method)), ",").alias("labels"), best.alias("score"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
