@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, decontaminate, hash_tree, license_index, ngram_join, secret_scan, toxicity
+from quarrylight.llm import bin_packing, decontaminate, hash_tree, license_index, ngram_join, order_minhash, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))[0]
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op4_order_minhash, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
