@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, decontaminate, hash_tree, license_index, ngram_join, order_minhash, secret_scan, toxicity
+from quarrylight.llm import bin_packing, decontaminate, hash_tree, kneser_ney, license_index, ngram_join, order_minhash, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = kneser_ney.held_out(F.col("doc_id"))
+    model = kneser_ney.train(docs.where(~apart).select("text"))
+    return kneser_ney.score(docs, model).select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -65,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op4_order_minhash, op5_benchmark_decontamination, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op4_order_minhash, op5_benchmark_decontamination, op6_kneser_ney, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
