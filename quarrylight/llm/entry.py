@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, decontaminate, hash_tree, kneser_ney, license_index, ngram_join, order_minhash, secret_scan, toxicity
+from quarrylight.llm import bin_packing, decontaminate, hash_tree, kneser_ney, license_index, ngram_join, order_minhash, pii_surrogates, secret_scan, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))[0]
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii_surrogates.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"])))
+    return made.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -72,7 +78,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op4_order_minhash, op5_benchmark_decontamination, op6_kneser_ney, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_pii_surrogates, op4_order_minhash, op5_benchmark_decontamination, op6_kneser_ney, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
