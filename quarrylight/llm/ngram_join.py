@@ -1,8 +1,9 @@
 """Near-duplicate join: documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 Documents with equal sets are one class, so copies are never compared. The classes' MinHash signatures are cut into
-bands; classes that share a band's hash meet in a shuffle on it, and every such pair is verified on the full sets. Band
-and row counts follow from the recall asked for at the threshold: a pair there is missed with probability
+bands; classes that share a band's hash meet in a shuffle on it, and every such pair is verified on the full sets: pairs
+of small buckets one by one, large buckets, joined where they share members, as blocks of sets by matrix products, which
+give out link counts and a spanning forest instead of pairs. Band and row counts follow from the recall asked for at the threshold: a pair there is missed with probability
 ``(1 - threshold ** rows) ** bands``, more similar ones far less often.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import blocks, combine, mix, staged, text_of, word_hashes
+from quarrylight.llm.shared import blocks, combine, mix, numbered, staged, text_of, word_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 
@@ -124,15 +125,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return at.select(F.col("b").alias("node"), F.col("a").alias("component")).union(at.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def verified_pairs(texts: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Of ``pairs`` (a, b) of ids those whose texts in ``texts`` (id, text) reach ``threshold``, with the similarity."""
-    members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def gram_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, grams) of the ``texts`` (id, text) whose id is among ``ids``; grams: sorted hashes, 8 bytes each."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in shingle_sets(b.column(1).to_pylist(), words)], pa.binary())], names=["id", "grams"])
 
-    sets = staged(texts.join(members, "id", "left_semi").mapInArrow(to_sets, "id long, grams binary"), "gram-sets")
+    return texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(to_sets, "id long, grams binary")
+
+
+def verified_pairs(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of ``pairs`` (a, b) of ids those whose ``sets`` (id, grams) reach ``threshold``, with the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,33 +158,134 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, words: int, threshold: fl
     return full.mapInArrow(compare, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def similarities(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Jaccard similarities of all ``left`` with all ``right`` sets, by products of 0/1 matrices over the grams that both sides have, ``width`` grams at a time."""
+    grams = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    distinct, column = np.unique(grams, return_inverse=True)
+    on_left = row < len(left)
+    shared = (np.bincount(column[on_left], minlength=len(distinct)) > 0) & (np.bincount(column[~on_left], minlength=len(distinct)) > 0)
+    new = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], new[column[keep]]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        m = np.zeros((len(left) + len(right), width), dtype=np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        common += m[: len(left)] @ m[len(left) :].T
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return common / np.maximum(sizes - common, 1)
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric 0/1 matrix."""
+    left = np.ones(len(linked), dtype=bool)
+    edges = []
+    for root in range(len(linked)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue:
+            x = queue.pop()
+            new = np.flatnonzero(linked[x] & left)
+            left[new] = False
+            edges += [(x, int(y)) for y in new]
+            queue += new.tolist()
+    return edges
+
+
+def blocked_links(sets: DataFrame, threshold: float, block: int = 64, most_block: int = 1024, most_grams: int = 500_000) -> DataFrame:
+    """Links within the clusters of ``sets`` (id, copies, cluster, grams), every pair of a cluster compared once.
+
+    A cluster is cut into blocks, and each two of them meet in one group. A group gives a row (a, null, null, n) for each
+    set with the copies of what it is linked to there, and rows (a, b, jaccard, null) that connect what is linked. Blocks
+    hold at most ``most_block`` sets and about ``most_grams`` grams, so a group's memory is bounded whatever the cluster.
+    """
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("_n"), F.max(F.length("grams") / 8).alias("_most"))
+    each = F.least(F.greatest(F.ceil(F.col("_n") / 64), F.lit(block)), F.lit(most_block), F.greatest(F.floor(most_grams / F.greatest("_most", F.lit(1))), F.lit(1)))
+    sizes = sizes.select("cluster", F.ceil(F.col("_n") / each).cast("int").alias("_blocks"))
+    own = numbered(sets.select("id", "cluster"), ["cluster"], ["id"], "_at").join(sizes, "cluster").select("id", "_blocks", F.pmod("_at", F.col("_blocks")).cast("int").alias("_own"))
+    met = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("p"), F.greatest(j, F.col("_own")).alias("q"))))
+    dealt = sets.join(own, "id").select("cluster", "id", "copies", "_own", "grams", met.alias("_m")).select("cluster", "_m.p", "_m.q", "id", "copies", "_own", "grams")
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, copies, own = (group.column(c).to_numpy() for c in ("id", "copies", "_own"))
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("grams")]
+        a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        s = similarities([grams[i] for i in a], [grams[i] for i in b]) if len(a) and len(b) else np.zeros((len(a), len(b)), np.float32)
+        link = s >= np.float32(threshold)
+        near = np.argwhere(np.abs(s - threshold) < 1e-5)  # float32 decides all but those
+        for i, j in near:
+            common = len(np.intersect1d(grams[a[i]], grams[b[j]], assume_unique=True))
+            link[i, j] = common >= threshold * (len(grams[a[i]]) + len(grams[b[j]]) - common) - 1e-9
+        full = np.zeros((len(ids), len(ids)), dtype=bool)
+        full[np.ix_(a, b)] = link
+        full |= full.T
+        np.fill_diagonal(full, False)
+        n = full @ copies
+        got = np.flatnonzero(n)
+        edges = forest(full)
+        value = {}
+        if edges:
+            at_a, at_b = {int(x): i for i, x in enumerate(a)}, {int(x): i for i, x in enumerate(b)}
+            value = {(x, y): float(s[at_a[x], at_b[y]] if x in at_a and y in at_b else s[at_a[y], at_b[x]]) for x, y in edges}
+        k = len(got)
+        return pa.table({
+            "a": pa.array([*ids[got].tolist(), *[int(min(ids[x], ids[y])) for x, y in edges]], pa.int64()),
+            "b": pa.array([None] * k + [int(max(ids[x], ids[y])) for x, y in edges], pa.int64()),
+            "jaccard": pa.array([None] * k + [value[e] for e in edges], pa.float64()),
+            "n": pa.array([*n[got].tolist()] + [None] * len(edges), pa.int64()),
+        })
+
+    return dealt.groupBy("cluster", "p", "q").applyInArrow(meet, "a long, b long, jaccard double, n long")
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text", small: int = 8) -> tuple[DataFrame, DataFrame]:
     """(documents, links).
 
     documents: a row for each of ``docs``: key, class_id (the smallest key of its group of linked documents), set_id
-    (the smallest key with the same n-gram set), n_links (other documents of at least ``threshold``, copies
-    counted). links: (a, b, jaccard) between set_ids, each pair once.
+    (the smallest key with the same n-gram set), n_links (other documents of at least ``threshold``, copies counted, over
+    all links). links: verified (a, b, jaccard) between set_ids that connect each group: all links of small buckets, of
+    large ones a spanning forest for each two blocks.
 
     ``key`` is a whole number and identifies a document. Rows without one are grouped by their text under a negative
-    id of its hash. A null text is empty; empty texts are copies of each other and of nothing else. Repeated rows are
-    copies. An empty table gives none. A group of copies of any size is one row before any join.
+    id of its hash, and only with equal sets. A null text is empty; empty texts are copies of each other and of nothing
+    else. Repeated rows are copies. An empty table gives none. A group of copies of any size is one row before any join.
+    Buckets of at most ``small`` sets are joined pair by pair, larger ones block by block: two ways, both exact.
     """
     bands, rows = choose_bands(threshold, recall)
     sketches = staged(sketch(docs.select(F.col(key).cast("long").alias(key), text), key, text, words, bands, rows), "sketches")
     ids = sketches.withColumn("_id", F.coalesce(F.col(key), -F.abs(F.shiftright("set_a", 1)) - 1))
     sets = staged(ids.groupBy("set_a", "set_b").agg(F.min("_id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
-    banded = sets.select("set_id", F.posexplode("bands").alias("_band", "_hash"))
-    x, y = banded.alias("x"), banded.alias("y")
-    meet = (F.col("x._hash") == F.col("y._hash")) & (F.col("x._band") == F.col("y._band")) & (F.col("x.set_id") < F.col("y.set_id"))
-    pairs = staged(x.join(y, meet).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct(), "candidates")
-    texts = docs.select(F.col(key).cast("long").alias(key), text_of(text).alias("text"))
-    # the text of one row of each set that has a candidate; a set without a key has its own id there
-    named = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "text")
-    links = staged(verified_pairs(named, pairs, words, threshold), "links").dropDuplicates(["a", "b"])
+    banded = sets.where(F.col("set_id") >= 0).select("set_id", F.posexplode("bands").alias("_band", "_hash"))
+    sizes = banded.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.min("set_id").alias("_head")).where("_n > 1")
+    met = staged(banded.join(sizes, ["_band", "_hash"]), "buckets")
+    clusters = staged(components(met.where(F.col("_n") > small).select(F.col("set_id").alias("a"), F.col("_head").alias("b"))), "clusters")
+    x, y = met.where(F.col("_n") <= small).alias("x"), met.where(F.col("_n") <= small).alias("y")
+    same = (F.col("x._hash") == F.col("y._hash")) & (F.col("x._band") == F.col("y._band")) & (F.col("x.set_id") < F.col("y.set_id"))
+    pairs = x.join(y, same).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    # pairs of one cluster meet there
+    of_a, of_b = (clusters.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce(F.col("_a") != F.col("_b"), F.lit(True)))
+    pairs = staged(pairs.select("a", "b"), "candidates")
+    # a set's text is that of the row with its id
+    texts = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")).where(F.col("id").isNotNull())
+    members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(clusters.select(F.col("node").alias("id")))
+    grams = staged(gram_sets(texts, members, words), "gram-sets")
+    sized = sets.select(F.col("set_id").alias("id"), "copies")
+    inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(sized, "id").join(grams, "id")
+    blocked = staged(blocked_links(inside, threshold), "blocked-links")
+    single = staged(verified_pairs(grams, pairs, threshold), "links")
+    links = single.union(blocked.where("b is not null").select("a", "b", "jaccard")).dropDuplicates(["a", "b"])
     grouped = components(links.select("a", "b"))
-    sized = sets.select("set_id", "copies")
-    ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(sized.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("_linked"))
+    ends = single.select(F.col("a").alias("set_id"), F.col("b").alias("id")).union(single.select(F.col("b").alias("set_id"), F.col("a").alias("id")))
+    counted = ends.join(sized, "id").select("set_id", F.col("copies").alias("n")).union(blocked.where("b is null").select(F.col("a").alias("set_id"), "n"))
+    linked = counted.groupBy("set_id").agg(F.sum("n").alias("_linked"))
     about = sets.select("set_a", "set_b", "set_id", "copies").join(linked, "set_id", "left").join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left")
     about = about.select("set_a", "set_b", "set_id", F.coalesce("component", "set_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"))
     return sketches.select(key, "set_a", "set_b").join(about, ["set_a", "set_b"]).select(key, "class_id", "set_id", "n_links"), links
