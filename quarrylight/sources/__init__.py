@@ -1,0 +1 @@
+"""Scans and sinks: exports, landed API responses, sessions, reports."""

@@ -1,0 +1 @@
+"""Structured Streaming over source events."""
