@@ -125,14 +125,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return at.select(F.col("b").alias("node"), F.col("a").alias("component")).union(at.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def gram_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, grams) of the ``texts`` (id, text) whose id is among ``ids``; grams: sorted hashes, 8 bytes each."""
+def gram_sets(texts: DataFrame, ids: DataFrame, words: int, most_bits: int = 1 << 27) -> DataFrame:
+    """(id, grams) of the ``texts`` (id, text) whose id is among ``ids``, and perhaps of a few more; grams: sorted hashes, 8 bytes each.
+
+    Up to ``most_bits`` / 8 ids, a bit map of their hashes (16 MB at most, 1 in 8 bits set) goes to the tasks, and texts are
+    not shuffled. Beyond, texts and ids are joined by shuffle.
+    """
+    ids = ids.select("id").distinct()
+    bits = max(1 << 15, 1 << (8 * max(1, ids.count()) - 1).bit_length())
+    place = F.pmod(F.xxhash64("id"), F.lit(min(bits, most_bits)))
+    seen = None
+    if bits <= most_bits:
+        marks = ids.select(F.shiftright(place, 15).alias("_part"), F.pmod(place, F.lit(1 << 15)).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        seen = np.zeros(bits // 8, dtype=np.uint8)
+        for r in marks.collect():  # bounded: 4 KB for each 32768 bits
+            seen[r["_part"] << 12 : (r["_part"] + 1) << 12] = np.frombuffer(r["_bits"], dtype=np.uint8)
+    else:
+        texts = texts.join(ids, "id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if seen is not None:
+                at = b.column(2).to_numpy()
+                b = b.filter(pa.array((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in shingle_sets(b.column(1).to_pylist(), words)], pa.binary())], names=["id", "grams"])
 
-    return texts.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(to_sets, "id long, grams binary")
+    return texts.select("id", "text", place.alias("_place")).mapInArrow(to_sets, "id long, grams binary")
 
 
 def verified_pairs(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
