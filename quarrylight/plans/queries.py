@@ -632,3 +632,32 @@ def w4(spark, sf):
     return progress.drained(progress.distinct_events(_stream(spark, sf)).select("event_id"), "w_distinct_events", "append").agg(F.count("*").alias("n"))
 
 
+
+
+# ---- sources -----------------------------------------------------------------------------------------------------
+
+
+@query("s_connectors", "SELECT 'otx' AS source, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host, '10.1.0.' || CAST(page_id % 200 AS VARCHAR) AS ip, page_id AS seq FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'hackertarget', 'h' || CAST(page_id AS VARCHAR) || '.example.com', '10.2.0.1', page_id FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT 'certspotter', 'a' || CAST(page_id AS VARCHAR) || '.example.com', NULL, page_id FROM pages WHERE page_id % 3 = 2 UNION ALL SELECT 'certspotter', 'b' || CAST(page_id AS VARCHAR) || '.example.com', NULL, page_id FROM pages WHERE page_id % 3 = 2")
+def s_connectors(spark, sf):
+    from quarrylight.sources import connectors
+
+    n = F.col("page_id").cast("string")
+    host = F.lower(F.regexp_extract("url", "://([^/?#:]+)", 1))
+    body = (
+        F.when(F.col("page_id") % 3 == 0, F.to_json(F.struct(F.array(F.struct(host.alias("hostname"), F.concat(F.lit("10.1.0."), (F.col("page_id") % 200).cast("string")).alias("address"))).alias("passive_dns"))))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit("h"), n, F.lit(".example.com,10.2.0.1\n")))
+        .otherwise(F.to_json(F.array(F.struct(F.array(F.concat(F.lit("a"), n, F.lit(".example.com")), F.concat(F.lit("b"), n, F.lit(".example.com"))).alias("dns_names")))))
+    )
+    source = F.get(F.array(F.lit("otx"), F.lit("hackertarget"), F.lit("certspotter")), (F.col("page_id") % 3).cast("int"))
+    # a target for each response: caps hold for a target
+    landed = table(spark, sf, "pages").select(source.alias("source"), n.alias("target"), body.alias("body"), F.col("page_id").alias("seq"))
+    return connectors.ingest(landed, ("otx", "hackertarget", "certspotter")).select("source", "host", "ip", "seq")
+
+
+@query("f3_f5_imports", f"{A} SELECT seq, host, CAST(port AS INT) AS port, array_to_string(products, ',') AS products, coalesce(source, 'recon_xlsx') AS source FROM a WHERE coalesce(host, domain, url, ip) IS NOT NULL")
+def f5(spark, sf):
+    from quarrylight.sources import imports
+
+    own = assets(spark, sf).select("seq", *normalize.flat())
+    out = imports.from_own_export(own.select("seq", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in own.columns if c != "seq"]))
+    return out.select("seq", "host", "port", F.array_join("products", ",").alias("products"), "source")
