@@ -634,6 +634,41 @@ def w4(spark, sf):
 
 
 
+# ---- rule tables, flagship ----------------------------------------------------------------------------------------
+
+
+@query("x3_rule_table", "SELECT page_id AS id, product FROM (SELECT page_id, 'Any' AS product FROM pages WHERE contains(lower(html), '<title>') UNION ALL SELECT page_id, 'Both' FROM pages WHERE contains(lower(html), '<meta') AND page_id % 2 = 0 UNION ALL SELECT page_id, 'Icon' FROM pages WHERE page_id % 5 = 0)")
+def x3(spark, sf):
+    from quarrylight.functions import rules
+
+    p = table(spark, sf, "pages")
+    none = F.lit(None).cast("string")
+    seen = p.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, "server: even").alias("header"), F.col("html").alias("body"), none.alias("title"), none.alias("cookie"), F.when(F.col("page_id") % 5 == 0, "-77").alias("favicon"))
+    known = [(1, "Any", "or", "body", "<TITLE>"), (1, "Any", "or", "body", "never there"), (2, "Both", "and", "body", "<meta"), (2, "Both", "and", "header", "Server: even"), (3, "Icon", "or", "favicon", "-77")]
+    own = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule", "product", "mode", "place", "needle"), r, strict=True)]) for r in known])))
+    return rules.matched(seen, own)
+
+
+@query("e_merged_roots", f"""{A}, k AS (SELECT {KEYS['smart']} AS key, * FROM a), m AS (SELECT key, arg_min(domain, seq) FILTER (WHERE domain IS NOT NULL) AS domain, arg_min(ip, seq) FILTER (WHERE ip IS NOT NULL) AS ip FROM k WHERE key IS NOT NULL GROUP BY key)
+    SELECT {ROOT} AS root_domain, count(DISTINCT domain) AS subdomains, count(DISTINCT ip) AS ips, count(*) AS assets FROM m WHERE domain IS NOT NULL GROUP BY 1""")
+def flagship(spark, sf):
+    """Normalise, merge duplicates by the smart key, roll up by root domain."""
+    return report.root_domains(dedup.merge_duplicates(normalize.normalized(assets(spark, sf))))
+
+
+@query("c14_templates", "SELECT 'secret' AS category, 11 AS n UNION ALL SELECT 'api', 3 UNION ALL SELECT 'admin', 10 UNION ALL SELECT 'cve_prone', 7 UNION ALL SELECT 'debug', 3 UNION ALL SELECT 'auth', 1 UNION ALL SELECT 'upload', 1")
+def c14(spark, sf):
+    from quarrylight.sources import records
+
+    return records.templates(spark).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("p4_compact_json", f"{A} SELECT seq, port IS NULL AS no_port, title IS NULL OR title = '' AS no_title, contains(coalesce(array_to_string(tags, ','), ''), 'CDN') AS cdn FROM a")
+def p4(spark, sf):
+    j = assets(spark, sf).withColumn("j", normalize.compact_json(assets(spark, sf)))
+    return j.select("seq", F.get_json_object("j", "$.port").isNull().alias("no_port"), F.get_json_object("j", "$.title").isNull().alias("no_title"), F.coalesce(F.get_json_object("j", "$.tags").contains("CDN"), F.lit(False)).alias("cdn"))
+
+
 # ---- sources -----------------------------------------------------------------------------------------------------
 
 

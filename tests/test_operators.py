@@ -283,3 +283,24 @@ def test_rest_does_not_import_the_corpus_operators():
 
     code = "import sys; from quarrylight import plans; from quarrylight.sources import connectors, imports, store; from quarrylight.streaming import progress; sys.exit(any('.llm' in m for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def test_records(spark):
+    from quarrylight.sources import records
+
+    http = spark.createDataFrame([("https://h:8443/", 200, "h", 8443, ["1.1.1.1"], ["nginx", "nextjs", "Nginx"], None), ("x", None, "bad", 1, None, None, "timeout")], "url string, status int, host string, port int, ips array<string>, tech array<string>, err string")
+    for c in ("final_url", "title", "server", "content_type", "scheme", "cname", "favicon_hash"):
+        http = http.withColumn(c, F.lit(None).cast("string"))
+    http = http.withColumns({"cert": F.lit(None).cast(records._CERT), "chain": F.lit(None).cast("array<string>")})
+    r = records.http_assets(http).collect()
+    assert [(x.ip, x.port, x.products, x.raw) for x in r] == [("1.1.1.1", 8443, ["Next.js", "Nginx"], {"status": "200"})]
+    ports = spark.createDataFrame([("h", "1.1.1.1", 22, "", "SSH-2", 3, 1)], records.SCHEMAS["port"])
+    assert [(x.port, x.service, x.raw["port"]) for x in records.port_assets(ports).collect()] == [(22, "ssh", "22")]
+    names = spark.createDataFrame([("a.x", ["1.1.1.1"], "", "r", False), ("b.x", ["2.2.2.2"], "c", "r", True)], records.SCHEMAS["subdomain"])
+    assert [x.host for x in records.subdomain_assets(names).collect()] == ["a.x"]
+    assert [x.id for x in records.templates(spark, categories=["auth"]).collect()] == ["oauth_endpoint"] and records.templates(spark, ids=["none"]).count() == 0
+
+
+def test_read_targets(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("a.com, b.com;c.com # note\n# all note\na.com\nhttps://x/#top\n")
+    assert sorted(r.target for r in imports.read_targets(spark, str(tmp_path / "t.txt")).collect()) == ["a.com", "b.com", "c.com", "https://x/#top"]
