@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import bin_packing, decontaminate, ngram_join, secret_scan, toxicity
-from quarrylight.llm.shared import staged, text_of
+from quarrylight.llm.shared import small_batches, staged, text_of
 
 #: SQL has no means for MinHash, Aho-Corasick or packing; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -21,6 +21,7 @@ def _key() -> Column:
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts to be toxic go. It learns from the labelled documents outside the held-out third."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import numbered, staged, text_of
+from quarrylight.llm.shared import numbered, sliced, staged, text_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -200,7 +200,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         ids_of = Ids(*(tokenizer or _default_tokenizer()))
         end = np.array([END_ID], dtype="<u4")
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.concatenate((ids_of.encode(text).astype("<u4", copy=False), end))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import blocks, combine, mix, text_of, word_hashes
+from quarrylight.llm.shared import blocks, combine, mix, sliced, text_of, word_hashes
 
 #: Windows of tokens; a 0 is ignored. Each keeps five tokens.
 MASKS = ("1101101", "110100011", "1001010101")
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         held = Items([r["item_id"] for r in rows], list(token_hashes([r["_item"] for r in rows])), masks)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 out = []
                 for row, doc in enumerate(token_hashes(batch.column(1).to_pylist())):
                     for i, diagonals in held.hits(doc).items():
@@ -162,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shortest = min(map(len, masks))
-        for batch in batches:
+        for batch in sliced(batches):
             row, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, t in enumerate(token_hashes(batch.column(1).to_pylist())):
                 for places, x in [*seeds(t, masks), *(short_windows(t, list(range(1, shortest))) if batch.schema.names[0] != "item_id" else ())]:
@@ -176,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hits = doc_seeds.join(item_seeds, "seed").groupBy(key, "item_id").agg(F.collect_set(F.col("place") - F.col("_at")).alias("_diagonals"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             pairs = zip(token_hashes(batch.column(2).to_pylist()), token_hashes(batch.column(3).to_pylist()), strict=True)
             for row, ((doc, it), d, i) in enumerate(zip(pairs, batch.column(4).to_pylist(), batch.column(1).to_pylist(), strict=True)):

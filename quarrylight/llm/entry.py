@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import bin_packing, decontaminate, hash_tree, kneser_ney, license_index, ngram_join, order_minhash, pii_surrogates, secret_scan, toxicity
+from quarrylight.llm.shared import small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import blocks, checkpoint_dir, mix, staged, text_of, word_hashes
+from quarrylight.llm.shared import blocks, checkpoint_dir, mix, sliced, staged, text_of, word_hashes
 
 _END = np.array([0xE4D0F5EA7EC3A1B7], dtype=np.uint64)
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 _HELD = 3_000_000
 
 
@@ -124,7 +124,7 @@ def _batches(texts: Iterator[pa.RecordBatch], each, shard_of, names=("shard", "k
         k, n = tally.all()
         return pa.RecordBatch.from_arrays([pa.array(shard_of(k).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=list(names))
 
-    for batch in texts:
+    for batch in sliced(texts):
         for _, hashes, counts in tokens(batch.column(0).to_pylist()):
             tally.add(each(hashes, counts))
             if tally.full:
@@ -396,7 +396,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 512):
             out = []
             for _, hashes, counts in tokens(b.column(1).to_pylist()):
                 known, base, own = log10s(model, hashes, counts)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import blocks, combine, mix, numbered, staged, text_of, word_hashes
+from quarrylight.llm.shared import blocks, combine, mix, numbered, sliced, staged, text_of, word_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 
@@ -25,7 +25,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the most selective rows whose bands reach ``recall`` within ``most`` hashes."""
     for rows in range(16, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most:
             return bands, rows
     raise ValueError(f"no {most} hashes find pairs of similarity {threshold} with recall {recall}")
@@ -81,7 +81,7 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = BandHasher(bands, rows)
-        for batch in batches:
+        for batch in sliced(batches):
             a, b, n, band = [], [], [], []
             for grams in shingle_sets(batch.column(1).to_pylist(), words):
                 with np.errstate(over="ignore"):
@@ -144,7 +144,7 @@ def gram_sets(texts: DataFrame, ids: DataFrame, words: int, most_bits: int = 1 <
         texts = texts.join(ids, "id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             if seen is not None:
                 at = b.column(2).to_numpy()
                 b = b.filter(pa.array((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))

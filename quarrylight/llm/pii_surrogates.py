@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quarrylight.llm.shared import staged, text_of
+from quarrylight.llm.shared import sliced, staged, text_of
 
 KINDS = ("email", "ipv4", "ipv6", "mac", "iban", "ssn", "card", "phone", "number", "person")
 
@@ -258,7 +258,7 @@ def check_names(docs: DataFrame, key: bytes, text: str = "text", most: int = 100
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             words = {(r, w.lower()) for t in b.column(0).to_pylist() for s, e, _ in persons(t) for _, _, r, w in name_words(t, s, e)}
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in words], pa.string()), pa.array([w for _, w in words], pa.string())], names=["role", "word"])
 
@@ -307,7 +307,8 @@ def replace(docs: DataFrame, key: bytes = b"quarrylight", text: str = "text") ->
         kind = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
         for batch in texts:
             rows = []
-            for t in batch.to_pylist():
+            for x in batch:
+                t = x.as_py()
                 new, spans = rewritten(cipher, t or "", tries, syllables)
                 rows.append({"text": None if t is None else new, "entities": [{"kind": k, "start": s, "end": e} for s, e, k in spans]})
             yield pa.array(rows, kind)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,20 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_p
     return ranked.join(starts, on).select(*[ranked[c] for c in df.columns], (F.col("_start") + F.col("_at") - 1).cast("long").alias(out))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python get fewer rows at a time than Spark's default, if the session has that: texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of at most ``rows``, without copies, so that few texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 # ---- words of many texts at once -------------------------------------------------------------------------------
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +116,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of UTF-8 ``texts`` (split at bytes 0x20 and 0x09-0x0D) and, per text, how many.
 
     A polynomial over the bytes of all texts at once, made independent of the place by the inverse power. Keep a
-    call to some MB of text: it takes about 40 bytes of memory for each byte.
+    call to a MB of text or so: it takes about 60 bytes of memory for each byte.
     """
     counts = np.zeros(len(texts), dtype=np.int64)
     if not texts:
@@ -123,7 +138,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def blocks(texts, most: int = 4 << 20):
+def blocks(texts, most: int = 1 << 19):
     """(index of first, UTF-8 texts) of runs of about ``most`` bytes."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

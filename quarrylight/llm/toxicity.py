@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import staged, text_of
+from quarrylight.llm.shared import sliced, staged, text_of
 
 #: Insults that count from the start; training adds to them and reweights them.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, least_shar
     def counted(among: frozenset[str] | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c: Counter = Counter()
-            for b in batches:
+            for b in sliced(batches):
                 for t in b.column(0).to_pylist():
                     found = patterns_of(fold(t))
                     c.update(found if among is None else found & among)
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, least_shar
     model = Model(weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             e = np.array([model.evidence(t) for t in b.column(0).to_pylist()], dtype=float).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2]), b.column(1)], names=["w", "m", "n", "y"])
 
@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text:
     @arrow_udf(kind)
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for t in texts:
-            e = np.array([model.evidence(x) for x in t.to_pylist()], dtype=float).reshape(-1, 3)
+            e = np.array([model.evidence(x.as_py()) for x in t], dtype=float).reshape(-1, 3)
             s = model.score(e)
             yield pa.StructArray.from_arrays([pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(e[:, 1].astype(np.int64)), pa.array(e[:, 0])], names=["score", "predicted", "hits", "toxic_weight"])
 
