@@ -1,7 +1,7 @@
 """Facts from recorded HTTP responses, DNS answers, WHOIS and RDAP records, robots and sitemap files.
 
-Rule tables are unrolled into column expressions, each behind a plain ``contains``; HTML and scripts, which no built-in
-function parses, go through Arrow functions.
+Rule tables are constant arrays that array functions run through; HTML and scripts, which no built-in function parses, go
+through Arrow functions.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions.arrow import arrow_function
-
+from quarrylight.functions.bind import bound, constants
 from quarrylight.functions.text import _B, _E
 
 # ---- HTTP fingerprints -------------------------------------------------------------------------------------------
@@ -73,19 +73,24 @@ def canonical_product(p: Column) -> Column:
 
 def products(headers: Column, body: Column, favicon: Column, rules: Sequence[Fingerprint] = FINGERPRINTS) -> Column:
     """Sorted distinct products of a response; ``headers``: map of names to values. Case does not count."""
-    lines = F.coalesce(F.lower(F.array_join(F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")), F.lit(""))
-    lines = F.concat(F.lit("\n"), lines)
-    cookies = F.coalesce(F.lower(F.array_join(F.transform(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]).isin("set-cookie", "cookie")), lambda e: e["value"]), "; ")), F.lit(""))
-    low = F.coalesce(F.lower(body), F.lit(""))
-    found = []
+    rows = []
     for r in rules:
-        where, what = (lines, f"\n{r.header}") if r.header else (low, r.body) if r.body else (cookies, r.cookie) if r.cookie else (None, "")
-        hit = F.coalesce(favicon == r.favicon, F.lit(False)) if where is None else F.contains(where, F.lit(what.lower()))
-        if r.header and not r.header.endswith(":"):  # the value may stand anywhere in its line
-            name, _, value = r.header.partition(": ")
-            hit = hit | lines.rlike(rf"(?m)^{re.escape(name.lower())}:[^\n]*{re.escape(value.lower())}")
-        found.append(F.when(hit, canonical_product(F.lit(r.product))))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+        name, _, value = r.header.lower().partition(":")
+        rows.append({"product": ALIASES.get(r.product.lower(), r.product), "header": f"{name}:" if name else "", "value": value.strip(), "body": r.body.lower(), "cookie": r.cookie.lower(), "favicon": r.favicon})
+    table = constants(rows, "product: string, header: string, value: string, body: string, cookie: string, favicon: string")
+    lines = F.coalesce(F.transform(F.map_entries(headers), lambda e: F.lower(F.concat(e["key"], F.lit(": "), e["value"]))), F.array().cast("array<string>"))
+    seen = F.struct(lines.alias("lines"), F.coalesce(F.lower(body), F.lit("")).alias("body"), F.coalesce(favicon, F.lit("")).alias("favicon"))
+
+    def found(of: Column) -> Column:
+        cookies = lambda c: F.exists(of["lines"], lambda x: (x.startswith("set-cookie:") | x.startswith("cookie:")) & F.contains(x, c))
+        header = lambda r: F.exists(of["lines"], lambda x: F.startswith(x, r["header"]) & F.contains(x, r["value"]))
+
+        def holds(r: Column) -> Column:
+            return F.when(r["header"] != "", header(r)).when(r["body"] != "", F.contains(of["body"], r["body"])).when(r["cookie"] != "", cookies(r["cookie"])).otherwise(of["favicon"] == r["favicon"])
+
+        return F.array_sort(F.array_distinct(F.transform(F.filter(table, holds), lambda r: r["product"])))
+
+    return bound(seen, found)
 
 
 def murmur3(data: bytes, seed: int = 0) -> int:
@@ -164,19 +169,17 @@ HOSTED_NAMES = (
 
 def vendor_hits(headers: Column, names: Column) -> Column:
     """array<struct<vendor, kind, source>> of a response's headers (map) and canonical names (array), each once."""
-    low = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v")))
-    hit = lambda vendor, kind, source: F.struct(F.lit(vendor).alias("vendor"), F.lit(kind).alias("kind"), F.lit(source).alias("source"))
-    found = []
-    for vendor, kind, name, part in VENDOR_HEADERS:
-        found.append(F.when(_header(low, name, part), hit(vendor, kind, "header")))
-    chain = F.lower(F.array_join(names, " "))
-    for vendor, kind, parts in VENDOR_NAMES:
-        found.append(F.when(_any(chain, parts.split()), hit(vendor, kind, "cname")))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    by_header = constants([{"vendor": v, "kind": k, "name": n, "part": p} for v, k, n, p in VENDOR_HEADERS], "vendor: string, kind: string, name: string, part: string")
+    by_name = constants([{"vendor": v, "kind": k, "parts": p.split()} for v, k, p in VENDOR_NAMES], "vendor: string, kind: string, parts: array<string>")
+    low = F.coalesce(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v"))), F.array().cast("array<struct<k:string,v:string>>"))
+    hit = lambda r, source: F.struct(r["vendor"].alias("vendor"), r["kind"].alias("kind"), F.lit(source).alias("source"))
 
+    def found(of: Column) -> Column:
+        headed = F.filter(by_header, lambda r: F.exists(of["h"], lambda e: (e["k"] == r["name"]) & F.contains(e["v"], r["part"])))
+        named = F.filter(by_name, lambda r: F.exists(r["parts"], lambda p: F.contains(of["n"], p)))
+        return F.array_distinct(F.concat(F.transform(headed, lambda r: hit(r, "header")), F.transform(named, lambda r: hit(r, "cname"))))
 
-def _header(entries: Column, name: str, part: str) -> Column:
-    return F.exists(entries, lambda e: (e["k"] == name) & F.contains(e["v"], F.lit(part)))
+    return bound(F.struct(low.alias("h"), F.coalesce(F.lower(F.array_join(names, " ")), F.lit("")).alias("n")), found)
 
 
 def _any(text: Column, parts: Sequence[str]) -> Column:
@@ -224,12 +227,13 @@ TXT_RULES = (
 
 def txt_tokens(txt: Column) -> Column:
     """array<struct<provider, type, value>> of a TXT record, in the order of the rules."""
-    low = F.lower(txt)
-    found = []
-    for provider, kind, part, pattern in TXT_RULES:
-        value = F.regexp_extract(txt, pattern, 1) if pattern else F.lit("")
-        found.append(F.when(F.contains(low, F.lit(part)), F.struct(F.lit(provider).alias("provider"), F.lit(kind).alias("type"), value.alias("value"))))
-    return F.array_compact(F.array(*found))
+    table = constants([{"provider": a, "type": b, "part": c, "pattern": d} for a, b, c, d in TXT_RULES], "provider: string, type: string, part: string, pattern: string")
+    value = lambda r: F.when(r["pattern"] != "", F.call_function("regexp_extract", txt, r["pattern"], F.lit(1))).otherwise("")
+
+    def found(low: Column) -> Column:
+        return F.transform(F.filter(table, lambda r: F.contains(low, r["part"])), lambda r: F.struct(r["provider"].alias("provider"), r["type"].alias("type"), value(r).alias("value")))
+
+    return bound(F.coalesce(F.lower(txt), F.lit("")), found)
 
 
 def mail_posture(records: DataFrame, by: Sequence[str] = ("domain",)) -> DataFrame:
