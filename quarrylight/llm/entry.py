@@ -20,7 +20,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     counts = [_count(k).alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts[:3], F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"), counts[3])
 
 
 def _count(kind: int) -> Column:
@@ -83,5 +83,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_pii_surrogates, op4_order_minhash, op5_benchmark_decontamination, op6_kneser_ney, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
 
 
+#: Sets of word 5-grams, all pairs that share one, and groups by recursion: the join without MinHash.
+_JOIN_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d
+), sets AS (
+  SELECT s, min(doc_id) AS set_id, count(*) AS copies FROM g GROUP BY s
+), e AS (
+  SELECT set_id, len(s) AS n, unnest(s) AS gram FROM sets
+), p AS (
+  SELECT x.set_id AS a, y.set_id AS b, count(*) AS c, any_value(x.n + y.n) AS n FROM e x JOIN e y ON x.gram = y.gram AND x.set_id <> y.set_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 10 * c >= 8 * (n - c)
+), r AS (
+  SELECT set_id AS node, set_id AS root FROM sets UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), k AS (
+  SELECT node, min(root) AS class_id FROM r GROUP BY node
+), m AS (
+  SELECT l.a, sum(sets.copies) AS n FROM l JOIN sets ON sets.set_id = l.b GROUP BY l.a
+)
+SELECT g.doc_id, k.class_id, sets.set_id, CAST(sets.copies - 1 + coalesce(m.n, 0) AS BIGINT) AS n_links
+FROM g JOIN sets ON g.s = sets.s JOIN k ON k.node = sets.set_id LEFT JOIN m ON m.a = sets.set_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard_join": _JOIN_SQL}

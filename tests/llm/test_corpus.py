@@ -291,3 +291,14 @@ def test_packing_takes_odd_tables(odd, nothing):
     rows = bin_packing.pack(odd).collect()
     assert sum(r.piece == 0 for r in rows) == odd.count()
     assert bin_packing.pack(nothing).count() == 0
+
+
+def test_join_matches_duckdb(spark, sf):
+    import duckdb
+
+    from tests.oracle import difference, views
+
+    con = duckdb.connect()
+    views(con, sf)
+    for name, sql in entry.oracle_sql().items():
+        assert difference(entry.queries()[name](spark, sf), con, sql) == ""
