@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.arrays import prefix_sums, run_starts
-from quarrylight.llm.shared import let, text_of
+from quarrylight.llm.shared import fresh, kept_columns, let, text_of
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The phrases of the contract and their labels.
@@ -165,10 +165,11 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None, base:
     rows, whole texts are searched. Columns of the new names are replaced.
     """
     index = index or Index.of()
-    kept = [c for c in docs.columns if c not in (text, "n_words", "base", "found", "_padded")]
+    kept = kept_columns(docs, text, "n_words", "base", "found")
+    own_, found_ = fresh(docs, "_words", "_found")
     # a column of its own, so that it is made once for each row
-    own = docs.select(*kept, let(normal(text_of(text)), lambda p: F.struct(p.alias("padded"), F.greatest(_spaces(p) - 1, F.lit(0)).alias("n_words"))).alias("_p"))
-    padded = F.col("_p.padded")
+    own = docs.select(*kept, let(normal(text_of(text)), lambda p: F.struct(p.alias("padded"), F.greatest(_spaces(p) - 1, F.lit(0)).alias("n_words"))).alias(own_))
+    padded = F.col(f"{own_}.padded")
     one = let(
         padded,
         lambda p: F.struct(
@@ -176,4 +177,4 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None, base:
             F.coalesce(template_matches(p, index, least_share, slack), F.array().cast("array<struct<label:string,score:double>>")).alias("found"),
         ),
     )
-    return own.select(*kept, F.col("_p.n_words").alias("n_words"), one.alias("_m")).select(*kept, "n_words", "_m.base", "_m.found")
+    return own.select(*kept, F.col(f"{own_}.n_words").alias("n_words"), one.alias(found_)).select(*kept, "n_words", f"{found_}.base", f"{found_}.found")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quarrylight.llm.shared import sliced, staged, text_of
+from quarrylight.llm.shared import fresh, kept_columns, sliced, staged, text_of
 
 KINDS = ("email", "ipv4", "ipv6", "mac", "iban", "ssn", "card", "phone", "number", "person")
 
@@ -299,7 +299,8 @@ def replace(docs: DataFrame, key: bytes = b"quarrylight", text: str = "text") ->
     entities is replaced.
     """
     tries, syllables = check_names(docs, key, text)
-    kept = [c for c in docs.columns if c != "entities"]
+    kept = kept_columns(docs, "entities")
+    (own,) = fresh(docs, "_rewritten")
 
     @arrow_udf("struct<text: string, entities: array<struct<kind: string, start: int, end: int>>>")
     def rewrite(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -313,8 +314,8 @@ def replace(docs: DataFrame, key: bytes = b"quarrylight", text: str = "text") ->
                 rows.append({"text": None if t is None else new, "entities": [{"kind": k, "start": s, "end": e} for s, e, k in spans]})
             yield pa.array(rows, kind)
 
-    made = docs.select(*kept, rewrite(F.col(text)).alias("_r"))
-    return made.select(*[F.col("_r.text").alias(c) if c == text else F.col(c) for c in kept], F.col("_r.entities").alias("entities"))
+    made = docs.select(*kept, rewrite(F.col(text)).alias(own))
+    return made.select(*[F.col(f"{own}.text").alias(c) if c == text else F.col(c) for c in kept], F.col(f"{own}.entities").alias("entities"))
 
 
 def rewritten(cipher: Cipher, text: str, tries: dict[tuple[str, str], int], syllables: int) -> tuple[str, list[tuple[int, int, str]]]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.arrays import match_spans
-from quarrylight.llm.shared import let, staged, text_of
+from quarrylight.llm.shared import fresh, kept_columns, let, staged, text_of
 
 # The formats of the contract, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -142,17 +142,18 @@ def scan(docs: DataFrame, text: str = "text", reject: float = 1e-3, false_share:
     fixed = [assign, access, match_spans(t, HEX)]
     kinds = "array<struct<start:bigint,kind:int,end:bigint>>"
     marked = F.array_sort(F.concat(*[_mark(s, k) for k, s in enumerate(fixed)]))
-    kept = [c for c in docs.columns if c not in (text, "spans")]
+    kept = kept_columns(docs, text, "spans")
+    fixed_, tokens_ = fresh(docs, "_fixed", "_tokens")
     tokens = F.filter(F.transform(match_spans(t, TOKEN), lambda s: _tested(s, reject)), lambda s: s.isNotNull()).cast(_TOKENS)
-    found = staged(docs.select(*kept, marked.cast(kinds).alias("_fixed"), tokens.alias("_tokens")), "secret-spans")
-    limits = discovery_limits(found.select(F.explode("_tokens").alias("t")).select("t.stratum", "t.p"), false_share)
+    found = staged(docs.select(*kept, marked.cast(kinds).alias(fixed_), tokens.alias(tokens_)), "secret-spans")
+    limits = discovery_limits(found.select(F.explode(tokens_).alias("t")).select("t.stratum", "t.p"), false_share)
     random = F.lit(None).cast("array<struct<start:bigint,kind:int,end:bigint>>")
     if limits:
         by = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
-        called = F.filter("_tokens", lambda s: F.coalesce(s["p"] <= F.element_at(by, s["stratum"]), F.lit(False)))
-        called = F.filter(called, lambda s: ~F.exists("_fixed", lambda f: (f["start"] < s["end"]) & (f["end"] > s["start"])))
+        called = F.filter(tokens_, lambda s: F.coalesce(s["p"] <= F.element_at(by, s["stratum"]), F.lit(False)))
+        called = F.filter(called, lambda s: ~F.exists(fixed_, lambda f: (f["start"] < s["end"]) & (f["end"] > s["start"])))
         random = F.transform(called, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end")))
-    both = F.array_sort(F.concat("_fixed", F.coalesce(random, F.array().cast(kinds))))
+    both = F.array_sort(F.concat(fixed_, F.coalesce(random, F.array().cast(kinds))))
     return found.select(*kept, F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 

@@ -36,6 +36,23 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def kept_columns(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of ``df`` but those that ``replaced`` names; case does not count, as in Spark."""
+    gone = {r.lower() for r in replaced}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each changed until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it (also inside lambdas)."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import sliced, staged, text_of
+from quarrylight.llm.shared import fresh, kept_columns, sliced, staged, text_of
 
 #: Insults that count from the start; training adds to them and reweights them.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -207,7 +207,8 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text:
     One pass without a shuffle. A null text is empty; an empty text has the score of no evidence; repeated rows get
     the same score. Columns of these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "hits", "toxic_weight")]
+    kept = kept_columns(docs, "score", "predicted", "hits", "toxic_weight")
+    (own,) = fresh(docs, "_judged")
     kind = "struct<score: double, predicted: int, hits: long, toxic_weight: double>"
 
     from pyspark.sql.functions import arrow_udf
@@ -219,4 +220,4 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text:
             s = model.score(e)
             yield pa.StructArray.from_arrays([pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(e[:, 1].astype(np.int64)), pa.array(e[:, 0])], names=["score", "predicted", "hits", "toxic_weight"])
 
-    return docs.select(*kept, judge(text_of(text)).alias("_judged")).select(*kept, "_judged.*")
+    return docs.select(*kept, judge(text_of(text)).alias(own)).select(*kept, f"{own}.*")

@@ -5,7 +5,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names operators use themselves.
-CLASHES = ("score", "shard", "piece", "spans", "entities", "key", "id", "n", "predicted", "jaccard", "label", "found", "base", "_fixed_", "a", "b")
+CLASHES = ("score", "shard", "piece", "spans", "entities", "key", "id", "n", "predicted", "jaccard", "label", "found", "base", "_fixed", "_tokens", "_judged", "_rewritten", "_words", "_found", "_text", "_key", "Hits", "N_Words", "a", "b")
 
 
 def words(n: int, seed: int, vocabulary: int = 500) -> str:
