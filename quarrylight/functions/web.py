@@ -326,6 +326,19 @@ def resolved(base: Column, ref: Column) -> Column:
     return F.when(ref.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), ref).when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref)).when(ref.startswith("/"), F.concat(origin, ref)).otherwise(F.concat(folder, ref))
 
 
+def candidate_urls(target: Column, fallback: bool = True) -> Column:
+    """A target with a scheme as it is; another one by https, then by http if ``fallback``."""
+    t = F.trim(target)
+    bare = [F.concat(F.lit(f"{s}://"), t) for s in (("https", "http") if fallback else ("https",))]
+    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).when(t.contains("://"), F.array(t)).otherwise(F.array(*bare))
+
+
+def same_host(a: Column, b: Column) -> Column:
+    """Without regard to case, ports and a leading ``www.``."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r":\d+$", ""), r"^www\.", "")
+    return bare(a) == bare(b)
+
+
 def robots(body: Column, base: Column) -> Column:
     """struct<allow, disallow, sitemap>: absolute URLs, each once."""
     lines = F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, "[#\r].*$", "")))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions.web import canonical_product, port_service
+from quarrylight.functions.classify import url_tags
+from quarrylight.functions.web import archive_time, canonical_product, port_service
 from quarrylight.model import as_assets
-from quarrylight.operators.normalize import normalized
+from quarrylight.operators.normalize import normalized, url_host, url_path
 
 _CERT = "struct<subject: string, issuer: string, sans: array<string>, not_before: timestamp, not_after: timestamp, self_sign: boolean>"
 #: Schemas of the records, by kind.
@@ -67,6 +68,18 @@ def subdomain_assets(results: DataFrame) -> DataFrame:
     return normalized(as_assets(own.select(F.get("ips", F.lit(0)).alias("ip"), F.col("name").alias("domain"), F.col("name").alias("host"), raw.alias("raw"), F.lit("subdomain").alias("source"), _seq(own).alias("seq"))))
 
 
+def archive_assets(rows: DataFrame) -> DataFrame:
+    """Archived URLs (url, timestamp, mimetype, statuscode, seq) as assets with the labels of their paths, and a row more for each host at its first URL."""
+    host = url_host(F.col("url"))
+    at = archive_time(F.col("timestamp"))
+    raw = F.map_filter(F.create_map(F.lit("timestamp"), F.col("timestamp"), F.lit("mimetype"), F.col("mimetype"), F.lit("statuscode"), F.col("statuscode"), F.lit("snapshot"), F.concat(F.lit("https://web.archive.org/web/"), F.col("timestamp"), F.lit("/"), F.col("url"))), lambda _, v: v.isNotNull())
+    own = rows.where(host.isNotNull()).select("url", host.alias("host"), host.alias("domain"), url_tags(url_path(F.col("url"))).alias("tags"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("update_time"), raw.alias("raw"), F.lit("wayback").alias("source"), _seq(rows).alias("seq"))
+    first = own.groupBy("host").agg(F.min_by(F.struct("update_time", "raw"), "seq").alias("f"), F.min("seq").alias("seq"))
+    seen = F.map_filter(F.create_map(F.lit("first_seen_ts"), F.element_at("f.raw", F.lit("timestamp"))), lambda _, v: v.isNotNull())
+    names = first.select("host", F.col("host").alias("domain"), F.col("f.update_time").alias("update_time"), seen.alias("raw"), F.lit("wayback").alias("source"), "seq")
+    return normalized(as_assets(own)).unionByName(normalized(as_assets(names)))
+
+
 def templates(spark: SparkSession, ids: Sequence[str] = (), categories: Sequence[str] = ()) -> DataFrame:
     """The catalogue, or the part of it that is named."""
     rows = [r for r in TEMPLATES if (not ids or r[0] in ids) and (not categories or r[1] in categories)]

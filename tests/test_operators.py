@@ -304,3 +304,18 @@ def test_records(spark):
 def test_read_targets(spark, tmp_path):
     (tmp_path / "t.txt").write_text("a.com, b.com;c.com # note\n# all note\na.com\nhttps://x/#top\n")
     assert sorted(r.target for r in imports.read_targets(spark, str(tmp_path / "t.txt")).collect()) == ["a.com", "b.com", "c.com", "https://x/#top"]
+
+
+def test_archive_rows(spark):
+    from quarrylight.sources import records
+
+    rows = spark.createDataFrame([("https://a.x/admin/", "20240102030405", "text/html", "200", 0), ("https://a.x/.git/HEAD", "20230101000000", None, "404", 1), ("bad", "x", None, None, 2)], "url string, timestamp string, mimetype string, statuscode string, seq long")
+    got = records.archive_assets(rows).orderBy("seq", F.desc("url")).collect()
+    assert [(r.host, r.url, r.tags, r.update_time) for r in got] == [("a.x", "https://a.x/admin/", ["high-value", "admin"], "2024-01-02 03:04:05"), ("a.x", None, None, "2024-01-02 03:04:05"), ("a.x", "https://a.x/.git/HEAD", ["high-value", "secret"], "2023-01-01 00:00:00")]
+    assert got[1].raw == {"first_seen_ts": "20240102030405"}
+
+
+def test_candidate_urls(spark):
+    assert one(spark, "h.example", web.candidate_urls) == ["https://h.example", "http://h.example"]
+    assert one(spark, "http://h", web.candidate_urls) == ["http://h"] and one(spark, " ", web.candidate_urls) == []
+    assert one(spark, "WWW.h.example:8443", lambda c: web.same_host(c, F.lit("h.example")))
