@@ -76,14 +76,14 @@ class BandHasher:
             return out
 
 
-def sketch(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int) -> DataFrame:
-    """(key, set_a, set_b, grams, bands): a 128-bit hash of the set, its size, its band hashes."""
+def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """(id, key, set_a, set_b, grams, bands) of ``docs`` (id, key, text): a 128-bit hash of the set, its size, its band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = BandHasher(bands, rows)
         for batch in sliced(batches):
             a, b, n, band = [], [], [], []
-            for grams in shingle_sets(batch.column(1).to_pylist(), words):
+            for grams in shingle_sets(batch.column(2).to_pylist(), words):
                 with np.errstate(over="ignore"):
                     a.append(mix(grams).sum(dtype=np.uint64))
                     b.append(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -92,9 +92,9 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: i
             offsets = np.concatenate(([0], np.cumsum([0 if x is None else bands for x in band])))
             values = np.concatenate([x for x in band if x is not None]) if any(x is not None for x in band) else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], names=[key, "set_a", "set_b", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(a, dtype=np.uint64).view(np.int64)), pa.array(np.array(b, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists], names=["id", "key", "set_a", "set_b", "grams", "bands"])
 
-    return docs.select(key, text_of(text).alias("_text")).mapInArrow(run, f"{key} long, set_a long, set_b long, grams long, bands array<long>")
+    return docs.mapInArrow(run, "id long, key long, set_a long, set_b long, grams long, bands array<long>")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -271,16 +271,16 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     all links). links: verified (a, b, jaccard) between set_ids that connect each group: all links of small buckets, of
     large ones a spanning forest for each two blocks.
 
-    ``key`` is a whole number and identifies a document. Rows without one are grouped by their text under a negative
-    id of its hash, and only with equal sets. A null text is empty; empty texts are copies of each other and of nothing
+    ``key`` is a whole number and identifies a document. Rows without one go by a negative id of their text's hash. A null text is empty; empty texts are copies of each other and of nothing
     else. Repeated rows are copies. An empty table gives none. A group of copies of any size is one row before any join.
     Buckets of at most ``small`` sets are joined pair by pair, larger ones block by block: two ways, both exact.
     """
     bands, rows = choose_bands(threshold, recall)
-    sketches = staged(sketch(docs.select(F.col(key).cast("long").alias(key), text), key, text, words, bands, rows), "sketches")
-    ids = sketches.withColumn("_id", F.coalesce(F.col(key), -F.abs(F.shiftright("set_a", 1)) - 1))
-    sets = staged(ids.groupBy("set_a", "set_b").agg(F.min("_id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
-    banded = sets.where(F.col("set_id") >= 0).select("set_id", F.posexplode("bands").alias("_band", "_hash"))
+    number = F.col(key).cast("long")
+    texts = docs.select(F.coalesce(number, -F.abs(F.shiftright(F.xxhash64(text_of(text)), 1)) - 1).alias("id"), number.alias("key"), text_of(text).alias("text"))
+    sketches = staged(sketch(texts, words, bands, rows), "sketches")
+    sets = staged(sketches.groupBy("set_a", "set_b").agg(F.min("id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
+    banded = sets.select("set_id", F.posexplode("bands").alias("_band", "_hash"))
     sizes = banded.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.min("set_id").alias("_head")).where("_n > 1")
     met = staged(banded.join(sizes, ["_band", "_hash"]), "buckets")
     clusters = staged(components(met.where(F.col("_n") > small).select(F.col("set_id").alias("a"), F.col("_head").alias("b"))), "clusters")
@@ -291,10 +291,9 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     of_a, of_b = (clusters.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
     pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce(F.col("_a") != F.col("_b"), F.lit(True)))
     pairs = staged(pairs.select("a", "b"), "candidates")
-    # a set's text is that of the row with its id
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")).where(F.col("id").isNotNull())
+    # a set's text is that of a row with its id
     members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(clusters.select(F.col("node").alias("id")))
-    grams = staged(gram_sets(texts, members, words), "gram-sets")
+    grams = staged(gram_sets(texts, members, words).dropDuplicates(["id"]), "gram-sets")
     sized = sets.select(F.col("set_id").alias("id"), "copies")
     inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(sized, "id").join(grams, "id")
     blocked = staged(blocked_links(inside, threshold), "blocked-links")
@@ -306,4 +305,4 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     linked = counted.groupBy("set_id").agg(F.sum("n").alias("_linked"))
     about = sets.select("set_a", "set_b", "set_id", "copies").join(linked, "set_id", "left").join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left")
     about = about.select("set_a", "set_b", "set_id", F.coalesce("component", "set_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"))
-    return sketches.select(key, "set_a", "set_b").join(about, ["set_a", "set_b"]).select(key, "class_id", "set_id", "n_links"), links
+    return sketches.select(F.col("key").alias(key), "set_a", "set_b").join(about, ["set_a", "set_b"]).select(key, "class_id", "set_id", "n_links"), links

@@ -302,3 +302,16 @@ def test_join_matches_duckdb(spark, sf):
     views(con, sf)
     for name, sql in entry.oracle_sql().items():
         assert difference(entry.queries()[name](spark, sf), con, sql) == ""
+
+
+def test_join_with_negative_missing_and_repeated_ids(spark):
+    a, *near = near_copies(11, 12, 0.03)
+    rows = [(-5, a), (-5, a), (7, a), *[(None, t) for t in near[:6]], *[(20 + i, t) for i, t in enumerate(near[6:])], (99, words(90, 77, 3000))]
+    got = ngram_join.join(frame(spark, rows), small=2)[0].collect()
+    keyed = {i: t for i, (_, t) in enumerate(rows)}
+    classes, n_links = brute(keyed)
+    groups = defaultdict(set)
+    for i, c in classes.items():
+        groups[c].add(rows[i][0])
+    assert len({r.class_id for r in got}) == len(groups)
+    assert sorted(r.n_links for r in got) == sorted(n_links.values())
