@@ -164,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, least_shar
     n = known.count()
     share = min(1.0, max_train / max(1, n))
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), text_of(text).alias("_text"))
-    own = own.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    own = own.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
     sample = staged(own.join(known, "_key").groupBy("_text").agg(F.max("_toxic").cast("int").alias("_toxic")), "toxicity-sample")
     weights = {f" {w} ": 3.0 for w in seeds}
 
