@@ -597,6 +597,34 @@ def x20(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(web.contact_pivots(web.rdap_contacts(record))).alias("pivots"))
 
 
+@query("x22_x23_names", "SELECT page_id, h || ',x' AS names, 'https://' || h || ',http://' || h AS candidates FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS h FROM pages)")
+def x23(spark, sf):
+    h = F.lower(F.regexp_extract("url", "://([^/?#:]+)", 1))
+    names = F.array(h, F.upper(h), F.lit(" "), F.lit("x "), F.lit("X"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(web.distinct_names(names), ",").alias("names"), F.array_join(web.candidate_urls(h), ",").alias("candidates"))
+
+
+@query("f2_numbers", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CAST(c_custkey AS INT) WHEN 1 THEN CAST(c_custkey AS INT) END AS n FROM customer")
+def f2(spark, sf):
+    from quarrylight.sources.imports import whole_number
+
+    cell = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat(' ', CAST(c_custkey AS STRING), ' ') WHEN 1 THEN concat(CAST(c_custkey AS STRING), '.0') ELSE 'none' END")
+    return table(spark, sf, "customer").select("c_custkey", whole_number(cell).alias("n"))
+
+
+@query("a2_http_records", "SELECT page_id AS seq, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host, 'Next.js,Nginx' AS products FROM pages WHERE page_id % 2 = 0")
+def a2(spark, sf):
+    from quarrylight.sources import records
+
+    names = {"input": "url", "url": "url", "final_url": "url"}
+    own = table(spark, sf, "pages").select(
+        *[F.col(c).alias(n) for n, c in names.items()], F.lit(200).alias("status"), F.lit(1).cast("long").alias("content_length"), F.lit("t").alias("title"), F.lit("nginx").alias("server"), F.lit("text/html").alias("content_type"), F.lit("https").alias("scheme"),
+        F.regexp_extract("url", "://([^/?#:]+)", 1).alias("host"), F.lit(443).alias("port"), F.array(F.lit("1.1.1.1")).alias("ips"), F.lit(None).cast("string").alias("cname"), F.lit(None).cast("string").alias("favicon_hash"), F.lit(None).cast(records._CERT).alias("cert"),
+        F.array(F.lit("nginx"), F.lit("nextjs"), F.lit("NGINX")).alias("tech"), F.lit(None).cast("array<string>").alias("chain"), F.lit(1).cast("long").alias("duration"), F.when(F.col("page_id") % 2 == 1, "timeout").alias("err"), F.col("page_id").alias("seq"),
+    )
+    return records.http_assets(own).select("seq", "host", F.array_join("products", ",").alias("products"))
+
+
 @query("x24_archive_rows", "SELECT page_id, strptime('2024010203' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || '00', '%Y%m%d%H%M%S') AS at FROM pages")
 def x24(spark, sf):
     ts = F.concat(F.lit("2024010203"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit("00"))
