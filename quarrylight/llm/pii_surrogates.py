@@ -48,7 +48,9 @@ _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9.+_-]*@(?:[A-Za-z0-9](?:[
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 _MAC = re.compile(r"(?<![\w:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![\w:-])")
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![\w:.])")
-_DIGITS = re.compile(r"(?<![\w.,+-])[+(]?\(?\d(?:[\d]|[ ().-]{1,2}(?=[\d(])){5,24}\d(?!\w)(?!\.\d)")
+#: Digits with what may stand between them, however long; :func:`_digit_spans` parts them.
+_DIGITS = re.compile(r"(?:(?<![\w.,+-])|(?<=[.,])(?<!\d\.))[+(]?\(?\d++(?:[ ().-]{1,3}+\d++)*+")
+_PIECE = re.compile(r"\d[\d-]*\d|\d")
 _IPV4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -161,7 +163,74 @@ def _digit_kind(s: str) -> str | None:
         return "card"
     if s[0] in "+(" and 8 <= n <= 15 or not plain and 9 <= n <= 13 and re.fullmatch(r"\(?\d{2,4}\)?[ .-]?\d{2,4}[ .-]\d{2,5}(?:[ .-]\d{2,5})?", s):
         return "phone"
-    return "number" if plain and n >= 9 else None
+    return "number" if plain and 9 <= n <= 26 else None
+
+
+def _luhn(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == int(digits[-1])
+
+
+def _joined_kind(s: str, apart: bool) -> str | None:
+    """The kind of pieces that stand beside other digits: brackets match, a card has one separator, a date is no phone."""
+    if s.count("(") != s.count(")") or not apart:
+        return None
+    kind = _digit_kind(s)
+    if kind == "card" and len({c for c in s if not c.isdigit()}) > 1 or kind == "phone" and re.match(r"(?:19|20)\d\d[.-]", s):
+        return None
+    return kind
+
+
+def _digit_spans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Cards, phones and other numbers. Digits that are not one entity as a whole are parted (never at a hyphen) so that most digits belong to entities, those of valid cards and social security numbers counting more."""
+    for m in _DIGITS.finditer(text):
+        s, at = m[0], m.start()
+        if re.match(r"\w", text[m.end() : m.end() + 1]):  # the last digits belong to a word
+            end = len(s)
+            while end and s[end - 1].isdigit():
+                end -= 1
+            s = s[:end].rstrip(" ().+-")
+        if sum(c.isdigit() for c in s) < 9:
+            continue
+        # behind a point, or a comma with a digit before it, digits may be the rest of a number
+        tied = at > 0 and (text[at - 1] == "." or text[at - 1] == "," and text[max(0, at - 2) : at - 1].isdigit())
+
+        def told(x: str, kind: str | None, first: bool) -> str | None:
+            if first and tied and (kind == "number" or kind == "card" and x.isdigit() and not _luhn(x) or kind == "phone" and not set("-(") & set(x)):  # noqa: B023
+                return None
+            return kind
+
+        if kind := told(s, _digit_kind(s), True):
+            yield at, at + len(s), kind
+            continue
+        pieces = [p.span() for p in _PIECE.finditer(s)]
+        # best[i]: weight of the pieces from i on, and the entity that starts there
+        best: list[tuple[float, int, tuple[int, int, str] | None]] = [(0.0, 0, None)] * (len(pieces) + 1)
+        for i in range(len(pieces) - 1, -1, -1):
+            a = pieces[i][0]
+            best[i] = (best[i + 1][0], i + 1, None)
+            lead = 0 if i == 0 else a - (s[a - 1] == "(")
+            digits = 0
+            for j in range(i, len(pieces)):
+                b = pieces[j][1]
+                digits += sum(c.isdigit() for c in s[pieces[j][0] : b])
+                if digits > 19 and j > i:
+                    break
+                for start in {lead, a}:
+                    x = s[start:b]
+                    if j == i and start == a:
+                        kind = _digit_kind(x)
+                    else:
+                        kind = _joined_kind(x, s[start - 1 : start] != "." and not re.match(r"\.\d", s[b : b + 2])) if digits >= 8 else None
+                    if kind := told(x, kind, i == 0):
+                        strong = kind == "ssn" or kind == "card" and _luhn("".join(c for c in x if c.isdigit()))
+                        weight = digits * (1.75 if strong else 1.01 if kind == "card" else 1.0) + best[j + 1][0]
+                        if weight > best[i][0] or weight == best[i][0] and best[i][2] is not None and start < best[i][2][0]:
+                            best[i] = (weight, j + 1, (start, b, kind))
+        i = 0
+        while i < len(pieces):
+            _, i, entity = best[i]
+            if entity:
+                yield at + entity[0], at + entity[1], entity[2]
 
 
 def persons(text: str) -> list[tuple[int, int, str]]:
@@ -180,11 +249,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "mac") for m in _MAC.finditer(text)]
         found += [(*m.span(), "ipv6") for m in _IPV6.finditer(text) if m[0].count(":") == 7 or "::" in m[0]]
     found += [(*m.span(), "iban") for m in _IBAN.finditer(text)]
-    for m in _DIGITS.finditer(text):
-        if kind := _digit_kind(m[0]):
-            found.append((*m.span(), kind))
-        else:  # numbers that only stand beside each other
-            found += [(m.start() + x.start(), m.start() + x.end(), k) for x in re.finditer(r"\d[\d-]*\d", m[0]) if (k := _digit_kind(x[0]))]
+    found += _digit_spans(text)
     found += persons(text)
     found.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
     kept: list[tuple[int, int, str]] = []

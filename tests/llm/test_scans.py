@@ -321,3 +321,15 @@ def test_decontamination_takes_odd_tables(odd, nothing, spark):
     for most in (10**6, 1):
         assert decontaminate.contaminated(nothing, bench, most_in_memory=most).count() == 0
         assert decontaminate.contaminated(odd, bench.limit(0), most_in_memory=most).count() == 0
+
+
+def test_digit_entities_beside_other_numbers():
+    one, two = "4111 1111 1111 1111", "4222 2222 2222 2222"
+    cases = {
+        f"card {one} {two}": [one, two], f"{one} 2027": [one], f"12 {one}": [one], " ".join([one] * 9): [one] * 9,
+        "(212) 555-0100 (212) 555-0101": ["(212) 555-0100", "(212) 555-0101"], "212 555 0100 212 555 0101": ["212 555 0100", "212 555 0101"],
+        "id,212-555-0100": ["212-555-0100"], "a,4111111111111111,b": ["4111111111111111"], "7,4111111111111111,9": ["4111111111111111"],
+        "123-45-6789 4111111111111111": ["123-45-6789", "4111111111111111"], "1,234,567,890": [], "3,1415926535": [], "2024-01-15 2024-01-16": [],
+    }
+    for t, want in cases.items():
+        assert [t[s:e] for s, e, _ in pii_surrogates.detect(t)] == want, t
