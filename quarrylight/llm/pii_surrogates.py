@@ -3,7 +3,8 @@
 Numbers and addresses are enciphered within their format: a keyed Feistel network permutes all strings of a type and
 shape, so equal entities get equal surrogates everywhere (coreference) and different ones different surrogates, without a
 table. Names are drawn by a keyed hash from names of the same gender and script; such draws can collide, so the
-corpus's distinct name words are checked and losers drawn again until all are distinct.
+corpus's distinct name words are checked and losers drawn again until all are distinct. Where a corpus has more given
+names than the lists can tell apart, syllables follow the listed name, as many as the count needs.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ GIVEN = {
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Madame", "Frau", "Señora", "Sra", "г-жа"), "m": ("Mr", "Monsieur", "Herr", "Señor", "Sr", "г-н"), "x": ("Dr", "Prof")}
 HAN_TITLES = {"女士": "f", "小姐": "f", "先生": "m"}
 HAN_SURNAMES = "王李张刘陈杨黄赵周吴徐孙马朱胡郭何林高罗"
-_SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"]}
+_SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"], "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"], "han": list(HAN_SURNAMES)}
 
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _OF_GIVEN = {n.lower(): (s, g) for (s, g), ns in GIVEN.items() for n in ns}
@@ -288,8 +289,16 @@ def name_words(text: str, start: int, end: int) -> list[tuple[int, int, str, str
     return out
 
 
-def drawn(cipher: Cipher, role: str, word: str, tries: int, syllables: int) -> str:
-    """The surrogate of a name's word (without regard to case) on try ``tries``."""
+def _spelled(table: list[str], x: int, syllables: int) -> str:
+    out = ""
+    for _ in range(syllables):
+        x, i = divmod(x, len(table))
+        out += table[i]
+    return out
+
+
+def drawn(cipher: Cipher, role: str, word: str, tries: int, syllables: dict[str, int]) -> str:
+    """The surrogate of a name's word (without regard to case) on try ``tries``. ``syllables``: of surnames, and of what follows given names, by role."""
     script, kind = role.split("/")
     low = word.lower()
     if kind == "surname":
@@ -298,28 +307,29 @@ def drawn(cipher: Cipher, role: str, word: str, tries: int, syllables: int) -> s
             out = HAN_SURNAMES[(x + tries) % len(HAN_SURNAMES)] + (HAN_SURNAMES[tries % len(HAN_SURNAMES)] if tries > 4 else "")
         else:
             table = _SYLLABLES[script]
-            x = cipher.draw(f"{role}/{tries}", low, len(table) ** syllables)
-            out = ""
-            for _ in range(syllables):
-                x, i = divmod(x, len(table))
-                out += table[i]
-            out = out.capitalize()
+            n = syllables["surname"]
+            out = _spelled(table, cipher.draw(f"{role}/{tries}", low, len(table) ** n), n).capitalize()
     else:
         names = GIVEN[script, kind]
         out = names[cipher.draw(f"{role}/{tries}", low, len(names))]
+        joint = "-" if script != "han" else ""
         if tries > 2:  # the list is short: a second name makes it distinct
-            out += ("-" if script != "han" else "") + names[cipher.draw(f"{role}/{tries}/b", low, len(names))]
+            out += joint + names[cipher.draw(f"{role}/{tries}/b", low, len(names))]
+        if n := syllables.get(role, 0):
+            table = _SYLLABLES[script]
+            out += joint + _spelled(table, cipher.draw(f"{role}/{tries}/c", low, len(table) ** n), n).capitalize()
     if out.lower() == low:
         return drawn(cipher, role, word, tries + 101, syllables)
     return out.upper() if word.isupper() and len(word) > 1 and script != "han" else out
 
 
-def check_names(docs: DataFrame, key: bytes, text: str = "text", most: int = 100_000, rounds: int = 60) -> tuple[dict[tuple[str, str], int], int]:
-    """(tries of the name words whose first draw collides, syllables of surnames).
+def check_names(docs: DataFrame, key: bytes, text: str = "text", most: int = 100_000, rounds: int = 60) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """(tries of the name words whose first draw collides, syllables of surnames and of what follows given names).
 
     The distinct name words of all texts stay in a table; each round draws, keeps the first of equal surrogates and lets the
-    others draw again. Surnames are made so long that few collide, whatever the corpus; should more than ``most`` need
-    a second draw, that is an error, not a silent collision.
+    others draw again. Names are made so long that few collide, whatever the corpus; should more than ``most`` need a
+    second draw, or some still collide after ``rounds``, all are made a syllable longer and drawn anew. (Han surnames
+    don't grow; there are no more of them than the list has, and ``most`` is at least that.)
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,13 +338,30 @@ def check_names(docs: DataFrame, key: bytes, text: str = "text", most: int = 100
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in words], pa.string()), pa.array([w for _, w in words], pa.string())], names=["role", "word"])
 
     words = staged(docs.select(text_of(text)).mapInArrow(extract, "role string, word string").distinct(), "name-words").withColumn("tries", F.lit(0))
-    n = words.count()
-    syllables = 3
-    while 65**syllables * 2_000 < n * n:
-        syllables += 1
+    counts = {r["role"]: r["count"] for r in words.groupBy("role").count().collect()}  # a row for each script and gender
+    n = sum(counts.values())
+    syllables = {"surname": 3}
+    while 65 ** syllables["surname"] * 2_000 < n * n:
+        syllables["surname"] += 1
+    for role, count in counts.items():
+        script, kind = role.split("/")
+        if kind == "surname":
+            continue
+        names, table = len(GIVEN[script, kind]), len(_SYLLABLES[script])
+        if 4 * count > names + names * names:
+            syllables[role] = 1
+            while names * table ** syllables[role] * 2_000 < count * count:
+                syllables[role] += 1
     if not n:
         return {}, syllables
-    cipher = Cipher(key)
+    while (again := _settled(words, Cipher(key), syllables, rounds)) is None or again.count() > max(most, len(HAN_SURNAMES)):
+        syllables = {"surname": 0} | {role: 0 for role in counts if not role.endswith("/surname")} | syllables
+        syllables = {role: x + 1 for role, x in syllables.items()}
+    return {(r["role"], r["word"]): r["tries"] for r in again.select("role", "word", "tries").collect()}, syllables
+
+
+def _settled(words: DataFrame, cipher: Cipher, syllables: dict[str, int], rounds: int) -> DataFrame | None:
+    """role, word and tries of the ``words`` that need another draw than the first; none if some still collide after ``rounds``."""
 
     @arrow_udf("string")
     def draw(role: pa.Array, word: pa.Array, tries: pa.Array) -> pa.Array:
@@ -346,14 +373,9 @@ def check_names(docs: DataFrame, key: bytes, text: str = "text", most: int = 100
         judged = words.withColumn("got", draw("role", "word", "tries")).withColumn("at", F.row_number().over(place))
         words = staged(judged.select("role", "word", (F.col("tries") + (F.col("at") > 1).cast("int")).alias("tries"), (F.col("at") > 1).alias("lost")), "name-tries")
         if not words.where("lost").count():
-            break
+            return words.where("tries > 0")
         words = words.drop("lost")
-    else:
-        raise ValueError("surrogate names still collide; the name lists are too short for this corpus")
-    again = words.where("tries > 0")
-    if (count := again.count()) > most:
-        raise ValueError(f"{count} name words need another draw; {most} are the limit")
-    return {(r["role"], r["word"]): r["tries"] for r in again.select("role", "word", "tries").collect()}, syllables
+    return None
 
 
 def replace(docs: DataFrame, key: bytes = b"quarrylight", text: str = "text") -> DataFrame:
@@ -383,7 +405,7 @@ def replace(docs: DataFrame, key: bytes = b"quarrylight", text: str = "text") ->
     return made.select(*[F.col(f"{own}.text").alias(c) if c == text else F.col(c) for c in kept], F.col(f"{own}.entities").alias("entities"))
 
 
-def rewritten(cipher: Cipher, text: str, tries: dict[tuple[str, str], int], syllables: int) -> tuple[str, list[tuple[int, int, str]]]:
+def rewritten(cipher: Cipher, text: str, tries: dict[tuple[str, str], int], syllables: dict[str, int]) -> tuple[str, list[tuple[int, int, str]]]:
     out, spans, at, length = [], [], 0, 0
     for start, end, kind in detect(text):
         if kind == "person":

@@ -333,3 +333,17 @@ def test_digit_entities_beside_other_numbers():
     }
     for t, want in cases.items():
         assert [t[s:e] for s, e, _ in pii_surrogates.detect(t)] == want, t
+
+
+def test_more_given_names_than_the_lists_tell_apart(spark):
+    made = [f"{a}{b}{c}{d}" for a in "BCDFG" for b in "aeiou" for c in "lmnprst" for d in ("ka", "lo")]
+    han = [a + b for a in "天地山水火木金土日月" for b in "春夏秋冬"]
+    rows = [(i, f"Dr {g} Meier") for i, g in enumerate(made)] + [(1000 + i, f"王{g}先生") for i, g in enumerate(han)]
+    for options in ({}, {"most": 20}):
+        tries, syllables = pii_surrogates.check_names(frame(spark, rows), b"k", **options)
+        cipher = pii_surrogates.Cipher(b"k")
+        for role, names in (("latin/x", made), ("han/m", han)):
+            got = [pii_surrogates.drawn(cipher, role, w, tries.get((role, w.lower()), 0), syllables) for w in names]
+            assert len(set(got)) == len(names)
+            assert all(g.startswith(tuple(pii_surrogates.GIVEN[tuple(role.split("/"))])) for g in got)
+        assert len(tries) <= options.get("most", 100_000)
