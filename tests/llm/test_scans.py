@@ -347,3 +347,14 @@ def test_more_given_names_than_the_lists_tell_apart(spark):
             assert len(set(got)) == len(names)
             assert all(g.startswith(tuple(pii_surrogates.GIVEN[tuple(role.split("/"))])) for g in got)
         assert len(tries) <= options.get("most", 100_000)
+
+
+def test_random_values_behind_an_equals_sign(spark):
+    rng = random.Random(8)
+    value = lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=64))
+    rows, want = [], {}
+    for i, name in enumerate(["AccountKey=", "export PRIVATE_KEY=", "https://x.example/?sig=", "A_NAME_OF_MORE_THAN_TWENTY_LETTERS=", "a=="] * 8):
+        rows.append((i, f"{words(5, i)} {name}{value()} {words(5, i + 1)}"))
+        want[i] = (rows[-1][1].index(name) + len(name), 64)
+    got = {r.doc_id: [(s.start, s.end - s.start) for s in r.spans if s.kind == 3] for r in secret_scan.scan(frame(spark, rows)).collect()}
+    assert sum(got[i] == [w] for i, w in want.items()) >= 0.9 * len(rows)
