@@ -63,8 +63,30 @@ def short_windows(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[np.n
                 yield np.arange(len(h)), mix(h)
 
 
+def runs(same: np.ndarray, mismatch: float, least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the best run, and of the best ones left and right of it, as long as they hold ``least`` equal tokens. An equal token counts 1, another one ``-mismatch``."""
+    upto = np.concatenate(([0], np.cumsum(same)))
+    sums = upto * (1 + mismatch) - mismatch * np.arange(len(upto))
+    parts = [(0, len(same))]
+    while parts:
+        lo, hi = parts.pop()
+        if upto[hi] - upto[lo] < least:
+            continue
+        here = sums[lo : hi + 1]
+        drop = here - np.minimum.accumulate(here)
+        end = int(drop.argmax())
+        start = int(here[: end + 1].argmin()) if end else 0
+        if upto[lo + end] - upto[lo + start] < least:
+            # the best one is too short, so that others score less, but may hold more equal tokens
+            if end > start:
+                parts += [(lo, lo + start), (lo + end, hi)]
+            continue
+        yield lo + start, lo + end
+        parts += [(lo, lo + start), (lo + end, hi)]
+
+
 def matched(doc: np.ndarray, item: np.ndarray, diagonals, mismatch: float = 1.5, least: int = 4) -> tuple[int, int, int]:
-    """(item tokens matched, first and last document token). On each diagonal the best runs count, with +1 for an equal token and ``-mismatch`` for another; runs under ``least`` equal tokens don't."""
+    """(item tokens matched, first and last document token). On each diagonal the best runs that don't overlap count, with +1 for an equal token and ``-mismatch`` for another; runs under ``least`` equal tokens don't."""
     got = np.zeros(len(item), dtype=bool)
     first, last = len(doc), -1
     for d in diagonals:
@@ -72,15 +94,9 @@ def matched(doc: np.ndarray, item: np.ndarray, diagonals, mismatch: float = 1.5,
         if hi <= lo:
             continue
         same = item[lo:hi] == doc[lo + d : hi + d]
-        sums = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -mismatch))))
-        drop = sums - np.minimum.accumulate(sums)
-        end = int(drop.argmax())
-        start = int(sums[: end + 1].argmin()) if end else 0
-        n = int(same[start:end].sum())
-        if n < min(least, len(item)):
-            continue
-        got[lo + start : lo + end] |= same[start:end]
-        first, last = min(first, lo + d + start), max(last, lo + d + end - 1)
+        for start, end in runs(same, mismatch, min(least, len(item))):
+            got[lo + start : lo + end] |= same[start:end]
+            first, last = min(first, lo + d + start), max(last, lo + d + end - 1)
     return int(got.sum()), first, last
 
 

@@ -358,3 +358,12 @@ def test_random_values_behind_an_equals_sign(spark):
         want[i] = (rows[-1][1].index(name) + len(name), 64)
     got = {r.doc_id: [(s.start, s.end - s.start) for s in r.spans if s.kind == 3] for r in secret_scan.scan(frame(spark, rows)).collect()}
     assert sum(got[i] == [w] for i, w in want.items()) >= 0.9 * len(rows)
+
+
+def test_leaks_with_a_replaced_middle(spark):
+    for n, a, b, equal in ((60, 20, 40, 40), (50, 16, 34, 32), (60, 22, 38, 44)):
+        item = words(n, 300 + n + a, 5000).split()
+        doc = words(40, 1, 5000).split() + item[:a] + [f"new{i}" for i in range(b - a)] + item[b:] + words(40, 2, 5000).split()
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        (r,) = decontaminate.contaminated(frame(spark, [(1, " ".join(doc))]), bench).collect()
+        assert (r.matched_tokens, r.first_token, r.last_token) == (equal, 40, 39 + n)
