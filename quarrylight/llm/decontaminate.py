@@ -151,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Columns: key, item_id, matched_tokens, item_tokens, coverage, first_token, last_token (token places in the
     document). Whole texts are searched. A null text is empty, empty texts and items match nothing, equal items are
-    reported each, repeated documents too; an empty table on either side gives no rows.
+    reported each, repeated documents too, rows without a key or item_id like others; an empty table on either side
+    gives no rows.
 
     The benchmark goes to every task only if its tokens, which bound its seeds, are at most ``most_in_memory``
     divided by the number of masks; beyond that documents' and items' seeds are joined by shuffle.
@@ -176,20 +177,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         return own.mapInArrow(search, schema)
 
+    # rows meet by hashes of their own, which are there where a key is null; equal rows share one and are joined each
+    own = own.withColumn("_row", F.xxhash64(F.col(key), "_text"))
+    items = items.withColumn("_it", F.xxhash64("item_id", "_item"))
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shortest = min(map(len, masks))
         for batch in sliced(batches):
             row, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, t in enumerate(token_hashes(batch.column(1).to_pylist())):
-                for places, x in [*seeds(t, masks), *(short_windows(t, list(range(1, shortest))) if batch.schema.names[0] != "item_id" else ())]:
+                for places, x in [*seeds(t, masks), *(short_windows(t, list(range(1, shortest))) if batch.schema.names[0] != "_it" else ())]:
                     row.append(np.full(len(x), i))
                     at.append(places)
                     h.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(at)), pa.array(np.concatenate(h).view(np.int64))], names=[batch.schema.names[0], "place", "seed"])
 
-    item_seeds = items.mapInArrow(emit, "item_id long, place long, seed long").withColumnRenamed("place", "_at")
-    doc_seeds = own.mapInArrow(emit, f"{key} {docs.schema[key].dataType.simpleString()}, place long, seed long")
-    hits = doc_seeds.join(item_seeds, "seed").groupBy(key, "item_id").agg(F.collect_set(F.col("place") - F.col("_at")).alias("_diagonals"))
+    item_seeds = items.select("_it", "_item").distinct().mapInArrow(emit, "_it long, place long, seed long").withColumnRenamed("place", "_at")
+    doc_seeds = own.select("_row", "_text").mapInArrow(emit, "_row long, place long, seed long")
+    hits = doc_seeds.join(item_seeds, "seed").groupBy("_row", "_it").agg(F.collect_set(F.col("place") - F.col("_at")).alias("_diagonals"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -200,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     out.append((row, i, found[0], len(it), found[0] / len(it), found[1], found[2]))
             yield _batch(batch.column(0), out, key)
 
-    return hits.join(own, key).join(items, "item_id").select(key, "item_id", "_text", "_item", "_diagonals").mapInArrow(verify, schema)
+    return hits.join(own, "_row").join(items, "_it").select(key, "item_id", "_text", "_item", "_diagonals").mapInArrow(verify, schema)
 
 
 def _batch(keys: pa.Array, out: list[tuple], key: str) -> pa.RecordBatch:

@@ -367,3 +367,10 @@ def test_leaks_with_a_replaced_middle(spark):
         bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
         (r,) = decontaminate.contaminated(frame(spark, [(1, " ".join(doc))]), bench).collect()
         assert (r.matched_tokens, r.first_token, r.last_token) == (equal, 40, 39 + n)
+
+
+def test_leaks_without_keys_by_shuffle(spark, odd):
+    bench = spark.createDataFrame([(1, None), (None, "a few plain words here for once"), (None, words(200, 8)), (3, ""), (4, "no id here but words all the same")], "item_id long, text string")
+    odd = odd.unionByName(frame(spark, [(None, words(200, 8)), (None, f"{words(30, 9)} {words(200, 8)}")]), allowMissingColumns=True)
+    one, other = (sorted(map(repr, decontaminate.contaminated(odd, bench, most_in_memory=most).collect())) for most in (10**6, 1))
+    assert one == other and len(one) == 7 and sum("doc_id=None" in r for r in one) == 3 and sum("item_id=None" in r for r in one) == 6
