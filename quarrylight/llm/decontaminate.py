@@ -150,7 +150,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """A row for each document and item of which it holds ``least_share`` of the tokens (and ``least_tokens`` at least).
 
     Columns: key, item_id, matched_tokens, item_tokens, coverage, first_token, last_token (token places in the
-    document). Whole texts are searched. A null text is empty, empty texts and items match nothing, equal items are
+    document). Whole texts are searched, except for items under ``least_tokens``: those are reported only where they
+    are the whole document, never within a longer one. A null text is empty, empty texts and items match nothing, equal items are
     reported each, repeated documents too, rows without a key or item_id like others; an empty table on either side
     gives no rows.
 
