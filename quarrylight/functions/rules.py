@@ -1,8 +1,9 @@
-"""Rule tables of any size over recorded responses: every needle is looked for in one pass.
+"""Rule tables of any size over recorded responses: needles are looked for together.
 
 A rule has criteria; a criterion is a needle in a place (header, body, title, cookie) or a favicon hash. Rules with mode
 'or' hold if one of their criteria does, those with mode 'and' if all do. Needles go to the tasks as one automaton
-while they are few enough; favicon hashes meet by equality.
+while they are few enough, else by hash as several of bounded size, each with a pass of its own; favicon hashes meet by
+equality.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.functions import arrow_udf
 PLACES = ("header", "body", "title", "cookie")
 #: Words so common that they say nothing about a product.
 COMMON = frozenset("login index home admin html http https title body head script style content error welcome portal system user password".split())
+#: Needles of one automaton, about.
 MOST_NEEDLES = 200_000
 
 
@@ -30,10 +32,19 @@ def matched(responses: DataFrame, rules: DataFrame, key: str = "id") -> DataFram
     """Distinct (key, product). ``responses``: key, header, body, title, cookie, favicon (text). ``rules``: rule, product, mode, place, needle."""
     own = rules.select("rule", "product", "mode", "place", F.lower("needle").alias("needle")).distinct()
     needed = own.groupBy("rule").agg(F.count("*").alias("_needed"))
-    rows = own.where(F.col("place").isin(*PLACES)).select("place", "needle").distinct().limit(MOST_NEEDLES + 1).collect()
-    if len(rows) > MOST_NEEDLES:
-        raise ValueError(f"more than {MOST_NEEDLES} needles: part the rules")
-    needles = {p: sorted({r["needle"] for r in rows if r["place"] == p and specific(r["needle"], 2)}) for p in PLACES}
+    sought = own.where(F.col("place").isin(*PLACES)).select("place", "needle").distinct()
+    parts = max(1, -(-sought.count() // MOST_NEEDLES))
+    hits = responses.select(key, F.lit("favicon").alias("place"), F.lower("favicon").alias("needle")).where("needle IS NOT NULL")
+    for i in range(parts):
+        rows = sought.where(F.pmod(F.xxhash64("place", "needle"), F.lit(parts)) == i).collect()
+        found = _hits(responses, {p: sorted({r["needle"] for r in rows if r["place"] == p and specific(r["needle"], 2)}) for p in PLACES}, key)
+        hits = hits.union(found)
+    met = hits.join(own, ["place", "needle"]).groupBy(key, "rule", "product", "mode").agg(F.count("*").alias("_met")).join(needed, "rule")
+    return met.where((F.col("mode") == "or") | (F.col("_met") == F.col("_needed"))).select(key, "product").distinct()
+
+
+def _hits(responses: DataFrame, needles: dict[str, list[str]], key: str) -> DataFrame:
+    """key, place and needle of what the ``needles`` of each place find."""
 
     @arrow_udf("array<struct<place: string, needle: string>>")
     def search(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -56,7 +67,4 @@ def matched(responses: DataFrame, rules: DataFrame, key: str = "id") -> DataFram
                             found[i] += [{"place": place, "needle": w} for w in {w for _, w in machines[place].iter(low)}]
             yield pa.array(found, kind)
 
-    hits = responses.select(key, F.explode(search(*PLACES)).alias("h")).select(key, "h.place", "h.needle")
-    icons = responses.select(key, F.lit("favicon").alias("place"), F.lower("favicon").alias("needle")).where("needle IS NOT NULL")
-    met = hits.union(icons).join(own, ["place", "needle"]).groupBy(key, "rule", "product", "mode").agg(F.count("*").alias("_met")).join(needed, "rule")
-    return met.where((F.col("mode") == "or") | (F.col("_met") == F.col("_needed"))).select(key, "product").distinct()
+    return responses.select(key, F.explode(search(*PLACES)).alias("h")).select(key, "h.place", "h.needle")

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.functions import classify, dsl, text, web
+from quarrylight.functions import classify, dsl, rules, text, web
 from quarrylight.model import SCHEMA, as_assets
 from quarrylight.operators import dedup, diff, filters, joins, normalize, report
 from quarrylight.sources import connectors, imports, store
@@ -319,3 +319,12 @@ def test_candidate_urls(spark):
     assert one(spark, "h.example", web.candidate_urls) == ["https://h.example", "http://h.example"]
     assert one(spark, "http://h", web.candidate_urls) == ["http://h"] and one(spark, " ", web.candidate_urls) == []
     assert one(spark, "WWW.h.example:8443", lambda c: web.same_host(c, F.lit("h.example")))
+
+
+def test_rules_beyond_one_automaton(spark, monkeypatch):
+    monkeypatch.setattr(rules, "MOST_NEEDLES", 3)
+    some = [(f"r{i}", f"p{i}", "and", "body", w) for i in range(12) for w in (f"needle{i}x", "shared words")] + [("f", "icon", "or", "favicon", "77")]
+    table = spark.createDataFrame(some, "rule string, product string, mode string, place string, needle string")
+    seen = [(1, None, "Needle3x shared words needle11x", None, None, None), (2, None, "needle5x", None, None, "77")]
+    responses = spark.createDataFrame(seen, "id int, header string, body string, title string, cookie string, favicon string")
+    assert {tuple(r) for r in rules.matched(responses, table).collect()} == {(1, "p3"), (1, "p11"), (2, "icon")}
