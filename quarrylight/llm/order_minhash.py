@@ -1,6 +1,6 @@
 """Document fingerprints by Order MinHash, sensitive to edit distance.
 
-A text's k-mers (of words; longer words are cut) get occurrence numbers, so that repeats count. Their hashes are dealt into
+A text's k-mers (of words; longer words are cut, in scripts without spaces into characters) get occurrence numbers, so that repeats count. Their hashes are dealt into
 bins; each bin keeps its smallest, which stands in text order with that of its neighbour bin, and the pair's hash, in
 that order, is one element of the fingerprint. Two texts share an element if they share both k-mers and their order, so
 the share of equal elements falls with edits and with moved passages, where plain MinHash would not see the latter.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.shared import text_of
 
 ELEMENTS = 64
+#: Scripts without spaces: in long words their characters are units, so that an edit does not shift the pieces behind it.
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _PLACE = 26  # bits of a k-mer's place; 37 are its hash
 _LOWEST = -(2**63)
 
@@ -38,7 +40,8 @@ def with_elements(df: DataFrame, text: str, out: str, k: int = 3, elements: int
     if elements * per != 1 << (63 - shift):
         raise ValueError("the number of elements must be a power of two")
     kept = [F.col(c) for c in df.columns if c != out]
-    words = F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{longest}}}"), F.lit(0))
+    other = r"[^\x20\x09-\x0D]"
+    words = F.regexp_extract_all(text, F.lit(rf"{_UNSPACED}(?={other}{{{longest}}})|{other}{{1,{longest}}}"), F.lit(0))
     at = df.select(*kept, words.alias("_w"))
     # hash and place of each k-mer, sorted: equal k-mers stand together in text order
     count = F.greatest(F.size("_w") - (k - 1), F.least(F.size("_w"), F.lit(1)))

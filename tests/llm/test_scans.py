@@ -374,3 +374,14 @@ def test_leaks_without_keys_by_shuffle(spark, odd):
     odd = odd.unionByName(frame(spark, [(None, words(200, 8)), (None, f"{words(30, 9)} {words(200, 8)}")]), allowMissingColumns=True)
     one, other = (sorted(map(repr, decontaminate.contaminated(odd, bench, most_in_memory=most).collect())) for most in (10**6, 1))
     assert one == other and len(one) == 7 and sum("doc_id=None" in r for r in one) == 3 and sum("item_id=None" in r for r in one) == 6
+
+
+def test_fingerprints_of_texts_without_spaces(spark):
+    rng = random.Random(4)
+    rows = []
+    for a, b in ((0x4E00, 0x9FA5), (0x0E01, 0x0E2E)):
+        t = "".join(chr(rng.randint(a, b)) for _ in range(1500))
+        rows += [(len(rows), t), (len(rows) + 1, t[:5] + t[9] + t[5:])]
+    df = order_minhash.with_elements(spark.createDataFrame(rows, "i int, t string"), "t", "e")
+    e = {r.i: set(r.e) for r in df.collect()}
+    assert all(len(e[i] & e[i + 1]) / len(e[i] | e[i + 1]) > 0.8 for i in (0, 2))
