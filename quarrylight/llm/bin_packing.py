@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import numbered, sliced, staged, text_of
+from quarrylight.llm.shared import numbered, salted, sliced, staged, text_of
 
 CAPACITY = 1024
 END_ID = 2
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: s
     other columns are ignored. Texts are tokenised once: the pieces are staged in the shared folder. One length may
     hold any share of the rows: numbers within a length are dealt over buckets.
     """
-    cut = staged(pieces(docs, capacity, key, text, tokenizer), "pieces")
+    cut = staged(salted(pieces(docs, capacity, key, text, tokenizer), "_salt"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = runs(solve(histogram, capacity))
     wide = 1 << 50  # above any number of documents of a length
@@ -235,4 +235,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(table[at, 2] + number - table[at, 1]), pa.array(table[at, 3])], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return numbered(cut, ["length"], [key, "piece", "ids_crc32", "start"], "_number").mapInArrow(place, schema)
+    return numbered(cut, ["length"], [key, "piece", "ids_crc32", "start", "_salt"], "_number").mapInArrow(place, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import blocks, combine, mix, sliced, text_of, word_hashes
+from quarrylight.llm.shared import bit_map, blocks, combine, in_bit_map, mix, sliced, staged, text_of, word_hashes
 
 #: Windows of tokens; a 0 is ignored. Each keeps five tokens.
 MASKS = ("1101101", "110100011", "1001010101")
@@ -135,34 +135,39 @@ class Items:
         return out
 
 
-def judge(doc: np.ndarray, item: np.ndarray, diagonals, least_share: float, least_tokens: int) -> tuple[int, int, int] | None:
-    """What matched, if it is enough. An item under ``least_tokens`` must be the whole document."""
-    n, first, last = matched(doc, item, diagonals)
-    if len(item) < least_tokens:
-        return (n, first, last) if n == len(item) == len(doc) else None
-    return (n, first, last) if n >= max(least_share * len(item), min(least_tokens, len(item))) else None
+def judge(doc: np.ndarray, item: np.ndarray, diagonals, least_share: float, least_tokens: int, least_within: int) -> tuple[int, int, int] | None:
+    """What matched, if it is enough. An item under ``least_tokens`` must be there word by word, and one under ``least_within`` must be the whole document."""
+    if len(item) >= least_tokens:
+        n, first, last = matched(doc, item, diagonals)
+        return (n, first, last) if n >= max(least_share * len(item), min(least_tokens, len(item))) else None
+    if len(item) != len(doc) and len(item) < least_within:
+        return None
+    places = [d for d in diagonals if 0 <= d <= len(doc) - len(item) and (doc[d : d + len(item)] == item).all()]
+    return (len(item), min(places), min(places) + len(item) - 1) if places else None
 
 
 _OUT = "{key} {kind}, item_id long, matched_tokens long, item_tokens long, coverage double, first_token long, last_token long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_share: float = 0.5, least_tokens: int = 8, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_share: float = 0.5, least_tokens: int = 8, least_within: int = 8, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
     """A row for each document and item of which it holds ``least_share`` of the tokens (and ``least_tokens`` at least).
 
     Columns: key, item_id, matched_tokens, item_tokens, coverage, first_token, last_token (token places in the
-    document). Whole texts are searched, except for items under ``least_tokens``: those are reported only where they
-    are the whole document, never within a longer one. A null text is empty, empty texts and items match nothing, equal items are
+    document). Whole texts are searched. An item under ``least_tokens`` is reported where all its tokens stand in a row;
+    under ``least_within`` tokens only where they are the whole document, since a few common words say little within a
+    longer one. A null text is empty, empty texts and items match nothing, equal items are
     reported each, repeated documents too, rows without a key or item_id like others; an empty table on either side
-    gives no rows.
+    gives no rows; other columns are ignored.
 
-    The benchmark goes to every task only if its tokens, which bound its seeds, are at most ``most_in_memory``
-    divided by the number of masks; beyond that documents' and items' seeds are joined by shuffle.
+    The benchmark goes to every task only if its seeds, a few for each token, are at most ``most_in_memory``;
+    beyond that documents' and items' seeds are joined by shuffle, with the same result.
     """
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), text_of(item_text).alias("_item"))
-    words = items.agg(F.sum(F.size(F.split("_item", r"\s+")))).first()[0] or 0
+    # tokens stand between white space and ASCII punctuation; each starts a window of each mask at most
+    tokens = items.agg(F.sum(F.size(F.split("_item", r"[\s\p{Punct}]+")))).first()[0] or 0
     schema = _OUT.format(key=key, kind=docs.schema[key].dataType.simpleString())
     own = docs.select(F.col(key), text_of(text).alias("_text"))
-    if 2 * words * len(masks) <= most_in_memory:
+    if tokens * len(masks) <= most_in_memory:
         rows = items.collect()  # bounded just above
         held = Items([r["item_id"] for r in rows], list(token_hashes([r["_item"] for r in rows])), masks)
 
@@ -171,7 +176,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                 out = []
                 for row, doc in enumerate(token_hashes(batch.column(1).to_pylist())):
                     for i, diagonals in held.hits(doc).items():
-                        if found := judge(doc, held.tokens[i], diagonals, least_share, least_tokens):
+                        if found := judge(doc, held.tokens[i], diagonals, least_share, least_tokens, least_within):
                             n = len(held.tokens[i])
                             out.append((row, held.ids[i], found[0], n, found[0] / n, found[1], found[2]))
                 yield _batch(batch.column(0), out, key)
@@ -181,34 +186,71 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     # rows meet by hashes of their own, which are there where a key is null; equal rows share one and are joined each
     own = own.withColumn("_row", F.xxhash64(F.col(key), "_text"))
     items = items.withColumn("_it", F.xxhash64("item_id", "_item"))
+    shortest = min(map(len, masks))
+
+    def emit(seen: np.ndarray | None, lengths: list[int], size: int):
+        """Seeds of texts: of items all, of documents those that the bit map of ``size`` bits knows, with windows of the short items' ``lengths``."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shortest = min(map(len, masks))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                row, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, t in enumerate(token_hashes(batch.column(1).to_pylist())):
+                    for places, x in [*seeds(t, masks), *short_windows(t, lengths)]:
+                        if seen is not None:
+                            known = in_bit_map(seen, (x & np.uint64(size - 1)).astype(np.int64))
+                            places, x = places[known], x[known]
+                        row.append(np.full(len(x), i))
+                        at.append(places)
+                        h.append(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(at)), pa.array(np.concatenate(h).view(np.int64))], names=[batch.schema.names[0], "place", "seed"])
+
+        return run
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            row, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for i, t in enumerate(token_hashes(batch.column(1).to_pylist())):
-                for places, x in [*seeds(t, masks), *(short_windows(t, list(range(1, shortest))) if batch.schema.names[0] != "_it" else ())]:
-                    row.append(np.full(len(x), i))
-                    at.append(places)
-                    h.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(at)), pa.array(np.concatenate(h).view(np.int64))], names=[batch.schema.names[0], "place", "seed"])
-
-    item_seeds = items.select("_it", "_item").distinct().mapInArrow(emit, "_it long, place long, seed long").withColumnRenamed("place", "_at")
-    doc_seeds = own.select("_row", "_text").mapInArrow(emit, "_row long, place long, seed long")
-    hits = doc_seeds.join(item_seeds, "seed").groupBy("_row", "_it").agg(F.collect_set(F.col("place") - F.col("_at")).alias("_diagonals"))
+            found = {len(t) for t in token_hashes(batch.column(0).to_pylist()) if 0 < len(t) < shortest}
+            yield pa.RecordBatch.from_pydict({"n": pa.array(sorted(found), pa.int64())})
+
+    item_seeds = staged(items.select("_it", "_item").distinct().mapInArrow(emit(None, [], 0), "_it long, place long, seed long").withColumnRenamed("place", "_at"), "item-seeds")
+    lengths = sorted(r["n"] for r in items.select("_item").mapInArrow(sizes, "n long").distinct().collect())  # below the shortest mask
+    seen, size = seed_map(item_seeds)
+    doc_seeds = own.select("_row", "_text").mapInArrow(emit(seen, lengths, size), "_row long, place long, seed long")
+    hits = doc_seeds.join(item_seeds, "seed").select("_row", "_it", (F.col("place") - F.col("_at")).alias("_d")).distinct()
+    hits = staged(hits.groupBy("_row", "_it").agg(F.collect_list("_d").alias("_diagonals")), "seed-hits")  # no more than both texts have places
+    # only texts with a hit are joined
+    seen_rows, place = bit_map(hits.select("_row").distinct(), "_row")
+    if seen_rows is not None:
+        columns = own.columns
+
+        def with_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(in_bit_map(seen_rows, b.column("_place").to_numpy()))).select(columns)
+
+        own = own.withColumn("_place", place).mapInArrow(with_hits, own.schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             out = []
             pairs = zip(token_hashes(batch.column(2).to_pylist()), token_hashes(batch.column(3).to_pylist()), strict=True)
             for row, ((doc, it), d, i) in enumerate(zip(pairs, batch.column(4).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if found := judge(doc, it, d, least_share, least_tokens):
+                if found := judge(doc, it, d, least_share, least_tokens, least_within):
                     out.append((row, i, found[0], len(it), found[0] / len(it), found[1], found[2]))
             yield _batch(batch.column(0), out, key)
 
     return hits.join(own, "_row").join(items, "_it").select(key, "item_id", "_text", "_item", "_diagonals").mapInArrow(verify, schema)
 
 
+def seed_map(item_seeds: DataFrame, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
+    """A bit map of the low bits of all item seeds, 16 MB at most, and its number of bits. However full, it loses no seed."""
+    size = min(most_bits, max(1 << 15, 1 << (16 * max(1, item_seeds.count()) - 1).bit_length()))
+    bit = F.col("seed").bitwiseAND(F.lit(size - 1))
+    marks = item_seeds.select(F.shiftright(bit, 15).alias("_part"), F.pmod(bit, F.lit(1 << 15)).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    seen = np.zeros(size // 8, dtype=np.uint8)
+    for r in marks.collect():  # bounded: 4 KB for each 32768 bits
+        seen[r["_part"] << 12 : (r["_part"] + 1) << 12] = np.frombuffer(r["_bits"], dtype=np.uint8)
+    return seen, size
+
+
 def _batch(keys: pa.Array, out: list[tuple], key: str) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True)) or [()] * 7
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

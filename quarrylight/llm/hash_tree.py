@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import let, numbered, text_of
+from quarrylight.llm.shared import let, numbered, salted, staged, text_of
 
 #: (region, rack, shard, weight)
 Leaf = tuple[int, int, int, float]
@@ -82,4 +82,5 @@ def assign_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
         shard_of(k, leaves).alias("shard"),
         shard_of(k, grown(leaves)).alias("grown_shard"),
     )
-    return numbered(narrow, ["shard"], [key, "text_crc32", "size"], "slot", rows_per_bucket).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    narrow = staged(salted(narrow, "_salt"), "shards")
+    return numbered(narrow, ["shard"], [key, "text_crc32", "size", "_salt"], "slot", rows_per_bucket).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

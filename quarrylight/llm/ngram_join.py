@@ -1,10 +1,12 @@
 """Near-duplicate join: documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
 Documents with equal sets are one class, so copies are never compared. The classes' MinHash signatures are cut into
-bands; classes that share a band's hash meet in a shuffle on it, and every such pair is verified on the full sets: pairs
-of small buckets one by one, large buckets, joined where they share members, as blocks of sets by matrix products, which
-give out link counts and a spanning forest instead of pairs. Band and row counts follow from the recall asked for at the threshold: a pair there is missed with probability
-``(1 - threshold ** rows) ** bands``, more similar ones far less often.
+bands; classes that share a band's hash (a bucket) meet in a shuffle on it, and each such pair, and no other, is verified
+once on the full sets. Buckets of few sets give pairs. In larger ones blocks of sets meet, and matrix products find the
+links, which leave as link counts and a spanning forest instead of pairs; a pair that meets in several large buckets
+counts in the first. How large a bucket must be for that changes nothing in the result. Band and row counts follow
+from the recall asked for at the threshold: a pair there is missed with probability ``(1 - threshold ** rows) ** bands``,
+more similar ones far less often.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.shared import blocks, combine, mix, numbered, sliced, staged, text_of, word_hashes
+from quarrylight.llm.shared import bit_map, blocks, combine, fresh, in_bit_map, join_counted, mix, row_keys, sliced, staged, text_of, word_hashes
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
 
@@ -102,7 +104,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large and small stars (Kiveris and others): every round ties each node to the smallest one in its
     neighbourhood, so the rounds grow with the logarithm of the longest path. Each round is staged, and no link or
-    component comes to the driver, only a count and a checksum.
+    component comes to the driver, only a count and a checksum. Hubs are joined where their links are.
     """
 
     def mark(e: DataFrame) -> tuple:
@@ -112,11 +114,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     was = mark(at)
     while was[0]:
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("_low"))
-        large = both.join(low, "a").where("b > a").select(F.col("_low").alias("a"), "b").distinct()
+        low = staged(both.groupBy("a").agg(F.min("b").alias("_low"), F.count("*").alias("_n")), name).withColumn("_low", F.least("a", "_low"))
+        large = join_counted(both, low, ["a"], "_n").where("b > a").select(F.col("_low").alias("a"), "b").distinct()
+        large = staged(large, name)
         # small star: b's neighbours below it, and b itself, are tied to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("_low"))
-        small = large.join(low, "b").where("a > _low").select(F.col("_low").alias("a"), F.col("a").alias("b"))
+        low = staged(large.groupBy("b").agg(F.min("a").alias("_low"), F.count("*").alias("_n")), name)
+        small = join_counted(large, low, ["b"], "_n").where("a > _low").select(F.col("_low").alias("a"), F.col("a").alias("b"))
         at = staged(small.union(low.select(F.col("_low").alias("a"), "b")).distinct(), name)
         now = mark(at)
         if now == was:
@@ -125,55 +128,36 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return at.select(F.col("b").alias("node"), F.col("a").alias("component")).union(at.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def gram_sets(texts: DataFrame, ids: DataFrame, words: int, most_bits: int = 1 << 27) -> DataFrame:
-    """(id, grams) of the ``texts`` (id, text) whose id is among ``ids``, and perhaps of a few more; grams: sorted hashes, 8 bytes each.
+def gram_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, grams) of the ``texts`` (id, text) whose id is among ``ids``, and perhaps of a few more; grams: sorted hashes.
 
-    Up to ``most_bits`` / 8 ids, a bit map of their hashes (16 MB at most, 1 in 8 bits set) goes to the tasks, and texts are
-    not shuffled. Beyond, texts and ids are joined by shuffle.
+    A bit map of the ids (16 MB at most, 1 in 8 bits set) goes to the tasks, and texts are not shuffled. Where it does not
+    hold them, texts and ids are joined by shuffle.
     """
     ids = ids.select("id").distinct()
-    bits = max(1 << 15, 1 << (8 * max(1, ids.count()) - 1).bit_length())
-    place = F.pmod(F.xxhash64("id"), F.lit(min(bits, most_bits)))
-    seen = None
-    if bits <= most_bits:
-        marks = ids.select(F.shiftright(place, 15).alias("_part"), F.pmod(place, F.lit(1 << 15)).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-        seen = np.zeros(bits // 8, dtype=np.uint8)
-        for r in marks.collect():  # bounded: 4 KB for each 32768 bits
-            seen[r["_part"] << 12 : (r["_part"] + 1) << 12] = np.frombuffer(r["_bits"], dtype=np.uint8)
-    else:
+    seen, place = bit_map(ids, "id")
+    if seen is None:
         texts = texts.join(ids, "id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             if seen is not None:
-                at = b.column(2).to_numpy()
-                b = b.filter(pa.array((seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in shingle_sets(b.column(1).to_pylist(), words)], pa.binary())], names=["id", "grams"])
+                b = b.filter(pa.array(in_bit_map(seen, b.column(2).to_numpy())))
+            sets = list(shingle_sets(b.column(1).to_pylist(), words))
+            offsets = np.concatenate(([0], np.cumsum([len(g) for g in sets])))
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], names=["id", "grams"])
 
-    return texts.select("id", "text", place.alias("_place")).mapInArrow(to_sets, "id long, grams binary")
+    return texts.select("id", "text", place.alias("_place")).mapInArrow(to_sets, "id long, grams array<long>")
 
 
 def verified_pairs(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of ``pairs`` (a, b) of ids those whose ``sets`` (id, grams) reach ``threshold``, with the similarity."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = len(p) + len(q)
-                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                    out.append(0.0)
-                    continue
-                z = np.concatenate((p, q))
-                z.sort(kind="stable")
-                common = int((z[1:] == z[:-1]).sum())
-                out.append(common / (both - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
-
+    """Of ``pairs`` (a, b) of ids those whose ``sets`` (id, grams) reach ``threshold``, with the similarity. Two sets at a time are compared, where the rows are."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("_x")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("_y")), "b").select("a", "b", "_x", "_y")
-    return full.mapInArrow(compare, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
+    full = left.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("_y")), "b")
+    n, m = F.size("_x"), F.size("_y")
+    full = full.where(F.least(n, m) >= threshold * F.greatest(n, m)).select("a", "b", (n + m).alias("_both"), F.size(F.array_intersect("_x", "_y")).alias("_common"))
+    return full.select("a", "b", (F.col("_common") / (F.col("_both") - F.col("_common"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def similarities(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -216,35 +200,58 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def blocked_links(sets: DataFrame, threshold: float, block: int = 64, most_block: int = 1024, most_grams: int = 500_000) -> DataFrame:
-    """Links within the clusters of ``sets`` (id, copies, cluster, grams), every pair of a cluster compared once.
+def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands: int, block: int = 64, most_block: int = 1024, most_grams: int = 500_000) -> DataFrame:
+    """Links of sets that share a large bucket: ``members`` (id, band, hash, n) in ``sets`` (id, copies, grams).
 
-    A cluster is cut into blocks, and each two of them meet in one group. A group gives a row (a, null, null, n) for each
-    set with the copies of what it is linked to there, and rows (a, b, jaccard, null) that connect what is linked. Blocks
-    hold at most ``most_block`` sets and about ``most_grams`` grams, so a group's memory is bounded whatever the cluster.
+    A bucket is cut into blocks by hash, and each two of its blocks meet in one group. A group gives a row
+    (a, null, null, n) for each set with the copies of what it is linked to there, and rows (a, b, jaccard, null) that
+    connect what is linked. A pair counts in the first of its common large buckets only. Blocks hold about ``most_block``
+    sets and ``most_grams`` grams at most, so a group's memory is bounded whatever the bucket.
     """
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("_n"), F.max(F.length("grams") / 8).alias("_most"))
-    each = F.least(F.greatest(F.ceil(F.col("_n") / 64), F.lit(block)), F.lit(most_block), F.greatest(F.floor(most_grams / F.greatest("_most", F.lit(1))), F.lit(1)))
-    sizes = sizes.select("cluster", F.ceil(F.col("_n") / each).cast("int").alias("_blocks"))
-    own = numbered(sets.select("id", "cluster"), ["cluster"], ["id"], "_at").join(sizes, "cluster").select("id", "_blocks", F.pmod("_at", F.col("_blocks")).cast("int").alias("_own"))
+    mine = members.groupBy("id").agg(F.collect_list(F.struct("band", "hash", "n")).alias("own"))  # one for each band at most
+    about = staged(mine.join(sets, "id").withColumn("_len", F.size("grams")), "block-sets")
+    each = about.select("id", "_len", F.explode("own").alias("o")).groupBy("o.band", "o.hash").agg(F.max("_len").alias("_most"), F.count("*").alias("n"))
+    each = each.withColumn("_each", F.least(F.greatest(F.ceil(F.col("n") / 64), F.lit(block)), F.lit(most_block), F.greatest(F.floor(most_grams / F.greatest("_most", F.lit(1))), F.lit(1))))
+    each = staged(each.select("band", "hash", "n", F.ceil(F.col("n") / F.col("_each")).cast("int").alias("_blocks")), "block-sizes")
+    dealt = join_counted(members.select("id", "band", "hash"), each, ["band", "hash"], "n")
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("id", "band"), F.col("_blocks")).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("p"), F.greatest(j, F.col("_own")).alias("q"))))
-    dealt = sets.join(own, "id").select("cluster", "id", "copies", "_own", "grams", met.alias("_m")).select("cluster", "_m.p", "_m.q", "id", "copies", "_own", "grams")
+    dealt = dealt.select("id", "band", "hash", "_own", met.alias("_m")).select("id", "band", "hash", "_m.p", "_m.q", "_own")
+    own = F.transform("own", lambda o: F.struct(o["band"].alias("band"), o["hash"].alias("hash")))
+    dealt = dealt.join(about.select("id", "copies", own.alias("own"), "grams"), "id")
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, copies, own = (group.column(c).to_numpy() for c in ("id", "copies", "_own"))
-        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        grams = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in group.column("grams")]
-        a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        s = similarities([grams[i] for i in a], [grams[i] for i in b]) if len(a) and len(b) else np.zeros((len(a), len(b)), np.float32)
-        link = s >= np.float32(threshold)
-        near = np.argwhere(np.abs(s - threshold) < 1e-5)  # float32 decides all but those
-        for i, j in near:
-            common = len(np.intersect1d(grams[a[i]], grams[b[j]], assume_unique=True))
-            link[i, j] = common >= threshold * (len(grams[a[i]]) + len(grams[b[j]]) - common) - 1e-9
+        ids, copies, side = (group.column(c).to_numpy() for c in ("id", "copies", "_own"))
+        p, q, band = (group.column(c)[0].as_py() for c in ("p", "q", "band"))
+        lists = group.column("grams").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        values = lists.values.to_numpy().view(np.uint64)
+        grams = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        # of bands before this one: which sets are in a large bucket, and in which
+        fresh_ = np.ones((len(a), len(b)), dtype=bool)
+        earlier = np.zeros((len(ids), bands), dtype=np.int64)
+        there = np.zeros((len(ids), bands), dtype=bool)
+        for i, own in enumerate(group.column("own").to_pylist()):
+            for o in own:
+                earlier[i, o["band"]], there[i, o["band"]] = o["hash"], True
+        for k in range(band):
+            fresh_ &= ~((earlier[a, k][:, None] == earlier[b, k][None, :]) & there[a, k][:, None] & there[b, k][None, :])
+        if p == q:
+            np.fill_diagonal(fresh_, False)
+        link = np.zeros_like(fresh_)
+        s = link.astype(np.float32)
+        rows, cols = np.flatnonzero(fresh_.any(1)), np.flatnonzero(fresh_.any(0))
+        if len(rows):
+            part = similarities([grams[i] for i in a[rows]], [grams[i] for i in b[cols]])
+            s[np.ix_(rows, cols)] = part
+            link = (s >= np.float32(threshold)) & fresh_
+            for i, j in np.argwhere((np.abs(s - threshold) < 1e-5) & fresh_):  # float32 decides all but those
+                common = len(np.intersect1d(grams[a[i]], grams[b[j]], assume_unique=True))
+                link[i, j] = common >= threshold * (len(grams[a[i]]) + len(grams[b[j]]) - common) - 1e-9
         full = np.zeros((len(ids), len(ids)), dtype=bool)
         full[np.ix_(a, b)] = link
         full |= full.T
-        np.fill_diagonal(full, False)
         n = full @ copies
         got = np.flatnonzero(n)
         edges = forest(full)
@@ -260,7 +267,7 @@ def blocked_links(sets: DataFrame, threshold: float, block: int = 64, most_block
             "n": pa.array([*n[got].tolist()] + [None] * len(edges), pa.int64()),
         })
 
-    return dealt.groupBy("cluster", "p", "q").applyInArrow(meet, "a long, b long, jaccard double, n long")
+    return dealt.groupBy("band", "hash", "p", "q").applyInArrow(meet, "a long, b long, jaccard double, n long")
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text", small: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -271,38 +278,41 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     all links). links: verified (a, b, jaccard) between set_ids that connect each group: all links of small buckets, of
     large ones a spanning forest for each two blocks.
 
-    ``key`` is a whole number and identifies a document. Rows without one go by a negative id of their text's hash. A null text is empty; empty texts are copies of each other and of nothing
-    else. Repeated rows are copies. An empty table gives none. A group of copies of any size is one row before any join.
-    Buckets of at most ``small`` sets are joined pair by pair, larger ones block by block: two ways, both exact.
+    ``key`` is a whole number. Rows without one, and those whose key several texts have, go by a negative id instead.
+    A null text is empty; empty texts are copies of each other and of nothing else. Repeated rows are copies. An empty table
+    gives none; other columns are ignored. A group of copies of any size is one row before any join. ``small`` decides
+    only where pairs are verified (one by one, or in blocks), not which: pairs of sets that share a band.
     """
     bands, rows = choose_bands(threshold, recall)
-    number = F.col(key).cast("long")
-    texts = docs.select(F.coalesce(number, -F.abs(F.shiftright(F.xxhash64(text_of(text)), 1)) - 1).alias("id"), number.alias("key"), text_of(text).alias("text"))
+    (id_,) = fresh(docs, "_id")
+    keyed = row_keys(docs, id_, key, text)
+    texts = keyed.select(F.col(id_).alias("id"), F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     sketches = staged(sketch(texts, words, bands, rows), "sketches")
     sets = staged(sketches.groupBy("set_a", "set_b").agg(F.min("id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
-    banded = sets.select("set_id", F.posexplode("bands").alias("_band", "_hash"))
-    sizes = banded.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.min("set_id").alias("_head")).where("_n > 1")
-    met = staged(banded.join(sizes, ["_band", "_hash"]), "buckets")
-    clusters = staged(components(met.where(F.col("_n") > small).select(F.col("set_id").alias("a"), F.col("_head").alias("b"))), "clusters")
-    x, y = met.where(F.col("_n") <= small).alias("x"), met.where(F.col("_n") <= small).alias("y")
-    same = (F.col("x._hash") == F.col("y._hash")) & (F.col("x._band") == F.col("y._band")) & (F.col("x.set_id") < F.col("y.set_id"))
-    pairs = x.join(y, same).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    # pairs of one cluster meet there
-    of_a, of_b = (clusters.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
-    pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce(F.col("_a") != F.col("_b"), F.lit(True)))
+    banded = sets.select(F.col("set_id").alias("id"), F.posexplode("bands").alias("band", "hash"))
+    sizes = staged(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    met = staged(join_counted(banded, sizes, ["band", "hash"], "n"), "buckets")
+    large = met.where(F.col("n") > small)
+    x, y = met.where(F.col("n") <= small).alias("x"), met.where(F.col("n") <= small).alias("y")
+    same = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # pairs that share a large bucket are counted there
+    of = large.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("_of"))
+    of_a, of_b = (of.select(F.col("id").alias(c), F.col("_of").alias(f"_{c}")) for c in "ab")
+    pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False)))
     pairs = staged(pairs.select("a", "b"), "candidates")
     # a set's text is that of a row with its id
-    members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(clusters.select(F.col("node").alias("id")))
+    members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id"))
     grams = staged(gram_sets(texts, members, words).dropDuplicates(["id"]), "gram-sets")
     sized = sets.select(F.col("set_id").alias("id"), "copies")
-    inside = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(sized, "id").join(grams, "id")
-    blocked = staged(blocked_links(inside, threshold), "blocked-links")
+    blocked = staged(blocked_links(large, sized.join(grams, "id"), threshold, bands), "blocked-links")
     single = staged(verified_pairs(grams, pairs, threshold), "links")
-    links = single.union(blocked.where("b is not null").select("a", "b", "jaccard")).dropDuplicates(["a", "b"])
+    links = single.union(blocked.where("b is not null").select("a", "b", "jaccard"))
     grouped = components(links.select("a", "b"))
     ends = single.select(F.col("a").alias("set_id"), F.col("b").alias("id")).union(single.select(F.col("b").alias("set_id"), F.col("a").alias("id")))
     counted = ends.join(sized, "id").select("set_id", F.col("copies").alias("n")).union(blocked.where("b is null").select(F.col("a").alias("set_id"), "n"))
     linked = counted.groupBy("set_id").agg(F.sum("n").alias("_linked"))
     about = sets.select("set_a", "set_b", "set_id", "copies").join(linked, "set_id", "left").join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left")
-    about = about.select("set_a", "set_b", "set_id", F.coalesce("component", "set_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"))
-    return sketches.select(F.col("key").alias(key), "set_a", "set_b").join(about, ["set_a", "set_b"]).select(key, "class_id", "set_id", "n_links"), links
+    about = about.select("set_a", "set_b", "set_id", F.coalesce("component", "set_id").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"))
+    about = staged(about, "set-classes")
+    return join_counted(sketches.select(F.col("key").alias(key), "set_a", "set_b"), about, ["set_a", "set_b"], "copies").select(key, "class_id", "set_id", "n_links"), links

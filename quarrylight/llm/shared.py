@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder of its own (tests on one machine).
+#: Used only where the session names no folder of its own and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); set only where it is unset."""
+    """The shared folder of the session (``spark.checkpoint.dir``). Only a session in one process may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = LOCAL_CHECKPOINTS
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -62,24 +64,101 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_p
     """Gapless numbers from 0 within each ``group``, without bringing a group together in one task.
 
     Rows of a group are dealt into hash buckets of ``order``; each bucket is numbered alone, and starts at the sum of
-    the buckets before it. The table of starts has a row for about every ``rows_per_bucket`` rows. ``df`` is read
-    twice, so it should be cheap or staged. Rows that are equal in ``order`` are numbered in any order; null is a
-    value like any other.
+    the buckets before it. A group has a bucket for about every ``rows_per_bucket`` of its rows. There must be few
+    groups (lengths, shards): a row for each comes to the driver. ``df`` is read three times, so it should be staged.
+    Rows that are equal in ``order`` share a bucket and are numbered in any order, so ``order`` should end with a column
+    that tells equal rows apart (:func:`salted`). Null is a value like any other.
     """
-    n = df.count()
-    buckets = max(4, -(-n // rows_per_bucket))
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    spark = df.sparkSession
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_rows"))
+    schema = sizes.schema
+    held = [(*r[:-1], max(1, -(-r["_rows"] // rows_per_bucket))) for r in sizes.collect()]  # few: see above
+    few = F.broadcast(spark.createDataFrame(held, schema)).withColumnRenamed("_rows", "_buckets")
+    bucketed = df.join(few, _same(df, few, group)).select(*[df[c] for c in df.columns], F.pmod(F.xxhash64(*[df[c] for c in order]), few["_buckets"]).alias("_bucket"))
     keys = [*group, "_bucket"]
-    starts = cut.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    starts = bucketed.groupBy(*keys).agg(F.count("*").alias("_rows"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    at = Window.partitionBy(*keys).orderBy(*order)
-    ranked = cut.withColumn("_at", F.row_number().over(at))
-    same = [ranked[k].eqNullSafe(starts[k]) for k in keys]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return ranked.join(starts, on).select(*[ranked[c] for c in df.columns], (F.col("_start") + F.col("_at") - 1).cast("long").alias(out))
+    ranked = bucketed.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.join(starts, _same(ranked, starts, keys)).select(*[ranked[c] for c in df.columns], (F.col("_start") + F.col("_at") - 1).cast("long").alias(out))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equal in ``keys``, null being a value."""
+    on = a[keys[0]].eqNullSafe(b[keys[0]])
+    for k in keys[1:]:
+        on = on & a[k].eqNullSafe(b[k])
+    return on
+
+
+def salted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number that tells equal rows apart. It is fixed once the result is staged."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, parts: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each key and in ``n`` how many of ``rows`` have it.
+
+    Keys that hold more than one part in ``parts`` of all rows, of which there are less than ``parts``, are broadcast, so
+    that their rows stay where they are; the others are joined by shuffle, where no key is large. Both sides are read
+    twice. Rows whose key is not in ``table`` are left out.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(n) * parts > total))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) * parts <= total), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def row_keys(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``out``, a long that two rows share only if both their key and their text are equal.
+
+    It is the key itself, unless the key is null or several texts have it; such rows get a negative hash of both, which is
+    tried with other seeds until no two different rows share it. A null text is empty. What is shuffled are numbers; texts
+    only where keys are ambiguous.
+    """
+    number = F.col(key).cast("long")
+    whole = text_of(text)
+    facts = docs.select(number.alias("k"), F.xxhash64(whole).alias("h"), F.hash(whole, F.octet_length(whole)).alias("g"))
+    several = facts.where("k is not null").groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("g").alias("lo2"), F.max("g").alias("hi2"))
+    several = several.where("lo <> hi or lo2 <> hi2").select("k")
+    (mark,) = fresh(docs, "_several")
+    marked = docs.withColumn(mark, F.lit(False))
+    n = several.count()
+    if not n and docs.where(number.isNull() | (number < 0)).isEmpty():
+        return docs.withColumn(out, number)
+    if n:
+        several = staged(several, "ambiguous-keys")
+        if n <= 100_000:
+            several = F.broadcast(several)
+        found = several.withColumn(mark, F.lit(True))
+        marked = docs.join(found, docs[key].cast("long") == found["k"], "left").select(*[docs[c] for c in docs.columns], F.coalesce(found[mark], F.lit(False)).alias(mark))
+    odd = F.col(mark) | number.isNull()
+    for seed in range(64):
+        made = F.when(odd, -F.shiftrightunsigned(F.xxhash64(number, whole, F.lit(seed)), 2) - 1).otherwise(number)
+        rows = marked.where(F.col(mark) | number.isNull() | (number < 0)).select(made.alias("o"), number.alias("k"), F.hash(whole, F.octet_length(whole)).alias("g"), F.xxhash64(whole).alias("h"))
+        ends = [F.min(x) != F.max(x) for x in ("g", "h", F.coalesce(F.col("k"), F.lit(0)), F.col("k").isNull())]
+        twice = rows.groupBy("o").agg((ends[0] | ends[1] | ends[2] | ends[3]).alias("twice")).where("twice")
+        if twice.isEmpty():
+            return marked.select(*docs.columns, made.alias(out))
+    raise ValueError(f"no seed tells the rows of {key} apart")
+
+
+def bit_map(ids: DataFrame, id_: str, most_bits: int = 1 << 27, per_id: int = 8) -> tuple[np.ndarray | None, Column]:
+    """(bytes, place): a bit map of the hashes of ``ids``, and the bit of a row's ``id_`` in it. It has ``per_id`` bits an id and
+    16 MB at most; where that is too small for them, it is None."""
+    bits = max(1 << 15, 1 << (per_id * max(1, ids.count()) - 1).bit_length())
+    place = F.pmod(F.xxhash64(id_), F.lit(min(bits, most_bits)))
+    if bits > most_bits:
+        return None, place
+    marks = ids.select(F.shiftright(place, 15).alias("_part"), F.pmod(place, F.lit(1 << 15)).alias("_bit")).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    seen = np.zeros(bits // 8, dtype=np.uint8)
+    for r in marks.collect():  # bounded: 4 KB for each 32768 bits
+        seen[r["_part"] << 12 : (r["_part"] + 1) << 12] = np.frombuffer(r["_bits"], dtype=np.uint8)
+    return seen, place
+
+
+def in_bit_map(seen: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

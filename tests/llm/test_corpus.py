@@ -315,3 +315,36 @@ def test_join_with_negative_missing_and_repeated_ids(spark):
         groups[c].add(rows[i][0])
     assert len({r.class_id for r in got}) == len(groups)
     assert sorted(r.n_links for r in got) == sorted(n_links.values())
+
+
+def test_join_is_the_same_whatever_counts_as_large(spark):
+    texts = dict(enumerate([*near_copies(21, 40, 0.12), *near_copies(22, 12, 0.1), *[words(60, 9)] * 9, *[words(120, 70 + i, 3000) for i in range(10)]]))
+    got = set()
+    for small in (1, 8, 10**6):
+        rows, _ = ngram_join.join(frame(spark, list(texts.items())), recall=0.6, small=small)
+        got.add(tuple(sorted((r.doc_id, r.class_id, r.set_id, r.n_links) for r in rows.collect())))
+    assert len(got) == 1
+
+
+def test_row_keys_tell_rows_apart(spark):
+    from quarrylight.llm.shared import row_keys
+
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (None, "d"), (None, None), (None, ""), (-7, "f"), (-7, "g"), (-8, "h")]
+    got = row_keys(frame(spark, rows), "k").collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.k].add((r.doc_id, r.text or ""))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({(i, t or "") for i, t in rows})
+    assert {r.k for r in got if r.doc_id in (2, -8)} == {2, -8}
+
+
+def test_numbers_without_gaps_in_hot_groups(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylight.llm.shared import numbered, salted, staged
+
+    df = staged(salted(spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 4).alias("g"), F.lit("same").alias("x")), "s"), "t")
+    by = defaultdict(list)
+    for r in numbered(df, ["g"], ["x", "s"], "n", rows_per_bucket=20).collect():
+        by[r.g].append(r.n)
+    assert len(by) == 5 and all(sorted(v) == list(range(len(v))) for v in by.values())

@@ -82,3 +82,27 @@ def test_registered():
 
     names = list(__spark_entry__.queries())
     assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_pipeline_keeps_columns_and_rows_that_share_an_id(spark, odd, tmp_path):
+    from pyspark.sql import functions as F
+
+    sf = str(tmp_path)
+    more = [(77, "one text of several that go by the same id here"), (77, "another text of several that go by one id"), (None, "a text without an id that is not repeated"), (None, "what is the capital of france is asked in here, at last")]
+    docs = odd.unionByName(frame(spark, more), allowMissingColumns=True).withColumn("predicted", F.lit("mine")).withColumn("a.b", F.col("doc_id"))
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.staged(stage(spark, docs, sf), name)
+        rows = docs.collect()
+        assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+        assert all(r[c] in ("clash", None) for r in rows for c in ("score", "spans", "_key", "Hits"))
+        assert all(r.predicted == "mine" and r["a.b"] == r.doc_id for r in rows)
+        if name == "ngram_jaccard_join":  # empty texts are one, and 8 and 9 are equal but for the id; null is as good as empty
+            assert {(i, t) for i, t in want if t and t.strip() and (i, t) not in {(8, words(200, 8)), (9, words(200, 8))}} <= {(r.doc_id, r.text) for r in rows}
+            assert sum(not (r.text or "").strip() for r in rows) == 1 and len([r for r in rows if r.text == words(200, 8)]) == 1 and len(rows) == len({(r.doc_id, r.text) for r in rows})
+        if name == "benchmark_decontamination":
+            assert not [r for r in rows if r.text and "france" in r.text] and len([r for r in rows if r.doc_id == 77]) == 2

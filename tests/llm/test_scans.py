@@ -385,3 +385,25 @@ def test_fingerprints_of_texts_without_spaces(spark):
     df = order_minhash.with_elements(spark.createDataFrame(rows, "i int, t string"), "t", "e")
     e = {r.i: set(r.e) for r in df.collect()}
     assert all(len(e[i] & e[i + 1]) / len(e[i] | e[i + 1]) > 0.8 for i in (0, 2))
+
+
+def test_short_items_within_texts(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "to be or not"), (3, "one two three four five")], "item_id long, text string")
+    rows = [(1, f"{words(30, 1)} what is THE capital, of france {words(30, 2)}"), (2, "what is the capital of spain"), (3, "to be or not"), (4, "to be or not to be"), (5, "zero one two three four five six one two three four five"), (6, "one two three four")]
+    for most in (10**6, 1):
+        got = {(r.doc_id, r.item_id): (r.matched_tokens, r.first_token, r.last_token) for r in decontaminate.contaminated(frame(spark, rows), bench, least_within=5, most_in_memory=most).collect()}
+        assert got == {(1, 1): (6, 30, 35), (3, 2): (4, 0, 3), (5, 3): (5, 1, 5)}
+
+
+def test_the_bound_of_the_benchmark_counts_all_tokens(spark):
+    held = []
+    real = decontaminate.Items
+    decontaminate.Items = lambda *a: held.append(1) or real(*a)
+    try:
+        bench = spark.createDataFrame([(1, ".".join("abcdefghij"))], "item_id long, text string")
+        for most, memory in ((30, True), (29, False)):
+            held.clear()
+            got = decontaminate.contaminated(frame(spark, [(1, "x a b c d e f g h i j y")]), bench, most_in_memory=most).collect()
+            assert [(r.matched_tokens, r.item_tokens) for r in got] == [(10, 10)] and bool(held) == memory
+    finally:
+        decontaminate.Items = real
