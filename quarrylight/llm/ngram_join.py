@@ -200,7 +200,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands: int, block: int = 64, most_block: int = 1024, most_grams: int = 500_000) -> DataFrame:
+def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands: int, block: int = 256, most_block: int = 1024, most_grams: int = 500_000) -> DataFrame:
     """Links of sets that share a large bucket: ``members`` (id, band, hash, n) in ``sets`` (id, copies, grams).
 
     A bucket is cut into blocks by hash, and each two of its blocks meet in one group. A group gives a row
@@ -208,17 +208,17 @@ def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands:
     connect what is linked. A pair counts in the first of its common large buckets only. Blocks hold about ``most_block``
     sets and ``most_grams`` grams at most, so a group's memory is bounded whatever the bucket.
     """
-    mine = members.groupBy("id").agg(F.collect_list(F.struct("band", "hash", "n")).alias("own"))  # one for each band at most
-    about = staged(mine.join(sets, "id").withColumn("_len", F.size("grams")), "block-sets")
-    each = about.select("id", "_len", F.explode("own").alias("o")).groupBy("o.band", "o.hash").agg(F.max("_len").alias("_most"), F.count("*").alias("n"))
+    mine = members.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("own"))  # one for each band at most
+    # the bucket of each band, 0 where that is small; hashes are never 0 in practice, and a 0 would only be compared once more
+    own = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.get(F.filter("own", lambda o: o["band"] == k), 0)["hash"], F.lit(0)))
+    about = staged(mine.select("id", own.alias("own")).join(sets, "id").withColumn("_len", F.size("grams")), "block-sets")
+    each = members.join(about.select("id", "_len"), "id").groupBy("band", "hash").agg(F.max("_len").alias("_most"), F.count("*").alias("n"))
     each = each.withColumn("_each", F.least(F.greatest(F.ceil(F.col("n") / 64), F.lit(block)), F.lit(most_block), F.greatest(F.floor(most_grams / F.greatest("_most", F.lit(1))), F.lit(1))))
     each = staged(each.select("band", "hash", "n", F.ceil(F.col("n") / F.col("_each")).cast("int").alias("_blocks")), "block-sizes")
     dealt = join_counted(members.select("id", "band", "hash"), each, ["band", "hash"], "n")
-    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("id", "band"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("id", "band"), F.col("_blocks")).cast("int")).join(about, "id")
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("p"), F.greatest(j, F.col("_own")).alias("q"))))
-    dealt = dealt.select("id", "band", "hash", "_own", met.alias("_m")).select("id", "band", "hash", "_m.p", "_m.q", "_own")
-    own = F.transform("own", lambda o: F.struct(o["band"].alias("band"), o["hash"].alias("hash")))
-    dealt = dealt.join(about.select("id", "copies", own.alias("own"), "grams"), "id")
+    dealt = dealt.select("id", "band", "hash", "_own", "copies", "own", "grams", met.alias("_m")).select("band", "hash", "_m.p", "_m.q", "id", "_own", "copies", "own", "grams")
 
     def meet(group: pa.Table) -> pa.Table:
         ids, copies, side = (group.column(c).to_numpy() for c in ("id", "copies", "_own"))
@@ -228,15 +228,11 @@ def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands:
         values = lists.values.to_numpy().view(np.uint64)
         grams = [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         a, b = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        # of bands before this one: which sets are in a large bucket, and in which
+        # pairs that share a large bucket of an earlier band are counted there
         fresh_ = np.ones((len(a), len(b)), dtype=bool)
-        earlier = np.zeros((len(ids), bands), dtype=np.int64)
-        there = np.zeros((len(ids), bands), dtype=bool)
-        for i, own in enumerate(group.column("own").to_pylist()):
-            for o in own:
-                earlier[i, o["band"]], there[i, o["band"]] = o["hash"], True
+        buckets = group.column("own").combine_chunks().flatten().to_numpy().reshape(-1, bands)
         for k in range(band):
-            fresh_ &= ~((earlier[a, k][:, None] == earlier[b, k][None, :]) & there[a, k][:, None] & there[b, k][None, :])
+            fresh_ &= (buckets[a, k][:, None] != buckets[b, k][None, :]) | (buckets[a, k] == 0)[:, None]
         if p == q:
             np.fill_diagonal(fresh_, False)
         link = np.zeros_like(fresh_)
