@@ -86,19 +86,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_bucket: int = 2048, most_buckets: int = 4096) -> DataFrame:
-    """``docs`` with next_<column> for each of ``columns``: that of the row after it by (key, tie), the last one's being the first row's.
-
-    Quantiles of the key part the rows into buckets, which are ordered each on its own. The first row of a bucket is
-    added to the bucket before it, so that every row finds its successor in its bucket. What comes to the driver: the
-    quantiles and each bucket's smallest key, ``most_buckets`` at most. A null key counts as the smallest.
-    """
+def _bucketed(docs: DataFrame, key: str, tie: str, rows_per_bucket: int, most_buckets: int) -> DataFrame:
+    """``docs`` with _bucket and _end: buckets of consecutive keys, and behind each bucket's rows (_end 1) the first row of the next one."""
     spark = docs.sparkSession
     n = docs.count()
-    if not n:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     buckets = max(1, min(most_buckets, -(-n // rows_per_bucket)))
-    cuts = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if buckets > 1 else None
+    cuts = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], min(20 * buckets, 1_000_000))).first()[0] if buckets > 1 else None
     cuts = sorted(set(cuts or []))
     side = max(1, int(len(cuts) ** 0.5))
     table = [cuts[i : i + side] for i in range(0, len(cuts), side)]
@@ -114,25 +107,38 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_
     firsts = sorted((r["_bucket"], r["k"]) for r in cut.select("_bucket", k.alias("k")).groupBy("_bucket").agg(F.min("k").alias("k")).collect())
     before = [{"k": key_, "_bucket": firsts[i - 1][0]} for i, (_, key_) in enumerate(firsts)]
     ends = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<k:bigint,_bucket:int>>")))
-    # rows that tie for a bucket's first place: the smallest one stands for it
+    # of rows that tie for a bucket's first place the smallest one stands for it
     heads = cut.drop("_bucket").withColumn("k", k).join(F.broadcast(ends), "k")
-    ranked = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket", "k").orderBy(tie))).where("_rank = 1")
-    marked = cut.withColumn("_end", F.lit(0)).unionByName(ranked.select(*docs.columns, "_bucket").withColumn("_end", F.lit(1)))
+    heads = heads.groupBy("_bucket", "k").agg(F.min_by(F.struct(*docs.columns), tie).alias("_head"))
+    return cut.withColumn("_end", F.lit(0)).unionByName(heads.select("_head.*", "_bucket", F.lit(1).alias("_end")))
+
+
+def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_bucket: int = 2048, most_buckets: int = 65_536) -> DataFrame:
+    """``docs`` with next_<column> for each of ``columns``: that of the row after it by (key, tie), the last one's being the first row's.
+
+    Quantiles of the key part the rows into buckets, which are ordered each on its own. The first row of a bucket is
+    added to the bucket before it, so that every row finds its successor in its bucket. What comes to the driver: the
+    quantiles and each bucket's smallest key, ``most_buckets`` at most; beyond that buckets grow. A null key counts as the smallest.
+    """
     order = Window.partitionBy("_bucket").orderBy("_end", key, tie)
-    led = marked.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    led = _bucketed(docs, key, tie, rows_per_bucket, most_buckets).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return led.where("_end = 0").drop("_bucket", "_end")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, elements: int = ELEMENTS) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, elements: int = ELEMENTS, rows_per_bucket: int = 2048, most_buckets: int = 65_536) -> DataFrame:
     """A row for each document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half (rounded down) of code points replaced by as many first ones of the next document
     by key, or all of it; after the last comes the first, which is a lone document itself. A null text is empty. Repeated
-    rows follow each other; of rows with equal keys the smaller text comes first. An empty table gives no rows.
+    rows follow each other; of rows with equal keys the smaller text comes first. An empty table gives no rows; other
+    columns are ignored. Texts are shuffled once, as they are; fingerprints are made where their rows then lie in order.
     """
     own = docs.select(F.col(key).cast("long").alias(key), text_of(text).alias("_text"))
-    led = with_next(with_elements(own, "_text", "_own", k, elements), key, ["_text", "_own"], "_text")
+    order = Window.partitionBy("_bucket").orderBy("_end", key, "_text")
     half = F.floor(F.char_length("_text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.char_length("_text") - half), F.substring(F.col("next__text"), F.lit(1), half))
-    both = with_elements(led.select(key, F.char_length("_text").cast("long").alias("n_chars"), "_own", "next__own", edited.alias("_edited")), "_edited", "_new", k, elements)
-    return both.select(key, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), written(F.col("_own")).alias("fingerprint"), written(F.col("_new")).alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("next__own")).alias("near_next"))
+    edited = F.concat(F.substring(F.col("_text"), F.lit(1), F.char_length("_text") - half), F.substring(F.lead("_text").over(order), F.lit(1), half))
+    led = _bucketed(own, key, "_text", rows_per_bucket, most_buckets).withColumn("_edited", edited)
+    led = with_elements(led, "_text", "_own", k, elements).withColumn("_next", F.lead("_own").over(order)).where("_end = 0")
+    led = led.select(key, F.char_length("_text").cast("long").alias("n_chars"), "_own", "_next", "_edited")
+    both = with_elements(led, "_edited", "_new", k, elements)
+    return both.select(key, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), written(F.col("_own")).alias("fingerprint"), written(F.col("_new")).alias("edited_fingerprint"), likeness(F.col("_own"), F.col("_new")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"))
