@@ -4,11 +4,14 @@ Numbers and addresses are enciphered within their format: a keyed Feistel networ
 shape, so equal entities get equal surrogates everywhere (coreference) and different ones different surrogates, without a
 table. Names are drawn by a keyed hash from names of the same gender and script; such draws can collide, so the
 corpus's distinct name words are checked and losers drawn again until all are distinct. Where a corpus has more given
-names than the lists can tell apart, syllables follow the listed name, as many as the count needs.
+names than the lists can tell apart, syllables follow the listed name, as many as the count needs. Names that a text
+introduces (with a title, or a known given name before a surname) are also replaced where they stand alone in it. Spelling
+does not part what is one entity: e-mail addresses go by their lower case, telephone numbers by their digits.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,8 +27,8 @@ KINDS = ("email", "ipv4", "ipv6", "mac", "iban", "ssn", "card", "phone", "number
 
 # Given names by script and gender, titles by gender.
 GIVEN = {
-    ("latin", "f"): "Anna Clara Elena Emma Julia Laura Lena Lucia Maria Marta Nina Nora Paula Rosa Sara Sofia Teresa Vera".split(),
-    ("latin", "m"): "Adrian Anton Bruno Carlos Daniel David Erik Felix Hugo Ivan Jonas Leo Lukas Marco Martin Oscar Paul Victor".split(),
+    ("latin", "f"): "Ana Anna Camille Carmen Clara Elena Elizabeth Emily Emma Hannah Isabelle Julia Julie Karen Katharina Laura Lena Lucia Margaret Maria Marie Marta Mary Nancy Nina Nora Paula Petra Pilar Rosa Sabine Sara Sarah Sofia Sophie Susan Teresa Ursula Vera".split(),
+    ("latin", "m"): "Adrian Anton Bruno Carlos Charles Daniel David Erik Felix George Hans Hugo Ivan Jacques James Javier Jean John Jonas Juan Klaus Leo Louis Luis Lukas Marco Martin Michael Miguel Oscar Paul Pedro Peter Pierre Richard Robert Stefan Thomas Victor William".split(),
     ("latin", "x"): "Alex Andrea Chris Dominique Jamie Jordan Kim Lee Morgan Robin Sam Taylor".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Полина Софья".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Денис Егор Иван Кирилл Олег Павел Степан".split(),
@@ -53,6 +56,8 @@ _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})
 _DIGITS = re.compile(r"(?:(?<![\w.,+-])|(?<=[.,])(?<!\d\.))[+(]?\(?\d++(?:[ ().-]{1,3}+\d++)*+")
 _PIECE = re.compile(r"\d[\d-]*\d|\d")
 _IPV4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)")
+# Country codes of two digits; those that begin otherwise have three, +1 and +7 one.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -128,12 +133,13 @@ def _address(cipher: Cipher, s: str) -> str:
 def surrogate(cipher: Cipher, kind: str, s: str) -> str:
     """For all kinds but 'person'."""
     if kind == "email":
-        name, _, domain = s.partition("@")
+        low = s.lower()
+        name, _, domain = low.partition("@")
         labels = domain.split(".")
-        kept = 2 if labels[-2].lower() == "example" else 1  # reserved names stay reserved
-        own = cipher.string(kind, "@".join((name, ".".join(labels[:-kept]))), (_CLASSES[0], _CLASSES[1], _CLASSES[2]))
-        name, _, domain = own.partition("@")
-        return f"{name}@{'.'.join([*([domain] if domain else []), *labels[-kept:]])}"
+        kept = 2 if labels[-2] == "example" else 1  # reserved names stay reserved; others become so behind their last label
+        own = cipher.string("email/domain", ".".join(labels[:-kept]), _CLASSES[:2])
+        new = f"{cipher.string('email/name', name, _CLASSES[:2])}@{'.'.join([*([own] if own else []), *labels[-kept:]])}"
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, s, strict=True)) + (".example" if kept == 1 else "")
     if kind == "ipv4":
         return _address(cipher, s)
     if kind in ("ipv6", "mac"):
@@ -150,9 +156,9 @@ def surrogate(cipher: Cipher, kind: str, s: str) -> str:
         body = cipher.string(kind, digits[:-1])
         return _fill(s, f"{body}{(luhn_digit(body) + off) % 10}")
     if kind == "phone" and s.lstrip("(").startswith("+"):  # the country stays
-        country = len(re.match(r"\D*(\d{1,3})", s)[1]) if " " in s[:5] or "-" in s[:5] or "(" in s[:5] else 1
+        country = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3
         return _fill(s, digits[:country] + cipher.string(kind, digits[country:]))
-    return _fill(s, cipher.string(kind, digits))
+    return _fill(s, cipher.string("ssn" if kind == "ssn" else "digits", digits))
 
 
 def _digit_kind(s: str) -> str | None:
@@ -234,13 +240,41 @@ def _digit_spans(text: str) -> Iterator[tuple[int, int, str]]:
                 yield at + entity[0], at + entity[1], entity[2]
 
 
-def persons(text: str) -> list[tuple[int, int, str]]:
-    found = [(m.start(3), m.end(3), "person") for m in _TITLED.finditer(text)] + [(*m.span(), "person") for m in _LISTED.finditer(text)]
-    return found + ([(m.start(1), m.end(2), "person") for m in _HAN.finditer(text)] if not text.isascii() else [])
+def persons(text: str) -> list[list[tuple[int, int, str, str]]]:
+    """For each person named in ``text`` the words: (start, end, role, word); role: script/gender or script/surname.
 
-
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in text order without overlaps; earlier kinds of KINDS win."""
+    Names with a title or a known given name come first, in text order; they give their words' roles, which hold wherever
+    a word stands alone in the text or is named without its title.
+    """
+    spans = [(m.start(3), m.end(3)) for m in _TITLED.finditer(text)]
+    spans += [x for m in _LISTED.finditer(text) for x in [m.span()] if not any(a < x[1] and b > x[0] for a, b in spans)]
+    if not text.isascii():
+        spans += [(m.start(1), m.end(2)) for m in _HAN.finditer(text)]
+    found = [name_words(text, a, b) for a, b in sorted(spans)]
+    if not found:
+        return []
+    roles: dict[str, str] = {}
+    for _, _, role, word in (w for words in found for w in words):
+        if roles.get(word.lower(), "/x").endswith("/x"):
+            roles[word.lower()] = role
+    told = [[(a, b, role if role.endswith("/surname") else roles[word.lower()], word) for a, b, role, word in words] for words in found]
+    alone = {w: roles[w.lower()] for words in found for _, _, role, w in words if not role.startswith("han/") and len(w) > 2}
+    full = {"".join(w for _, _, _, w in words): words for words in told if words[0][2].startswith("han/") and len(words) > 1}
+    if names := sorted({*alone, *full}, key=len, reverse=True):
+        taken = [(words[0][0], words[-1][1]) for words in found]
+        for m in re.finditer("|".join(rf"(?<![\w-]){re.escape(n)}(?![\w-])" if n in alone else re.escape(n) for n in names), text):
+            i = bisect.bisect(taken, (m.start(), len(text)))
+            if (i == 0 or taken[i - 1][1] <= m.start()) and (i == len(taken) or taken[i][0] >= m.end()):
+                if m[0] in alone:
+                    told.append([(*m.span(), alone[m[0]], m[0])])
+                else:
+                    first = full[m[0]][0][0]
+                    told.append([(a - first + m.start(), b - first + m.start(), role, w) for a, b, role, w in full[m[0]]])
+    return told
+
+
+def detect(text: str, people: list[list[tuple[int, int, str, str]]] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in text order without overlaps; earlier kinds of KINDS win. ``people``: :func:`persons` of the text, if known."""
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
@@ -251,11 +285,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "ipv6") for m in _IPV6.finditer(text) if m[0].count(":") == 7 or "::" in m[0]]
     found += [(*m.span(), "iban") for m in _IBAN.finditer(text)]
     found += _digit_spans(text)
-    found += persons(text)
+    found += [(words[0][0], words[-1][1], "person") for words in (persons(text) if people is None else people)]
     found.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
     kept: list[tuple[int, int, str]] = []
-    import bisect
-
     for span in found:
         i = bisect.bisect(kept, span)
         if (i == 0 or kept[i - 1][1] <= span[0]) and (i == len(kept) or kept[i][0] >= span[1]):
@@ -283,7 +315,8 @@ def name_words(text: str, start: int, end: int) -> list[tuple[int, int, str, str
         if i == len(words) - 1:
             role = f"{script}/surname"
         else:
-            gender = _OF_GIVEN.get(m[0].lower(), (0, 0))[1] or _GENDER.get(before[1] if before else "", "x")
+            titled = _GENDER.get(before[1] if before else "", "x")
+            gender = titled if titled != "x" else _OF_GIVEN.get(m[0].lower(), ("", "x"))[1]
             role = f"{script}/{gender}"
         out.append((start + m.start(), start + m.end(), role, m[0]))
     return out
@@ -334,7 +367,7 @@ def check_names(docs: DataFrame, key: bytes, text: str = "text", most: int = 100
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            words = {(r, w.lower()) for t in b.column(0).to_pylist() for s, e, _ in persons(t) for _, _, r, w in name_words(t, s, e)}
+            words = {(r, w.lower()) for t in b.column(0).to_pylist() for words in persons(t) for _, _, r, w in words}
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in words], pa.string()), pa.array([w for _, w in words], pa.string())], names=["role", "word"])
 
     words = staged(docs.select(text_of(text)).mapInArrow(extract, "role string, word string").distinct(), "name-words").withColumn("tries", F.lit(0))
@@ -407,10 +440,12 @@ def replace(docs: DataFrame, key: bytes = b"quarrylight", text: str = "text") ->
 
 def rewritten(cipher: Cipher, text: str, tries: dict[tuple[str, str], int], syllables: dict[str, int]) -> tuple[str, list[tuple[int, int, str]]]:
     out, spans, at, length = [], [], 0, 0
-    for start, end, kind in detect(text):
+    people = persons(text)
+    words_at = {(words[0][0], words[-1][1]): words for words in people}
+    for start, end, kind in detect(text, people):
         if kind == "person":
             new, here = "", start
-            for s, e, role, word in name_words(text, start, end):
+            for s, e, role, word in words_at[start, end]:
                 new += text[here:s] + drawn(cipher, role, word, tries.get((role, word.lower()), 0), syllables)
                 here = e
             new += text[here:end]

@@ -348,3 +348,35 @@ def test_numbers_without_gaps_in_hot_groups(spark):
     for r in numbered(df, ["g"], ["x", "s"], "n", rows_per_bucket=20).collect():
         by[r.g].append(r.n)
     assert len(by) == 5 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_kneser_ney_of_doubled_texts_stays_finite(spark):
+    rows = [(i, t) for i, t in enumerate([words(40, k, 300) for k in range(20)] * 2)]
+    model = kneser_ney.train(frame(spark, rows).select("text"))
+    unseen = frame(spark, [(1, words(50, 99, 300)), (2, "never seen words at all"), (3, None), (4, words(30_000, 5, 400))])
+    assert all(math.isfinite(r.score) and math.isfinite(r.perplexity) and r.score < 0 for r in kneser_ney.score(unseen, model).collect())
+    assert min(model.discounts) > 0
+
+
+def test_kneser_ney_is_the_same_in_any_number_of_shards(spark, small):
+    scores = []
+    for tokens in (1_000_000, 300):
+        model = kneser_ney.train(small.select("text"), tokens)
+        scores.append({r.doc_id: r.score for r in kneser_ney.score(small, model).collect()})
+    assert model.shards > 16 and len(model.hot) > 2
+    assert all(math.isclose(x, scores[1][i], rel_tol=1e-6) for i, x in scores[0].items())
+    # keys know their bigrams, also where ids need more than 32 bits
+    wide = kneser_ney.Model("", starts=np.array([0, 1 << 35]), shards=1 << 20, hot=np.array([5, 1 << 34, 1 << 35]))
+    rng = np.random.default_rng(3)
+    context, word = np.concatenate((rng.integers(0, 1 << 35, 500), wide.hot)), rng.integers(0, 1 << 35, 503)
+    shard, key = wide.coded(context, word)
+    got = [tuple(int(x[0]) for x in wide.decoded(int(s), np.array([k]))) for s, k in zip(shard, key, strict=True)]
+    assert got == list(zip(context.tolist(), word.tolist(), strict=True))
+    for bits in (3, 40):
+        s, k = rng.integers(0, 1 << 30, 4000).astype(np.int32), rng.integers(0, 1 << bits, 4000, dtype=np.uint64)
+        s[:2000], k[:2000] = s[2000:], k[2000:]
+        a, b, n = kneser_ney._summed(s, k, None)
+        assert dict(zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True)) == Counter(zip(s.tolist(), k.tolist(), strict=True))
+        assert [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    for keys in (np.array([3], np.uint64), np.array([1, 5, 1 << 40, (1 << 63) + 7], np.uint64), np.arange(9, dtype=np.uint64)):
+        assert kneser_ney.unpacked(kneser_ney.packed(keys)).tolist() == keys.tolist()

@@ -407,3 +407,54 @@ def test_the_bound_of_the_benchmark_counts_all_tokens(spark):
             assert [(r.matched_tokens, r.item_tokens) for r in got] == [(10, 10)] and bool(held) == memory
     finally:
         decontaminate.Items = real
+
+
+def test_names_that_a_text_introduces_are_replaced_where_they_stand_alone(spark):
+    t = "Herr Paul Schmidt came. Schmidt said hello. Paul left. Frau Alex Meyer and later Alex Meyer. 王芳女士和王芳。 Schmidts, PAUL"
+    (r,) = pii_surrogates.replace(frame(spark, [(1, t)])).collect()
+    names = [r.text[e.start : e.end] for e in r.entities]
+    paul, alex = names[0].split(), names[3].split()
+    assert names[1] == paul[1] and names[2] == paul[0] and names[4] == names[3] and names[5] == names[6]
+    assert paul[0] in pii_surrogates.GIVEN["latin", "m"] and alex[0] in pii_surrogates.GIVEN["latin", "f"]
+    assert not {"Paul", "Schmidt", "Alex", "Meyer"} & set(re.findall(r"\w+", r.text)) and r.text.endswith("Schmidts, PAUL")
+
+
+def test_spelling_does_not_part_an_entity():
+    c = pii_surrogates.Cipher(b"k")
+    mail = lambda s: pii_surrogates.surrogate(c, "email", s)
+    assert mail("Bob@Example.com").lower() == mail("bob@example.com") and mail("Bob@Example.com")[0].isupper()
+    assert mail("x.y@firm.de").endswith(".de.example") and mail("x.y@firm.de").split("@")[0] == mail("x.y@other.fr").split("@")[0]
+    assert mail("a@b.com") != mail("a@b.com.example") and len({mail(f"{a}@{d}") for a in ("ab", "ac", "ad") for d in ("q.com", "r.com", "q.com.example", "mail.example.com")}) == 12
+    phone = lambda s: pii_surrogates.surrogate(c, "phone", s)
+    plain = lambda s: re.sub(r"\D", "", s)
+    for a, b, code in (("+49 30 1234567", "+49301234567", "49"), ("+1 (212) 555-0100", "+12125550100", "1"), ("+351 21 123 4567", "(+351) 211234567", "351")):
+        assert plain(phone(a)) == plain(phone(b)) and plain(phone(a)).startswith(code) and plain(phone(a)) != plain(a)
+    assert plain(phone("(212) 555-0100")) == plain(phone("212.555.0100")) == pii_surrogates.surrogate(c, "number", "2125550100")
+
+
+def test_surrogates_of_a_whole_table(spark, small, texts):
+    """Against plain Python: what is no entity stays, and each kind's entities have surrogates of their own shape, one to one over the table."""
+    there, back = {}, {}
+    for r in pii_surrogates.replace(small.select("doc_id", "text")).collect():
+        t = texts[r.doc_id] or ""
+        people = pii_surrogates.persons(t)
+        old = pii_surrogates.detect(t, people)
+        assert [k for _, _, k in old] == [e.kind for e in r.entities]
+        outside = lambda x, spans: "\0".join(x[a:b] for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(x)], strict=True))
+        assert outside(t, [(a, b) for a, b, _ in old]) == outside(r.text or "", [(e.start, e.end) for e in r.entities])
+        shape = lambda x: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", x))
+        words_at = {(w[0][0], w[-1][1]): w for w in people}
+        for (a, b, kind), e in zip(old, r.entities, strict=True):
+            was, now = t[a:b], r.text[e.start : e.end]
+            if kind == "person":
+                pairs = list(zip([(role.split("/")[0], role.endswith("surname"), w.lower()) for _, _, role, w in words_at[a, b]], now.split() if " " in was or len(words_at[a, b]) == 1 else [], strict=False))
+                assert all(x == y for x, y in zip(map(pii_surrogates.script_of, was.split()), map(pii_surrogates.script_of, now.split()), strict=True))
+            else:
+                assert kind == "email" or re.sub("[a-f]", "0", shape(was)) == re.sub("[a-f]", "0", shape(now)) or kind in ("ipv4", "ipv6", "mac")
+                canon = {"email": str.lower, "phone": lambda x: re.sub(r"[^\d+]", "", x), "number": lambda x: x, "iban": lambda x: x.replace(" ", ""), "card": lambda x: re.sub(r"\D", "", x)}.get(kind, str.lower)
+                kind = "digits" if kind in ("phone", "number") else kind
+                pairs = [((kind, canon(was)), canon(now))]
+                assert was != now
+            for k, v in pairs:
+                assert there.setdefault(k, v.lower()) == v.lower() and back.setdefault((k[0], v.lower()) if len(k) == 2 else (*k[:2], v.lower()), k) == k
+    assert len(there) > 10
