@@ -1,8 +1,9 @@
 """Licence scans by a positional index of rare words.
 
 Licence templates are word sequences; the index has for each word its templates and places. A file's words that are
-rarest among the templates are looked up; postings whose places differ from the file's by the same amount point to a
-template at that offset. There the template is compared word by word, and its mandatory phrases must stand near their
+rarest among the templates are looked up; postings whose places differ from the file's by about the same amount point to
+a template near that offset: inserted and missing words shift what follows, so offsets may drift by a share of the
+template's length. There the template's words are sought in the file's, and its mandatory phrases must stand near their
 places. Only built-in functions are used, and nothing is shuffled.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,19 +29,28 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 @dataclass(frozen=True)
 class Template:
-    """``phrases`` are mandatory, as they stand in ``text``."""
+    """``phrases`` are mandatory, word by word as in ``text``."""
 
     label: str
     text: str
     phrases: tuple[str, ...]
 
+    @property
+    def words(self) -> list[str]:
+        return re.findall("[a-z0-9]+", self.text.lower())
+
+    @property
+    def drift(self) -> int:
+        """By how many words parts of the template may be shifted against each other, about."""
+        return max(2, len(self.words) // 8)
+
 
 # Wordings in which public licences are named or begin.
 TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
     Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses license 2 0",)),
     Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("granted free of charge", "without restriction")),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
     Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
@@ -54,7 +66,45 @@ TEMPLATES = (
     Template("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd 4 0",)),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related rights to this work cc0 1 0", ("waived all copyright", "cc0 1 0")),
-)
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+        in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("free of charge", "without restriction", "substantial portions of the software")),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+        and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""", ("with or without fee", "appear in all copies")),
+    Template("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce
+        the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the
+        name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+        USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", ("source and binary forms", "endorse or promote products")),
+    Template("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+        this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to
+        the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+        ("must not be misrepresented", "altered source versions")),
+    Template("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws,
+        the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law.""", ("unencumbered software", "dedicate any and all copyright interest")),
+    Template("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+        license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties
+        to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant,
+        this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies
+        or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+        ("accompanying documentation covered by this license", "machine executable object code")),
+)
 
 
 @dataclass(frozen=True)
@@ -67,7 +117,7 @@ class Index:
 
     @classmethod
     def of(cls, templates: tuple[Template, ...] = TEMPLATES) -> Index:
-        words = [t.text.split() for t in templates]
+        words = [t.words for t in templates]
         frequency = Counter(w for ws in words for w in set(ws))
         idf = {w: math.log(len(templates) / n) for w, n in frequency.items()}
         # a template is found by its own rarest words; its phrases' words are looked up too
@@ -85,7 +135,9 @@ class Index:
 
 def normal(text: Column) -> Column:
     """Lower-case words with one space between, before and after them; one space if there are none."""
-    words = F.trim(F.regexp_replace(F.lower(text), _NOT_WORD, " "))
+    # only A-Z are lowered; the quick way does the same where there is nothing but ASCII
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    words = F.trim(F.regexp_replace(low, _NOT_WORD, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -115,43 +167,43 @@ def template_matches(padded: Column, index: Index, least_share: float, slack: in
     likely = None
     for phrase in sorted({t.phrases[0] for t in index.templates}):
         likely = padded.contains(f" {phrase} ") if likely is None else likely | padded.contains(f" {phrase} ")
-    table = F.from_json(F.lit(json.dumps({w: [{"t": t, "at": at} for t, at in p] for w, p in index.postings.items()})), "map<string,array<struct<t:int,at:int>>>")
+    posts = {w: [{"t": t, "at": at, "d": index.templates[t].drift} for t, at in p] for w, p in index.postings.items()}
+    table = F.from_json(F.lit(json.dumps(posts)), "map<string,array<struct<t:int,at:int,d:int>>>")
+    phrases = lambda t: [{"text": f" {p} ", "at": len(" ".join(t.words).partition(p)[0].split()), "n": len(p.split())} for p in t.phrases]
     known = F.from_json(
-        F.lit(json.dumps([{"label": t.label, "words": t.text.split(), "anchors": a, "phrases": [{"text": f" {p} ", "at": len(t.text.partition(p)[0].split()), "n": len(p.split())} for p in t.phrases]} for t, a in zip(index.templates, index.anchors, strict=True)])),
-        "array<struct<label:string,words:array<string>,anchors:int,phrases:array<struct<text:string,at:int,n:int>>>>",
+        F.lit(json.dumps([{"label": t.label, "words": sorted(set(t.words)), "n": len(t.words), "d": t.drift, "anchors": a, "phrases": phrases(t)} for t, a in zip(index.templates, index.anchors, strict=True)])),
+        "array<struct<label:string,words:array<string>,n:int,d:int,anchors:int,phrases:array<struct<text:string,at:int,n:int>>>>",
     )
     wide = 1 << 40
 
     def verified(words: Column, code: Column, hits: Column) -> Column:
-        """struct<label, score> of the template and offset in ``code`` with ``hits`` aligned rare words, or null."""
-
-        def of(t: Column, offset: Column) -> Column:
-            first = F.greatest(offset, F.lit(0))
-            cut = F.greatest(-offset, F.lit(0))
-            there = F.zip_with(t["words"], F.concat(F.array_repeat(F.lit(""), cut.cast("int")), F.slice(words, (first + 1).cast("int"), F.size(t["words"]) - cut.cast("int"))), lambda a, b: (a == F.coalesce(b, F.lit(""))).cast("int"))
-            share = F.aggregate(there, F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0))) / F.size(t["words"])
-
-            def near(p: Column) -> Column:
-                start = F.greatest(offset + p["at"] - slack, F.lit(0))
-                return F.concat(F.lit(" "), F.array_join(F.slice(words, (start + 1).cast("int"), p["n"] + 2 * slack), " "), F.lit(" ")).contains(p["text"])
+        """struct<label, score> of the template and offsets in ``code`` with ``hits`` rare words there, or null."""
 
+        def of(t: Column, first: Column) -> Column:
+            """``first``: the smallest offset; the others are less than twice the drift above."""
+            about = lambda at, n: F.slice(words, (F.greatest(first + at - slack, F.lit(0)) + 1).cast("int"), (n + 2 * (t["d"] + slack)).cast("int"))
+            share = F.size(F.array_intersect(t["words"], about(F.lit(0), t["n"]))) / F.size(t["words"])
+            near = lambda p: F.concat(F.lit(" "), F.array_join(about(p["at"], p["n"]), " "), F.lit(" ")).contains(p["text"])
             good = (hits * 2 >= t["anchors"]) & (share >= least_share) & F.forall(t["phrases"], near)
             return F.when(good, F.struct(t["label"].alias("label"), share.alias("score")))
 
-        return let(F.get(known, F.floor(code / wide).cast("int")), lambda t: of(t, F.pmod(code, F.lit(wide)) - wide // 2))
+        return let(F.get(known, F.floor(code / wide).cast("int")), lambda t: of(t, (F.pmod(code, F.lit(wide)) - wide // 2) * t["d"]))
 
     def of(words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda w, i: F.struct(F.element_at(table, w).alias("posts"), i.alias("i"))), lambda x: x["posts"].isNotNull())
-        codes = F.array_sort(F.flatten(F.transform(at, lambda x: F.transform(x["posts"], lambda p: p["t"].cast("long") * wide + (x["i"] - p["at"] + wide // 2)))))
+        # rare words are told by a hash table; the map is read for them only
+        at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*sorted(posts)), F.struct(F.element_at(table, w).alias("posts"), i.alias("i")))), lambda x: x.isNotNull())
+        # an offset counts in two overlapping ranges, so that no two near ones are parted
+        step = lambda x, p: F.floor((x["i"] - p["at"]) / p["d"]).cast("long") + wide // 2
+        codes = F.flatten(F.transform(at, lambda x: F.flatten(F.transform(x["posts"], lambda p: F.array(p["t"].cast("long") * wide + step(x, p), p["t"].cast("long") * wide + step(x, p) - 1)))))
 
         def tally(c: Column) -> Column:
             def runs(starts: Column) -> Column:
                 found = F.transform(starts, lambda s, j: verified(words, F.get(c, s), F.coalesce(F.get(starts, j + 1), F.size(c)) - s))
-                return F.filter(found, lambda x: x.isNotNull())
+                return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
             return let(run_starts(c), runs)
 
-        return let(codes, tally)
+        return let(F.array_sort(codes), tally)
 
     return F.when(likely, let(F.split(F.trim(padded), " ", -1), of))
 
@@ -160,7 +212,7 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None, base:
     """``docs`` without ``text``, with n_words, base (array<struct<word, label>>), found (array<struct<label, score>>).
 
     ``base`` are the plain phrases' places (words from 0), ``found`` the templates with at least ``least_share`` of
-    their words at one offset and every mandatory phrase within ``slack`` words of its place; both are empty arrays
+    their words near one offset and every mandatory phrase near its place (within the template's drift and ``slack`` words); both are empty arrays
     where there is nothing. A null text is empty and has no words. Repeated rows get equal results, an empty table gives no
     rows, whole texts are searched. Columns of the new names are replaced.
     """

@@ -458,3 +458,21 @@ def test_surrogates_of_a_whole_table(spark, small, texts):
             for k, v in pairs:
                 assert there.setdefault(k, v.lower()) == v.lower() and back.setdefault((k[0], v.lower()) if len(k) == 2 else (*k[:2], v.lower()), k) == k
     assert len(there) > 10
+
+
+def test_license_templates_with_other_words(spark):
+    full = {t.label: t.text for t in license_index.TEMPLATES if len(t.words) > 60}
+    mit = full["mit"]
+    rows = {
+        "mit": [mit, mit.replace("any person", "any and every single natural person"), mit.replace("hereby ", ""), f"{words(300, 1)} {mit.upper()} {words(300, 2)}", mit.replace("merge, publish, ", "").replace("IN NO EVENT", "UNDER NO CIRCUMSTANCES AND IN NO EVENT")],
+        "isc": [full["isc"]], "bsd,bsd-3-clause": [full["bsd-3-clause"].replace("the copyright holder nor", "the Example Corporation nor")], "zlib": [full["zlib"]], "bsl-1.0": [full["bsl-1.0"]],
+        "": [" ".join(random.Random(2).sample(mit.split(), len(mit.split()))), mit.replace("free of charge", "for a fee"), words(400, 3)],
+    }
+    cases = [(k, t) for k, ts in rows.items() for t in ts]
+    for r in license_index.scan(frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect():
+        assert ",".join(sorted({f.label for f in r.found})) == cases[r.doc_id][0], cases[r.doc_id]
+
+
+def test_license_words_lower_only_latin_letters(spark):
+    (r,) = spark.createDataFrame([("\u00c9COLE K\u212aX Mit",)], "t string").select(license_index.normal(F.col("t")).alias("n")).collect()
+    assert r.n == " \u00c9cole k\u212ax mit "
