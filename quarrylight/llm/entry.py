@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bin_packing, decontaminate, hash_tree, kneser_ney, license_index, ngram_join, order_minhash, pii_surrogates, secret_scan, toxicity
+from quarrylight.llm import base_queries, bin_packing, decontaminate, hash_tree, kneser_ney, license_index, ngram_join, order_minhash, pii_surrogates, secret_scan, toxicity
 from quarrylight.llm.shared import small_batches
 
 
@@ -80,7 +80,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_pii_surrogates, op4_order_minhash, op5_benchmark_decontamination, op6_kneser_ney, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
+    own = {f.__name__: f for f in (op1_secret_scan, op2_ngram_jaccard_join, op3_pii_surrogates, op4_order_minhash, op5_benchmark_decontamination, op6_kneser_ney, op7_toxicity, op8_hash_tree_sharding, op9_license_index, op10_best_fit_packing)}
+    return own | base_queries.queries(own)
 
 
 #: Sets of word 5-grams, all pairs that share one, and groups by recursion: the join without MinHash.
@@ -110,4 +111,4 @@ FROM g JOIN sets ON g.s = sets.s JOIN k ON k.node = sets.set_id LEFT JOIN m ON m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": _JOIN_SQL}
+    return {"op2_ngram_jaccard_join": _JOIN_SQL} | base_queries.SQL

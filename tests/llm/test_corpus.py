@@ -380,3 +380,25 @@ def test_kneser_ney_is_the_same_in_any_number_of_shards(spark, small):
         assert [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] == sorted(zip(a.tolist(), b.tolist(), strict=True))
     for keys in (np.array([3], np.uint64), np.array([1, 5, 1 << 40, (1 << 63) + 7], np.uint64), np.arange(9, dtype=np.uint64)):
         assert kneser_ney.unpacked(kneser_ney.packed(keys)).tolist() == keys.tolist()
+
+
+def test_shards_by_brute_force(spark, sf, texts):
+    import xxhash
+
+    def draw(key, salt):
+        seed = xxhash.xxh64_intdigest((key & (1 << 64) - 1).to_bytes(8, "little"), 42)
+        return -math.log(((xxhash.xxh64_intdigest(salt.encode(), seed) >> 11) + 0.5) / (1 << 53))
+
+    def descend(key, leaves):
+        at = None
+        for level, name in enumerate(("region", "rack", "shard")):
+            below = Counter()
+            for x in leaves:
+                if level == 0 or x[level - 1] == at:
+                    below[x[level]] += x[3]
+            at = min(below, key=lambda n: (draw(key, f"{name}/{n}") / below[n], n))
+        return at
+
+    leaves = hash_tree.tree(8)
+    for r in entry.op8_hash_tree_sharding(spark, sf).collect():
+        assert (r.shard, r.grown_shard) == (descend(r.doc_id, leaves), descend(r.doc_id, hash_tree.grown(leaves)))

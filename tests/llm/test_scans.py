@@ -476,3 +476,19 @@ def test_license_templates_with_other_words(spark):
 def test_license_words_lower_only_latin_letters(spark):
     (r,) = spark.createDataFrame([("\u00c9COLE K\u212aX Mit",)], "t string").select(license_index.normal(F.col("t")).alias("n")).collect()
     assert r.n == " \u00c9cole k\u212ax mit "
+
+
+def test_toxicity_by_brute_force(spark, sf, small, texts):
+    """The query's evidence against one pattern after another, without an automaton."""
+    model = toxicity.train(small, spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in entry.op7_toxicity(spark, sf).collect():
+        t = toxicity.fold(texts[r.doc_id] or "")
+        starts = lambda p, t=t: [m.start() for m in re.finditer(f"(?={re.escape(p)})", t)]
+        best = {}
+        for p, w in model.weights.items():
+            for at in starts(p):
+                best[at] = max(best.get(at, 0.0), w)
+        spared = [(at, at + len(p) + 2) for p in model.exceptions for at in starts(f" {p} ")]
+        left = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
+        assert r.hits == len(left) and math.isclose(r.toxic_weight, sum(left.values()), abs_tol=1e-9)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
