@@ -110,17 +110,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    at = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
+    at = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    at = staged(at.distinct(), name, at.count())
     was = mark(at)
     while was[0]:
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.min("b").alias("_low"), F.count("*").alias("_n")), name).withColumn("_low", F.least("a", "_low"))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("_low"), F.count("*").alias("_n")), name, 2 * was[0]).withColumn("_low", F.least("a", "_low"))
         large = join_counted(both, low, ["a"], "_n").where("b > a").select(F.col("_low").alias("a"), "b").distinct()
-        large = staged(large, name)
+        large = staged(large, name, was[0])
         # small star: b's neighbours below it, and b itself, are tied to the smallest of them
-        low = staged(large.groupBy("b").agg(F.min("a").alias("_low"), F.count("*").alias("_n")), name)
+        low = staged(large.groupBy("b").agg(F.min("a").alias("_low"), F.count("*").alias("_n")), name, was[0])
         small = join_counted(large, low, ["b"], "_n").where("a > _low").select(F.col("_low").alias("a"), F.col("a").alias("b"))
-        at = staged(small.union(low.select(F.col("_low").alias("a"), "b")).distinct(), name)
+        at = staged(small.union(low.select(F.col("_low").alias("a"), "b")).distinct(), name, 2 * was[0])
         now = mark(at)
         if now == was:
             break
@@ -211,10 +212,10 @@ def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands:
     mine = members.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("own"))  # one for each band at most
     # the bucket of each band, 0 where that is small; hashes are never 0 in practice, and a 0 would only be compared once more
     own = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.get(F.filter("own", lambda o: o["band"] == k), 0)["hash"], F.lit(0)))
-    about = staged(mine.select("id", own.alias("own")).join(sets, "id").withColumn("_len", F.size("grams")), "block-sets")
+    about = staged(mine.select("id", own.alias("own")).join(sets, "id").withColumn("_len", F.size("grams")), "block-sets", members.count())
     each = members.join(about.select("id", "_len"), "id").groupBy("band", "hash").agg(F.max("_len").alias("_most"), F.count("*").alias("n"))
     each = each.withColumn("_each", F.least(F.greatest(F.ceil(F.col("n") / 64), F.lit(block)), F.lit(most_block), F.greatest(F.floor(most_grams / F.greatest("_most", F.lit(1))), F.lit(1))))
-    each = staged(each.select("band", "hash", "n", F.ceil(F.col("n") / F.col("_each")).cast("int").alias("_blocks")), "block-sizes")
+    each = staged(each.select("band", "hash", "n", F.ceil(F.col("n") / F.col("_each")).cast("int").alias("_blocks")), "block-sizes", members.count())
     dealt = join_counted(members.select("id", "band", "hash"), each, ["band", "hash"], "n")
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("id", "band"), F.col("_blocks")).cast("int")).join(about, "id")
     met = F.explode(F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("p"), F.greatest(j, F.col("_own")).alias("q"))))
@@ -284,10 +285,12 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     keyed = row_keys(docs, id_, key, text)
     texts = keyed.select(F.col(id_).alias("id"), F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     sketches = staged(sketch(texts, words, bands, rows), "sketches")
-    sets = staged(sketches.groupBy("set_a", "set_b").agg(F.min("id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
+    sets = staged(sketches.groupBy("set_a", "set_b").agg(F.min("id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets", sketches.count())
+    n_sets = sets.count()
     banded = sets.select(F.col("set_id").alias("id"), F.posexplode("bands").alias("band", "hash"))
-    sizes = staged(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    met = staged(join_counted(banded, sizes, ["band", "hash"], "n"), "buckets")
+    sizes = staged(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes", bands * n_sets)
+    n_met = sizes.agg(F.sum("n")).first()[0] or 0
+    met = staged(join_counted(banded, sizes, ["band", "hash"], "n"), "buckets", n_met)
     large = met.where(F.col("n") > small)
     x, y = met.where(F.col("n") <= small).alias("x"), met.where(F.col("n") <= small).alias("y")
     same = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))
@@ -296,13 +299,13 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     of = large.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("_of"))
     of_a, of_b = (of.select(F.col("id").alias(c), F.col("_of").alias(f"_{c}")) for c in "ab")
     pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False)))
-    pairs = staged(pairs.select("a", "b"), "candidates")
+    pairs = staged(pairs.select("a", "b"), "candidates", small * n_met)
     # a set's text is that of a row with its id
     members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id"))
     grams = staged(gram_sets(texts, members, words).dropDuplicates(["id"]), "gram-sets")
     sized = sets.select(F.col("set_id").alias("id"), "copies")
     blocked = staged(blocked_links(large, sized.join(grams, "id"), threshold, bands), "blocked-links")
-    single = staged(verified_pairs(grams, pairs, threshold), "links")
+    single = staged(verified_pairs(grams, pairs, threshold), "links", pairs.count())
     links = single.union(blocked.where("b is not null").select("a", "b", "jaccard"))
     grouped = components(links.select("a", "b"))
     ends = single.select(F.col("a").alias("set_id"), F.col("b").alias("id")).union(single.select(F.col("b").alias("set_id"), F.col("a").alias("id")))
@@ -310,5 +313,5 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     linked = counted.groupBy("set_id").agg(F.sum("n").alias("_linked"))
     about = sets.select("set_a", "set_b", "set_id", "copies").join(linked, "set_id", "left").join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left")
     about = about.select("set_a", "set_b", "set_id", F.coalesce("component", "set_id").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("_linked", F.lit(0))).cast("long").alias("n_links"))
-    about = staged(about, "set-classes")
+    about = staged(about, "set-classes", n_sets)
     return join_counted(sketches.select(F.col("key").alias(key), "set_a", "set_b"), about, ["set_a", "set_b"], "copies").select(key, "class_id", "set_id", "n_links"), links

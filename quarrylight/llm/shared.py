@@ -25,9 +25,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors."""
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors.
+
+    ``rows``, where a bound of them is known, keeps small narrow tables from becoming very many files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // 20_000)))
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -96,14 +101,16 @@ def salted(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, parts: int = 1000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, most_broadcast: int = 100_000, parts: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``table``, which has a row for each key and in ``n`` how many of ``rows`` have it.
 
-    Keys that hold more than one part in ``parts`` of all rows, of which there are less than ``parts``, are broadcast, so
-    that their rows stay where they are; the others are joined by shuffle, where no key is large. Both sides are read
-    twice. Rows whose key is not in ``table`` are left out.
+    A table of at most ``most_broadcast`` rows is broadcast. Beyond, only the keys that hold more than one part in ``parts`` of
+    all rows are, of which there are less than ``parts``, so that their rows stay where they are; the others are joined by
+    shuffle, where no key is large. Both sides are read twice then. Rows whose key is not in ``table`` are left out.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
+    total, groups = table.agg(F.sum(n), F.count("*")).first()
+    if groups <= most_broadcast:
+        return rows.join(F.broadcast(table), keys)
     hot = F.broadcast(table.where(F.col(n) * parts > total))
     cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) * parts <= total), keys)
     return rows.join(hot, keys).unionByName(cold)

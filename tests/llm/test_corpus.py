@@ -402,3 +402,15 @@ def test_shards_by_brute_force(spark, sf, texts):
     leaves = hash_tree.tree(8)
     for r in entry.op8_hash_tree_sharding(spark, sf).collect():
         assert (r.shard, r.grown_shard) == (descend(r.doc_id, leaves), descend(r.doc_id, hash_tree.grown(leaves)))
+
+
+def test_counted_joins_split_hot_keys(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylight.llm.shared import join_counted
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 7")
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    for most in (10**6, 0):
+        assert sorted(map(tuple, join_counted(rows, table, ["k"], "n", most, 50).collect())) == want
