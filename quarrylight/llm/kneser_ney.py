@@ -28,7 +28,7 @@ from quarrylight.llm.shared import blocks, checkpoint_dir, mix, sliced, staged,
 
 _END = np.array([0xE4D0F5EA7EC3A1B7], dtype=np.uint64)
 _BLOCK = 1 << 20
-_HELD = 3_000_000
+_HELD = 1_500_000
 _MOST_SHARDS = 1 << 16
 #: A shard has about so many tokens, until there are ``_MOST_SHARDS``.
 _TOKENS_A_SHARD = 1_000_000
