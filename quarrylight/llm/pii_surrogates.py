@@ -46,7 +46,9 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _OF_GIVEN = {n.lower(): (s, g) for (s, g), ns in GIVEN.items() for n in ns}
 _WORD = r"[^\W\d_a-zа-я][\w'’-]+"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})(\.?[  ])({_WORD}(?:[  ]{_WORD}){{0,2}})")
-_LISTED = re.compile(rf"(?<!\w)({'|'.join(n for (s, _), ns in GIVEN.items() if s != 'han' for n in ns)})([  ])({_WORD})(?!\w)")
+#: A word before a capitalised one, which may be a given name before a surname.
+_BEFORE_NAME = re.compile(rf"(?<!\w)([^\W\d_a-zа-я]\w*)(?=[\x20\xa0]({_WORD})(?!\w))")
+_KNOWN = frozenset(n for (s, _), ns in GIVEN.items() if s != "han" for n in ns)
 _HAN = re.compile(rf"([{HAN_SURNAMES}])([一-鿿]{{0,2}})({'|'.join(HAN_TITLES)})")
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9.+_-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
@@ -247,7 +249,15 @@ def persons(text: str) -> list[list[tuple[int, int, str, str]]]:
     a word stands alone in the text or is named without its title.
     """
     spans = [(m.start(3), m.end(3)) for m in _TITLED.finditer(text)]
-    spans += [x for m in _LISTED.finditer(text) for x in [m.span()] if not any(a < x[1] and b > x[0] for a, b in spans)]
+    titled, at = len(spans), -1
+    for m in _BEFORE_NAME.finditer(text):
+        if m[1] in _KNOWN:
+            if m.start() < at:  # several given names in a row are one person's
+                spans[-1] = (spans[-1][0], m.end(2))
+                at = m.end(2)
+            elif not any(a < m.end(2) and b > m.start() for a, b in spans[:titled]):
+                spans.append((m.start(), m.end(2)))
+                at = m.end(2)
     if not text.isascii():
         spans += [(m.start(1), m.end(2)) for m in _HAN.finditer(text)]
     found = [name_words(text, a, b) for a, b in sorted(spans)]
