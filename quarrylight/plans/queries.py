@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import classify, dsl, text, web
 from quarrylight.operators import dedup, diff, filters, joins, normalize, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
+from quarrylight.plans import sources
 from quarrylight.plans.fixtures import assets
 from quarrylight.streaming import progress
 
@@ -724,3 +725,8 @@ def f5(spark, sf):
     own = assets(spark, sf).select("seq", *normalize.flat())
     out = imports.from_own_export(own.select("seq", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in own.columns if c != "seq"]))
     return out.select("seq", "host", "port", F.array_join("products", ",").alias("products"), "source")
+
+
+@query("s_all_sources", sources.expected_sql())
+def s_all(spark, sf):
+    return sources.read_all(spark, sf)

@@ -6,14 +6,14 @@ rows are and which path each column has; everything else is the same for all. No
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.model import as_assets
-from quarrylight.operators.filters import capped
 from quarrylight.operators.normalize import normalized
 
 
@@ -24,8 +24,9 @@ class Connector:
     ``columns`` and ``raw``: path in a row, ``a|b`` for the first that is there, ``$`` for the row itself, ``@`` for the target,
     ``^path`` for a path from the body's root. ``many``: a path in a row whose elements are rows of their own (``$``
     then is the element, other paths still start at the row). ``form``: json, ndjson (a line a body), lines (plain
-    lines), csv (``host,ip`` lines), table (an array of arrays, the first with names). ``refuse``: a part of the
-    body that means an error. ``dynamic``: a path whose value is one more tag.
+    lines, but for comments), csv (``host,ip`` lines), table (an array of arrays, the first with names), html (the cells of
+    table rows). ``refuse``: a part of the body that means an error. ``dynamic``: a path whose value is one more tag.
+    ``named``: only rows whose text holds the target.
     """
 
     name: str
@@ -39,6 +40,7 @@ class Connector:
     many: str = ""
     refuse: str = ""
     dynamic: str = ""
+    named: bool = False
 
 
 _HOST = {"host": "$", "domain": "$"}
@@ -110,14 +112,23 @@ CONNECTORS = {
         Connector("fullhunt", "domain,ip,keyword", 100, "hosts|data", {"host": "host", "ip": "ip", "port": "port", "title": "title", "service": "service", "country": "country", "city": "city"}, {}, "fullhunt,asset"),
         Connector("maltiverse", "ip,domain,hash", 50, "", {"host": "@"}, _same("malicious", "confidence", "description"), "malicious,maltiverse"),
         Connector("zerozone", "domain,ip,keyword,company", 5000, "data|data.list", {"ip": "msg.ip|ip", "domain": "domain|root_domain", "url": "url", "org": "company|group", "icp": "beian|icp", "update_time": "timestamp"}, {}, "engine,zerozone"),
+        Connector("abusech", "ip,domain", 50, "", {"ip": "$", "title": "$"}, {}, "malware,c2,feodo", "lines", named=True),
+        Connector("abusech_urlhaus", "ip,domain", 50, "", {"url": "$", "title": "$"}, {}, "malware,urlhaus", "lines", named=True),
+        Connector("bdziyi_fofa", "domain", 500, "results", {"url": "0", "host": "0", "ip": "1", "title": "2", "port": "3", "protocol": "5"}, {}, "bdziyi,fofa-proxy", refuse='"error":true'),
+        Connector("bdziyi_icp", "domain,company,keyword", 500, "result", {"domain": "domain|@", "host": "domain|@", "org": "unitName", "icp": "serviceLicence|mainLicence", "update_time": "updateRecordTime", "title": "unitName"}, {"nature": "natureName", "content": "contentTypeName"}, "bdziyi,bdziyi-icp"),
+        Connector("bdziyi_ze", "domain", 500, "data|results", {"ip": "ip", "port": "port", "host": "domain|hostname", "domain": "domain", "title": "title.0|title", "isp": "isp.name|organization.name", "country": "country.name|country", "province": "province.name|province", "city": "city.name|city", "server": "header.server.name|server", "protocol": "service|protocol"}, {"asn": "asn"}, "bdziyi,ze-proxy"),
+        Connector("beianx", "domain,company,keyword", None, "", {"org": "1", "icp": "3", "title": "4", "domain": "5", "host": "5", "update_time": "6"}, {}, "icp,beianx", "html"),
+        Connector("company_structure_api", "company", 500, "enterprise_info|investment_info|icp_info|app_info|wechat_info", {"host": "domain|website", "domain": "domain|website", "title": "name|domain"}, {"name": "name", "website": "website", "share_ratio": "share_ratio", "icp_num": "icp_num", "platform": "platform", "type": "type"}, "company"),
+        Connector("zerozone_extra", "domain,company", 100, "data|data.list", {"host": "domain", "domain": "domain|root_domain", "ip": "msg.ip", "url": "url", "title": "title|name", "org": "company|owner", "icp": "icp", "update_time": "timestamp_update|timestamp"}, {}, "zerozone"),
     )
 }
 for _alias, _name in (("shodan_engine", "shodan"), ("zoomeye_engine", "zoomeye")):
     CONNECTORS[_alias] = CONNECTORS[_name]
 
-#: Sources of the inventory that are not read: lookups of persons and credentials, sources without a response format, absent ones.
+#: Sources of the inventory that are not read: lookups of persons and of credentials; and two without a fixed response format.
 NOT_READ = (
-    "hibp", "emailrep", "hunter_io", "hunter_verify", "hudsonrock", "intelx", "proxynova_combo", "psbdmp", "skymem", "pgpkeys", "employee_dork", "netdisk_search", "secret_scan", "ci_secret_search", "supply_vendor",
+    "hibp", "emailrep", "hunter_io", "hunter_verify", "hudsonrock", "intelx", "proxynova_combo", "psbdmp", "skymem", "pgpkeys", "employee_dork", "secret_scan", "ci_secret_search",
+    "netdisk_search", "supply_vendor",
 )
 #: Sources that analyse texts or pages at hand; their work is in the functions named.
 BY_FUNCTION = {
@@ -126,10 +137,28 @@ BY_FUNCTION = {
 }
 
 
-def _path(root: Column, path: str) -> Column:
-    """A path with dots in a variant; numbers are array places."""
-    steps = "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split("."))
-    return F.try_variant_get(root, steps, "variant")
+def _steps(path: str) -> str:
+    """A path with dots as a variant path; numbers are array places. ``@``, ``$`` and ``^`` stay marks of their own."""
+    if path in ("@", "$"):
+        return path
+    root = "^" if path.startswith("^") else ""
+    return root + "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.removeprefix("^").split(".") if p)
+
+
+def _config(name: str, c: Connector) -> dict:
+    specs = lambda d: [{"name": k, "paths": [_steps(p) for p in v.split("|")]} for k, v in d.items()]
+    return {
+        "source": name, "form": c.form, "rows": [_steps(p) for p in c.rows.split("|")], "columns": specs(c.columns), "raw": specs(c.raw), "tags": [t for t in c.tags.split(",") if t],
+        "many": _steps(c.many) if c.many else None, "refuse": c.refuse or None, "dynamic": [_steps(c.dynamic)] if c.dynamic else [], "cap": c.cap, "named": c.named,
+    }
+
+
+_SPECS = "array<struct<name:string,paths:array<string>>>"
+_CONFIG = f"array<struct<source:string,form:string,rows:array<string>,columns:{_SPECS},raw:{_SPECS},tags:array<string>,many:string,refuse:string,dynamic:array<string>,cap:int,named:boolean>>"
+
+
+def _get(v: Column, path: Column, kind: str = "variant") -> Column:
+    return F.call_function("try_variant_get", v, path, F.lit(kind))
 
 
 def _text(v: Column) -> Column:
@@ -137,77 +166,79 @@ def _text(v: Column) -> Column:
     return F.nullif(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)), F.lit(""))
 
 
-def _pick(spec: str, root: Column, row: Column, element: Column, target: Column) -> Column:
-    options = []
-    for p in spec.split("|"):
-        if p == "@":
-            options.append(target)
-        elif p == "$":
-            options.append(_text(element))
-        elif p.startswith("^"):
-            options.append(_text(_path(root, p[1:])))
-        else:
-            options.append(_text(_path(row, p)))
-    return F.coalesce(*options)
+def _texts(values: Column) -> Column:
+    """Texts as an array of variants."""
+    return F.try_variant_get(F.try_parse_json(F.to_json(values)), "$", "array<variant>")
 
 
-def project(landed: DataFrame, c: Connector) -> DataFrame:
-    """One connector's rows of ``landed`` (target, body, seq) as assets, at most its cap for each target, in order."""
-    df = landed.where(~F.col("body").contains(c.refuse)) if c.refuse else landed
-    base = ["target", "seq"]
-    if c.form in ("lines", "csv", "ndjson"):
-        lines = df.select(*base, F.posexplode(F.split("body", r"\r?\n")).alias("_at", "_line")).where("trim(_line) <> ''")
-        if c.form == "lines":
-            rows = lines.select(*base, "_at", F.try_parse_json(F.to_json(F.array(F.trim("_line")))).alias("_row"))
-            rows = rows.select(*base, "_at", F.lit(None).cast("variant").alias("_root"), _path(F.col("_row"), "0").alias("_row"))
-        elif c.form == "csv":
-            rows = lines.select(*base, "_at", F.lit(None).cast("variant").alias("_root"), F.try_parse_json(F.to_json(F.transform(F.split("_line", ","), lambda x: F.trim(x)))).alias("_row"))
-        else:
-            rows = lines.select(*base, "_at", F.lit(None).cast("variant").alias("_root"), F.try_parse_json("_line").alias("_row"))
-    elif c.form == "table":
-        own = df.select(*base, F.try_variant_get(F.try_parse_json("body"), "$", "array<array<string>>").alias("_t"))
-        cells = own.select(*base, F.get("_t", F.lit(0)).alias("_head"), F.posexplode("_t").alias("_at", "_cells")).where("_at > 0 AND size(_cells) = size(_head)")
-        rows = cells.select(*base, "_at", F.lit(None).cast("variant").alias("_root"), F.try_parse_json(F.to_json(F.map_from_arrays("_head", "_cells"))).alias("_row"))
-    else:
-        root = df.select(*base, F.try_parse_json("body").alias("_root"))
-        lists = []
-        for p in c.rows.split("|"):
-            at = _path(F.col("_root"), p) if p else F.col("_root")
-            lists.append(F.coalesce(F.try_variant_get(at, "$", "array<variant>"), F.when(at.isNotNull() & F.schema_of_variant(at).startswith("OBJECT"), F.array(at))))
-        none = F.array().cast("array<variant>")
-        rows = root.select(*base, "_root", F.posexplode(F.concat(*[F.coalesce(x, none) for x in lists])).alias("_at", "_row"))
-    if c.many:
-        inner = _path(F.col("_row"), c.many)
-        # some pack several values into one text, a line each
-        texts = F.try_parse_json(F.to_json(F.split(F.try_variant_get(inner, "$", "string"), "\n")))
-        elements = F.coalesce(F.try_variant_get(inner, "$", "array<variant>"), F.try_variant_get(texts, "$", "array<variant>"))
-        rows = rows.select(*base, "_at", "_root", "_row", F.posexplode(elements).alias("_sub", "_element"))
-    else:
-        rows = rows.select(*base, "_at", "_root", "_row", F.lit(0).alias("_sub"), F.col("_row").alias("_element"))
-    pick = lambda spec: _pick(spec, F.col("_root"), F.col("_row"), F.col("_element"), F.col("target"))
-    columns = {n: pick(p) for n, p in c.columns.items()}
-    if "port" in columns:
-        columns["port"] = columns["port"].try_cast("int")
-    entries = [F.struct(F.lit(k).alias("key"), pick(p).alias("value")) for k, p in c.raw.items()]
-    raw = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())) if entries else F.lit(None).cast("map<string,string>")
-    tags = F.array(*[F.lit(t) for t in c.tags.split(",") if t]).cast("array<string>")
-    if c.dynamic:
-        tags = F.array_compact(F.concat(tags, F.array(pick(c.dynamic))))
-    order = ["seq", "_at", "_sub"]
-    own = rows.select("target", *order, *[v.alias(k) for k, v in columns.items()], raw.alias("raw"), tags.alias("tags"), F.lit(c.name).alias("source"))
-    own = own.where(F.coalesce(*[F.col(k).cast("string") for k in columns]).isNotNull())
-    if c.cap:
-        own = capped(own, c.cap, "target", order)
-    return normalized(as_assets(own.drop("_at", "_sub")))
+def _first(paths: Column) -> Column:
+    """What the first of ``paths`` that leads somewhere gives."""
+
+    def of(p: Column) -> Column:
+        there = _get(F.when(p.startswith("^"), F.col("_root")).otherwise(F.col("_row")), F.ltrim(p, F.lit("^")))
+        return F.when(p == "@", F.col("target")).when(p == "$", _text(F.col("_element"))).otherwise(_text(there))
+
+    return F.get(F.filter(F.transform(paths, of), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _rows() -> Column:
+    """array<variant>: the rows of a body, by the form of its source."""
+    lines = F.filter(F.split("body", r"\r?\n"), lambda x: F.trim(x) != "")
+    plain = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: ~x.startswith("#"))
+    cells = F.try_variant_get(F.try_parse_json("body"), "$", "array<array<string>>")
+    named = F.transform(F.filter(F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1))), lambda r: F.size(r) == F.size(F.get(cells, 0))), lambda r: F.try_parse_json(F.to_json(F.map_from_arrays(F.get(cells, 0), r))))
+    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    table = F.transform(F.slice(F.split("body", r"(?i)<tr[\s>]"), 2, 1 << 30), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), tidy))
+    whole = lambda p: _get(F.col("_root"), p)
+    arrays = F.transform("rows", lambda p: F.coalesce(_get(F.col("_root"), p, "array<variant>"), F.when(whole(p).isNotNull() & F.schema_of_variant(whole(p)).startswith("OBJECT"), F.array(whole(p))), F.array().cast("array<variant>")))
+    return (
+        F.when(F.col("form") == "json", F.flatten(arrays))
+        .when(F.col("form") == "ndjson", F.transform(lines, lambda x: F.try_parse_json(x)))
+        .when(F.col("form") == "lines", _texts(plain))
+        .when(F.col("form") == "csv", F.transform(lines, lambda x: F.try_parse_json(F.to_json(F.transform(F.split(x, ","), lambda y: F.trim(y))))))
+        .when(F.col("form") == "html", F.transform(F.filter(table, lambda r: F.size(r) > 5), lambda r: F.try_parse_json(F.to_json(r))))
+        .otherwise(named)
+    )
 
 
 def ingest(landed: DataFrame, names: Iterable[str] = ()) -> DataFrame:
-    """All connectors' rows of ``landed`` (source, target, body, seq). Land it partitioned by source, and each one reads its own."""
-    out = None
-    for name in names or CONNECTORS:
-        one = project(landed.where(F.col("source") == name), CONNECTORS[name]).withColumn("source", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All connectors' rows of ``landed`` (source, target, body, seq) as assets, in one pass over it.
+
+    What to read where comes from a small table, one row a source, so a further source costs no further scan. A source
+    with a cap gives at most so many rows for each target, in order. Rows of sources not in ``names`` (if there are
+    any) or unknown ones give nothing.
+    """
+    return _ingest(landed, {n: CONNECTORS[n] for n in (names or CONNECTORS)})
+
+
+def project(landed: DataFrame, c: Connector) -> DataFrame:
+    """One connector's rows of ``landed`` (target, body, seq)."""
+    return _ingest(landed.withColumn("source", F.lit(c.name)), {c.name: c})
+
+
+def _ingest(landed: DataFrame, connectors: dict[str, Connector]) -> DataFrame:
+    spark = landed.sparkSession
+    known = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([_config(n, c) for n, c in connectors.items()])), _CONFIG)))
+    df = landed.select("source", "target", "body", "seq").join(F.broadcast(known), "source")  # a row for each connector
+    df = df.where(~F.coalesce(F.contains("body", "refuse"), F.lit(False)))
+    df = df.withColumn("_root", F.when(F.col("form") == "json", F.try_parse_json("body")))
+    df = df.select("*", F.posexplode(_rows()).alias("_at", "_row")).drop("body")
+    # some pack several values into one text, a line each
+    inner = _get(F.col("_row"), F.col("many"))
+    elements = F.coalesce(F.try_variant_get(inner, "$", "array<variant>"), _texts(F.split(F.try_variant_get(inner, "$", "string"), "\n")), F.array().cast("array<variant>"))
+    df = df.select("*", F.posexplode(F.when(F.col("many").isNotNull(), elements).otherwise(F.array("_row"))).alias("_sub", "_element"))
+    df = df.where(~F.col("named") | F.coalesce(F.contains(_text(F.col("_element")), F.col("target")), F.lit(False)))
+    of = F.map_from_entries(F.transform("columns", lambda c: F.struct(c["name"].alias("key"), _first(c["paths"]).alias("value"))))
+    raw = F.filter(F.transform("raw", lambda c: F.struct(c["name"].alias("key"), _first(c["paths"]).alias("value"))), lambda e: e["value"].isNotNull())
+    raw = F.when(F.size("raw") > 0, F.map_from_entries(raw))
+    df = df.select("source", "target", "seq", "_at", "_sub", "cap", of.alias("_of"), raw.alias("raw"), F.array_compact(F.concat("tags", F.array(_first(F.col("dynamic"))))).alias("tags"))
+    df = df.where(F.exists(F.map_values("_of"), lambda v: v.isNotNull()))
+    place = Window.partitionBy("source", "target").orderBy("seq", "_at", "_sub")
+    if any(c.cap for c in connectors.values()):
+        df = df.withColumn("_place", F.row_number().over(place)).where(F.col("cap").isNull() | (F.col("_place") <= F.col("cap")))
+    columns = sorted({k for c in connectors.values() for k in c.columns})
+    values = [F.col("_of")[k].try_cast("int").alias(k) if k == "port" else F.col("_of")[k].alias(k) for k in columns]
+    return normalized(as_assets(df.select("seq", "source", "raw", "tags", *values)))
 
 
 def read_landed(spark, path: str, source: str | None = None) -> DataFrame:
