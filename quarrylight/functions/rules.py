@@ -31,6 +31,8 @@ def specific(needle: str, least: int = 4) -> bool:
 def matched(responses: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
     """Distinct (key, product). ``responses``: key, header, body, title, cookie, favicon (text). ``rules``: rule, product, mode, place, needle."""
     own = rules.select("rule", "product", "mode", "place", F.lower("needle").alias("needle")).distinct()
+    # needles that say nothing are neither sought nor needed
+    own = own.where(~F.col("place").isin(*PLACES) | (F.length(F.trim("needle")) >= 2) & ~F.trim("needle").isin(*COMMON))
     needed = own.groupBy("rule").agg(F.count("*").alias("_needed"))
     sought = own.where(F.col("place").isin(*PLACES)).select("place", "needle").distinct()
     parts = max(1, -(-sought.count() // MOST_NEEDLES))

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions.bind import bound
+
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
 _MAIL = r"[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24}"
 _ANY_MAIL = r"([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,24})"
@@ -30,20 +32,20 @@ class Rule:
 
 # Labels, severities and patterns; whole matches are reported, groups or not.
 PII_RULES = (
-    Rule("phone_cn", "high", rf"{_B}1[3-9]\d{{9}}{_E}"),
-    Rule("idcard_cn_18", "high", rf"{_B}\d{{17}}[\dXx]{_E}"),
-    Rule("idcard_cn_15", "high", rf"{_B}\d{{15}}{_E}"),
-    Rule("bankcard_luhn", "high", rf"{_B}\d{{13,19}}{_E}", luhn=True),
+    Rule("phone_cn", "high", rf"{_B}1[3-9]\d{{9}}{_E}", r"1[3-9]\d{9}"),
+    Rule("idcard_cn_18", "high", rf"{_B}\d{{17}}[\dXx]{_E}", r"\d{17}"),
+    Rule("idcard_cn_15", "high", rf"{_B}\d{{15}}{_E}", r"\d{15}"),
+    Rule("bankcard_luhn", "high", rf"{_B}\d{{13,19}}{_E}", r"\d{13}", luhn=True),
     Rule("email", "mid", _MAIL, "@"),
-    Rule("vehicle_plate_cn", "mid", rf"(?i)[{_PLATE}使领][A-Z][A-Z0-9]{{4,5}}[A-Z0-9挂学警港澳]"),
+    Rule("vehicle_plate_cn", "mid", rf"(?i)[{_PLATE}使领][A-Z][A-Z0-9]{{4,5}}[A-Z0-9挂学警港澳]", rf"[{_PLATE}使领]"),
     Rule("passport_cn", "high", r"(?i)[GEP][A-Z0-9]{8}"),
-    Rule("mac", "mid", r"(?i)(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}"),
-    Rule("ipv4_private", "mid", rf"{_B}(?:10\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.)\d{{1,3}}\.\d{{1,3}}{_E}"),
-    Rule("qq", "mid", r"""(?i)(?:qq[\s号:：]{0,3}|qq[_-]?(?:no|number))["'`\s:=]+([1-9]\d{4,11})"""),
-    Rule("wechat", "mid", r"""(?i)(?:wechat|微信|wx[_-]id)["'`\s:=号：]+([a-zA-Z][a-zA-Z0-9_\-]{5,19})"""),
+    Rule("mac", "mid", r"(?i)(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}", r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"),
+    Rule("ipv4_private", "mid", rf"{_B}(?:10\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.)\d{{1,3}}\.\d{{1,3}}{_E}", r"\d\.\d{1,3}\.\d"),
+    Rule("qq", "mid", r"""(?i)(?:qq[\s号:：]{0,3}|qq[_-]?(?:no|number))["'`\s:=]+([1-9]\d{4,11})""", r"[Qq][Qq]"),
+    Rule("wechat", "mid", r"""(?i)(?:wechat|微信|wx[_-]id)["'`\s:=号：]+([a-zA-Z][a-zA-Z0-9_\-]{5,19})""", r"(?i)wechat|微信|wx[_-]id"),
     Rule("social_credit_code_cn", "high", r"[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}"),
-    Rule("us_ssn", "high", rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}{_E}"),
-    Rule("iban", "high", rf"{_B}[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{4}}\d{{7}}(?:[A-Z0-9]?){{0,16}}|[A-Z0-9]{{4}}\d{{14}}){_E}"),
+    Rule("us_ssn", "high", rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}{_E}", r"\d-\d\d-\d"),
+    Rule("iban", "high", rf"{_B}[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{4}}\d{{7}}(?:[A-Z0-9]?){{0,16}}|[A-Z0-9]{{4}}\d{{14}}){_E}", r"[A-Z]{2}\d{2}[A-Z0-9]{4}"),
 )
 EMAIL_RULES = (
     Rule("general", "mid", rf"(?i){_ANY_MAIL[1:-1]}", "@"),
@@ -82,9 +84,9 @@ def redacted(value: Column, label: Column) -> Column:
         .when((label == "social_credit_code_cn") & (n == 18), _ends(value, 6, "********", 4))
         .when(label == "us_ssn", F.concat(F.substring(value, 1, 3), F.lit("-**-****")))
         .when((label == "iban") & (n > 8), _ends(value, 4, "****", 4))
-        .when(label.isin(*[r.label for r in EMAIL_RULES]) & (n > 6), F.concat(F.substring(value, 1, 2), F.lit("****")))
-        .when((n > 8) & ~label.isin(*[r.label for r in PII_RULES]), F.concat(F.substring(value, 1, 4), F.lit("****")))
-        .otherwise(value)
+        .when(label == "passport_cn", F.concat(F.substring(value, 1, 4), F.lit("****")))
+        # what has no rule of its own, or does not have its form, shows its first two characters
+        .otherwise(F.concat(F.substring(value, 1, 2), F.lit("****")))
     )
 
 
@@ -98,7 +100,8 @@ def hits(text: Column, rules: Sequence[Rule], enable: Sequence[str] = (), disabl
         if r.luhn:
             found = F.filter(found, lambda v: F.call_function("luhn_check", v))
         if r.hint:
-            found = F.when(text.contains(r.hint), found).otherwise(F.array().cast("array<string>"))
+            there = text.rlike(r.hint) if len(r.hint) > 1 else text.contains(r.hint)
+            found = F.when(there, found).otherwise(F.array().cast("array<string>"))
         parts.append(_labelled(found, r))
     return F.concat(*parts)
 
@@ -137,8 +140,14 @@ def scan_ipv6(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
 def distinct_matches(text: Column, pattern: str, most: int | None = None, group: int = 0) -> Column:
     """Matches without regard to case, the first spelling of each, at most ``most``, sorted."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.trim(v))
-    first = F.filter(found, lambda v, i: F.array_position(F.transform(found, lambda w: F.lower(w)), F.lower(v)) == i + 1)
-    return F.array_sort(F.slice(first, 1, most) if most else first)
+    ordered = F.array_sort(F.transform(found, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("value"))))
+
+    def first(x: Column) -> Column:
+        heads = F.filter(x, lambda r, i: (i == 0) | (r["low"] != F.get(x, i - 1)["low"]))
+        kept = F.array_sort(F.transform(heads, lambda r: F.struct(r["at"].alias("at"), r["value"].alias("value"))))
+        return F.array_sort(F.transform(F.slice(kept, 1, most) if most else kept, lambda r: r["value"]))
+
+    return bound(ordered, first)
 
 
 def contacts(html: Column, most: int = 200) -> Column:

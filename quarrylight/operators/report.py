@@ -216,7 +216,7 @@ def parameters(urls: DataFrame, classify) -> DataFrame:
     """Per lower-cased query parameter of ``urls`` (url, ts, seq): count, risk kinds, first URL and value, first and last ts."""
     pairs = F.split(url_query(F.col("url")), "&")
     own = urls.select("url", "ts", "seq", F.posexplode(pairs).alias("at", "pair")).where("pair <> ''")
-    name = F.url_decode(F.replace(F.regexp_extract("pair", "^([^=]*)", 1), F.lit("+"), F.lit(" ")))
+    name = F.try_url_decode(F.replace(F.regexp_extract("pair", "^([^=]*)", 1), F.lit("+"), F.lit(" ")))
     own = own.select("url", "ts", "seq", "at", F.lower(name).alias("param"), F.substring(F.regexp_extract("pair", "=(.*)$", 1), 1, 80).alias("value"))
     own = own.where((F.col("param") != "") & (F.length("param") <= 60))
     # a URL counts once for a name, with the value that stands first

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarrylight.plans.queries import QUERIES, SQL
+from quarrylight.plans import queries as _queries  # noqa: F401
+from quarrylight.plans import text_queries as _text  # noqa: F401
+from quarrylight.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import classify, dsl, text, web
@@ -12,27 +9,9 @@ from quarrylight.operators import dedup, diff, filters, joins, normalize, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans import sources
 from quarrylight.plans.fixtures import assets
+from quarrylight.plans.registry import QUERIES, SQL, query, table
 from quarrylight.streaming import progress
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- SQL parts ---------------------------------------------------------------------------------------------------
 
 _EXPORT_SQL = ", ".join(f"array_to_string({c}, ',') AS {c}" if c in ("products", "cert_domains", "tags") else c for c in (
@@ -434,51 +413,11 @@ def c13(spark, sf):
 _MIX = "text || CASE doc_id % 10 WHEN 0 THEN ' 手机 13800138000 end' WHEN 1 THEN ' SSN 123-45-6789' WHEN 2 THEN ' ip 192.168.1.20.' WHEN 3 THEN ' mac 00:1A:2B:3C:4D:5E' ELSE '' END"
 
 
-@query("t1_pii_counts", f"WITH d AS (SELECT doc_id, {_MIX} AS t FROM documents), m AS (SELECT doc_id, 'email' AS label, len(regexp_extract_all(t, '[A-Za-z0-9._%+\\-]{{1,64}}@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,24}}')) AS n FROM d UNION ALL SELECT doc_id, 'us_ssn', len(regexp_extract_all(t, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b')) FROM d UNION ALL SELECT doc_id, 'mac', len(regexp_extract_all(t, '(?i)(?:[0-9A-F]{{2}}[:-]){{5}}[0-9A-F]{{2}}')) FROM d UNION ALL SELECT doc_id, 'phone_cn', len(regexp_extract_all(t, '\\b1[3-9]\\d{{9}}\\b')) FROM d UNION ALL SELECT doc_id, 'ipv4_private', len(regexp_extract_all(t, '\\b(?:10\\.|172\\.(?:1[6-9]|2[0-9]|3[01])\\.|192\\.168\\.)\\d{{1,3}}\\.\\d{{1,3}}\\b')) FROM d) SELECT label, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM m WHERE n > 0 GROUP BY label")
-def t1(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.expr(_MIX).alias("t"))
-    found = text.scan(d, "t", keep=("doc_id",), enable=("email", "us_ssn", "mac", "phone_cn", "ipv4_private"))
-    return found.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
-@query("t1_t3_pii_redacted")
-def t1_all(spark, sf):
-    return text.scan(table(spark, sf, "documents"), "text", keep=("doc_id",))
-
-
 @query("t2_luhn", "WITH n AS (SELECT p_partkey, CAST(4000000000000000 + p_partkey * 7919 AS VARCHAR) AS s FROM part), d AS (SELECT p_partkey, s, sum(CASE WHEN (16 - i) % 2 = 1 THEN CASE WHEN CAST(s[i] AS INT) * 2 > 9 THEN CAST(s[i] AS INT) * 2 - 9 ELSE CAST(s[i] AS INT) * 2 END ELSE CAST(s[i] AS INT) END) AS t FROM (SELECT p_partkey, s, unnest(generate_series(1, 16)) AS i FROM n) GROUP BY 1, 2) SELECT p_partkey, t % 10 = 0 AS valid FROM d")
 def t2(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.call_function("luhn_check", (F.lit(4000000000000000) + F.col("p_partkey") * 7919).cast("string")).alias("valid"))
 
 
-@query("t4_ipv6")
-def t4(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.expr("CASE doc_id % 4 WHEN 0 THEN ' 2001:db8:0:0:0:0:0:1 ' WHEN 1 THEN ' fe80::1 ' ELSE '' END")).alias("t"))
-    return text.scan_ipv6(d, "t", ("doc_id",))
-
-
-@query("t5_email_rules", "SELECT 'general' AS label, CAST(sum(len(regexp_extract_all(text, '(?i)[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.[a-z]{2,24}'))) AS BIGINT) AS n FROM documents")
-def t5(spark, sf):
-    return text.scan(table(spark, sf, "documents"), "text", text.EMAIL_RULES, enable=("general",)).groupBy("label").agg(F.count("*").alias("n"))
-
-
-@query("t6_contacts", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}'))), ',') AS emails FROM pages")
-def t6(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.array_join(text.contacts(F.col("html"))["emails"], ",").alias("emails"))
-
-
-@query("t7_trackers", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'G-ABCDEFGH' || CAST(10 + page_id % 50 AS VARCHAR) WHEN 1 THEN 'UA-12345-' || CAST(1 + page_id % 9 AS VARCHAR) ELSE '' END AS ids FROM pages")
-def t7(spark, sf):
-    ids = F.expr("CASE page_id % 3 WHEN 0 THEN concat('<script>G-ABCDEFGH', CAST(10 + page_id % 50 AS STRING), '</script>') WHEN 1 THEN concat('x UA-12345-', CAST(1 + page_id % 9 AS STRING), ' y') ELSE '' END")
-    return table(spark, sf, "pages").select("page_id", F.array_join(text.trackers(ids), ",").alias("ids"))
-
-
-@query("t8_t9_t10_script_strings")
-def t8(spark, sf):
-    body = F.concat(F.lit("fetch('/api/items/"), F.col("page_id").cast("string"), F.lit("'); new WebSocket(\"wss://h/ws\"); {\"sources\": [\"a.ts\", \"b.ts\"]}"))
-    return table(spark, sf, "pages").select("page_id", F.to_json(text.script_endpoints(body)).alias("endpoints"), F.array_join(text.source_map_files(body), ",").alias("sources"), text.source_map_url(F.col("url")).alias("map_url"))
-
-
 @query("x1_products", "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN page_id % 3 = 0 THEN 'Nginx' END, CASE WHEN contains(lower(html), '/wp-content/') OR page_id % 2 = 0 THEN 'WordPress' END, CASE WHEN contains(lower(html), 'struts') THEN 'Struts2' END], lambda x: x IS NOT NULL))), ',') AS products FROM pages")
 def x1(spark, sf):
     headers = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("Server"), F.lit("nginx/1.20.1"))).otherwise(F.create_map(F.lit("Date"), F.lit("x")))
@@ -487,12 +426,6 @@ def x1(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.array_join(web.products(headers, body, F.lit(None).cast("string"), rules), ",").alias("products"))
 
 
-@query("x1_products_all_rules")
-def x1_all(spark, sf):
-    headers = F.create_map(F.lit("Server"), F.lit("nginx"))
-    return table(spark, sf, "pages").select("page_id", F.array_join(web.products(headers, F.col("html"), F.lit("81586312")), ",").alias("products"))
-
-
 @query("x2_favicon_hash")
 def x2(spark, sf):
     return table(spark, sf, "pages").select("page_id", web.favicon_hash(F.col("html").cast("binary")).alias("icon_hash"))
@@ -520,11 +453,6 @@ def x7(spark, sf):
     return found.groupBy("page_id", F.col("f.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
-@query("x7_all_rules")
-def x7_all(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.inline(web.script_findings(F.concat("html", F.lit(" "), "url"))))
-
-
 @query("x9_x10_x21_pages")
 def x21(spark, sf):
     p = table(spark, sf, "pages")
@@ -542,12 +470,6 @@ def x11(spark, sf):
     return table(spark, sf, "pages").where(F.col("url").contains("?")).select("page_id", F.array_join(web.query_parameters(F.col("url")), ",").alias("names"))
 
 
-@query("x12_script_paths")
-def x12(spark, sf):
-    source = F.concat(F.lit("const u = '/api' + '/v1/"), F.col("page_id").cast("string"), F.lit("'; fetch(`/u/${id}/posts`);"))
-    return table(spark, sf, "pages").select("page_id", F.array_join(web.script_paths(source), ",").alias("paths"))
-
-
 @query("x13_robots_sitemaps", "SELECT page_id, o || '/a' AS allow, o || '/b,' || o || '/c' AS disallow, 'https://h/s.xml' AS sitemap, 'https://h/1,https://h/2' AS urls, 'https://h/n.xml' AS nested FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM pages)")
 def x13(spark, sf):
     body = F.lit("User-agent: *\nAllow: /a # x\nDisallow: /b\nDisallow: /c\nSitemap: https://h/s.xml\n")
