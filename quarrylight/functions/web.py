@@ -371,6 +371,36 @@ def path_finding(path: Column, status: Column, content_type: Column, body: Colum
     return F.coalesce(status.isin(200, 206) & ~fallback & F.when(need == "env", env).when(need == "json", json).otherwise(F.lit(True)), F.lit(False))
 
 
+# Paths that should not be served: (path, category, severity, what its body must be or have).
+PATH_RULES = (
+    ("/.git/HEAD", "git", "high", "ref: refs/"), ("/.git/config", "git", "high", "[core]|[remote"), ("/.gitignore", "git", "info", ""), ("/.svn/entries", "svn", "high", ""), ("/.hg/store/00manifest.i", "hg", "high", ""),
+    ("/.bzr/branch-format", "bzr", "high", ""), ("/.env", "env", "critical", "env"), ("/.env.local", "env", "critical", "env"), ("/.env.production", "env", "critical", "env"), ("/config.json", "config", "medium", "json"),
+    ("/config.yaml", "config", "medium", ""), ("/config.yml", "config", "medium", ""), ("/web.config", "config", "high", ""), ("/appsettings.json", "config", "high", "json"), ("/.DS_Store", "macos", "medium", ""),
+    ("/Thumbs.db", "windows", "low", ""), ("/backup.zip", "backup", "high", ""), ("/backup.tar.gz", "backup", "high", ""), ("/backup.sql", "backup", "critical", ""), ("/db.sql", "backup", "critical", ""),
+    ("/database.sql", "backup", "critical", ""), ("/dump.sql", "backup", "critical", ""), ("/wp-config.php.bak", "backup", "critical", ""), ("/wp-config.php~", "backup", "critical", ""), ("/.ssh/id_rsa", "ssh", "critical", "PRIVATE KEY"),
+    ("/.aws/credentials", "aws", "critical", "aws_access_key_id|[default]"), ("/.aws/config", "aws", "high", ""), ("/robots.txt", "discovery", "info", "user-agent|disallow"), ("/sitemap.xml", "discovery", "info", "<urlset|<sitemapindex"),
+    ("/sitemap_index.xml", "discovery", "info", ""), ("/security.txt", "discovery", "info", ""), ("/.well-known/security.txt", "discovery", "info", ""), ("/crossdomain.xml", "discovery", "low", ""),
+    ("/clientaccesspolicy.xml", "discovery", "low", ""), ("/swagger.json", "api", "medium", "json"), ("/swagger/v1/swagger.json", "api", "medium", "json"), ("/swagger-ui.html", "api", "medium", ""), ("/v2/api-docs", "api", "medium", ""),
+    ("/v3/api-docs", "api", "medium", ""), ("/openapi.json", "api", "medium", "json"), ("/graphql", "api", "low", ""), ("/server-status", "monitoring", "low", ""), ("/server-info", "monitoring", "low", ""), ("/nginx_status", "monitoring", "low", ""),
+    ("/phpinfo.php", "monitoring", "medium", ""), ("/info.php", "monitoring", "medium", ""), ("/test.php", "monitoring", "low", ""), ("/actuator", "actuator", "low", ""), ("/actuator/health", "actuator", "info", ""),
+    ("/actuator/env", "actuator", "high", ""), ("/actuator/heapdump", "actuator", "critical", ""), ("/actuator/mappings", "actuator", "low", ""), ("/actuator/loggers", "actuator", "low", ""), ("/env", "actuator", "high", ""),
+    ("/dump", "actuator", "high", ""), ("/trace", "actuator", "low", ""), ("/phpmyadmin/", "admin", "low", ""), ("/admin/", "admin", "info", ""), ("/console/", "admin", "low", ""), ("/druid/index.html", "admin", "medium", ""),
+    ("/jolokia/list", "admin", "medium", ""), ("/_cat", "admin", "medium", ""), ("/package.json", "project", "info", "json"), ("/composer.json", "project", "info", ""), ("/composer.lock", "project", "info", ""),
+    ("/Gemfile.lock", "project", "info", ""), ("/yarn.lock", "project", "info", ""),
+)
+
+
+def path_findings(responses: DataFrame, rules: Sequence[tuple[str, str, str, str]] = PATH_RULES) -> DataFrame:
+    """Recorded ``responses`` (url, path, status, content_type, body) whose path a rule names and whose body confirms it: url, path, category, severity."""
+    spark = responses.sparkSession
+    table = spark.range(1).select(F.inline(constants([dict(zip(("path", "category", "severity", "need"), r, strict=True)) for r in rules], "path: string, category: string, severity: string, need: string")))
+    met = responses.join(F.broadcast(table), "path")
+    own = F.col("need").isin("", "env", "json")
+    has = own | F.exists(F.split("need", r"\|"), lambda x: F.contains(F.lower("body"), F.lower(x)))
+    good = path_finding(F.col("path"), F.col("status"), F.col("content_type"), F.col("body"), F.when(own, F.col("need")).otherwise(""))
+    return met.where(good & has).select("url", "path", "category", "severity")
+
+
 def severity_rank(s: Column) -> Column:
     return F.when(s == "critical", 5).when(s == "high", 4).when(s == "medium", 3).when(s == "low", 2).otherwise(1)
 
@@ -389,11 +419,21 @@ SERVICES = {
     5900: "vnc", 5938: "teamviewer", 5984: "couchdb", 5985: "winrm", 5986: "winrm-https", 6000: "x11", 6379: "redis", 6443: "kubernetes-api", 6667: "irc", 7001: "weblogic",
     7077: "spark", 7474: "neo4j", 8000: "http-alt", 8001: "http-alt", 8008: "http-alt", 8009: "ajp", 8080: "http-proxy", 8081: "http-alt", 8086: "influxdb", 8088: "hadoop-rm-ui",
     8161: "activemq", 8200: "vault", 8443: "https-alt", 8500: "consul", 8888: "http-alt", 9000: "sonar", 9042: "cassandra", 9090: "prometheus", 9092: "kafka", 9100: "printer",
+    7: "echo", 9: "discard", 13: "daytime", 17: "qotd", 19: "chargen", 199: "smux", 444: "snpp", 543: "klogin", 544: "kshell", 563: "nntps", 646: "ldp", 1025: "msrpc", 1158: "oracle-em",
+    1604: "icabrowser", 1755: "wms", 2000: "cisco-sccp", 2086: "whm", 2087: "whm-ssl", 2095: "webmail", 2096: "webmail-ssl", 2121: "ftp-alt", 2483: "oracle-tns", 2484: "oracle-tns-ssl", 2638: "sybase",
+    3001: "node-alt", 3269: "ldaps-gc", 4000: "icq", 4444: "krb524", 4500: "ipsec-nat-t", 5001: "commplex-link", 5269: "xmpp-server", 5353: "mdns", 5555: "freeciv", 5683: "coap", 5800: "vnc-http",
+    6697: "ircs", 7000: "afs3", 7002: "weblogic-ssl", 7547: "tr-069", 7777: "cba8", 8010: "xmpp-conference", 8020: "hadoop-namenode", 8042: "hadoop-rm", 8069: "odoo", 8087: "graylog", 8089: "splunk",
+    8090: "atlassian-confluence", 8091: "couchbase-mgmt", 8333: "bitcoin", 8388: "shadowsocks", 8530: "wsus", 8531: "wsus-ssl", 8649: "ganglia", 8686: "jmx", 8761: "eureka", 8834: "nessus", 9001: "tor",
+    9060: "websphere", 9091: "transmission-rpc", 9999: "abyss", 12345: "netbus", 16992: "amt", 16993: "amt-ssl", 20000: "dnp", 25565: "minecraft", 27018: "mongodb-shard", 27019: "mongodb-config",
+    28017: "mongodb-http", 32400: "plex", 37777: "dahua-dvr", 47808: "bacnet", 49152: "msrpc", 50030: "hadoop-jobtracker", 50060: "hadoop-tasktracker", 50070: "hadoop-namenode-ui", 50075: "hadoop-datanode",
     9200: "elasticsearch", 9300: "elastic-tcp", 9418: "git", 10000: "webmin", 10250: "kubelet", 11211: "memcached", 15672: "rabbitmq-mgmt", 27017: "mongodb", 50000: "ibm-db2",
 }
 
 
 def port_service(port: Column, services: dict[int, str] | None = None) -> Column:
+    """The usual service of a port; of 6660 to 6667 all are chat ports."""
+    if services is None:
+        return F.when(port.between(6660, 6667), "irc").otherwise(port_service(port, SERVICES))
     return F.element_at(F.create_map(*[F.lit(x) for pair in (services or SERVICES).items() for x in pair]), port)
 
 

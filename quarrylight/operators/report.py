@@ -230,6 +230,31 @@ def progress(events: DataFrame) -> DataFrame:
     return events.agg(F.count_if(F.col("phase") == "start").alias("started"), F.count_if(F.col("phase") == "done").alias("finished"), F.count_if((F.col("phase") == "done") & F.col("err").isNotNull()).alias("failed"))
 
 
+def vendor_statistics(hosts: DataFrame) -> DataFrame:
+    """(name, n) of ``hosts`` (host, cdn, vendors, origins): hosts, those behind a network, origin candidates, and hosts of each vendor."""
+    totals = hosts.agg(F.count("*").alias("hosts"), F.count_if("cdn").alias("hosts_with_cdn"), F.coalesce(F.sum(F.size(F.coalesce("origins", F.array().cast("array<string>")))), F.lit(0)).alias("origin_candidates"))
+    named = totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in totals.columns])))
+    vendors = hosts.select("host", F.explode("vendors").alias("v")).groupBy(F.concat(F.lit("vendor:"), "v").alias("name")).agg(F.count("*").alias("n"))
+    return named.unionByName(vendors)
+
+
+def page_statistics(pages: DataFrame) -> DataFrame:
+    """One row of sums over ``pages`` (err, status and the lists emails, phones, icp_numbers, meta, external_links, robots_paths, sitemap_urls)."""
+    good = (F.coalesce("err", F.lit("")) == "") & (F.coalesce("status", F.lit(0)) != 0)
+    lists = ("emails", "phones", "icp_numbers", "meta", "external_links", "robots_paths", "sitemap_urls")
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).alias(c)
+    return pages.agg(F.count("*").alias("targets"), F.count_if(good).alias("ok"), F.count_if(~good).alias("errors"), *[size(c) for c in lists if c in pages.columns])
+
+
+def crawl_statistics(pages: DataFrame) -> DataFrame:
+    """One row over ``pages`` (url, content_type, err, matches: array<struct<type, rule, value>>): pages, errors, scripts, distinct endpoints and distinct secrets."""
+    script = F.lower("content_type").contains("javascript") | F.lower("url").endswith(".js")
+    sums = pages.agg(F.count("*").alias("pages"), F.count_if(F.coalesce("err", F.lit("")) != "").alias("errors"), F.count_if(F.coalesce(script, F.lit(False))).alias("scripts"))
+    # distinct values are counted by groups, which combine before the shuffle
+    found = pages.select(F.explode("matches").alias("m")).select(F.col("m.type").alias("type"), F.when(F.col("m.type") == "secret", F.col("m.rule")).alias("rule"), F.col("m.value").alias("value")).distinct()
+    return sums.crossJoin(found.agg(F.count_if(F.col("type") == "endpoint").alias("endpoints"), F.count_if(F.col("type") == "secret").alias("secrets")))
+
+
 SHEETS = {
     "detail": detail, "summary": summary, "by_source": by_source, "by_port": by_port, "by_product": by_product, "by_country": by_country, "by_city": by_city, "by_org": by_org,
     "root_domains": root_domains, "by_tag": by_tag, "paths": paths, "emails": emails, "apps": apps, "supply": supply, "leak_index": leak_index, "sensitive_paths": sensitive_paths,

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.model import COLUMNS, EXPORT, LISTS, as_assets
-from quarrylight.operators.dedup import key_of
 from quarrylight.operators.filters import target_list
 from quarrylight.operators.normalize import normalized
 
@@ -49,7 +48,7 @@ def _assets(df: DataFrame, fields: Mapping[str, Sequence[str]], raw: Sequence[st
     extra = F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.lit(None).cast("map<string,string>")
     seq = F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()
     out = df.select(*[c.alias(n) for n, c in {**own, **more}.items()], extra.alias("raw"), F.lit(source).alias("source"), seq.alias("seq"))
-    return normalized(as_assets(out)).where(key_of("smart").isNotNull())
+    return normalized(as_assets(out)).where(F.coalesce("host", "domain", "url", "ip").isNotNull())
 
 
 def from_fofa(rows: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def from_own_export(rows: DataFrame, least: int = 5) -> DataFrame | None:
     own = [split_list(filled(rows, (c,))).alias(c) if c in LISTS else whole_number(F.col(c)).alias(c) if c == "port" else filled(rows, (c,)).alias(c) for c in known]
     seq = F.col("seq") if "seq" in rows.columns else F.monotonically_increasing_id()
     out = as_assets(rows.select(*own, seq.alias("seq")))
-    return normalized(out.withColumn("source", F.coalesce("source", F.lit("recon_xlsx")))).where(key_of("smart").isNotNull())
+    return normalized(out.withColumn("source", F.coalesce("source", F.lit("recon_xlsx")))).where(F.coalesce("host", "domain", "url", "ip").isNotNull())
 
 
 def detect(columns: Sequence[str]) -> str:

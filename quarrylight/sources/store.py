@@ -2,69 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import html
+import io
+import time
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.model import COLUMNS, EXPORT, LISTS
 from quarrylight.operators.normalize import compact_json, flat
 from quarrylight.operators.report import SHEETS
 
 
+_LOG = "session_id long, name string, query string, targets string, notes string, assets long, created timestamp, gone boolean, at long"
+
+
 class SessionStore:
-    """``<root>/assets`` partitioned by session_id and is_raw, ``<root>/sessions`` with a row for each session.
+    """``<root>/assets`` partitioned by session_id and is_raw, ``<root>/sessions``: a log of what is known of each session.
 
-    A session's assets lie in directories of their own, so a load prunes to them and a deletion is a change of two
-    small places. Notes are a column of the small table, which is rewritten.
+    A session's assets lie in directories of their own, so a load prunes to them. The log is only ever added to, a small
+    file for each change, and a session's newest row holds: nothing is rewritten, so a crash loses nothing. Ids are
+    claimed by creating a file that must not be there yet, so two savers never share one.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _there(self, path: str) -> bool:
+    def _at(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _sessions(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.root}/sessions") if self._there(f"{self.root}/sessions") else None
+    def _there(self, path: str) -> bool:
+        p, fs = self._at(path)
+        return fs.exists(p)
+
+    def _sessions(self) -> DataFrame:
+        """The newest row of each session that is not gone."""
+        if not self._there(f"{self.root}/sessions"):
+            return self.spark.createDataFrame([], _LOG).drop("gone", "at")
+        log = self.spark.read.schema(_LOG).parquet(f"{self.root}/sessions")
+        newest = log.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "session_id"]), "at").alias("s")).select("session_id", "s.*")
+        return newest.where(~F.col("gone")).drop("gone", "at")
+
+    def _append(self, rows: DataFrame, gone: bool = False) -> None:
+        rows.withColumn("gone", F.lit(gone)).withColumn("at", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(f"{self.root}/sessions")
+
+    def _claimed(self) -> int:
+        p, fs = self._at(f"{self.root}/claims")
+        fs.mkdirs(p)
+        session = 1 + max((int(f.getPath().getName()) for f in fs.listStatus(p)), default=0)
+        while True:
+            try:
+                fs.create(self._at(f"{self.root}/claims/{session}")[0], False).close()
+                return session
+            except Exception as e:  # taken by another saver in the meantime
+                if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
+                    raise
+                session += 1
 
     def save(self, name: str, assets: DataFrame, raw: DataFrame | None = None, query: str = "", targets: str = "") -> int:
-        known = self._sessions()
-        session = 1 + (known.agg(F.max("session_id")).first()[0] or 0 if known is not None else 0)
+        session = self._claimed()
         for flag, df in ((0, assets), (1, raw)):
             if df is not None:
                 df.select(*[c for c in COLUMNS if c in df.columns]).write.mode("overwrite").parquet(f"{self.root}/assets/session_id={session}/is_raw={flag}")
-        row = self.spark.range(1).select(F.lit(session).cast("long").alias("session_id"), F.lit(name).alias("name"), F.lit(query).alias("query"), F.lit(targets).alias("targets"), F.lit("").alias("notes"), F.lit(assets.count()).cast("long").alias("assets"), F.current_timestamp().alias("created"))
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/sessions")
+        n = self.load(session).count()
+        self._append(self.spark.createDataFrame([(session, name, query, targets, "", n)], "session_id long, name string, query string, targets string, notes string, assets long").withColumn("created", F.current_timestamp()))
         return session
 
     def list(self) -> DataFrame:
-        known = self._sessions()
-        if known is None:
-            return self.spark.range(0).select(F.col("id").alias("session_id"))
-        return known.orderBy(F.desc("session_id"))
+        return self._sessions().orderBy(F.desc("session_id"))
 
     def load(self, session: int, raw: bool = False) -> DataFrame:
         """The merged assets, or the raw ones if they were kept."""
         at = f"{self.root}/assets/session_id={session}/is_raw="
         return self.spark.read.parquet(f"{at}1" if raw and self._there(f"{at}1") else f"{at}0")
 
-    def _rewrite(self, df: DataFrame) -> None:
-        new, old = f"{self.root}/sessions.new", f"{self.root}/sessions"
-        df.coalesce(1).write.mode("overwrite").parquet(new)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, old))
-        fs = a.getFileSystem(conf)
-        fs.delete(b, True)
-        fs.rename(a, b)
-
     def set_notes(self, session: int, notes: str) -> None:
-        self._rewrite(self._sessions().withColumn("notes", F.when(F.col("session_id") == session, F.lit(notes)).otherwise(F.col("notes"))))
+        self._append(self._sessions().where(F.col("session_id") == session).withColumn("notes", F.lit(notes)))
 
     def delete(self, session: int) -> None:
         """The session and its assets."""
-        self._rewrite(self._sessions().where(F.col("session_id") != session))
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/assets/session_id={session}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._append(self._sessions().where(F.col("session_id") == session), gone=True)
+        p, fs = self._at(f"{self.root}/assets/session_id={session}")
+        fs.delete(p, True)
 
 
 def write_csv(assets: DataFrame, path: str, bom: bool = False) -> None:
@@ -103,10 +125,83 @@ def write_report(assets: DataFrame, path: str, form: str = "parquet", names: tup
     return [f"{path}/{n}" for n in names]
 
 
+#: Rows of a sheet, header included, that the format allows.
+SHEET_ROWS = 1_048_576
+
+
+class _Sink(io.RawIOBase):
+    """A file of the Hadoop file system to write bytes to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, b) -> int:
+        self.out.write(bytearray(b))
+        return len(b)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.out.close()
+        super().close()
+
+
+def _sheet_name(name: str, part: int) -> str:
+    return name[:28] if part == 1 else f"{name[:24]} {part}"
+
+
+def write_workbook(assets: DataFrame, path: str, names: tuple[str, ...] = tuple(SHEETS), sheet_rows: int = SHEET_ROWS) -> list[str]:
+    """One XLSX workbook with a sheet for each name; its sheets' names.
+
+    A workbook is one file, which one process must write: rows are made into XML by Spark and come to the driver one
+    partition at a time, so its memory does not grow with them. Sheets that are longer than the format allows go on in further
+    ones. For tables beyond that use :func:`write_report`.
+    """
+    spark = assets.sparkSession
+    cell = lambda c: F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), _escaped(c), F.lit("</t></is></c>"))
+    written: list[str] = []
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with io.BufferedWriter(_Sink(spark, path), 1 << 20) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in names:
+            df = SHEETS[name](assets)
+            text = [F.array_join(c, ",") if isinstance(df.schema[c].dataType, T.ArrayType) else F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c).cast("string") for c in df.columns]
+            rows = df.select(F.concat(F.lit("<row>"), *[cell(F.coalesce(t, F.lit(""))) for t in text], F.lit("</row>")).alias("x"))
+            title = "<row>" + "".join(f'<c t="inlineStr"><is><t>{html.escape(c)}</t></is></c>' for c in df.columns) + "</row>"
+            source, part, more = rows.toLocalIterator(), 0, True
+            while more:
+                part += 1
+                written.append(_sheet_name(name, part))
+                with z.open(f"xl/worksheets/sheet{len(written)}.xml", "w", force_zip64=True) as f:
+                    f.write(f'{head}<worksheet xmlns="{main}"><sheetData>{title}'.encode())
+                    n = 1
+                    for r in source:
+                        f.write(r["x"].encode())
+                        n += 1
+                        if n == sheet_rows:
+                            break
+                    more = n == sheet_rows
+                    f.write(b"</sheetData></worksheet>")
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{html.escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(written, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(written) + 1)) + "</Relationships>")
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}.worksheet+xml"/>' for i in range(1, len(written) + 1)) + "</Types>")
+    return written
+
+
+def _escaped(c: Column) -> Column:
+    """As XML text, without the control characters that XML has no form for."""
+    return F.replace(F.replace(F.replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def export(assets: DataFrame, path: str) -> None:
     """By the path's ending."""
     kind = path.rsplit(".", 1)[-1].lower()
-    writers = {"csv": write_csv, "json": write_json, "yaml": write_yaml, "yml": write_yaml, "txt": write_text, "xlsx": write_report, "parquet": lambda a, p: a.write.mode("overwrite").parquet(p)}
+    writers = {"csv": write_csv, "json": write_json, "yaml": write_yaml, "yml": write_yaml, "txt": write_text, "xlsx": write_workbook, "parquet": lambda a, p: a.write.mode("overwrite").parquet(p)}
     if kind not in writers:
         raise ValueError(f"no writer for {kind!r}")
     writers[kind](assets, path)

@@ -328,3 +328,48 @@ def test_rules_beyond_one_automaton(spark, monkeypatch):
     seen = [(1, None, "Needle3x shared words needle11x", None, None, None), (2, None, "needle5x", None, None, "77")]
     responses = spark.createDataFrame(seen, "id int, header string, body string, title string, cookie string, favicon string")
     assert {tuple(r) for r in rules.matched(responses, table).collect()} == {(1, "p3"), (1, "p11"), (2, "icon")}
+
+
+def test_workbooks_go_on_in_further_sheets(spark, tmp_path):
+    import zipfile
+
+    a = make(spark, *[{"host": f"h{i}", "title": 'a<b>&"c\x01'} for i in range(7)])
+    at = str(tmp_path / "w.xlsx")
+    assert store.write_workbook(a, at, ("detail", "by_source"), sheet_rows=4) == ["detail", "detail 2", "detail 3", "by_source"]
+    with zipfile.ZipFile(at) as z:
+        assert z.testzip() is None and sum(n.startswith("xl/worksheets/") for n in z.namelist()) == 4
+    from quarrylight.sources import imports
+
+    rows = imports.read_xlsx(spark, at).collect()
+    assert len(rows) == 3 and rows[0].title == 'a<b>&"c'
+
+
+def test_sessions_survive_two_savers(spark, tmp_path):
+    s, t = (store.SessionStore(spark, str(tmp_path / "s")) for _ in range(2))
+    a = make(spark, {"host": "a"})
+    ids = [x.save(n, a) for n, x in (("one", s), ("two", t), ("three", s))]
+    assert ids == [1, 2, 3] and [r.name for r in t.list().collect()] == ["three", "two", "one"]
+
+
+def test_rules_that_name_common_words(spark):
+    from quarrylight.functions import rules
+
+    responses = spark.createDataFrame([(1, "", "the acme-portal login page", "", "", None), (2, "", "login", "", "", None)], "id int, header string, body string, title string, cookie string, favicon string")
+    table = spark.createDataFrame([("r1", "Acme", "and", "body", "acme-portal"), ("r1", "Acme", "and", "body", "login"), ("r2", "Any", "or", "body", "login")], "rule string, product string, mode string, place string, needle string")
+    assert [tuple(r) for r in rules.matched(responses, table).collect()] == [(1, "Acme")]
+
+
+def test_parameters_with_broken_escapes(spark):
+    from quarrylight.operators import report
+
+    urls = spark.createDataFrame([("https://h/?a%zz=1&b=2", "1", 1)], "url string, ts string, seq long")
+    assert [r.param for r in report.parameters(urls, lambda c: F.array(c)).collect()] == ["b"]
+
+
+def test_nothing_personal_is_shown_whole(spark):
+    from quarrylight.plans.text_queries import PERSONAL
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PERSONAL)], "i int, t string")
+    found = text.scan(df, "t", keep=("i",)).collect()
+    assert {r.label for r in found} == {r.label for r in text.PII_RULES}
+    assert not [r for r in found if r.redacted in PERSONAL[r.i] and r.label != "email"]
