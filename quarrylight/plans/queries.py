@@ -212,10 +212,10 @@ def r24(spark, sf):
 
 @query("r25_parameters", """WITH q AS (SELECT page_id AS seq, url, CAST(page_id % 28 AS VARCHAR) AS ts, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS pair FROM pages WHERE contains(url, '?')),
     p AS (SELECT seq, url, ts, lower(regexp_extract(pair, '^([^=]*)', 1)) AS param, min(substr(regexp_extract(pair, '=(.*)$', 1), 1, 80)) AS value FROM q WHERE pair <> '' GROUP BY 1, 2, 3, 4)
-    SELECT param, count(*) AS n, arg_min(url, seq) AS sample_url, arg_min(value, seq) AS sample_value, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts FROM p WHERE param <> '' AND length(param) <= 60 GROUP BY param""")
+    SELECT param, count(*) AS n, arg_min(url, seq) AS sample_url, arg_min(value, seq) AS sample_value, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN param IN ({', '.join(repr(w) for w in names.split())}) THEN '{k}' END" for k, names in classify.PARAMETERS.items()) + "], lambda x: x IS NOT NULL), ',') AS risks FROM p WHERE param <> '' AND length(param) <= 60 GROUP BY param")
 def r25(spark, sf):
     urls = table(spark, sf, "pages").select("url", (F.col("page_id") % 28).cast("string").alias("ts"), F.col("page_id").alias("seq"))
-    return report.parameters(urls.where(F.col("url").contains("?")), classify.parameter_kinds).drop("risks")
+    return report.parameters(urls.where(F.col("url").contains("?")), classify.parameter_kinds)
 
 
 @query("r26_severity", "SELECT severity, count(*) AS n, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS severity FROM events) GROUP BY severity")
@@ -253,14 +253,14 @@ def j3(spark, sf):
 
 
 _PRINTS = f"""{A}, f AS (SELECT DISTINCT coalesce(host, domain, ip) AS host, kind, value FROM (
-    SELECT host, domain, ip, 'icp' AS kind, icp AS value FROM a UNION ALL SELECT host, domain, ip, 'cert_org', nullif(trim(regexp_extract('O=' || cert_subject, 'O=CN=[^,]*,O=([^,]+)|$', 1)), '') FROM a
+    SELECT host, domain, ip, 'icp' AS kind, icp AS value FROM a UNION ALL SELECT host, domain, ip, 'cert_org', unnest(list_filter(list_transform(regexp_extract_all('O=' || cert_subject, '(?i)O=([^,/\n\r]+)', 1), lambda v: trim(v)), lambda v: v <> '' AND NOT list_contains([{', '.join(repr(o).replace(chr(34), chr(39)) if chr(39) not in o else chr(39) + o.replace(chr(39), chr(39) * 2) + chr(39) for o in text.COMMON_ORGS)}], lower(v)))) FROM a
     UNION ALL SELECT host, domain, ip, 'icon_hash', favicon_hash FROM a WHERE favicon_hash NOT IN ('0', 'None')) WHERE value IS NOT NULL AND coalesce(host, domain, ip) IS NOT NULL)"""
 
 
-@query("j4_shared_fingerprints", f"{_PRINTS}, t AS (SELECT DISTINCT host FROM a WHERE seq < 5 AND host IS NOT NULL), w AS (SELECT DISTINCT kind, value FROM f WHERE host IN (SELECT host FROM t) AND kind IN ('icp', 'icon_hash')) SELECT host, kind, value FROM f JOIN w USING (kind, value) WHERE host NOT IN (SELECT host FROM t)")
+@query("j4_shared_fingerprints", f"{_PRINTS}, t AS (SELECT DISTINCT host FROM a WHERE seq < 5 AND host IS NOT NULL), w AS (SELECT DISTINCT kind, value FROM f WHERE host IN (SELECT host FROM t)) SELECT host, kind, value FROM f JOIN w USING (kind, value) WHERE host NOT IN (SELECT host FROM t)")
 def j4(spark, sf):
     own = assets(spark, sf)
-    prints = joins.fingerprints(own).where("kind IN ('icp', 'icon_hash')")
+    prints = joins.fingerprints(own)
     return joins.sharing(prints, own.where("seq < 5 AND host IS NOT NULL").select("host"))
 
 
@@ -370,7 +370,7 @@ def c7(spark, sf):
     hosts = table(spark, sf, "pages").select(normalize.url_host(F.col("url")).alias("host")).distinct()
     rules = spark.range(1).select(F.explode(F.array(*map(F.lit, ("com", "net", "org", "example.org", "*.ck", "!www.ck")))).alias("suffix"))
     out = classify.with_public_suffix_root(hosts, rules)
-    return out.select("host", F.when(F.col("host") != "example.org", F.col("root")).alias("root"))
+    return out.select("host", "root")
 
 
 @query("c9_parameter_kinds", "SELECT param, array_to_string(list_filter([" + ", ".join(f"CASE WHEN param IN ({', '.join(repr(w) for w in names.split())}) THEN '{k}' END" for k, names in classify.PARAMETERS.items()) + "], lambda x: x IS NOT NULL), ',') AS kinds FROM (SELECT DISTINCT lower(regexp_extract(url, '\\?([^=&#]*)', 1)) AS param FROM pages UNION SELECT unnest(['url', 'template', 'token', 'view']))")
@@ -418,14 +418,6 @@ def t2(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.call_function("luhn_check", (F.lit(4000000000000000) + F.col("p_partkey") * 7919).cast("string")).alias("valid"))
 
 
-@query("x1_products", "SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN page_id % 3 = 0 THEN 'Nginx' END, CASE WHEN contains(lower(html), '/wp-content/') OR page_id % 2 = 0 THEN 'WordPress' END, CASE WHEN contains(lower(html), 'struts') THEN 'Struts2' END], lambda x: x IS NOT NULL))), ',') AS products FROM pages")
-def x1(spark, sf):
-    headers = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("Server"), F.lit("nginx/1.20.1"))).otherwise(F.create_map(F.lit("Date"), F.lit("x")))
-    body = F.concat("html", F.when(F.col("page_id") % 2 == 0, "<link href='/wp-content/a.css'>").otherwise(""))
-    rules = [r for r in web.FINGERPRINTS if r.product in ("nginx", "WordPress", "Struts2")]
-    return table(spark, sf, "pages").select("page_id", F.array_join(web.products(headers, body, F.lit(None).cast("string"), rules), ",").alias("products"))
-
-
 @query("x2_favicon_hash")
 def x2(spark, sf):
     return table(spark, sf, "pages").select("page_id", web.favicon_hash(F.col("html").cast("binary")).alias("icon_hash"))
@@ -446,18 +438,19 @@ def x6(spark, sf):
     return out.select("domain", F.array_join("mx", ",").alias("mx"), F.array_join("spf_includes", ",").alias("spf_includes"), "dmarc_policy")
 
 
-@query("x7_x8_script_findings", "SELECT page_id, 'absolute_url' AS rule, count(DISTINCT u) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html || ' ' || url, 'https?://[a-zA-Z0-9_.\\-]+(?::\\d+)?(?:/[a-zA-Z0-9_.\\-/?#=&%~+:]*)?')) AS u FROM pages) WHERE length(u) >= 12 GROUP BY page_id")
-def x7(spark, sf):
-    rules = [r for r in web.SCRIPT_RULES if r.name == "absolute_url"]
-    found = table(spark, sf, "pages").select("page_id", F.explode(web.script_findings(F.concat("html", F.lit(" "), "url"), rules)).alias("f"))
-    return found.groupBy("page_id", F.col("f.rule").alias("rule")).agg(F.count("*").alias("n"))
+_HEAD = "'<meta name=\"description\" content=\"D' || page_id || '\"><meta property=\"og:title\" content=\"O\"><link rel=\"canonical\" href=\"/c/' || page_id || '\"></head>'"
+_FORM = "'<body><form action=\"/login\" method=\"post\"><input name=\"user\"><input name=\"pw\"></form><a href=\"https://out.example.org/x\">o</a><script src=\"/s.js\"></script>'"
+_RICH = f"replace(replace(html, '</head>', {_HEAD}), '<body>', {_FORM})"
 
 
-@query("x9_x10_x21_pages")
+@query("x9_x10_x21_pages", f"""WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, 'D' || page_id AS description, 'O' AS og_title, o || '/c/' || page_id AS canonical, 'https://out.example.org/x' AS external,
+  len(list_distinct(list_concat(list_transform(regexp_extract_all(html, '<a href="([^"#]*)', 1), lambda x: CASE WHEN starts_with(x, '/') THEN o || x ELSE x END), [o || '/login', o || '/s.js', 'https://out.example.org/x']))) AS refs, o || '/login POST user,pw' AS forms FROM p""")
 def x21(spark, sf):
-    p = table(spark, sf, "pages")
-    m = p.select("page_id", web.page_meta(F.col("url"), F.col("html")).alias("m"), F.size(web.references(F.col("url"), F.col("html"), F.lit("text/html"))).alias("references"), F.size(web.forms(F.col("url"), F.col("html"))).alias("forms"))
-    return m.select("page_id", "m.title", F.size("m.meta").alias("meta"), "m.canonical", F.size("m.external_links").alias("external"), "references", "forms")
+    p = table(spark, sf, "pages").select("page_id", "url", F.expr(_RICH).alias("h"))
+    form = F.array_join(F.transform(web.forms(F.col("url"), F.col("h")), lambda f: F.concat_ws(" ", f["action"], F.upper(f["method"]), F.array_join(f["inputs"], ","))), "; ")
+    m = p.select("page_id", web.page_meta(F.col("url"), F.col("h")).alias("m"), F.size(web.references(F.col("url"), F.col("h"), F.lit("text/html"))).cast("long").alias("refs"), form.alias("forms"))
+    return m.select("page_id", "m.title", F.element_at("m.meta", F.lit("description")).alias("description"), F.element_at("m.open_graph", F.lit("og:title")).alias("og_title"), "m.canonical", F.array_join("m.external_links", ",").alias("external"), "refs", "forms")
 
 
 @query("x21_titles", "SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
@@ -514,10 +507,11 @@ def x19(spark, sf):
     return w.select("page_id", "w.registrar", F.array_join("w.nameservers", ",").alias("nameservers"), "w.registrant_country")
 
 
-@query("x20_rdap_contacts")
+@query("x20_rdap_contacts", "SELECT page_id, 'a' || page_id || '@b.example,acme,owner ' || page_id AS pivots FROM pages")
 def x20(spark, sf):
-    record = F.concat(F.lit('{"entities":[{"roles":["registrant"],"vcardArray":["vcard",[["fn",{},"text","Owner '), F.col("page_id").cast("string"), F.lit('"],["email",{},"text","A@b.example"]]]}]}'))
-    return table(spark, sf, "pages").select("page_id", F.size(web.contact_pivots(web.rdap_contacts(record))).alias("pivots"))
+    n = F.col("page_id").cast("string")
+    record = F.concat(F.lit('{"entities":[{"roles":["registrant"],"vcardArray":["vcard",[["fn",{},"text","Owner '), n, F.lit('"],["email",{},"text","A'), n, F.lit('@b.example"],["org",{},"text","Acme"]]]},{"roles":["abuse"],"vcardArray":["vcard",[["fn",{},"text","Desk"]]]}]}'))
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(web.contact_pivots(web.rdap_contacts(record))), ",").alias("pivots"))
 
 
 @query("x22_x23_names", "SELECT page_id, h || ',x' AS names, 'https://' || h || ',http://' || h AS candidates FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS h FROM pages)")
@@ -548,10 +542,16 @@ def a2(spark, sf):
     return records.http_assets(own).select("seq", "host", F.array_join("products", ",").alias("products"))
 
 
-@query("x24_archive_rows", "SELECT page_id, strptime('2024010203' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || '00', '%Y%m%d%H%M%S') AS at FROM pages")
+@query("x24_archive_rows", """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host, '2024010203' || lpad(CAST(page_id % 60 AS VARCHAR), 2, '0') || '00' AS ts FROM pages)
+SELECT host, url, '2024-01-02 03:' || substring(ts, 11, 2) || ':00' AS update_time, ts AS first_seen, page_id AS seq FROM p UNION ALL
+SELECT host, NULL, '2024-01-02 03:' || substring(arg_min(ts, page_id), 11, 2) || ':00', arg_min(ts, page_id), min(page_id) FROM p GROUP BY host""")
 def x24(spark, sf):
+    from quarrylight.sources import records
+
     ts = F.concat(F.lit("2024010203"), F.lpad((F.col("page_id") % 60).cast("string"), 2, "0"), F.lit("00"))
-    return table(spark, sf, "pages").select("page_id", web.archive_time(ts).cast("timestamp_ntz").alias("at"))
+    rows = table(spark, sf, "pages").select("url", ts.alias("timestamp"), F.lit("text/html").alias("mimetype"), F.lit("200").alias("statuscode"), F.col("page_id").alias("seq"))
+    out = records.archive_assets(rows)
+    return out.select("host", "url", "update_time", F.coalesce(F.try_element_at("raw", F.lit("first_seen_ts")), F.try_element_at("raw", F.lit("timestamp"))).alias("first_seen"), "seq")
 
 
 # ---- streams -----------------------------------------------------------------------------------------------------

@@ -144,6 +144,7 @@ def _products_sql() -> str:
 SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list(product) FILTER (WHERE product IS NOT NULL))), ','), '') AS products FROM p LEFT JOIN f USING (page_id) GROUP BY page_id"""
 
 
+@query("x1_products", _products_sql())
 @query("x1_products_all_rules", _products_sql())
 def x1_all(spark, sf):
     name = lambda c: F.regexp_extract(c, "^([^:]*)", 1)
@@ -173,6 +174,11 @@ def x7_all(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.inline(web.script_findings(F.expr(_SCRIPT))))
 
 
+@query("x7_x8_script_findings", f"SELECT page_id, rule, count(*) AS n FROM ({_findings_sql()}) GROUP BY ALL")
+def x7(spark, sf):
+    return x7_all(spark, sf).groupBy("page_id", "rule").agg(F.count("*").alias("n"))
+
+
 @query("x12_script_paths", "SELECT page_id, '/api/v1/' || page_id || ',/u/{var}/posts' AS paths FROM pages")
 def x12(spark, sf):
     source = F.concat(F.lit("const u = '/api' + '/v1/"), F.col("page_id").cast("string"), F.lit("'; fetch(`/u/${id}/posts`);"))
