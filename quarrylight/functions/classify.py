@@ -35,8 +35,10 @@ PORTS = {
     8161: "ActiveMQ", 8443: "HTTPS-Alt", 8888: "HTTP-Alt", 9000: "PHP-FPM", 9090: "Prom", 9200: "Elasticsearch", 9300: "ES-Cluster", 11211: "Memcached",
     27017: "MongoDB", 50070: "Hadoop",
 }
+# Words of login pages.
 LOGIN_WORDS = ("login", "登录", "signin", "sign in", "管理后台", "后台管理", "admin", "console")
 ADMIN_PATHS = ("/admin", "/manage", "/manager", "/console", "/dashboard")
+# Words and endings of company names, and endings under which names are registered.
 COMPANY_WORDS = ("co., ltd", "co.,ltd", "inc.", "inc ", "llc", "ltd.", "corp", "company", "group")
 COMPANY_SUFFIXES = ("公司", "集团", "股份", "有限", "Inc", "Corp", "Ltd", "LLC", "GmbH")
 #: Suffixes of two labels under which names are registered; a fuller list may be given.

@@ -58,6 +58,7 @@ EMAIL_RULES = (
         }.items()
     ),
 )
+# Patterns of addresses, telephone numbers, licence numbers and mails.
 _H = "[0-9A-Fa-f]{1,4}"
 IPV6 = rf"(?:{_H}(?::{_H}){{7}}|::(?:{_H}:){{0,6}}{_H}|{_H}::(?:{_H}:){{0,5}}{_H}" + "".join(rf"|(?:{_H}:){{{n}}}::(?:{_H}:){{0,{6 - n}}}{_H}" for n in range(2, 7)) + r")(?::\d{1,5})?"
 PHONE = r"(?:\+?86[-\s]?)?1[3-9]\d{9}|0\d{2,3}[-\s]?\d{7,8}"
@@ -155,6 +156,7 @@ def contacts(html: Column, most: int = 200) -> Column:
     return F.struct(distinct_matches(html, HTML_MAIL, most).alias("emails"), distinct_matches(html, PHONE, most).alias("phones"), distinct_matches(html, ICP, most).alias("icp_numbers"))
 
 
+# Fixed value: ids of site statistics.
 TRACKER = rf"{_B}(UA-\d{{4,}}-\d{{1,3}}|G-[A-Z0-9]{{8,12}}|GTM-[A-Z0-9]{{6,8}}){_E}"
 # Issuers and platforms whose certificates say nothing about the owner.
 COMMON_ORGS = ("digicert inc", "let's encrypt", "globalsign nv-sa", "godaddy.com, inc.", "sectigo limited", "amazon", "google trust services", "cloudflare, inc.", "zerossl", "tencent technologies (shenzhen) company limited", "tencent cloud computing (beijing) co.", "alibaba (china) technology co., ltd.")
@@ -174,6 +176,7 @@ def certificate_orgs(cert: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda v: (v != "") & ~F.lower(v).isin(*COMMON_ORGS))))
 
 
+# What API and socket endpoints look like in scripts.
 _Q = "[\"']?"
 API_PATTERNS = (rf"""{_Q}/api/[^"'\s]+{_Q}""", rf"""{_Q}/v\d+/[^"'\s]+{_Q}""", rf"""{_Q}(?:https?://[^/]+)/api/[^"'\s]+{_Q}""")
 SOCKET_PATTERNS = (rf"""{_Q}wss?://[^"'\s]+{_Q}""", rf"""{_Q}/ws/[^"'\s]+{_Q}""", rf"""{_Q}/socket\.io/[^"'\s]+{_Q}""")

@@ -578,6 +578,7 @@ class _Page(HTMLParser):
             self.title.append(data)
 
 
+# What is no reference, and what names a script.
 _SKIPPED = ("data:", "javascript:", "mailto:", "tel:")
 _SCRIPT_NAME = re.compile(r"""["']([^"'\s<>]+?\.js(?:\?[^"'\s<>]*)?)["']""")
 
