@@ -36,17 +36,27 @@ INVISIBLE = "­​‌‍⁠﻿"
 
 _PLAIN = str.maketrans({**LOOKALIKES, **dict.fromkeys(INVISIBLE, "")})
 _NONWORD = re.compile(r"[\W_]+")
-_HIDDEN = re.compile(r"(?<![\w@$!€])(?=[\w@$!€]*[^\W\d_])(?=[\w@$!€]*[0-9@$!€][\w@$!€]*[^\W\d_]|[@$][^\W\d_])[\w@$!€]{3,24}(?![\w@$€])")
+#: A word with a digit or sign in it, whatever its length; what stands before the first of them is a group.
+_HIDDEN = re.compile(r"(?<![\w@$!€])([^\W0-9]*+)[0-9@$!€][\w@$!€]*+")
+_LETTER = re.compile(r"[^\W\d_]")
 _SIGNS = str.maketrans(SUBSTITUTES)
 _STRETCHED = re.compile(r"([a-z])\1{2,}")
 
 
+def _shown(m: re.Match) -> str:
+    """Digits and signs as letters, where a letter follows one of them; else they are numbers or punctuation."""
+    word = m[0]
+    if len(word) < 3 or not _LETTER.search(word, len(m[1]) + 1):
+        return word
+    return word.rstrip("!").translate(_SIGNS)
+
+
 def fold(text: str) -> str:
     """Words of ``text``, folded, with one space before, between and after them. Accents stay: they are letters."""
     t = text.lower()
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t).lower().translate(_PLAIN)
-    t = _HIDDEN.sub(lambda m: m[0].rstrip("!").translate(_SIGNS), t)
+    t = _HIDDEN.sub(_shown, t)
     t = _STRETCHED.sub(r"\1", t) if _STRETCHED.search(t) else t
     return f" {_NONWORD.sub(' ', t).strip()} "
 

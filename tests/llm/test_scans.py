@@ -492,3 +492,14 @@ def test_toxicity_by_brute_force(spark, sf, small, texts):
         left = {at: w for at, w in best.items() if not any(a <= at < b for a, b in spared)}
         assert r.hits == len(left) and math.isclose(r.toxic_weight, sum(left.values()), abs_tol=1e-9)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+
+
+def test_long_disguised_words_are_folded():
+    import time
+
+    model = toxicity.Model({f" {w} ": 3.0 for w in toxicity.SEEDS} | {" idiot": 2.0})
+    assert model.evidence("an 1d10t" + "ic" * 30)[1] == 1 and model.evidence("stupid!!! $tupid!! 100 a1")[1] == 2
+    began = time.time()
+    for long in ("a" + "0" * 200_000, "0" * 200_000 + "a", "a0" * 100_000, "!" * 200_000, "a_" * 100_000 + "!"):
+        toxicity.fold(long)
+    assert time.time() - began < 10
