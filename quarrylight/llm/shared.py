@@ -69,7 +69,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_p
     """Gapless numbers from 0 within each ``group``, without bringing a group together in one task.
 
     Rows of a group are dealt into hash buckets of ``order``; each bucket is numbered alone, and starts at the sum of
-    the buckets before it. A group has a bucket for about every ``rows_per_bucket`` of its rows. There must be few
+    the buckets before it. A bucket has about ``rows_per_bucket`` rows, and not more than a thousandth of all. There must be few
     groups (lengths, shards): a row for each comes to the driver. ``df`` is read three times, so it should be staged.
     Rows that are equal in ``order`` share a bucket and are numbered in any order, so ``order`` should end with a column
     that tells equal rows apart (:func:`salted`). Null is a value like any other.
@@ -77,7 +77,9 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, rows_p
     spark = df.sparkSession
     sizes = df.groupBy(*group).agg(F.count("*").alias("_rows"))
     schema = sizes.schema
-    held = [(*r[:-1], max(1, -(-r["_rows"] // rows_per_bucket))) for r in sizes.collect()]  # few: see above
+    known = sizes.collect()  # few: see above
+    each = min(rows_per_bucket, max(200, sum(r["_rows"] for r in known) // 1000))  # a bucket is never a large part of all rows
+    held = [(*r[:-1], max(1, -(-r["_rows"] // each))) for r in known]
     few = F.broadcast(spark.createDataFrame(held, schema)).withColumnRenamed("_rows", "_buckets")
     bucketed = df.join(few, _same(df, few, group)).select(*[df[c] for c in df.columns], F.pmod(F.xxhash64(*[df[c] for c in order]), few["_buckets"]).alias("_bucket"))
     keys = [*group, "_bucket"]
