@@ -288,7 +288,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     sets = staged(sketches.groupBy("set_a", "set_b").agg(F.min("id").alias("set_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets", sketches.count())
     n_sets = sets.count()
     banded = sets.select(F.col("set_id").alias("id"), F.posexplode("bands").alias("band", "hash"))
-    sizes = staged(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes", bands * n_sets)
+    sizes = staged(banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes", n_sets)
     n_met = sizes.agg(F.sum("n")).first()[0] or 0
     met = staged(join_counted(banded, sizes, ["band", "hash"], "n"), "buckets", n_met)
     large = met.where(F.col("n") > small)
@@ -299,7 +299,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     of = large.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("_of"))
     of_a, of_b = (of.select(F.col("id").alias(c), F.col("_of").alias(f"_{c}")) for c in "ab")
     pairs = pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False)))
-    pairs = staged(pairs.select("a", "b"), "candidates", small * n_met)
+    pairs = staged(pairs.select("a", "b"), "candidates", n_met)
     # a set's text is that of a row with its id
     members = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id"))
     grams = staged(gram_sets(texts, members, words).dropDuplicates(["id"]), "gram-sets")

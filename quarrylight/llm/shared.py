@@ -28,11 +28,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that outlives executors.
 
-    ``rows``, where a bound of them is known, keeps small narrow tables from becoming very many files.
+    ``rows``: about how many of them to expect, where that is known; it keeps small tables from becoming very many files.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(8, -(-rows // 20_000)))
+        df = df.coalesce(max(4, -(-rows // 5_000)))
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -103,7 +103,7 @@ def salted(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, most_broadcast: int = 100_000, parts: int = 1000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, most_broadcast: int = 10_000, parts: int = 1000) -> DataFrame:
     """``rows`` with the columns of ``table``, which has a row for each key and in ``n`` how many of ``rows`` have it.
 
     A table of at most ``most_broadcast`` rows is broadcast. Beyond, only the keys that hold more than one part in ``parts`` of
