@@ -418,11 +418,6 @@ def t2(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.call_function("luhn_check", (F.lit(4000000000000000) + F.col("p_partkey") * 7919).cast("string")).alias("valid"))
 
 
-@query("x2_favicon_hash")
-def x2(spark, sf):
-    return table(spark, sf, "pages").select("page_id", web.favicon_hash(F.col("html").cast("binary")).alias("icon_hash"))
-
-
 _TXT = "CASE c_custkey % 4 WHEN 0 THEN 'google-site-verification=abc' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'v=spf1 include:_spf.google.com include:sendgrid.net ~all' WHEN 2 THEN 'MS=ms' || CAST(c_custkey AS VARCHAR) ELSE 'plain' END"
 
 

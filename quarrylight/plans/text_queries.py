@@ -184,3 +184,32 @@ def x12(spark, sf):
     source = F.concat(F.lit("const u = '/api' + '/v1/"), F.col("page_id").cast("string"), F.lit("'; fetch(`/u/${id}/posts`);"))
     return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(web.script_paths(source)), ",").alias("paths"))
 
+
+
+# ---- icon hashes -------------------------------------------------------------------------------------------------
+
+
+def _rotated(x: str, r: int) -> str:
+    return f"(({x}) * {1 << r} % 4294967296 + ({x}) // {1 << (32 - r)})"
+
+
+def _times(x: str, factor: int) -> str:
+    return f"(({x}) * {factor} % 4294967296)"
+
+
+def _murmur_sql() -> str:
+    """MurmurHash3 (x86, 32 bit) of the Base64 text in lines of 76, block by block."""
+    block = lambda i: f"(coalesce(b[{i}], 0) + 256 * coalesce(b[{i} + 1], 0) + 65536 * coalesce(b[{i} + 2], 0) + 16777216 * coalesce(b[{i} + 3], 0))"
+    mixed = lambda x: _times(_rotated(_times(x, 0xCC9E2D51), 15), 0x1B873593)
+    shifted = lambda x, r: f"xor({x}, {x} // {1 << r})"
+    return f"""WITH w AS (SELECT page_id, regexp_replace(base64(encode(html)), '(.{{1,76}})', '\\1' || chr(10), 'g') AS t FROM pages),
+  y AS (SELECT page_id, length(t) AS n, list_transform(range(1, length(t) + 1), lambda i: CAST(ascii(t[i]) AS HUGEINT)) AS b FROM w),
+  k AS (SELECT page_id, n, list_transform(range(1, n // 4 * 4 + 1, 4), lambda i: {mixed(block('i'))}) AS ks, CASE WHEN n % 4 = 0 THEN CAST(0 AS HUGEINT) ELSE {mixed(block('(n // 4 * 4 + 1)'))} END AS tail FROM y),
+  h AS (SELECT page_id, n, xor(xor(list_reduce(list_concat([CAST(0 AS HUGEINT)], ks), lambda h, x: ({_rotated('xor(h, x)', 13)} * 5 + 3864292196) % 4294967296), tail), CAST(n AS HUGEINT)) AS h FROM k),
+  i AS (SELECT page_id, {_times(shifted('h', 16), 0x85EBCA6B)} AS h FROM h), j AS (SELECT page_id, {_times(shifted('h', 13), 0xC2B2AE35)} AS h FROM i), l AS (SELECT page_id, {shifted('h', 16)} AS h FROM j)
+SELECT page_id, CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS {{kind}}) AS icon_hash FROM l"""
+
+
+@query("x2_favicon_hash", _murmur_sql().replace("{kind}", "INTEGER"))
+def x2(spark, sf):
+    return table(spark, sf, "pages").select("page_id", web.favicon_hash(F.col("html").cast("binary")).alias("icon_hash"))
