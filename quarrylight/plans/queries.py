@@ -418,14 +418,6 @@ def t2(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.call_function("luhn_check", (F.lit(4000000000000000) + F.col("p_partkey") * 7919).cast("string")).alias("valid"))
 
 
-_TXT = "CASE c_custkey % 4 WHEN 0 THEN 'google-site-verification=abc' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'v=spf1 include:_spf.google.com include:sendgrid.net ~all' WHEN 2 THEN 'MS=ms' || CAST(c_custkey AS VARCHAR) ELSE 'plain' END"
-
-
-@query("x5_txt_tokens", "SELECT c_custkey, provider, type, value FROM (SELECT c_custkey, 'google_workspace' AS provider, 'site_verification' AS type, 'abc' || CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'google_workspace', 'spf_include', '' FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey, 'sendgrid', 'spf_include', '' FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey, 'microsoft_365', 'domain_verification', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 4 = 2)")
-def x5(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.inline(web.txt_tokens(F.expr(_TXT.replace("VARCHAR", "STRING")))))
-
-
 @query("x6_mail_posture", "SELECT c_nationkey AS domain, 'mx1.example.net,mx2.example.net' AS mx, '_spf.google.com,sendgrid.net' AS spf_includes, 'reject' AS dmarc_policy FROM customer GROUP BY 1")
 def x6(spark, sf):
     records = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in (("MX", "mx2.example.net"), ("MX", "MX1.example.net"), ("TXT", "v=spf1 include:sendgrid.net include:_spf.google.com ~all"), ("DMARC", "v=DMARC1; p=reject"))])
@@ -466,20 +458,6 @@ def x13(spark, sf):
     return table(spark, sf, "pages").select("page_id", *[F.array_join(r[c], ",").alias(c) for c in ("allow", "disallow", "sitemap")], *[F.array_join(s[c], ",").alias(c) for c in ("urls", "nested")])
 
 
-@query("x14_vendors", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'cloudflare:header' WHEN 1 THEN 'aws_cloudfront:cname' ELSE '' END AS vendors, page_id % 3 < 2 AS cdn FROM pages")
-def x14(spark, sf):
-    headers = F.when(F.col("page_id") % 3 == 0, F.create_map(F.lit("CF-RAY"), F.lit("1"), F.lit("Server"), F.lit("cloudflare"))).otherwise(F.create_map(F.lit("Server"), F.lit("nginx")))
-    names = F.when(F.col("page_id") % 3 == 1, F.array(F.lit("d1.cloudfront.net"))).otherwise(F.array(F.lit("h.example.net")))
-    hits = web.vendor_hits(headers, names)
-    return table(spark, sf, "pages").select("page_id", F.array_join(F.transform(hits, lambda h: F.concat(h["vendor"], F.lit(":"), h["source"])), ",").alias("vendors"), web.has_cdn(hits).alias("cdn"))
-
-
-@query("a4_hosted_names", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'GitHub Pages' WHEN 1 THEN 'Heroku' END AS service FROM pages")
-def a4(spark, sf):
-    cname = F.expr("CASE page_id % 3 WHEN 0 THEN 'x.GitHub.io' WHEN 1 THEN 'y.herokuapp.com' ELSE 'z.example.org' END")
-    return table(spark, sf, "pages").select("page_id", web.hosted_service(cname).alias("service"))
-
-
 @query("x15_path_findings", "SELECT page_id, page_id % 4 IN (0, 3) AS confirmed FROM pages")
 def x15(spark, sf):
     path = F.expr("CASE page_id % 4 WHEN 0 THEN '/.env' WHEN 1 THEN '/.env' WHEN 2 THEN '/config.json' ELSE '/config.json' END")

@@ -213,3 +213,38 @@ SELECT page_id, CAST(CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS
 @query("x2_favicon_hash", _murmur_sql().replace("{kind}", "INTEGER"))
 def x2(spark, sf):
     return table(spark, sf, "pages").select("page_id", web.favicon_hash(F.col("html").cast("binary")).alias("icon_hash"))
+
+
+# ---- vendors, TXT records, hosting services ------------------------------------------------------------------------
+
+_VALUES = lambda rows: ", ".join("(" + ", ".join(_quoted(x) for x in r) + ")" for r in rows)
+_NAME_PARTS = [(v, k, part) for v, k, parts in web.VENDOR_NAMES for part in parts.split()]
+_HEADER_NAME, _HEADER_VALUE = _nth([n.title() for _, _, n, _ in web.VENDOR_HEADERS]), _nth([f"X {p.upper()} 1" for _, _, _, p in web.VENDOR_HEADERS])
+_CNAME = _nth([f"A.{p}.example" for _, _, p in _NAME_PARTS])
+
+
+@query("x14_vendors", f"""WITH p AS (SELECT page_id, lower({_HEADER_NAME}) AS n, lower({_HEADER_VALUE}) AS v, CASE WHEN page_id % 5 = 0 THEN '' ELSE lower({_CNAME}) END AS c FROM pages),
+  f AS (SELECT page_id, vendor, kind, 'header' AS source FROM p JOIN (VALUES {_VALUES(web.VENDOR_HEADERS)}) AS r(vendor, kind, name, part) ON n = name AND contains(v, part)
+    UNION SELECT page_id, vendor, kind, 'cname' FROM p JOIN (VALUES {_VALUES(_NAME_PARTS)}) AS r(vendor, kind, part) ON contains(c, part))
+SELECT page_id, coalesce(string_agg(vendor || ':' || source, ',' ORDER BY vendor || ':' || source), '') AS vendors, coalesce(bool_or(kind IN ('cdn', 'waf')), false) AS cdn FROM p LEFT JOIN f USING (page_id) GROUP BY page_id""")
+def x14(spark, sf):
+    names = F.when(F.col("page_id") % 5 != 0, F.array(F.expr(_CNAME)))
+    hits = web.vendor_hits(F.create_map(F.expr(_HEADER_NAME), F.expr(_HEADER_VALUE)), names)
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(F.transform(hits, lambda h: F.concat(h["vendor"], F.lit(":"), h["source"]))), ",").alias("vendors"), web.has_cdn(hits).alias("cdn"))
+
+
+_TXT = _nth([f"{part.upper() if i % 2 else part}{7 + i}{'x y' if i % 3 else ''}" for i, (_, _, part, _) in enumerate(web.TXT_RULES)], "c_custkey")
+
+
+@query("x5_txt_tokens", f"""WITH t AS (SELECT c_custkey, {_TXT} AS t FROM customer)
+SELECT c_custkey, provider, type, value FROM ({" UNION ALL ".join(f"SELECT c_custkey, {_quoted(a)} AS provider, {_quoted(b)} AS type, {f'regexp_extract(t, {_quoted(_pattern(d).replace(chr(39) * 2, chr(39)))}, 1)' if d else "''"} AS value FROM t WHERE contains(lower(t), {_quoted(c)})" for a, b, c, d in web.TXT_RULES)})""")
+def x5(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.inline(web.txt_tokens(F.expr(_TXT))))
+
+
+_HOSTED = _nth([f"X.{p}" for _, parts in web.HOSTED_NAMES for p in parts.split()] + ["z.example.org"])
+
+
+@query("a4_hosted_names", f"SELECT page_id, CASE {' '.join('WHEN ' + ' OR '.join(f'contains(c, {_quoted(p)})' for p in parts.split()) + f' THEN {_quoted(s)}' for s, parts in web.HOSTED_NAMES)} END AS service FROM (SELECT page_id, lower({_HOSTED}) AS c FROM pages)")
+def a4(spark, sf):
+    return table(spark, sf, "pages").select("page_id", web.hosted_service(F.expr(_HOSTED)).alias("service"))
