@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,7 @@ _WORD = r"[^\W\d_a-zа-я][\w'’-]+"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})(\.?[  ])({_WORD}(?:[  ]{_WORD}){{0,2}})")
 #: A word before a capitalised one, which may be a given name before a surname.
 _BEFORE_NAME = re.compile(rf"(?<!\w)([^\W\d_a-zа-я]\w*)(?=[\x20\xa0]({_WORD})(?!\w))")
+_CAPITALISED = re.compile(r"(?<![\w-])[^\W\d_a-zа-я][\w'’-]+")
 _KNOWN = frozenset(n for (s, _), ns in GIVEN.items() if s != "han" for n in ns)
 _HAN = re.compile(rf"([{HAN_SURNAMES}])([一-鿿]{{0,2}})({'|'.join(HAN_TITLES)})")
 _EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9.+_-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")
@@ -242,20 +244,26 @@ def _digit_spans(text: str) -> Iterator[tuple[int, int, str]]:
                 yield at + entity[0], at + entity[1], entity[2]
 
 
+def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Does none of ``taken``, ascending and apart, meet the span?"""
+    i = bisect.bisect(taken, (start, sys.maxsize))
+    return (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end)
+
+
 def persons(text: str) -> list[list[tuple[int, int, str, str]]]:
     """For each person named in ``text`` the words: (start, end, role, word); role: script/gender or script/surname.
 
     Names with a title or a known given name come first, in text order; they give their words' roles, which hold wherever
     a word stands alone in the text or is named without its title.
     """
-    spans = [(m.start(3), m.end(3)) for m in _TITLED.finditer(text)]
-    titled, at = len(spans), -1
+    titled = [(m.start(3), m.end(3)) for m in _TITLED.finditer(text)]
+    spans, at = list(titled), -1
     for m in _BEFORE_NAME.finditer(text):
         if m[1] in _KNOWN:
             if m.start() < at:  # several given names in a row are one person's
                 spans[-1] = (spans[-1][0], m.end(2))
                 at = m.end(2)
-            elif not any(a < m.end(2) and b > m.start() for a, b in spans[:titled]):
+            elif _free(titled, m.start(), m.end(2)):
                 spans.append((m.start(), m.end(2)))
                 at = m.end(2)
     if not text.isascii():
@@ -270,16 +278,16 @@ def persons(text: str) -> list[list[tuple[int, int, str, str]]]:
     told = [[(a, b, role if role.endswith("/surname") else roles[word.lower()], word) for a, b, role, word in words] for words in found]
     alone = {w: roles[w.lower()] for words in found for _, _, role, w in words if not role.startswith("han/") and len(w) > 2}
     full = {"".join(w for _, _, _, w in words): words for words in told if words[0][2].startswith("han/") and len(words) > 1}
-    if names := sorted({*alone, *full}, key=len, reverse=True):
-        taken = [(words[0][0], words[-1][1]) for words in found]
-        for m in re.finditer("|".join(rf"(?<![\w-]){re.escape(n)}(?![\w-])" if n in alone else re.escape(n) for n in names), text):
-            i = bisect.bisect(taken, (m.start(), len(text)))
-            if (i == 0 or taken[i - 1][1] <= m.start()) and (i == len(taken) or taken[i][0] >= m.end()):
-                if m[0] in alone:
-                    told.append([(*m.span(), alone[m[0]], m[0])])
-                else:
-                    first = full[m[0]][0][0]
-                    told.append([(a - first + m.start(), b - first + m.start(), role, w) for a, b, role, w in full[m[0]]])
+    taken = sorted((words[0][0], words[-1][1]) for words in found)
+    for m in _CAPITALISED.finditer(text):
+        word = m[0] if m[0] in alone else re.split("['’]", m[0], maxsplit=1)[0]  # a possessive
+        if word in alone and _free(taken, m.start(), m.start() + len(word)):
+            told.append([(m.start(), m.start() + len(word), alone[word], word)])
+    for n in sorted({len(x) for x in full}, reverse=True):
+        for i in range(len(text) - n + 1):
+            if (words := full.get(text[i : i + n])) and _free(taken, i, i + n):
+                told.append([(a - words[0][0] + i, b - words[0][0] + i, role, w) for a, b, role, w in words])
+                bisect.insort(taken, (i, i + n))
     return told
 
 
