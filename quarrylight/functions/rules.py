@@ -8,10 +8,11 @@ equality.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -70,3 +71,117 @@ def _hits(responses: DataFrame, needles: dict[str, list[str]], key: str) -> Data
             yield pa.array(found, kind)
 
     return responses.select(key, F.explode(search(*PLACES)).alias("h")).select(key, "h.place", "h.needle")
+
+
+# ---- rule files --------------------------------------------------------------------------------------------------
+
+# Words that say nothing as the only keyword of a rule.
+NOISY = frozenset((
+    "login", "logout", "admin", "host", "hosts", "redirect", "support", "download", "theme", "platform", "console", "apps", "app", "user", "users", "auth", "register", "signin", "sign in", "sign-in", "manage", "dashboard",
+    "settings", "config", "system", "main", "index", "home", "about", "help", "search", "version", "title", "test", "upload", "image", "file", "files", "name", "data", "icon", "shortcut icon", "login.php", "login.html", "login.jsp",
+    "login.do", "login.action", "self.location", "self.location.href", "window.location", "window.location.href", "location.href", "360", "ie", "dns", "nas", "ip", "id", "ok", "login.aspx", "login.asp", "/login", "loginpage",
+    "signup", "signout", "logout.php", "passwd", "password", "verify", "captcha", "robots.txt", "favicon.ico", "sitemap.xml", "manifest.json", "loading", "footer", "header", "content", "default", "welcome", "powered",
+    "copyright", "service", "services", "products", "product", "company", "contact", "news", "blog", "forum",
+))
+
+
+def _criteria(df: DataFrame, product: str, *lists: tuple[str, str, Column]) -> DataFrame:
+    """The rule table of ``df``; ``lists``: (mode, place, needles). A row's needles of one mode are one rule."""
+    rule = lambda mode: F.xxhash64(F.to_json(F.struct(*df.columns)), F.lit(mode))
+
+    def rows(mode: str, place: str, needles: Column) -> Column:
+        return F.transform(F.coalesce(needles, F.array().cast("array<string>")), lambda n: F.struct(rule(mode).alias("rule"), F.lit(mode).alias("mode"), F.lit(place).alias("place"), F.lower(F.trim(n)).alias("needle")))
+
+    out = df.select(F.col(product).alias("product"), F.explode(F.concat(*[rows(*x) for x in lists])).alias("c")).select("c.rule", "product", "c.mode", "c.place", "c.needle")
+    return out.where("needle <> ''").distinct()
+
+
+def read_hub_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of {name, path, request_method, headers, keyword, favicon_hash}, as a rule table.
+
+    Only rules for the front page by GET. All keywords and headers of an entry must be there (of a header its name and
+    its value); one of its icon hashes is enough by itself.
+    """
+    kind = "name string, path string, request_method string, headers map<string,string>, keyword array<string>, favicon_hash array<string>"
+    own = spark.read.schema(kind).json(path, multiLine=True)
+    own = own.where(F.coalesce(F.trim("path"), F.lit("")).isin("", "/") & F.coalesce(F.lower(F.trim("request_method")), F.lit("")).isin("", "get"))
+    headers = F.flatten(F.transform(F.map_entries("headers"), lambda e: F.array(F.concat(F.trim(e["key"]), F.lit(":")), F.coalesce(e["value"], F.lit("")))))
+    return _criteria(own, "name", ("and", "body", F.col("keyword")), ("and", "header", headers), ("or", "favicon", F.col("favicon_hash")))
+
+
+def read_keyword_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object {fingerprint: [{cms, method, location, keyword}]}, as a rule table.
+
+    All keywords must be in the place that is named (the body, if none is), or one of the icon hashes equal. A single
+    keyword for the body must say something: not one of :data:`NOISY`, and eight characters long unless it is not ASCII.
+    """
+    kind = "fingerprint array<struct<cms: string, method: string, location: string, keyword: array<string>>>"
+    own = spark.read.schema(kind).json(path, multiLine=True).select(F.inline("fingerprint"))
+    words = F.filter(F.transform("keyword", lambda k: F.trim(k)), lambda k: k != "")
+    own = own.select("cms", F.coalesce(F.lower(F.trim("method")), F.lit("")).alias("method"), F.coalesce(F.lower(F.trim("location")), F.lit("")).alias("location"), words.alias("words")).where("cms <> ''")
+    one = F.lower(F.get("words", F.lit(0)))
+    says = ~one.isin(*sorted(NOISY)) & ((F.octet_length(one) > F.char_length(one)) | (F.char_length(one) >= 8))
+    by_word = F.col("method").isin("", "keyword")
+    in_body = by_word & ~F.col("location").isin("header", "title") & ((F.size("words") != 1) | ~F.col("location").isin("", "body") | says)
+    at = lambda which: F.when(which, F.col("words"))
+    return _criteria(own, "cms", ("and", "body", at(in_body)), ("and", "header", at(by_word & (F.col("location") == "header"))), ("and", "title", at(by_word & (F.col("location") == "title"))), ("or", "favicon", at(F.col("method") == "faviconhash")))
+
+
+def read_pattern_rules(spark: SparkSession, path: str) -> DataFrame:
+    r"""A JSON object {apps: {name: {headers, cookies, html, script, scriptSrc, meta}}}, as (product, place, name, pattern).
+
+    Patterns are regular expressions; what follows ``\;`` says how to read a version and goes. An empty pattern of a header
+    asks for its presence. ``place`` is header (``name``: which), cookie or body.
+    """
+    app = "struct<headers: map<string,string>, cookies: map<string,string>, html: string, script: string, scriptSrc: string, meta: map<string,string>>"
+    apps = spark.read.schema(f"apps map<string,{app}>").json(path, multiLine=True).select(F.explode("apps").alias("product", "a"))
+    clean = lambda p: F.regexp_replace(F.coalesce(p, F.lit("")), r"(?s)(?:\;|;version:|;confidence:).*$", "")
+    many = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).when(c != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    row = lambda place, name, pattern: F.struct(F.lit(place).alias("place"), name.alias("name"), pattern.alias("pattern"))
+    quoted = lambda k: F.regexp_replace(k, r"([^\w])", r"\\$1")
+    none = F.lit("")
+    heads = F.transform(F.map_entries("a.headers"), lambda e: row("header", F.lower(e["key"]), clean(e["value"])))
+    cookies = F.transform(F.map_entries("a.cookies"), lambda e: row("cookie", none, F.concat(F.lit(r"\b"), quoted(e["key"]), F.lit("="), clean(e["value"]))))
+    bodies = [F.transform(F.filter(many(F.col(f"a.{c}")), lambda p: clean(p) != ""), lambda p: row("body", none, clean(p))) for c in ("html", "script", "scriptSrc")]
+    meta = F.flatten(F.transform(F.map_entries("a.meta"), lambda e: F.transform(many(e["value"]), lambda p: row("body", none, F.concat(F.lit(r"""<meta[^>]+name\s*=\s*["']"""), quoted(e["key"]), F.lit(r"""["'][^>]+content\s*=\s*["'][^"']*"""), clean(p))))))
+    empty = F.array().cast("array<struct<place: string, name: string, pattern: string>>")
+    parts = [F.coalesce(x.cast("array<struct<place: string, name: string, pattern: string>>"), empty) for x in (heads, cookies, *bodies, meta)]
+    return apps.select("product", F.inline(F.concat(*parts)))
+
+
+def matched_patterns(responses: DataFrame, patterns: DataFrame, key: str = "id", most: int = 50_000) -> DataFrame:
+    """Distinct (key, product) of ``responses`` (key, headers: map, body, cookie) for which one of a product's patterns holds.
+
+    Patterns go to the tasks ``most`` at a time, each part with a pass of its own. Case does not count; a pattern that
+    is no regular expression here holds nowhere.
+    """
+    own = patterns.select("product", "place", "name", "pattern").distinct()
+    parts = max(1, -(-own.count() // most))
+    out = None
+    for i in range(parts):
+        part = own.where(F.pmod(F.xxhash64("product", "place", "name", "pattern"), F.lit(parts)) == i)
+        one = _held(responses, [tuple(r) for r in part.collect()], key)  # at most about ``most``
+        out = one if out is None else out.union(one)
+    return out.distinct() if parts > 1 else out
+
+
+def _held(responses: DataFrame, rows: list[tuple[str, str, str, str]], key: str) -> DataFrame:
+    """key and product of what the patterns ``rows`` find."""
+
+    @arrow_udf("array<string>")
+    def search(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        made = []
+        for product, place, name, pattern in rows:
+            try:
+                made.append((product, place, name, re.compile(pattern, re.I | re.S).search if pattern else None))
+            except re.error:
+                continue
+        for columns in batches:
+            found = []
+            for headers, body, cookie in zip(*(c.to_pylist() for c in columns), strict=True):
+                named = {k.lower(): v or "" for k, v in headers or ()}
+                seen = {p for p, place, name, holds in made if (place == "header" and name in named and (holds is None or holds(named[name]))) or (place == "body" and holds(body or "")) or (place == "cookie" and holds(cookie or ""))}
+                found.append(sorted(seen))
+            yield pa.array(found, pa.list_(pa.string()))
+
+    return responses.select(key, F.explode(search("headers", "body", "cookie")).alias("product"))

@@ -203,3 +203,32 @@ def w4_stopped(spark, sf):
     running.processAllAvailable()
     running.stop()
     return spark.table(name).select("event_type", "n", F.lit(running.isActive).alias("active"))
+
+
+_HUB = '[{"name":"Hub","path":"/","request_method":"get","headers":{"server":"even"},"keyword":["<TITLE>","<meta"],"favicon_hash":["-77"]},{"name":"Deep","path":"/x","keyword":["<title>"]}]'
+_WORDS = '{"fingerprint":[{"cms":"Words","method":"keyword","location":"body","keyword":["<meta charset"]},{"cms":"Noise","keyword":["login"]},{"cms":"Titled","location":"title","keyword":["th"]},{"cms":"Icon","method":"faviconhash","keyword":["-5"]}]}'
+_APPS = r'{"apps":{"Even":{"headers":{"Server":"even(\\d)?\;version:\\1"}},"Meta":{"html":["<META charset=\"?utf-8\;confidence:50"]},"Session":{"cookies":{"SID":"a[0-9]"}},"Broken":{"html":"(("}}}'
+
+
+@query("x3_rule_files", """WITH p AS (SELECT page_id AS id, lower(html) AS b, page_id % 2 = 0 AS even, page_id % 5 = 0 AS icon, page_id % 7 = 0 AS other, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS t FROM pages)
+SELECT id, 'Hub' AS product FROM p WHERE icon OR even AND contains(b, '<title>') AND contains(b, '<meta') UNION SELECT id, 'Words' FROM p WHERE contains(b, '<meta charset') UNION SELECT id, 'Titled' FROM p WHERE contains(t, 'th') UNION SELECT id, 'Icon' FROM p WHERE other AND NOT icon
+UNION SELECT id, 'Even' FROM p WHERE even UNION SELECT id, 'Meta' FROM p WHERE contains(b, '<meta charset="utf-8') OR contains(b, '<meta charset=utf-8') UNION SELECT id, 'Session' FROM p WHERE icon""")
+def x3_files(spark, sf):
+    from quarrylight.functions import rules
+
+    at = _folder(spark)
+    for name, text in (("hub", _HUB), ("words", _WORDS), ("apps", _APPS)):
+        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{at}/{name}")
+    even = F.col("page_id") % 2 == 0
+    p = table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), F.when(even, "server: even").alias("header"), F.col("html").alias("body"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.when(F.col("page_id") % 5 == 0, "x=1; SID=a1").alias("cookie"),
+        F.when(F.col("page_id") % 5 == 0, "-77").when(F.col("page_id") % 7 == 0, "-5").alias("favicon"), F.when(even, F.create_map(F.lit("Server"), F.lit("Even1"))).alias("headers"),
+    )
+    needles = rules.read_hub_rules(spark, f"{at}/hub").unionByName(rules.read_keyword_rules(spark, f"{at}/words"))
+    return rules.matched(p, needles).union(rules.matched_patterns(p, rules.read_pattern_rules(spark, f"{at}/apps"))).distinct()
+
+
+@query("p14_template_choice", "SELECT * FROM (VALUES ('openapi_json', 'api'), ('swagger_ui', 'api'), ('graphql_introspection', 'api')) AS v(id, category) UNION ALL SELECT 'jenkins', 'admin'")
+def p14(spark, sf):
+    chosen = records.templates(spark, categories=("api",)).unionByName(records.templates(spark, ids=("jenkins", "swagger_ui"), categories=("admin",)))
+    return chosen.select("id", "category")
