@@ -135,7 +135,7 @@ def read_pattern_rules(spark: SparkSession, path: str) -> DataFrame:
     """
     app = "struct<headers: map<string,string>, cookies: map<string,string>, html: string, script: string, scriptSrc: string, meta: map<string,string>>"
     apps = spark.read.schema(f"apps map<string,{app}>").json(path, multiLine=True).select(F.explode("apps").alias("product", "a"))
-    clean = lambda p: F.regexp_replace(F.coalesce(p, F.lit("")), r"(?s)(?:\;|;version:|;confidence:).*$", "")
+    clean = lambda p: F.regexp_replace(F.coalesce(p, F.lit("")), r"(?s)(?:\\;|;version:|;confidence:).*$", "")
     many = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).when(c != "", F.array(c)).otherwise(F.array().cast("array<string>"))
     row = lambda place, name, pattern: F.struct(F.lit(place).alias("place"), name.alias("name"), pattern.alias("pattern"))
     quoted = lambda k: F.regexp_replace(k, r"([^\w])", r"\\$1")

@@ -207,7 +207,7 @@ def w4_stopped(spark, sf):
 
 _HUB = '[{"name":"Hub","path":"/","request_method":"get","headers":{"server":"even"},"keyword":["<TITLE>","<meta"],"favicon_hash":["-77"]},{"name":"Deep","path":"/x","keyword":["<title>"]}]'
 _WORDS = '{"fingerprint":[{"cms":"Words","method":"keyword","location":"body","keyword":["<meta charset"]},{"cms":"Noise","keyword":["login"]},{"cms":"Titled","location":"title","keyword":["th"]},{"cms":"Icon","method":"faviconhash","keyword":["-5"]}]}'
-_APPS = r'{"apps":{"Even":{"headers":{"Server":"even(\\d)?\;version:\\1"}},"Meta":{"html":["<META charset=\"?utf-8\;confidence:50"]},"Session":{"cookies":{"SID":"a[0-9]"}},"Broken":{"html":"(("}}}'
+_APPS = r'{"apps":{"Even":{"headers":{"Server":"even(\\d)?\\;version:\\1"}},"Meta":{"html":["<META charset=\"?utf-8\\;confidence:50"]},"Session":{"cookies":{"SID":"a[0-9]"}},"Broken":{"html":"(("}}}'
 
 
 @query("x3_rule_files", """WITH p AS (SELECT page_id AS id, lower(html) AS b, page_id % 2 = 0 AS even, page_id % 5 = 0 AS icon, page_id % 7 = 0 AS other, lower(regexp_extract(html, '<title>([^<]*)', 1)) AS t FROM pages)
