@@ -12,6 +12,7 @@ Only built-in functions are used, sorted arrays of longs throughout: work grows
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,39 +87,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def _cut(value: Column, cuts: Column) -> Column:
+    """How many of ``cuts`` are at most ``value``."""
+    return F.size(F.filter(cuts, lambda c: c <= value))
+
+
 def _bucketed(docs: DataFrame, key: str, tie: str, rows_per_bucket: int, most_buckets: int) -> DataFrame:
-    """``docs`` with _bucket and _end: buckets of consecutive keys, and behind each bucket's rows (_end 1) the first row of the next one."""
+    """``docs`` with _bucket and _end: buckets of rows that follow each other by (key, tie), and behind each bucket's rows (_end 1) the first row of the next one.
+
+    Quantiles of the key part the rows. A key that holds many quantiles has a bucket of its own, which quantiles of the
+    first seven bytes of ``tie`` part further.
+    """
     spark = docs.sparkSession
     n = docs.count()
     buckets = max(1, min(most_buckets, -(-n // rows_per_bucket)))
-    cuts = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], min(20 * buckets, 1_000_000))).first()[0] if buckets > 1 else None
-    cuts = sorted(set(cuts or []))
+    k = F.coalesce(F.col(key), F.lit(_LOWEST))
+    start = F.conv(F.rpad(F.hex(F.substring(F.encode(tie, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    found = docs.agg(F.percentile_approx(k, [i / buckets for i in range(1, buckets)], min(20 * buckets, 1_000_000))).first()[0] if buckets > 1 else []
+    times = Counter(found or [])
+    hot = {c: m for c, m in times.items() if m >= max(4, buckets // 256)}  # 256 keys at most
+    cuts = sorted({*times, *[c + 1 for c in hot]})
     side = max(1, int(len(cuts) ** 0.5))
     table = [cuts[i : i + side] for i in range(0, len(cuts), side)]
-    k = F.coalesce(F.col(key), F.lit(_LOWEST))
+    bucket = F.lit(0)
     if table:
         rows = F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>")
-        heads = F.from_json(F.lit(json.dumps([r[0] for r in table])), "array<bigint>")
-        row = F.size(F.filter(heads, lambda c: c <= k))
-        bucket = F.when(row == 0, F.lit(0)).otherwise((row - 1) * side + F.size(F.filter(F.get(rows, row - 1), lambda c: c <= k)))
-    else:
-        bucket = F.lit(0)
-    cut = docs.withColumn("_bucket", bucket.cast("int"))
-    firsts = sorted((r["_bucket"], r["k"]) for r in cut.select("_bucket", k.alias("k")).groupBy("_bucket").agg(F.min("k").alias("k")).collect())
-    before = [{"k": key_, "_bucket": firsts[i - 1][0]} for i, (_, key_) in enumerate(firsts)]
-    ends = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<k:bigint,_bucket:int>>")))
-    # of rows that tie for a bucket's first place the smallest one stands for it
-    heads = cut.drop("_bucket").withColumn("k", k).join(F.broadcast(ends), "k")
-    heads = heads.groupBy("_bucket", "k").agg(F.min_by(F.struct(*docs.columns), tie).alias("_head"))
-    return cut.withColumn("_end", F.lit(0)).unionByName(heads.select("_head.*", "_bucket", F.lit(1).alias("_end")))
+        row = _cut(k, F.from_json(F.lit(json.dumps([r[0] for r in table])), "array<bigint>"))
+        bucket = F.when(row == 0, F.lit(0)).otherwise((row - 1) * side + _cut(k, F.get(rows, row - 1)))
+    part = F.lit(0)
+    if hot:
+        parts = min(256, max(hot.values()))
+        further = docs.where(k.isin(*hot)).groupBy(k.alias("k")).agg(F.percentile_approx(start, [i / parts for i in range(1, parts)], 20 * parts).alias("c")).collect()
+        for r in further:
+            part = F.when(k == r["k"], _cut(start, F.from_json(F.lit(json.dumps(sorted(set(r["c"])))), "array<bigint>"))).otherwise(part)
+    cut = docs.withColumn("_bucket", (bucket * 256 + part).cast("int"))
+    # each bucket's first row; a row for each bucket comes together, and only bucket numbers to the driver
+    heads = cut.groupBy("_bucket").agg(F.min_by(F.struct(*docs.columns), F.struct(k, F.col(tie))).alias("_head"))
+    there = sorted(r["_bucket"] for r in cut.select("_bucket").distinct().collect())
+    before = [{"_bucket": b, "_to": there[i - 1]} for i, b in enumerate(there)]
+    ends = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<_bucket:int,_to:int>>")))
+    heads = heads.join(F.broadcast(ends), "_bucket").select("_head.*", F.col("_to").alias("_bucket"), F.lit(1).alias("_end"))
+    return cut.withColumn("_end", F.lit(0)).unionByName(heads)
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_bucket: int = 2048, most_buckets: int = 65_536) -> DataFrame:
     """``docs`` with next_<column> for each of ``columns``: that of the row after it by (key, tie), the last one's being the first row's.
 
-    Quantiles of the key part the rows into buckets, which are ordered each on its own. The first row of a bucket is
+    Quantiles part the rows into buckets, which are ordered each on its own. The first row of a bucket is
     added to the bucket before it, so that every row finds its successor in its bucket. What comes to the driver: the
-    quantiles and each bucket's smallest key, ``most_buckets`` at most; beyond that buckets grow. A null key counts as the smallest.
+    quantiles and the buckets' numbers, ``most_buckets`` at most; beyond that buckets grow. A null key counts as the smallest.
     """
     order = Window.partitionBy("_bucket").orderBy("_end", key, tie)
     led = _bucketed(docs, key, tie, rows_per_bucket, most_buckets).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])

@@ -503,3 +503,14 @@ def test_long_disguised_words_are_folded():
     for long in ("a" + "0" * 200_000, "0" * 200_000 + "a", "a0" * 100_000, "!" * 200_000, "a_" * 100_000 + "!"):
         toxicity.fold(long)
     assert time.time() - began < 10
+
+
+def test_successors_where_one_key_holds_most_rows(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 3 else i // 9, "".join(rng.choices("abé日", k=rng.randint(0, 9)))) for i in range(600)]
+    df = order_minhash.with_next(frame(spark, rows), "doc_id", ["text"], "text", rows_per_bucket=10)
+    want = sorted(((-(2**63) if i is None else i, t) for i, t in rows), key=lambda x: (x[0], x[1].encode()))
+    got = sorted((-(2**63) if r.doc_id is None else r.doc_id, r.text, r.next_text) for r in df.collect())
+    assert got == sorted((i, t, want[(j + 1) % len(want)][1]) for j, (i, t) in enumerate(want))
+    marked = order_minhash._bucketed(frame(spark, rows).select("doc_id", "text"), "doc_id", "text", 10, 1000)
+    assert marked.where("_end = 0").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 60
