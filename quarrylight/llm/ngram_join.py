@@ -212,7 +212,7 @@ def blocked_links(members: DataFrame, sets: DataFrame, threshold: float, bands:
     mine = members.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("own"))  # one for each band at most
     # the bucket of each band, 0 where that is small; hashes are never 0 in practice, and a 0 would only be compared once more
     own = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.coalesce(F.get(F.filter("own", lambda o: o["band"] == k), 0)["hash"], F.lit(0)))
-    about = staged(mine.select("id", own.alias("own")).join(sets, "id").withColumn("_len", F.size("grams")), "block-sets", members.count())
+    about = staged(mine.select("id", own.alias("own")).join(sets, "id").withColumn("_len", F.size("grams")), "block-sets", 8 * members.count())
     each = members.join(about.select("id", "_len"), "id").groupBy("band", "hash").agg(F.max("_len").alias("_most"), F.count("*").alias("n"))
     each = each.withColumn("_each", F.least(F.greatest(F.ceil(F.col("n") / 64), F.lit(block)), F.lit(most_block), F.greatest(F.floor(most_grams / F.greatest("_most", F.lit(1))), F.lit(1))))
     each = staged(each.select("band", "hash", "n", F.ceil(F.col("n") / F.col("_each")).cast("int").alias("_blocks")), "block-sizes", members.count())
@@ -305,7 +305,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     grams = staged(gram_sets(texts, members, words).dropDuplicates(["id"]), "gram-sets")
     sized = sets.select(F.col("set_id").alias("id"), "copies")
     blocked = staged(blocked_links(large, sized.join(grams, "id"), threshold, bands), "blocked-links")
-    single = staged(verified_pairs(grams, pairs, threshold), "links", pairs.count())
+    single = staged(verified_pairs(grams, pairs, threshold), "links")
     links = single.union(blocked.where("b is not null").select("a", "b", "jaccard"))
     grouped = components(links.select("a", "b"))
     ends = single.select(F.col("a").alias("set_id"), F.col("b").alias("id")).union(single.select(F.col("b").alias("set_id"), F.col("a").alias("id")))
