@@ -65,15 +65,14 @@ def detail(assets: DataFrame) -> DataFrame:
     return assets.select(*flat())
 
 
+def unique_counts(columns: Mapping[str, Column]) -> list[Column]:
+    """Aggregates: how many distinct values each of ``columns`` has, by name."""
+    return [F.countDistinct(c).alias(name) for name, c in columns.items()]
+
+
 def summary(assets: DataFrame) -> DataFrame:
-    return assets.agg(
-        F.count("*").alias("total"),
-        F.countDistinct("ip").alias("ips"),
-        F.countDistinct("domain").alias("domains"),
-        F.countDistinct(root_domain(F.col("domain"))).alias("roots"),
-        F.countDistinct("port").alias("ports"),
-        F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"),
-    )
+    own = {"ips": F.col("ip"), "domains": F.col("domain"), "roots": root_domain(F.col("domain")), "ports": F.col("port")}
+    return assets.agg(F.count("*").alias("total"), *unique_counts(own), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
 
 
 def by_source(assets: DataFrame) -> DataFrame:

@@ -235,9 +235,9 @@ def g1(spark, sf):
     return report.value_counts(table(spark, sf, "orders"), F.col("o_orderstatus"), "status")
 
 
-@query("g4_unique_counts", f"{A} SELECT count(DISTINCT ip) AS ips, count(DISTINCT host) AS hosts FROM a")
+@query("g4_unique_counts", f"{A} SELECT count(DISTINCT ip) AS ips, count(DISTINCT host) AS hosts, count(DISTINCT {ROOT}) AS roots FROM a")
 def g4(spark, sf):
-    return assets(spark, sf).agg(F.countDistinct("ip").alias("ips"), F.countDistinct("host").alias("hosts"))
+    return assets(spark, sf).agg(*report.unique_counts({"ips": F.col("ip"), "hosts": F.col("host"), "roots": classify.root_domain(F.col("domain"))}))
 
 
 # ---- joins, sets, sessions ---------------------------------------------------------------------------------------
