@@ -2,7 +2,7 @@
 
 Rows with a null key go and are counted. Merging keeps each scalar's first value by ``seq``, unions lists, joins sources in
 order with ``+`` (repeats stay; ``source_set`` has them once), and lets the last ``raw`` value of each name win. One
-shuffle on the key; a second one, of exploded ``raw`` entries, only where there are any.
+shuffle of rows on the key, and one of the distinct elements of lists and entries of ``raw``.
 """
 
 from __future__ import annotations
@@ -39,25 +39,38 @@ def key_of(strategy: str | Sequence[str] = "smart") -> Column:
 
 
 def merge_duplicates(assets: DataFrame, strategy: str | Sequence[str] = "smart") -> DataFrame:
-    """One row for each key, with ``key``, ``group_size`` and ``source_set`` beside the asset's columns."""
+    """One row for each key, with ``key``, ``group_size`` and ``source_set`` beside the asset's columns.
+
+    What is collected for a key are distinct values: elements of lists and entries of ``raw`` are combined before the
+    shuffle. Only ``source``, in which repeats stay, grows with the rows of a key; where a key may have very many, leave it
+    out of what is selected, and it is not made.
+    """
     keyed = assets.withColumn("key", key_of(strategy)).where("key IS NOT NULL")
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in SCALARS]
-    # equal lists collapse before they are flattened
-    union = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in LISTS]
     merged = keyed.groupBy("key").agg(
         *first,
-        *union,
         F.expr("listagg(source, '+') WITHIN GROUP (ORDER BY seq)").alias("source"),
         F.array_sort(F.collect_set("source")).alias("source_set"),
         F.min_by("created", "seq").alias("created"),
         F.min("seq").alias("seq"),
         F.count("*").alias("group_size"),
     )
-    entries = keyed.where(F.size("raw") > 0).select("key", "seq", F.explode("raw").alias("name", "value"))
-    last = entries.groupBy("key", "name").agg(F.max_by("value", "seq").alias("value"))
-    raw = last.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("raw"))
-    lists = {c: F.when(F.size(c) > 0, F.col(c)) for c in LISTS}
-    return merged.withColumns(lists).join(raw, "key", "left")
+    entry = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"))
+    none = F.array().cast("array<struct<kind: string, name: string, value: string>>")
+    nothing = F.lit(None).cast("string")
+    of_raw = F.transform(F.map_entries("raw"), lambda e: entry("raw", e["key"], e["value"]))
+    many = F.concat(*[F.coalesce(x, none) for x in (of_raw, *[_elements(c, entry, nothing) for c in LISTS])])
+    entries = keyed.select("key", "seq", F.explode(many).alias("e")).select("key", "seq", "e.*")
+    last = entries.groupBy("key", "kind", "name").agg(F.max_by("value", "seq").alias("value"))
+    raw = F.collect_list(F.when(F.col("kind") == "raw", F.struct("name", "value")))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.col("name")))).alias(c) for c in LISTS]
+    more = last.groupBy("key").agg(F.map_from_entries(F.array_sort(raw)).alias("raw"), *lists)
+    more = more.select("key", F.when(F.size("raw") > 0, F.col("raw")).alias("raw"), *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in LISTS])
+    return merged.join(more, "key", "left")
+
+
+def _elements(column: str, entry, value: Column) -> Column:
+    return F.transform(F.array_compact(column), lambda x: entry(column, x, value))
 
 
 def merge_stats(assets: DataFrame, strategy: str | Sequence[str] = "smart") -> DataFrame:
