@@ -121,12 +121,14 @@ def _bucketed(docs: DataFrame, key: str, tie: str, rows_per_bucket: int, most_bu
         for r in further:
             part = F.when(k == r["k"], _cut(start, F.from_json(F.lit(json.dumps(sorted(set(r["c"])))), "array<bigint>"))).otherwise(part)
     cut = docs.withColumn("_bucket", (bucket * 256 + part).cast("int"))
-    # each bucket's first row; a row for each bucket comes together, and only bucket numbers to the driver
-    heads = cut.groupBy("_bucket").agg(F.min_by(F.struct(*docs.columns), F.struct(k, F.col(tie))).alias("_head"))
-    there = sorted(r["_bucket"] for r in cut.select("_bucket").distinct().collect())
-    before = [{"_bucket": b, "_to": there[i - 1]} for i, b in enumerate(there)]
-    ends = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<_bucket:int,_to:int>>")))
-    heads = heads.join(F.broadcast(ends), "_bucket").select("_head.*", F.col("_to").alias("_bucket"), F.lit(1).alias("_end"))
+    # each bucket's first row: the smallest key and start of its tie by bucket come to the driver, rows that have them are compared whole
+    begin = F.when(k.isin(*hot), start).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
+    lows = cut.select("_bucket", F.struct(k.alias("k"), begin.alias("s")).alias("m")).groupBy("_bucket").agg(F.min("m").alias("m")).collect()
+    lows = sorted((r["_bucket"], r["m"]["k"], r["m"]["s"]) for r in lows)
+    before = [{"_of": b, "_k": x, "_s": y, "_to": lows[i - 1][0]} for i, (b, x, y) in enumerate(lows)]
+    ends = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(before)), "array<struct<_of:int,_k:bigint,_s:bigint,_to:int>>")))
+    first = cut.withColumns({"_k": k, "_s": begin}).join(F.broadcast(ends.withColumnRenamed("_of", "_bucket")), ["_bucket", "_k", "_s"])
+    heads = first.groupBy("_to").agg(F.min_by(F.struct(*docs.columns), tie).alias("_head")).select("_head.*", F.col("_to").alias("_bucket"), F.lit(1).alias("_end"))
     return cut.withColumn("_end", F.lit(0)).unionByName(heads)
 
 
