@@ -132,7 +132,7 @@ def _bucketed(docs: DataFrame, key: str, tie: str, rows_per_bucket: int, most_bu
     return cut.withColumn("_end", F.lit(0)).unionByName(heads)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_bucket: int = 2048, most_buckets: int = 65_536) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_bucket: int = 512, most_buckets: int = 65_536) -> DataFrame:
     """``docs`` with next_<column> for each of ``columns``: that of the row after it by (key, tie), the last one's being the first row's.
 
     Quantiles part the rows into buckets, which are ordered each on its own. The first row of a bucket is
@@ -144,7 +144,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tie: str, rows_per_
     return led.where("_end = 0").drop("_bucket", "_end")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, elements: int = ELEMENTS, rows_per_bucket: int = 2048, most_buckets: int = 65_536) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, elements: int = ELEMENTS, rows_per_bucket: int = 512, most_buckets: int = 65_536) -> DataFrame:
     """A row for each document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half (rounded down) of code points replaced by as many first ones of the next document
