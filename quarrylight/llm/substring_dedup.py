@@ -24,6 +24,8 @@ from quarrylight.llm.shared import blocks, combine, mix, sliced, staged, text_of
 M = 3
 #: Windows of one super-k-mer, at most; longer runs of a minimiser (one word again and again) are cut.
 LONGEST = 64
+#: Windows of one bucket, about.
+BUCKET = 200_000
 #: Bytes of packed strings and of what goes with them that a task holds back to add up equal ones.
 HELD = 64 << 20
 
@@ -53,20 +55,21 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Cut:
-    """Windows of some texts: of each its text, first word, minimiser and hash."""
+    """Windows of some texts: of each its text, first word, minimiser and hash. Keep a call to a MB of text or so."""
 
     def __init__(self, texts: list[bytes], k: int):
-        m = min(M, k)
         self.words, counts = word_hashes(texts)
         self.counts, ends = counts, np.cumsum(counts)
         n = np.maximum(counts - k + 1, 0)
         self.text = np.repeat(np.arange(len(texts)), n)
         self.first = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(ends - counts, n) + self.first
-        grams = _rolling(self.words, m)
-        least = _least(grams, k - m + 1)
-        self.key = least[at] if len(at) else np.zeros(0, dtype=np.uint64)
-        self.at, self.k = at, k
+        self.at, self.k = np.repeat(ends - counts, n) + self.first, k
+
+    def keys(self) -> np.ndarray:
+        """Minimisers of all windows."""
+        m = min(M, self.k)
+        least = _least(_rolling(self.words, m), self.k - m + 1)
+        return least[self.at] if len(self.at) else np.zeros(0, dtype=np.uint64)
 
     def hashes(self, which: np.ndarray) -> np.ndarray:
         """Hashes of some windows."""
@@ -86,8 +89,8 @@ def _member(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
-def _hot(docs: DataFrame, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """(minimisers, windows) with a large share of all windows, ascending hashes; at most ``1 / share`` each.
+def _hot(docs: DataFrame, k: int, share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(minimisers, windows, total): those with a large share of all windows, ascending hashes, at most ``1 / share`` each; and how many windows there are.
 
     A task names what has at least ``share`` of its own windows, 16 at least. What has twice the share of all windows has the
     share in some task, and what tasks name adds up to half of it or more. So none is missed, and little is shuffled.
@@ -106,7 +109,7 @@ def _hot(docs: DataFrame, k: int, share: float) -> tuple[np.ndarray, np.ndarray]
             for _, texts in blocks(t.encode() for t in batch.column(0).to_pylist()):
                 cut = _Cut(texts, k)
                 total += len(cut.at)
-                keys, at, n = np.unique(cut.key, return_inverse=True, return_counts=True)
+                keys, at, n = np.unique(cut.keys(), return_inverse=True, return_counts=True)
                 sums[0].append((keys, n))
                 # a hot window has a hot minimiser, in the block where it is frequent as well
                 some = np.flatnonzero(n[at] >= 2) if len(at) else np.zeros(0, dtype=np.int64)
@@ -126,31 +129,71 @@ def _hot(docs: DataFrame, k: int, share: float) -> tuple[np.ndarray, np.ndarray]
     sums = staged(docs.select("text").mapInArrow(count, "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "hot-windows", 100_000)
     total = sums.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     found = sums.where((F.col("kind") < 2) & (F.col("n") >= max(16, int(share * total)))).toPandas()  # 2 / share rows at most
-    return tuple(np.sort(found.loc[found["kind"] == kind, "value"].to_numpy(np.int64).view(np.uint64)) for kind in (0, 1))
+    return (*(np.sort(found.loc[found["kind"] == kind, "value"].to_numpy(np.int64).view(np.uint64)) for kind in (0, 1)), int(total))
 
 
-_ROW = "key long, hot boolean, low long, high long, holders binary, packed binary"
-#: A holder of a packed string: document, tag, place of its first word there.
-_HOLDER = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("first", "<i4")])
+class _Parcel:
+    """Packed strings on their way to one bucket, compressed together, with which documents hold each and where.
+
+    ``hot`` strings are hot windows and name just the least and the largest of their documents.
+    """
 
+    ARRAYS = (("hot", "u1"), ("holders", "<u4"), ("lengths", "<u4"), ("docs", "<i8"), ("tags", "<i8"), ("firsts", "<i4"))
 
-def _super_k_mers(docs: DataFrame, k: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows of :data:`_ROW`: a packed string, which documents of a task hold it and where, and the least and largest of them.
+    def __init__(self, strings: list[bytes], **arrays: np.ndarray):
+        self.strings = strings
+        for name, kind in self.ARRAYS:
+            setattr(self, name, arrays[name].astype(kind))
 
-    Equal strings are added up before they are shuffled; a hot window has no holders then, only the least and largest document.
-    """
+    def packed(self, squeeze) -> bytes:
+        parts = [getattr(self, name).tobytes() for name, _ in self.ARRAYS]
+        return squeeze(b"".join([np.array([len(self.strings), len(self.docs)], dtype="<u4").tobytes(), *parts, *self.strings]))
+
+    @classmethod
+    def of(cls, raw: bytes) -> _Parcel:
+        n, held = np.frombuffer(raw, "<u4", 2).tolist()
+        at, arrays = 8, {}
+        for name, kind in cls.ARRAYS:
+            count = n if name in ("hot", "holders", "lengths") else held
+            arrays[name] = np.frombuffer(raw, kind, count, at)
+            at += arrays[name].nbytes
+        ends = (at + np.cumsum(arrays["lengths"], dtype=np.int64)).tolist()
+        return cls([raw[i:j] for i, j in zip([at, *ends], ends, strict=False)], **arrays)
+
+
+_HOLDER = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("first", "<i4")])
+
+
+def _super_k_mers(docs: DataFrame, k: int, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """(bucket, parcel): the super-k-mers of some documents that go to one bucket. Equal strings are added up before they are shuffled."""
     minimisers, windows = hot
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         held: dict[bytes, list] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows, strings = list(held.values()), list(held)
+            if not held:
+                return
+            strings, (key, hot_, raw) = list(held), zip(*held.values(), strict=True)
             held.clear()
-            for at in range(0, len(rows), 20_000):
-                key, hot_, low, high, holders = zip(*rows[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(hot_, pa.bool_()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(holders, pa.binary()), pa.array(strings[at : at + 20_000], pa.binary())], names=["key", "hot", "low", "high", "holders", "packed"])
+            key = np.array(key, dtype=np.uint64)
+            order = np.argsort(key)
+            bucket = _bucket(key[order], buckets)
+            edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            made = []
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                some = order[i:j].tolist()
+                mine = [raw[x] for x in some]
+                holders = np.frombuffer(b"".join(mine), dtype=_HOLDER)
+                n = np.fromiter(map(len, mine), dtype=np.int64, count=len(mine)) // _HOLDER.itemsize
+                text = [strings[x] for x in some]
+                made.append(_Parcel(text, hot=np.array([hot_[x] for x in some]), holders=n, lengths=np.fromiter(map(len, text), dtype=np.int64, count=len(text)), docs=holders["doc"], tags=holders["tag"], firsts=holders["first"]).packed(squeeze))
+            for at in range(0, len(made), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]][at : at + 256]), pa.array(made[at : at + 256], pa.binary())], names=["bucket", "parcel"])
 
         for batch in sliced(batches):
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -158,8 +201,8 @@ def _super_k_mers(docs: DataFrame, k: int, hot: tuple[np.ndarray, np.ndarray]) -
                 cut = _Cut(texts, k)
                 if not len(cut.at):
                     continue
-                alone = _member(cut.key, minimisers)
-                key = cut.key.copy()
+                key = cut.keys()
+                alone = _member(key, minimisers)
                 key[alone] = cut.hashes(np.flatnonzero(alone))
                 # a super-k-mer begins with a text, a new key, or next to a window that travels alone
                 new = np.ones(len(key), dtype=bool)
@@ -174,63 +217,73 @@ def _super_k_mers(docs: DataFrame, k: int, hot: tuple[np.ndarray, np.ndarray]) -
                 holders["doc"], holders["tag"], holders["first"] = ids[base + text], tags[base + text], first
                 raw, each = holders.tobytes(), _HOLDER.itemsize
                 hots = alone[starts] & _member(key[starts], windows)
+                with np.errstate(over="ignore"):
+                    order = mix(key[starts])  # minimisers are small hashes; buckets go by ones that are even
                 words, now, at = [], -1, 0
-                for t, f, n, y, h, i in zip(text.tolist(), first.tolist(), lengths.tolist(), key[starts].view(np.int64).tolist(), hots.tolist(), holders["doc"].tolist(), strict=True):
+                for t, f, n, y, h in zip(text.tolist(), first.tolist(), lengths.tolist(), order.tolist(), hots.tolist(), strict=True):
                     if t != now:
                         words, now = texts[t].split(), t  # bytes split where words do
                     p = b" ".join(words[f : f + n + k - 1])
                     x = held.get(p)
+                    own = raw[at : at + each]
+                    at += each
                     if x is None:
-                        held[p] = [y, h, i, i, b"" if h else raw[at : at + each]]
+                        held[p] = [y, h, own]
                         size += len(p) + 300
+                    elif h:
+                        both = np.frombuffer(x[2] + own, dtype=_HOLDER)
+                        x[2] = both[[both["doc"].argmin(), both["doc"].argmax()]].tobytes()
                     else:
-                        if i < x[2]:
-                            x[2] = i
-                        elif i > x[3]:
-                            x[3] = i
-                        if not h:
-                            x[4] += raw[at : at + each]
-                            size += each
-                    at += each
+                        x[2] += own
+                        size += each
                 if size > HELD:
                     yield from out()
                     size = 0
         yield from out()
 
-    return docs.where(F.col("doc").isNotNull()).select("doc", "tag", "text").mapInArrow(pack, _ROW)
+    return docs.where(F.col("doc").isNotNull()).select("doc", "tag", "text").mapInArrow(pack, "bucket long, parcel binary")
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 _RANGE = "doc long, tag long, first int, n int, window long"
 _NAMES = ["doc", "tag", "first", "n", "window"]
 
 
-def _judged(rows: DataFrame, k: int) -> DataFrame:
+def _judged(parcels: DataFrame, k: int) -> DataFrame:
     """(doc, tag, first, n): so many windows of a document from word ``first`` on stand in a smaller document, too. Rows with ``window`` give a hot window's hash and its least document instead."""
-    dealt = rows.repartition("key").sortWithinPartitions("key")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []  # whole buckets, and the one that is open
-        size, last = 0, None
+        import zstandard
+
+        spread = zstandard.ZstdDecompressor().decompress
+        open_, bucket = [], None
         for big in batches:
-            for b in (big.slice(at, 4096) for at in range(0, big.num_rows, 4096)):
-                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if size > 1 << 19 and r[0] != last:
-                        yield from _resolve(group, k)
-                        group, size = [], 0
-                    last = r[0]
-                    group.append(r)
-                    size += len(r[5])
-        if group:
-            yield from _resolve(group, k)
+            for b in (big.slice(at, 64) for at in range(0, big.num_rows, 64)):
+                for y, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if y != bucket and open_:
+                        yield from _resolve([_Parcel.of(spread(x)) for x in open_], k)
+                        open_ = []
+                    bucket = y
+                    open_.append(raw)
+        if open_:
+            yield from _resolve([_Parcel.of(spread(x)) for x in open_], k)
+
+    return parcels.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(judge, _RANGE)
+
 
-    return dealt.mapInArrow(judge, _RANGE)
+def _windows(strings: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first word, hash) of all windows."""
+    parts = [(cut.text + base, cut.first, cut.hashes(np.arange(len(cut.at)))) for base, some in blocks(strings) for cut in (_Cut(some, k),)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _least_documents(cut: _Cut, strings: list[bytes], low: np.ndarray) -> np.ndarray:
+def _least_documents(strings: list[bytes], text: np.ndarray, first: np.ndarray, h: np.ndarray, low: np.ndarray, k: int) -> np.ndarray:
     """Of each window, the least document that holds it. Windows are sorted by hash; equal hashes are compared word by word."""
-    h = cut.hashes(np.arange(len(cut.at)))
     order = np.argsort(h, kind="stable")
-    ordered, mine = h[order], low[cut.text]
+    ordered, mine = h[order], low[text]
     begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     n = np.diff(np.append(begins, len(h)))
     best = np.empty(len(h), dtype=np.int64)
@@ -238,12 +291,11 @@ def _least_documents(cut: _Cut, strings: list[bytes], low: np.ndarray) -> np.nda
     split: dict[int, list[bytes]] = {}
 
     def spelt(w: int) -> list[bytes]:
-        t = text[w]
+        t = int(text[w])
         if (words := split.get(t)) is None:
             words = split[t] = strings[t].split(b" ")
-        return words[first[w] : first[w] + cut.k]
+        return words[first[w] : first[w] + k]
 
-    text, first = cut.text.tolist(), cut.first.tolist()
     several = np.flatnonzero(n > 1)
     for at, many in zip(begins[several].tolist(), n[several].tolist(), strict=True):
         members = order[at : at + many].tolist()
@@ -258,38 +310,42 @@ def _least_documents(cut: _Cut, strings: list[bytes], low: np.ndarray) -> np.nda
     return best
 
 
-def _resolve(rows: list[tuple], k: int) -> Iterator[pa.RecordBatch]:
-    """Whole buckets: rows (key, hot, low, high, holders, packed) to rows of :data:`_RANGE`."""
+def _resolve(parcels: list[_Parcel], k: int) -> Iterator[pa.RecordBatch]:
+    """A whole bucket, to rows of :data:`_RANGE`."""
     by: dict[bytes, int] = {}
-    of = np.fromiter((by.setdefault(r[5], len(by)) for r in rows), dtype=np.int64, count=len(rows))
+    of = np.fromiter((by.setdefault(p, len(by)) for x in parcels for p in x.strings), dtype=np.int64)
     strings = list(by)
+    hot, held, docs, tags, firsts = (np.concatenate([getattr(x, name) for x in parcels]) for name in ("hot", "holders", "docs", "tags", "firsts"))
+    begins = np.cumsum(held, dtype=np.int64) - held
     low, high = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
-    np.minimum.at(low, of, np.fromiter((r[2] for r in rows), dtype=np.int64, count=len(rows)))
-    np.maximum.at(high, of, np.fromiter((r[3] for r in rows), dtype=np.int64, count=len(rows)))
-    cut = _Cut(strings, k)
-    best = _least_documents(cut, strings, low)
-    repeated = np.bincount(cut.text, weights=best < high[cut.text], minlength=len(strings)) > 0
-    ends = np.searchsorted(cut.text, np.arange(len(strings) + 1))
-    some = [i for i in np.flatnonzero(repeated[of]).tolist()]
-    hot = sorted({(int(best[ends[of[i]]]), rows[i][0]) for i in some if rows[i][1]})
-    if hot:
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in hot], pa.int64()), pa.nulls(len(hot), pa.int64()), *(pa.nulls(len(hot), pa.int32()) for _ in range(2)), pa.array([w for _, w in hot], pa.int64())], names=_NAMES)
-    raw = [rows[i][4] for i in some]
-    holders = np.frombuffer(b"".join(raw), dtype=_HOLDER)
-    if not len(holders):
-        return
+    np.minimum.at(low, of, np.minimum.reduceat(docs, begins))
+    np.maximum.at(high, of, np.maximum.reduceat(docs, begins))
+    text, first, h = _windows(strings, k)
+    best = _least_documents(strings, text, first, h, low, k)
+    repeated = np.bincount(text, weights=best < high[text], minlength=len(strings)) > 0
+    ends = np.searchsorted(text, np.arange(len(strings) + 1))
+    told = np.flatnonzero(repeated[of] & (hot == 1))
+    if len(told):
+        window = ends[:-1][np.unique(of[told])]
+        yield pa.RecordBatch.from_arrays([pa.array(best[window]), pa.nulls(len(window), pa.int64()), *(pa.nulls(len(window), pa.int32()) for _ in range(2)), pa.array(h[window].view(np.int64))], names=_NAMES)
     # each holder with each window of its string; runs of windows that a smaller document holds are ranges
-    which = np.repeat(of[some], np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // _HOLDER.itemsize)
+    which = np.repeat(np.where(hot == 1, -1, of), held)
+    some = np.flatnonzero((which >= 0) & repeated[which])
+    which, docs, tags, firsts = which[some], docs[some], tags[some], firsts[some]
+    for at in range(0, len(which), 100_000):
+        yield _ranges(which[at : at + 100_000], docs[at : at + 100_000], tags[at : at + 100_000], firsts[at : at + 100_000], ends, best)
+
+
+def _ranges(which: np.ndarray, docs: np.ndarray, tags: np.ndarray, firsts: np.ndarray, ends: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     n = np.diff(ends)[which]
-    before = np.cumsum(n) - n
     holder = np.repeat(np.arange(len(which)), n)
-    place = np.arange(int(n.sum())) - before[holder]
-    taken = best[ends[which][holder] + place] < holders["doc"][holder]
+    place = np.arange(int(n.sum())) - (np.cumsum(n) - n)[holder]
+    taken = best[ends[which][holder] + place] < docs[holder]
     opens = taken & ((place == 0) | ~np.append(False, taken[:-1]))
     closes = taken & (np.append(place[1:] == 0, True) | ~np.append(taken[1:], False))
     a, z = np.flatnonzero(opens), np.flatnonzero(closes)
-    own = holders[holder[a]]
-    yield pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(own["tag"]), pa.array((own["first"] + place[a]).astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.nulls(len(a), pa.int64())], names=_NAMES)
+    own = holder[a]
+    return pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(tags[own]), pa.array((firsts[own] + place[a]).astype(np.int32)), pa.array((z - a + 1).astype(np.int32)), pa.nulls(len(a), pa.int64())], names=_NAMES)
 
 
 def _freed(df: DataFrame, name: str) -> DataFrame:
@@ -322,12 +378,14 @@ def remove_repeats(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
     are joined by one space. A null text is empty and has no words; rows with a null key neither lose words nor take any; rows
     with equal keys take none from each other; keys are whole numbers; an empty table gives no rows; other columns are ignored.
 
-    Texts are read three times: hot minimisers are counted, super-k-mers dealt out, and words removed. No bucket holds more than
-    about ``2 * hot_share`` of all windows, its strings being held in one task: lower it for very large inputs.
+    Texts are read three times: hot minimisers are counted, super-k-mers dealt out, and words removed. A bucket, which is held in
+    memory, has about :data:`BUCKET` windows and what one minimiser holds, ``2 * hot_share`` of all windows at most: lower it for very
+    large inputs.
     """
     rows = _tagged(docs, key, text)
-    hot = _hot(rows, k, hot_share)
-    ranges = _freed(_judged(_super_k_mers(rows, k, hot), k), "repeated-windows")
+    *hot, total = _hot(rows, k, hot_share)
+    buckets = max(total // BUCKET, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = _freed(_judged(_super_k_mers(rows, k, hot, buckets), k), "repeated-windows")
     answers = ranges.where("window is not null").groupBy("window").agg(F.min("doc").alias("doc")).toPandas().sort_values("window") if len(hot[1]) else None  # at most 1 / hot_share
     told = (answers["window"].to_numpy(np.int64), answers["doc"].to_numpy(np.int64)) if answers is not None and len(answers) else None
     packed = F.shiftleft(F.col("first").cast("long"), 8) + F.col("n")  # n is at most LONGEST
@@ -344,7 +402,7 @@ def remove_repeats(docs: DataFrame, k: int = 13, key: str = "doc_id", text: str
                 more: dict[int, list[int]] = {}  # hot windows, by text
                 if told is not None:
                     cut = _Cut(texts, k)
-                    at = np.flatnonzero(_member(cut.key, minimisers))
+                    at = np.flatnonzero(_member(cut.keys(), minimisers))
                     h = cut.hashes(at).view(np.int64)
                     place = np.minimum(np.searchsorted(told[0], h), len(told[0]) - 1)
                     for t, f, w in zip(cut.text[at].tolist(), cut.first[at].tolist(), np.where(told[0][place] == h, told[1][place], np.iinfo(np.int64).max).tolist(), strict=True):

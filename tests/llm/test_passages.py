@@ -111,7 +111,8 @@ def test_words_have_the_tokens_of_the_whole_text(libraries):
         x = token_alignment.block(libraries[2], [t])
         assert (x.ids_a.tolist(), x.ids_b.tolist()) == ((m[0], m[1]) if m else ([], [])), repr(t)
         if m:
-            assert list(zip(x.a.tolist(), x.b.tolist(), strict=True)) == m[3], repr(t)
+            a, b = np.cumsum(x.moves & 1) - (x.moves & 1), np.cumsum(x.moves >> 1) - (x.moves >> 1)
+            assert list(zip(a.tolist(), b.tolist(), strict=True)) == m[3], repr(t)
 
 
 def test_runs_of_any_length_are_skipped():
@@ -296,8 +297,8 @@ def test_repeats_by_brute_force(spark, passages, hot_share):
 
 def test_hot_windows_are_found_and_answered_from_a_table(spark, passages):
     rows = substring_dedup._tagged(frame(spark, passages).repartition(3), "doc_id", "text")
-    minimisers, windows = substring_dedup._hot(rows, 13, 1e-3)
-    assert len(minimisers) and len(windows)
+    minimisers, windows, total = substring_dedup._hot(rows, 13, 1e-3)
+    assert len(minimisers) and len(windows) and total == sum(max(0, len((t or "").split()) - 12) for _, t in passages)
     assert removed(frame(spark, passages).repartition(3), hot_share=1e-3) == plain_removal(passages)
 
 
@@ -306,21 +307,18 @@ def test_other_window_lengths(spark, passages):
         assert removed(frame(spark, passages[:80]), k=k) == plain_removal(passages[:80], k)
 
 
-def test_equal_hashes_of_different_windows(spark, passages, monkeypatch):
+def test_equal_hashes_of_different_windows(passages):
     """Hashes of one bit: everything meets, and comparing words still tells windows apart."""
-    texts = [t.encode() for _, t in passages[:60] if t]
-    monkeypatch.setattr(substring_dedup._Cut, "hashes", lambda self, which: self.words[self.at[which]] & np.uint64(1))
-    cut = substring_dedup._Cut(texts, 13)
-    strings = [b" ".join(t.split()) for t in texts]
-    low = np.arange(len(texts), dtype=np.int64)
-    best = substring_dedup._least_documents(cut, strings, low)
-    first = {}
+    strings = [b" ".join(t.encode().split()) for _, t in passages[:60] if t]
+    text, first, h = substring_dedup._windows(strings, 13)
+    best = substring_dedup._least_documents(strings, text, first, h & np.uint64(1), np.arange(len(strings), dtype=np.int64), 13)
+    least = {}
     for t, s in enumerate(strings):
         w = s.split()
         for at in range(len(w) - 12):
-            first.setdefault(tuple(w[at : at + 13]), t)
-    for t, at, b in zip(cut.text.tolist(), cut.first.tolist(), best.tolist(), strict=True):
-        assert first[tuple(strings[t].split()[at : at + 13])] == b
+            least.setdefault(tuple(w[at : at + 13]), t)
+    for t, at, b in zip(text.tolist(), first.tolist(), best.tolist(), strict=True):
+        assert least[tuple(strings[t].split()[at : at + 13])] == b
 
 
 def test_repeats_of_odd_rows(odd, nothing, spark):
