@@ -9,13 +9,16 @@ equality.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from quarrylight.functions import literals
+
 PLACES = ("header", "body", "title", "cookie")
 #: Words so common that they say nothing about a product.
 COMMON = frozenset("login index home admin html http https title body head script style content error welcome portal system user password".split())
@@ -152,8 +155,9 @@ def read_pattern_rules(spark: SparkSession, path: str) -> DataFrame:
 def matched_patterns(responses: DataFrame, patterns: DataFrame, key: str = "id", most: int = 50_000) -> DataFrame:
     """Distinct (key, product) of ``responses`` (key, headers: map, body, cookie) for which one of a product's patterns holds.
 
-    Patterns go to the tasks ``most`` at a time, each part with a pass of its own. Case does not count; a pattern that
-    is no regular expression here holds nowhere.
+    A pattern runs only where a literal that it cannot match without was found; all literals are looked for at once. Patterns
+    without one run on every row. Patterns go to the tasks ``most`` at a time, each part with a pass of its own. Case does
+    not count; a pattern that is no regular expression here holds nowhere.
     """
     own = patterns.select("product", "place", "name", "pattern").distinct()
     parts = max(1, -(-own.count() // most))
@@ -165,23 +169,80 @@ def matched_patterns(responses: DataFrame, patterns: DataFrame, key: str = "id",
     return out.distinct() if parts > 1 else out
 
 
+class Patterns:
+    """Patterns of products, by place and by the literals that they need.
+
+    ``rows``: (product, place, name, pattern). Expressions are compiled when they first run.
+    """
+
+    def __init__(self, rows: Iterable[tuple[str, str, str, str]]):
+        import ahocorasick
+
+        self.rules: list[tuple[str, str, str, str]] = []
+        self.compiled: dict[str, Callable | None] = {}
+        self.always: dict[str, list[int]] = {}
+        sets = []
+        for row in rows:
+            try:
+                sets.append(literals.needed(row[3]) if row[3] else [])
+            except (re.error, RecursionError, OverflowError):
+                continue
+            self.rules.append(row)
+        # a literal that many patterns need says little: each goes by its rarest one
+        common = Counter(w for some in sets for w in frozenset().union(*some))
+        by_literal: dict[str, dict[str, list[int]]] = {}
+        for n, some in enumerate(sets):
+            place = self.rules[n][1]
+            if not some:
+                self.always.setdefault(place, []).append(n)
+                continue
+            for w in min(some, key=lambda s: (max(common[w] for w in s), -min(map(len, s)))):
+                by_literal.setdefault(place, {}).setdefault(w, []).append(n)
+        self.machines = {}
+        for place, words in by_literal.items():
+            machine = ahocorasick.Automaton()
+            for w, of in words.items():
+                machine.add_word(w, tuple(of))
+            machine.make_automaton()
+            self.machines[place] = machine
+
+    def _holds(self, pattern: str, text: str) -> bool:
+        if pattern not in self.compiled:
+            try:
+                self.compiled[pattern] = re.compile(pattern, re.I | re.S).search
+            except (re.error, RecursionError, OverflowError):
+                self.compiled[pattern] = None
+        search = self.compiled[pattern]
+        return search is not None and search(text) is not None
+
+    def _candidates(self, place: str, text: str) -> set[int]:
+        found = set(self.always.get(place, ()))
+        if place in self.machines:
+            for of in {of for _, of in self.machines[place].iter(literals.folded(text))}:
+                found.update(of)
+        return found
+
+    def products(self, headers: dict[str, str], body: str, cookie: str) -> list[str]:
+        """Products of which a pattern holds; ``headers`` by lower-case name."""
+        seen: set[str] = set()
+        for place, texts in (("header", headers), ("body", {"": body}), ("cookie", {"": cookie})):
+            for name, text in texts.items():
+                for n in self._candidates(place, text):
+                    product, _, own, pattern = self.rules[n]
+                    if product not in seen and (place != "header" or own == name) and (not pattern or self._holds(pattern, text)):
+                        seen.add(product)
+        return sorted(seen)
+
+
 def _held(responses: DataFrame, rows: list[tuple[str, str, str, str]], key: str) -> DataFrame:
-    """key and product of what the patterns ``rows`` find."""
+    """key and product of what the patterns ``rows`` find. An empty pattern asks for a header's presence and holds nowhere else."""
+    rows = [r for r in rows if r[3] or r[1] == "header"]
 
     @arrow_udf("array<string>")
     def search(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        made = []
-        for product, place, name, pattern in rows:
-            try:
-                made.append((product, place, name, re.compile(pattern, re.I | re.S).search if pattern else None))
-            except re.error:
-                continue
+        patterns = Patterns(rows)
         for columns in batches:
-            found = []
-            for headers, body, cookie in zip(*(c.to_pylist() for c in columns), strict=True):
-                named = {k.lower(): v or "" for k, v in headers or ()}
-                seen = {p for p, place, name, holds in made if (place == "header" and name in named and (holds is None or holds(named[name]))) or (place == "body" and holds(body or "")) or (place == "cookie" and holds(cookie or ""))}
-                found.append(sorted(seen))
+            found = [patterns.products({k.lower(): v or "" for k, v in headers or ()}, body or "", cookie or "") for headers, body, cookie in zip(*(c.to_pylist() for c in columns), strict=True)]
             yield pa.array(found, pa.list_(pa.string()))
 
     return responses.select(key, F.explode(search("headers", "body", "cookie")).alias("product"))

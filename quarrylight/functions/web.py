@@ -706,4 +706,10 @@ def archive_time(ts: Column) -> Column:
 def distinct_names(values: Column) -> Column:
     """Trimmed values without regard to case, the first spelling of each, in order."""
     own = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.coalesce(v != "", F.lit(False)))
-    return F.filter(own, lambda v, i: F.array_position(F.transform(own, lambda w: F.lower(w)), F.lower(v)) == i + 1)
+    ordered = F.array_sort(F.transform(own, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("value"))))
+
+    def first(x: Column) -> Column:
+        heads = F.filter(x, lambda r, i: (i == 0) | (r["low"] != F.get(x, i - 1)["low"]))
+        return F.transform(F.array_sort(F.transform(heads, lambda r: F.struct(r["at"].alias("at"), r["value"].alias("value")))), lambda r: r["value"])
+
+    return bound(ordered, first)

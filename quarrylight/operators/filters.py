@@ -32,6 +32,34 @@ def relevant(target: str) -> Column:
     return own[0] | own[1] | own[2] | certs
 
 
+def relevant_to(assets: DataFrame, targets: DataFrame, key: str = "seq", target: str = "target") -> DataFrame:
+    """Distinct (key, target) for which :func:`relevant` holds, for any number of targets: equi-joins, no row meets every target.
+
+    A name is written out as itself and what is below each of its dots, and as its labels; targets meet the former, their
+    first labels the latter. A target that takes everything has one row, with a null key.
+    """
+    t = targets.select(F.col(target).alias("target"), F.lower(F.trim(target)).alias("t")).where("t IS NOT NULL").distinct()
+    everything = (F.col("t") == "") | ~F.col("t").contains(".") & ~F.col("t").contains(":")
+    parts = F.split("t", r"\.")
+    quad = (F.size(parts) == 4) & F.forall(parts, lambda p: p.rlike(r"^\d+$") & (p.try_cast("int") <= 255))
+    kinds = t.withColumn("kind", F.when(everything, "all").when(quad | F.col("t").contains(":") & ~F.col("t").contains("."), "ip").otherwise("name")).withColumn("label", F.get(parts, F.lit(0)))
+    none = F.array().cast("array<string>")
+    names = F.array_compact(F.array_distinct(F.concat(F.array(*[F.lower(c) for c in (F.col("host"), F.col("domain"), url_host(F.col("url")))]), F.coalesce(F.transform("cert_domains", lambda x: F.lower(x)), none))))
+    words = assets.select(key, F.explode(names).alias("h")).distinct()
+    # below each dot: a.b.c, b.c, c
+    tails = F.transform(F.sequence(F.lit(1), F.size(F.split("h", r"\."))), lambda i: F.call_function("substring_index", F.col("h"), F.lit("."), -i))
+    suffixes = words.select(key, F.explode(tails).alias("t")).distinct()
+    labels = words.select(key, F.explode(F.split("h", r"[._\-]")).alias("label")).distinct()
+    by_name = kinds.where("kind = 'name'")
+    found = [
+        assets.select(key, F.col("ip").alias("t")).where("t IS NOT NULL").join(kinds.where("kind = 'ip'"), "t").select(key, "target"),
+        suffixes.join(by_name.select("t", "target"), "t").select(key, "target"),
+        labels.join(by_name.select("label", "target"), "label").select(key, "target"),
+    ]
+    found.append(kinds.where("kind = 'all'").select(F.lit(None).cast(assets.schema[key].dataType).alias(key), "target"))
+    return found[0].union(found[1]).union(found[2]).union(found[3]).distinct()
+
+
 def capped(df: DataFrame, most: int, group: str = "source", order: Sequence[str] = ("seq",)) -> DataFrame:
     """At most ``most`` rows of each group, the first ones. Spark keeps no more than that for each group and map task (a window group limit)."""
     at = Window.partitionBy(group).orderBy(*order)

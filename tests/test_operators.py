@@ -373,3 +373,122 @@ def test_nothing_personal_is_shown_whole(spark):
     found = text.scan(df, "t", keep=("i",)).collect()
     assert {r.label for r in found} == {r.label for r in text.PII_RULES}
     assert not [r for r in found if r.redacted in PERSONAL[r.i] and r.label != "email"]
+
+
+# ---- what meets large tables ------------------------------------------------------------------------------------------
+
+
+def test_addresses_of_both_families_are_numbers(spark):
+    import ipaddress
+    import random
+
+    from quarrylight.operators import joins
+
+    rng = random.Random(6)
+    good = ["::", "::1", "1::", "fe80::1", "2001:DB8::0001", "1:2:3:4:5:6:7:8", "::ffff:10.0.0.1", "64:ff9b::192.0.2.33", "10.0.0.1", "255.255.255.255", " 2001:db8::9 "]
+    good += [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(40)] + [ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128)).exploded for _ in range(10)]
+    bad = ["", ":", ":::", "1:2:3", "1::2::3", "12345::", "g::1", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", ":1::2", "1::2:", "::1.2.3", "::1.2.3.400", "1.2.3", "a.b.c.d", None]
+    rows = spark.createDataFrame([(x,) for x in good + bad], "ip string").withColumn("n", joins.ip_number(F.col("ip"))).collect()
+    for r in rows:
+        try:
+            a = ipaddress.ip_address(r.ip.strip())
+            n = int(a) if a.version == 6 else int(a) | 0xFFFF << 32
+            assert (r.n.hi % 2**64, r.n.lo % 2**64) == (n >> 64, n % 2**64), r.ip
+        except (ValueError, AttributeError):
+            assert r.n is None, r.ip
+
+
+def test_longest_prefix_of_either_family_wins(spark):
+    import ipaddress
+    import random
+
+    from quarrylight.operators import joins
+
+    rng = random.Random(8)
+    nets = {str(ipaddress.ip_network((rng.getrandbits(32) & 0xC0FF0000 | 0x0A000000, n), strict=False)) for n in range(4, 33)} | {str(ipaddress.ip_network((0x20010DB8 << 96 | rng.getrandbits(96) & rng.getrandbits(96), n), strict=False)) for n in range(20, 129, 3)} | {"0.0.0.0/0", "2001:db8::/32"}
+    ips = [str(ipaddress.IPv4Address(int(ipaddress.ip_network(n).network_address) ^ rng.getrandbits(6))) for n in nets if ":" not in n] + [str(ipaddress.IPv6Address(int(ipaddress.ip_network(n).network_address) ^ rng.getrandbits(20))) for n in nets if ":" in n] + ["::1", "no address"]
+    got = {r.ip: r.prefix for r in joins.prefix_join(spark.createDataFrame([(x,) for x in set(ips)], "ip string"), spark.createDataFrame([(x,) for x in [*nets, *nets]], "prefix string")).collect()}
+    known = [ipaddress.ip_network(n) for n in nets]
+    for ip in set(ips):
+        try:
+            a = ipaddress.ip_address(ip)
+            holding = [n for n in known if n.version == a.version and a in n]
+        except ValueError:
+            holding = []
+        assert got[ip] == (str(max(holding, key=lambda n: n.prefixlen)) if holding else None), ip
+
+
+def test_several_wildcards_of_a_parent(spark):
+    from quarrylight.operators import joins
+
+    answers = spark.createDataFrame([("a", "p", ["1.1.1.1"]), ("b", "p", ["2.2.2.2"]), ("c", "p", ["3.3.3.3"]), ("d", None, ["1.1.1.1"])], "name string, parent string, ips array<string>").withColumn("cname", F.lit(None).cast("string"))
+    wild = spark.createDataFrame([("p", ["1.1.1.1"]), ("p", ["2.2.2.2"]), ("p", ["1.1.1.1"])], "parent string, ips array<string>").withColumn("cname", F.lit(None).cast("string"))
+    assert sorted(r.name for r in joins.without_wildcards(answers, wild).collect()) == ["c", "d"]
+
+
+def test_many_targets_are_each_as_the_filter_of_one(spark, sf):
+    from quarrylight.operators import filters
+    from quarrylight.plans.fixtures import assets
+
+    own = assets(spark, sf)
+    hosts = [r.host for r in own.select("host").where("host IS NOT NULL").distinct().limit(4).collect()]
+    targets = [*hosts, *(h.upper() for h in hosts[:1]), "example.com", "www.example.org", "m.other.net", "10.0.1.3", "10.0.1", "::1", "no-dot", "", "a:b"]
+    got = {}
+    for r in filters.relevant_to(own, spark.createDataFrame([(t,) for t in [*targets, None]], "target string")).collect():
+        got.setdefault(r.target, set()).add(r.seq)
+    every = {r.seq for r in own.select("seq").collect()}
+    for t in targets:
+        want = {r.seq for r in own.where(filters.relevant(t)).select("seq").collect()}
+        assert (every if got.get(t) == {None} else got.get(t, set())) == want, t
+
+
+def test_literals_are_in_every_match():
+    import re
+
+    from quarrylight.functions import literals
+
+    known = {
+        "foobar": {"foobar"}, "a(?:foo|barn)b": {"foo", "barn"}, "x?y*": None, r"<title>\s*Admin": {"<title>"}, "(?:ab)+cde": {"cde"}, "abc|d": None, r"\bpowered by\b (\w+)": {"powered by "}, "a[bc]d": None,
+        "(?=look)ahead": {"ahead"}, "(?!not)this": {"this"}, "é foo": {" foo"}, "(?i:foo)": None, "foo{2,3}bar": {"bar"}, "(foo)(bar)": {"foobar"},
+    }
+    for pattern, want in known.items():
+        got = literals.required(pattern)
+        assert got == (want and frozenset(want)) or want is None and got is None or pattern == "(?i:foo)", (pattern, got)
+    for text, pattern in (("ADMİN", "admin"), ("admın", "admin"), ("paſsword", "password"), ("Kelvin", "kelvin")):
+        assert re.search(pattern, text, re.I) and next(iter(literals.required(pattern))) in literals.folded(text)
+
+
+def test_patterns_by_their_literals_are_as_all_patterns(spark):
+    import random
+    import re
+
+    from quarrylight.functions import rules
+
+    rng = random.Random(2)
+    words = ["nginx", "Powered", "wp-content", "jQuery", "admin", "ſtatic", "login", "a", "é"]
+    forms = ["{0}", "{0}/([\\d.]+)", "(?:{0}|{1})x?", "{0}.*{1}", "[{0}]{{3}}", "^{0}", "{0}?{1}", "(?:{0}){{2}}", "\\b{0}\\b(?!{1})", "({0}", "", "(?={0}){0}{1}", "(?:{0}|)", "x*"]
+    rows = [(f"p{n % 60}", rng.choice(["header", "body", "cookie"]), rng.choice(["", "server", "x-by"]), rng.choice(forms).format(rng.choice(words), rng.choice(words))) for n in range(400)]
+    texts = ["".join(rng.choice([*words, " ", "/1.2", "X", "K", "\n", "ADMİN"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    pages = [(i, {"Server": rng.choice(texts), "Other": "x"} if i % 4 else None, t if i % 5 else None, rng.choice(texts)) for i, t in enumerate(texts)]
+    want = set()
+    for i, headers, body, cookie in pages:
+        named = {k.lower(): v for k, v in (headers or {}).items()}
+        for product, place, name, pattern in rows:
+            try:
+                holds = re.compile(pattern, re.I | re.S).search
+            except re.error:
+                continue
+            if place == "header" and name in named and (not pattern or holds(named[name])) or pattern and (place == "body" and holds(body or "") or place == "cookie" and holds(cookie or "")):
+                want.add((i, product))
+    table = spark.createDataFrame(rows, "product string, place string, name string, pattern string")
+    responses = spark.createDataFrame(pages, "id long, headers map<string,string>, body string, cookie string")
+    for most in (50_000, 150):
+        assert {tuple(r) for r in rules.matched_patterns(responses, table, most=most).collect()} == want
+
+
+def test_distinct_names_of_long_lists_take_linear_time(spark):
+    from quarrylight.functions import web
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(60_000)), lambda i: F.concat(F.when(i % 2 == 0, " N").otherwise("n"), (i % 30_000).cast("string"))).alias("v"))
+    got = df.select(web.distinct_names(F.col("v")).alias("n")).first().n
+    assert len(got) == 30_000 and got[:3] == ["N0", "n1", "N2"]
