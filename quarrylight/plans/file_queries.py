@@ -14,8 +14,9 @@ from quarrylight.functions import web
 from quarrylight.operators import diff, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans.fixtures import assets
+from quarrylight.plans.queries import reports
 from quarrylight.plans.registry import query, table
-from quarrylight.sources import imports, records, store
+from quarrylight.sources import imports, records, store, workbooks
 from quarrylight.streaming import progress
 
 
@@ -24,7 +25,10 @@ def _host() -> Column:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/files-{uuid.uuid4().hex}"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{at or '/tmp/checkpoints'}/files-{uuid.uuid4().hex}"
 
 
 _HOST_SQL = "lower(regexp_extract(url, '://([^/?#:]+)', 1))"
@@ -77,6 +81,44 @@ def f8(spark, sf):
     return imports.read_targets(spark, at).select("target")
 
 
+@query(
+    "f8_every_cell",
+    f"""{A}, x AS (SELECT seq, UNNEST([trim(title), host, trim(org), cert_subject]) AS v FROM a), u AS (SELECT v AS target FROM x UNION SELECT unnest(['host', 'title', 'org', 'cert_subject']))
+    SELECT DISTINCT target FROM u WHERE target <> ''""",
+)
+def f8_cells(spark, sf):
+    """Targets from every cell of three workbooks, each of two sheets, written from the assets."""
+    at, own = _folder(spark), assets(spark, sf)
+    for n in range(3):
+        part = own.where(F.pmod("seq", F.lit(3)) == n)
+        sheets = {"names": part.orderBy("seq").select("host", "title"), "owners": part.orderBy("seq").select("org", "cert_subject")}
+        workbooks.write_sheets(sheets, f"{at}-{n}.xlsx", store.sink(spark, f"{at}-{n}.xlsx"), piece_rows=50)
+    return imports.read_targets(spark, ",".join(f"{at}-{n}.xlsx" for n in range(3))).select("target")
+
+
+@query("f8_csv_cells", "SELECT DISTINCT target FROM (SELECT trim(unnest([CAST(page_id AS VARCHAR), url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1))])) AS target FROM pages) WHERE target <> ''")
+def f8_csv(spark, sf):
+    at = f"{_folder(spark)}.csv"
+    table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).write.csv(at, escape='"')
+    return imports.read_targets(spark, at).select("target")
+
+
+def _whole_workbook_sql() -> str:
+    of = [f"SELECT '{sheet}' AS sheet, name, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({sql})) ON COLUMNS(*) INTO NAME name VALUE value)" for sheet, sql in reports().values()]
+    return f"SELECT sheet, name, value, count(*) AS n FROM ({' UNION ALL '.join(of)}) WHERE value <> '' GROUP BY ALL"
+
+
+@query("f13_whole_workbook", _whole_workbook_sql())
+def f13_whole(spark, sf):
+    """Every cell of every sheet of a report, written to a workbook and read again."""
+    at = f"{_folder(spark)}.xlsx"
+    store.write_workbook(assets(spark, sf), at)
+    rows = workbooks.read_rows(spark, at)
+    heads = rows.where("row = 1").select("sheet", F.col("cells").alias("names"))
+    cells = rows.where("row > 1").join(F.broadcast(heads), "sheet").select("sheet", F.inline(F.arrays_zip("names", "cells"))).toDF("sheet", "name", "value")
+    return cells.where("value <> ''").groupBy("sheet", "name", "value").agg(F.count("*").alias("n"))
+
+
 # ---- sessions and sinks ------------------------------------------------------------------------------------------
 
 

@@ -192,6 +192,13 @@ _REPORTS: dict[str, tuple[str, str]] = {
     "r21_cross_source": ("cross_source", f"{A} SELECT source, ip, CAST(port AS INT) AS port, protocol, domain, host, url, service, title, server, {_JOIN.format('products')}, country, city, org, icp, {_JOIN.format('tags')}, update_time FROM a WHERE contains(source, '+')"),
     "r22_risky": ("risky", f"{A} SELECT source, ip, CAST(port AS INT) AS port, domain, host, url, title, server, {_JOIN.format('products')}, country, city, org, {_JOIN.format('tags')}, update_time FROM a WHERE regexp_matches(array_to_string(tags, ','), '敏感端口|后台|登录')"),
 }
+
+
+def reports() -> dict[str, tuple[str, str]]:
+    """Of each report query its sheet and its SQL."""
+    return dict(_REPORTS)
+
+
 for _name, (_sheet, _sql) in _REPORTS.items():
     query(_name, _sql)(lambda spark, sf, s=_sheet: report.SHEETS[s](assets(spark, sf)))
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import zipfile
-from collections.abc import Iterator, Mapping, Sequence
-from xml.etree import ElementTree
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.model import COLUMNS, EXPORT, LISTS, as_assets
 from quarrylight.operators.filters import target_list
 from quarrylight.operators.normalize import normalized
+from quarrylight.sources import workbooks
 
 # The exports' headers. A tuple: the first that is there and not empty.
 FOFA = {
@@ -96,60 +94,62 @@ def imported(rows: DataFrame) -> DataFrame:
     return {"own": from_own_export, "quake": from_quake, "fofa": from_fofa}[kind](rows)
 
 
-def xlsx_rows(data: bytes) -> Iterator[list[str]]:
-    """Cells of the first sheet, row by row; short rows are padded to the first one's width."""
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    import io
-
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{space['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", space)]
-        sheet = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
-        width = None
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{{{space['m']}}}row"):
-            cells: dict[int, str] = {}
-            for i, c in enumerate(row.findall("m:c", space)):
-                at = i
-                if ref := re.match(r"[A-Z]+", c.get("r") or ""):
-                    at = 0
-                    for ch in ref[0]:
-                        at = at * 26 + ord(ch) - 64
-                    at -= 1
-                v = c.find("m:v", space)
-                text = shared[int(v.text)] if c.get("t") == "s" and v is not None else "".join(t.text or "" for t in c.iter(f"{{{space['m']}}}t")) if c.get("t") == "inlineStr" else (v.text or "") if v is not None else ""
-                cells[at] = text
-            width = max(cells, default=-1) + 1 if width is None else width
-            yield [cells.get(i, "") for i in range(width)]
-
-
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """First sheets of the workbooks at ``path`` as strings, headers from the first row; each workbook is parsed in one task."""
-    files = spark.read.format("binaryFile").load(path)
-    head = files.orderBy("path").limit(1).mapInArrow(lambda b: _xlsx_batches(b, True), "cells array<string>, at long").collect()
+    """First sheets of the workbooks at ``path`` as strings, headers from the first row of the first one; ranges of rows are read in tasks of their own."""
+    rows = workbooks.read_rows(spark, path, sheets="first")
+    head = rows.where("row = 1").orderBy("file").limit(1).collect()
     names = [c.strip() or f"_{i}" for i, c in enumerate(head[0]["cells"])] if head else []
-    rows = files.mapInArrow(lambda b: _xlsx_batches(b, False), "cells array<string>, at long")
-    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], F.col("at").alias("seq"))
+    return rows.where("row > 1").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)], (F.col("row") - 2).alias("seq"))
 
 
-def _xlsx_batches(batches, head: bool):
-    import pyarrow as pa
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, multiLine=True, escape='"')
 
-    for b in batches:
-        for data in b.column("content").to_pylist():
-            rows = list(xlsx_rows(data))
-            rows = rows[:1] if head else rows[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), pa.array(range(len(rows)), pa.int64())], names=["cells", "at"])
 
+def csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, column, value) of every cell of CSV files; rows may differ in length, quotes may stand anywhere. A file is streamed by one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path")
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+    def cells(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                with workbooks.opened(file) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace", newline="") as text:
+                    held = []
+                    for n, row in enumerate(csv.reader(text), 1):
+                        held += [(file, n, i, v) for i, v in enumerate(row) if v.strip()]
+                        if len(held) >= 10_000:
+                            yield _cells_batch(held)
+                            held = []
+                    if held:
+                        yield _cells_batch(held)
+
+    def _cells_batch(held):
+        import pyarrow as pa
+
+        file, row, column, value = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(file), pa.array(row, pa.int64()), pa.array(column, pa.int32()), pa.array(value)], names=["file", "row", "column", "value"])
+
+    return files.mapInArrow(cells, "file string, row long, column int, value string")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct targets of text files: lines split at commas, semicolons, white space; ``#`` starts a comment."""
+    """Distinct targets of files, each at its first place.
+
+    Of workbooks (.xlsx) and CSV files (.csv) every cell is one, trimmed. Other files are text: lines split at commas,
+    semicolons, white space; ``#`` starts a comment. A path is one file or a folder of one kind of files.
+    """
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind in ("xlsx", "csv"):
+        cells = workbooks.read_cells(spark, path).select("file", "sheet", "row", "column", "value") if kind == "xlsx" else csv_cells(spark, path).select("file", F.lit("").alias("sheet"), "row", "column", "value")
+        first = cells.select(F.trim("value").alias("target"), F.struct("file", "sheet", "row", "column").alias("at")).where("target <> ''").groupBy("target").agg(F.min("at").alias("at"))
+        return first.select("target", F.col("at.row").alias("line"), F.col("at.column").alias("at"))
     lines = spark.read.text(path).select(F.regexp_replace("value", r"(^|\s)#.*$", "").alias("line"), F.monotonically_increasing_id().alias("seq"))
     return target_list(lines)
 
 
-__all__ = ["COLUMNS", "detect", "from_fofa", "from_own_export", "from_quake", "imported", "read_csv", "read_targets", "read_xlsx", "whole_number", "xlsx_rows"]
+__all__ = ["COLUMNS", "detect", "from_fofa", "from_own_export", "from_quake", "imported", "csv_cells", "read_csv", "read_targets", "read_xlsx", "whole_number"]

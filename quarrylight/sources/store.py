@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import html
 import io
 import time
-import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrylight.model import COLUMNS, EXPORT, LISTS
 from quarrylight.operators.normalize import compact_json, flat
 from quarrylight.operators.report import SHEETS
+from quarrylight.sources import workbooks
 
 
 _LOG = "session_id long, name string, query string, targets string, notes string, assets long, created timestamp, gone boolean, at long"
@@ -125,10 +123,6 @@ def write_report(assets: DataFrame, path: str, form: str = "parquet", names: tup
     return [f"{path}/{n}" for n in names]
 
 
-#: Rows of a sheet, header included, that the format allows.
-SHEET_ROWS = 1_048_576
-
-
 class _Sink(io.RawIOBase):
     """A file of the Hadoop file system to write bytes to."""
 
@@ -149,53 +143,18 @@ class _Sink(io.RawIOBase):
         super().close()
 
 
-def _sheet_name(name: str, part: int) -> str:
-    return name[:28] if part == 1 else f"{name[:24]} {part}"
+def sink(spark: SparkSession, path: str) -> io.RawIOBase:
+    """A new file at ``path``, in whichever file system it is."""
+    return _Sink(spark, path)
 
 
-def write_workbook(assets: DataFrame, path: str, names: tuple[str, ...] = tuple(SHEETS), sheet_rows: int = SHEET_ROWS) -> list[str]:
+def write_workbook(assets: DataFrame, path: str, names: tuple[str, ...] = tuple(SHEETS), sheet_rows: int = workbooks.SHEET_ROWS) -> list[str]:
     """One XLSX workbook with a sheet for each name; its sheets' names.
 
-    A workbook is one file, which one process must write: rows are made into XML by Spark and come to the driver one
-    partition at a time, so its memory does not grow with them. Sheets that are longer than the format allows go on in further
-    ones. For tables beyond that use :func:`write_report`.
+    Tasks make and compress the XML; the driver puts the compressed pieces together. Sheets that are longer than the format
+    allows go on in further ones.
     """
-    spark = assets.sparkSession
-    cell = lambda c: F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), _escaped(c), F.lit("</t></is></c>"))
-    written: list[str] = []
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with io.BufferedWriter(_Sink(spark, path), 1 << 20) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
-        for name in names:
-            df = SHEETS[name](assets)
-            text = [F.array_join(c, ",") if isinstance(df.schema[c].dataType, T.ArrayType) else F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c).cast("string") for c in df.columns]
-            rows = df.select(F.concat(F.lit("<row>"), *[cell(F.coalesce(t, F.lit(""))) for t in text], F.lit("</row>")).alias("x"))
-            title = "<row>" + "".join(f'<c t="inlineStr"><is><t>{html.escape(c)}</t></is></c>' for c in df.columns) + "</row>"
-            source, part, more = rows.toLocalIterator(), 0, True
-            while more:
-                part += 1
-                written.append(_sheet_name(name, part))
-                with z.open(f"xl/worksheets/sheet{len(written)}.xml", "w", force_zip64=True) as f:
-                    f.write(f'{head}<worksheet xmlns="{main}"><sheetData>{title}'.encode())
-                    n = 1
-                    for r in source:
-                        f.write(r["x"].encode())
-                        n += 1
-                        if n == sheet_rows:
-                            break
-                    more = n == sheet_rows
-                    f.write(b"</sheetData></worksheet>")
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{html.escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(written, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(written) + 1)) + "</Relationships>")
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}.worksheet+xml"/>' for i in range(1, len(written) + 1)) + "</Types>")
-    return written
-
-
-def _escaped(c: Column) -> Column:
-    """As XML text, without the control characters that XML has no form for."""
-    return F.replace(F.replace(F.replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return workbooks.write_sheets({n: SHEETS[n](assets) for n in names}, path, _Sink(assets.sparkSession, path), sheet_rows)
 
 
 def export(assets: DataFrame, path: str) -> None:

@@ -492,3 +492,67 @@ def test_distinct_names_of_long_lists_take_linear_time(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(60_000)), lambda i: F.concat(F.when(i % 2 == 0, " N").otherwise("n"), (i % 30_000).cast("string"))).alias("v"))
     got = df.select(web.distinct_names(F.col("v")).alias("n")).first().n
     assert len(got) == 30_000 and got[:3] == ["N0", "n1", "N2"]
+
+
+# ---- workbooks in parts -----------------------------------------------------------------------------------------------
+
+
+def test_crcs_combine():
+    import random
+    import zlib
+
+    from quarrylight.sources import workbooks
+
+    rng = random.Random(3)
+    for n, m in ((0, 0), (0, 5), (5, 0), (1, 1), (1000, 3), (7, 123_457)):
+        a, b = rng.randbytes(n), rng.randbytes(m)
+        assert workbooks.crc32_of_both(zlib.crc32(a), zlib.crc32(b), m) == zlib.crc32(a + b)
+
+
+def test_workbooks_are_written_by_tasks_and_read_by_ranges(spark, tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    from quarrylight.sources import store, workbooks
+
+    df = spark.range(0, 2500, 1, 7).select(F.col("id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("<é&中 \x01"), F.col("id").cast("string"))).alias("text"), F.array(F.lit("a"), F.lit("b")).alias("list"))
+    at = str(tmp_path / "a.xlsx")
+    names = workbooks.write_sheets({"one": df, "empty": df.where("false"), "two & 2": df.limit(3)}, at, store.sink(spark, at), sheet_rows=1001, piece_rows=90)
+    assert names == ["one", "one 2", "one 3", "empty", "two & 2"] and sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == []
+    with zipfile.ZipFile(at) as z:
+        assert z.testzip() is None
+        sheets = [ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")) for i in range(1, 6)]
+    counts = [len([e for e in s.iter() if e.tag.endswith("}row")]) for s in sheets]
+    assert counts[3:] == [1, 4] and sum(counts[:3]) == 2503 and all(n <= 1001 for n in counts)
+    rows = workbooks.read_rows(spark, at, rows=100)
+    assert rows.rdd.getNumPartitions() > 20
+    got = rows.where("row > 1 AND sheet LIKE 'one%'").orderBy("sheet_no", "row").select("cells").collect()
+    assert [r.cells for r in got] == [[str(i), f"<é&中 {i}" if i % 5 else "", "a,b"] for i in range(2500)]
+    assert rows.where("sheet = 'empty'").collect()[0].cells == ["id", "text", "list"]
+
+
+def test_sheets_of_other_writers(spark, tmp_path):
+    import zipfile
+
+    from quarrylight.sources import imports, workbooks
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = "".join(f'<x:row r="{n}"><x:c r="B{n}" t="s"><x:v>{n % 50}</x:v></x:c><x:c r="D{n}"><x:v>{n}</x:v></x:c></x:row>' for n in range(3, 30_000, 3))
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Last" sheetId="9" r:id="q"/><sheet name="Odd" sheetId="1" r:id="p"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="p" Target="worksheets/odd.xml"/><Relationship Id="q" Target="/xl/worksheets/z.xml"/></Relationships>')
+        z.writestr("xl/worksheets/z.xml", f'<x:worksheet xmlns:x="{main}"><x:sheetData>{rows}</x:sheetData></x:worksheet>')
+        z.writestr("xl/worksheets/odd.xml", f'<worksheet xmlns="{main}"><sheetData><row/><row><c><v>1.5</v></c><c t="inlineStr"><is><r><t>a</t></r><r><t xml:space="preserve"> b</t></r><rPh><t>no</t></rPh></is></c><c/></row><row r="9"><c t="str"><f>x</f><v>&lt;y&gt;</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>s{i}</t></si>" if i % 2 else f"<si><r><t>s</t></r><r><t>{i}</t></r></si>" for i in range(50)) + "</sst>")
+    got = {(r.sheet, r.row): r.cells for r in workbooks.read_rows(spark, str(tmp_path), rows=700).collect()}
+    assert got == {("Last", n): ["", f"s{n % 50}", "", str(n)] for n in range(3, 30_000, 3)} | {("Odd", 2): ["1.5", "a b"], ("Odd", 9): ["<y>"]}
+    targets = {r.target for r in imports.read_targets(spark, str(tmp_path / "b.xlsx")).collect()}
+    assert targets == {x for cells in got.values() for x in cells if x}
+
+
+def test_cells_of_csv_files(spark, tmp_path):
+    from quarrylight.sources import imports
+
+    (tmp_path / "a.csv").write_text('﻿a.example, b.example\n"c ""q"" x",,"two\nlines",d\n\n  \nb.example,"10.0.0.1"\n', encoding="utf-8")
+    rows = imports.read_targets(spark, str(tmp_path / "a.csv")).collect()
+    assert {r.target for r in rows} == {"a.example", "b.example", 'c "q" x', "two\nlines", "d", "10.0.0.1"} and {r.line for r in rows if r.target == "b.example"} == {1}
