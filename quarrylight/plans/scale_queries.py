@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import rules
-from quarrylight.operators import filters, joins
+from quarrylight.operators import filters, growing, joins, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans.fixtures import assets
-from quarrylight.plans.registry import query, table
+from quarrylight.plans.queries import ROOT
+from quarrylight.plans.registry import SQL, query, table
+from quarrylight.streaming import cursor, deadlines, progress
 
 _HOST_SQL = "lower(regexp_extract(url, '://([^/?#:]+)', 1))"
 
@@ -80,3 +84,68 @@ def j3_both(spark: SparkSession, sf: str) -> DataFrame:
     own = s.select(F.explode(F.array(six, four)).alias("ip")).distinct()
     nets = s.groupBy().agg(F.max(F.lit(1))).select(F.explode(F.array(*[F.lit(x) for x in ("2001:db8::/32", "2001:db8::/46", "2001:DB8:3:0::/64", "2001:db8:4::/120", "2001:db8:5::10/124", "10.0.0.0/8", "10.0.0.0/16", "::ffff:10.1.0.0/112", "2001:db8::/129", "nonsense/8")])).alias("prefix"))
     return joins.prefix_join(own, nets)
+
+
+# ---- inventories that grow ------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{at or '/tmp/checkpoints'}/growing-{uuid.uuid4().hex}"
+
+
+@query("d1_in_batches", SQL["d1_smart"])
+def d1_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge of ten batches, of which one comes twice."""
+    own, merged = assets(spark, sf), growing.MergedAssets(spark, _folder(spark))
+    for n in (3, 1, 2, 0, 4, 5, 6, 7, 8, 9, 9):
+        merged.add(n, own.where(F.pmod("seq", F.lit(10)) == n))
+    lists = [F.array_join(c, ",").alias(c) for c in ("products", "cert_domains", "tags")]
+    raw = F.array_join(F.transform(F.map_entries("raw"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("raw")
+    return merged.result().select("key", "ip", "port", "domain", "host", "url", "service", "title", "org", "update_time", *lists, "source", "group_size", raw)
+
+
+@query("r9_root_sketches", f"{A} SELECT {ROOT} AS root_domain, count(*) AS assets, true AS subdomains_near, true AS ips_near FROM a WHERE domain IS NOT NULL GROUP BY 1")
+def r9_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of seven sessions, merged, beside the exact counts: near is within four standard errors."""
+    own, counts = assets(spark, sf), growing.RootCounts(spark, _folder(spark))
+    for n in range(7):
+        counts.add(n, own.where(F.pmod("seq", F.lit(7)) == n))
+    exact = report.root_domains(own).select("root_domain", F.col("subdomains").alias("d"), F.col("ips").alias("i"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 4 * counts.error * F.col(b)
+    return counts.result().join(exact, "root_domain").select("root_domain", "assets", near("subdomains", "d").alias("subdomains_near"), near("ips", "i").alias("ips_near"))
+
+
+# ---- streams ----------------------------------------------------------------------------------------------------------------
+
+
+@query("w3_cursor_stream", "SELECT event_id, event_type, user_id FROM events WHERE event_id > 90")
+def w3_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Behind cursor 90, in two runs of one checkpoint: the log's first half, then all of it, rewritten in one file."""
+    at = _folder(spark)
+    e = table(spark, sf, "events")
+    half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+    for rows in (e.where(F.col("event_id") <= half).repartition(3), e.coalesce(1)):
+        rows.write.mode("overwrite").parquet(f"{at}/log")
+        progress.into(cursor.cursor_stream(spark, f"{at}/log", since=90), f"{at}/taken", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/taken").select("event_id", "event_type", "user_id")
+
+
+@query(
+    "w1_outcomes",
+    """WITH e AS (SELECT user_id AS source, CASE WHEN event_type IN ('signup', 'click') THEN 'start' WHEN event_type = 'purchase' THEN 'done' ELSE 'failed' END AS phase, ts, event_id FROM events WHERE event_type <> 'view'),
+    o AS (SELECT *, lead(ts) OVER w AS next_ts, lead(phase) OVER w AS next_phase, lag(ts) OVER w AS last_ts, lag(phase) OVER w AS last_phase FROM e WINDOW w AS (PARTITION BY source ORDER BY ts, event_id)),
+    m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM e), d AS (SELECT *, 43200 AS lim FROM o, m)
+    SELECT source, ts AS started, CASE WHEN next_ts IS NULL OR next_ts - ts > lim * INTERVAL 1 SECOND THEN 'timed_out' WHEN next_phase = 'start' THEN 'restarted' ELSE next_phase END AS status,
+      CASE WHEN next_ts IS NULL OR next_ts - ts > lim * INTERVAL 1 SECOND THEN CAST(lim AS DOUBLE) ELSE (epoch_us(next_ts) - epoch_us(ts)) / 1e6 END AS seconds
+    FROM d WHERE phase = 'start' AND (next_ts IS NOT NULL OR ts + lim * INTERVAL 1 SECOND < mark)
+    UNION ALL SELECT source, NULL, 'unmatched', NULL FROM d WHERE phase <> 'start' AND (last_phase IS NULL OR last_phase <> 'start' OR ts - last_ts > lim * INTERVAL 1 SECOND)""",
+)
+def w1_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that were started, with a deadline of twelve hours."""
+    e = progress.event_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    phase = F.when(F.col("event_type").isin("signup", "click"), "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    own = e.select(F.col("user_id").alias("source"), phase.alias("phase"), F.col("ts").alias("time"), F.col("event_id").alias("n"))
+    return progress.drained(deadlines.outcomes(own, seconds=43_200), "w1_outcomes", "append")

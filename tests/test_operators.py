@@ -556,3 +556,66 @@ def test_cells_of_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿a.example, b.example\n"c ""q"" x",,"two\nlines",d\n\n  \nb.example,"10.0.0.1"\n', encoding="utf-8")
     rows = imports.read_targets(spark, str(tmp_path / "a.csv")).collect()
     assert {r.target for r in rows} == {"a.example", "b.example", 'c "q" x', "two\nlines", "d", "10.0.0.1"} and {r.line for r in rows if r.target == "b.example"} == {1}
+
+
+# ---- inventories that grow, streams -------------------------------------------------------------------------------------
+
+
+def test_batches_in_any_order_are_one_merge(spark, sf, tmp_path):
+    from quarrylight.operators import growing
+    from quarrylight.plans.fixtures import assets
+
+    own = assets(spark, sf).where("seq < 60")
+    merged = growing.MergedAssets(spark, str(tmp_path / "m"), "ip")
+    for n in (0, 9, 5, 2, 1, 3, 4, 5, 8):  # 4 and 8 come after what is around them; 5 comes twice
+        merged.add(n, own.where(F.pmod("seq", F.lit(10)) == n))
+    want = dedup.merge_duplicates(own.where("seq % 10 IN (0, 9, 5, 2, 1, 3, 4, 8)"), "ip")
+    columns = sorted(want.columns)
+    assert sorted(map(str, merged.result().select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    levels = {(r[0], r[1], r[2]) for r in merged.heads.runs()}
+    assert (1, 0, 3) in levels and (0, 4, 4) in levels and len(levels) == 5
+
+
+def test_sketches_of_sessions_combine(spark, tmp_path):
+    from quarrylight.operators import growing
+
+    names = spark.range(60_000).select((F.col("id") % 20_000).alias("d"), (F.col("id") % 3).alias("r"), F.col("id").alias("n"))
+    own = names.select(F.concat(F.lit("h"), "d", F.lit(".r"), F.col("r"), F.lit(".com")).alias("domain"), (F.col("n") % 7000).cast("string").alias("ip"), "n")
+    counts = growing.RootCounts(spark, str(tmp_path / "r"))
+    for n in range(5):
+        counts.add(n, own.where(F.pmod("n", F.lit(5)) == n))
+    counts.add(2, own)  # known already
+    exact = {r.root: (r.d, r.i, r.n) for r in own.groupBy(F.substring_index("domain", ".", -2).alias("root")).agg(F.countDistinct("domain").alias("d"), F.countDistinct("ip").alias("i"), F.count("*").alias("n")).collect()}
+    got = counts.result().collect()
+    assert {r.root_domain for r in got} == set(exact)
+    for r in got:
+        d, i, n = exact[r.root_domain]
+        assert r.assets == n and abs(r.subdomains - d) <= 4 * counts.error * d and abs(r.ips - i) <= 4 * counts.error * i
+
+
+def test_a_cursor_goes_on_behind_its_checkpoint(spark, tmp_path):
+    from quarrylight.streaming import cursor, progress
+
+    log = str(tmp_path / "log")
+    for upto, files in ((100, 3), (100, 3), (250, 5), (260, 1)):
+        spark.range(upto).select(F.col("id").alias("event_id"), (F.col("id") % 3).cast("string").alias("event_type")).repartition(files).write.mode("overwrite").parquet(log)
+        progress.into(cursor.cursor_stream(spark, log, since=9, slices=3), str(tmp_path / "taken"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "taken")).collect())
+    assert got == list(range(10, 260))
+
+
+def test_sources_that_never_end_time_out(spark, tmp_path):
+    from quarrylight.streaming import deadlines, progress
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    batches = [
+        [("a", "start", at(0)), ("b", "start", at(1)), ("c", "done", at(2)), ("d", "start", at(3)), ("d", "start", at(10)), ("e", "start", at(5)), ("e", "other", at(6))],
+        [("a", "done", at(30)), ("b", "failed", at(47)), ("d", "failed", at(50)), ("f", "start", at(400))],
+        [("g", "start", at(2000))],  # moves the watermark: e has never ended
+        [("e", "done", at(10)), ("f", "done", at(1990))],  # late, and after its deadline
+    ]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source string, phase string, time timestamp, n int").coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+        progress.into(deadlines.outcomes(progress.event_stream(spark, str(tmp_path / "in"), "source string, phase string, time timestamp, n int"), late="1 minute"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {(r.source, r.status, r.seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", "done", 30.0), ("b", "timed_out", 45.0), ("b", "unmatched", None), ("c", "unmatched", None), ("d", "restarted", 7.0), ("d", "failed", 40.0), ("e", "timed_out", 45.0), ("f", "timed_out", 45.0), ("f", "unmatched", None)}
