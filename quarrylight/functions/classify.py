@@ -17,15 +17,15 @@ PATHS = {
 }
 # Names of query parameters by kind.
 PARAMETERS = {
-    "sqli": "id user uid pid product item cat category type order sort page num limit count",
-    "ssrf": "url uri link src callback target return redirect next continue dest destination host domain fetch proxy via origin",
-    "lfi": "file filename path dir folder template page include require load read view doc document attachment",
-    "rce": "cmd exec command run action do shell code eval func method operation task process",
-    "xss": "q search query keyword kw s term text content message msg comment name title description desc",
-    "auth": "token jwt session sid sess auth key api_key apikey access_token secret password pwd hash sign signature",
-    "ssti": "template view tpl theme layout render format",
-    "xxe": "xml data payload input body",
-    "openredir": "redirect redir url next return returnto return_to continue forward goto to target",
+    "sqli": ("id", "user", "uid", "pid", "product", "item", "cat", "category", "type", "order", "sort", "page", "num", "limit", "count"),
+    "ssrf": ("url", "uri", "link", "src", "callback", "target", "return", "redirect", "next", "continue", "dest", "destination", "host", "domain", "fetch", "proxy", "via", "origin"),
+    "lfi": ("file", "filename", "path", "dir", "folder", "template", "page", "include", "require", "load", "read", "view", "doc", "document", "attachment"),
+    "rce": ("cmd", "exec", "command", "run", "action", "do", "shell", "code", "eval", "func", "method", "operation", "task", "process"),
+    "xss": ("q", "search", "query", "keyword", "kw", "s", "term", "text", "content", "message", "msg", "comment", "name", "title", "description", "desc"),
+    "auth": ("token", "jwt", "session", "sid", "sess", "auth", "key", "api_key", "apikey", "access_token", "secret", "password", "pwd", "hash", "sign", "signature"),
+    "ssti": ("template", "view", "tpl", "theme", "layout", "render", "format"),
+    "xxe": ("xml", "data", "payload", "input", "body"),
+    "openredir": ("redirect", "redir", "url", "next", "return", "returnto", "return_to", "continue", "forward", "goto", "to", "target"),
 }
 # Fixed values of the tagger.
 CDN_WORDS = ("cloudflare", "cloudfront", "akamai", "fastly", "incapsula", "cdn", "qcloud-cdn", "alikunlun", "ksyuncdn", "wscloudcdn", "chinanetcenter", "wangsu", "baidubce", "azureedge", "edgecast", "stackpath", "sucuri")
@@ -98,7 +98,7 @@ def base_name(target: Column) -> Column:
 
 def parameter_kinds(name: Column) -> Column:
     low = F.lower(name)
-    return F.array_compact(F.array(*[F.when(low.isin(*names.split()), F.lit(kind)) for kind, names in PARAMETERS.items()]))
+    return F.array_compact(F.array(*[F.when(low.isin(*names), F.lit(kind)) for kind, names in PARAMETERS.items()]))
 
 
 def asset_tags() -> Column:

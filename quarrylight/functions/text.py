@@ -59,8 +59,17 @@ EMAIL_RULES = (
     ),
 )
 # Patterns of addresses, telephone numbers, licence numbers and mails.
-_H = "[0-9A-Fa-f]{1,4}"
-IPV6 = rf"(?:{_H}(?::{_H}){{7}}|::(?:{_H}:){{0,6}}{_H}|{_H}::(?:{_H}:){{0,5}}{_H}" + "".join(rf"|(?:{_H}:){{{n}}}::(?:{_H}:){{0,{6 - n}}}{_H}" for n in range(2, 7)) + r")(?::\d{1,5})?"
+IPV6 = (
+    r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}"
+    r"|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}"
+    r"|[0-9A-Fa-f]{1,4}::(?:[0-9A-Fa-f]{1,4}:){0,5}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){2}::(?:[0-9A-Fa-f]{1,4}:){0,4}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){3}::(?:[0-9A-Fa-f]{1,4}:){0,3}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){4}::(?:[0-9A-Fa-f]{1,4}:){0,2}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){5}::(?:[0-9A-Fa-f]{1,4}:){0,1}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){6}::(?:[0-9A-Fa-f]{1,4}:){0,0}[0-9A-Fa-f]{1,4}"
+    r")(?::\d{1,5})?"
+)
 PHONE = r"(?:\+?86[-\s]?)?1[3-9]\d{9}|0\d{2,3}[-\s]?\d{7,8}"
 ICP = rf"[{_PLATE}][A-Z]?ICP备?\d{{5,}}(?:-\d+)?号?"
 HTML_MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"

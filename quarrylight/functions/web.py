@@ -34,29 +34,106 @@ class Fingerprint:
     favicon: str = ""
 
 
-# Fixed values: (product, what must be there), by where it is looked for.
-HEADERS = (
-    ("nginx", "Server: nginx"), ("Apache", "Server: Apache"), ("Microsoft-IIS", "Server: Microsoft-IIS"), ("OpenResty", "Server: openresty"), ("Caddy", "Server: Caddy"),
-    ("LiteSpeed", "Server: LiteSpeed"), ("Tengine", "Server: Tengine"), ("Tomcat", "Server: Apache-Coyote"), ("Jetty", "Server: Jetty"), ("Gunicorn", "Server: gunicorn"),
-    ("uvicorn", "Server: uvicorn"), ("Node.js", "X-Powered-By: Express"), ("PHP", "X-Powered-By: PHP"), ("ASP.NET", "X-Powered-By: ASP.NET"), ("Servlet", "X-Powered-By: Servlet"),
-    ("Cloudflare", "Server: cloudflare"), ("Cloudflare", "CF-RAY:"), ("Akamai", "Server: AkamaiGHost"), ("Akamai", "X-Akamai-Transformed:"), ("Fastly", "X-Fastly-Request-ID:"),
-    ("CloudFront", "Via: CloudFront"), ("CloudFront", "X-Amz-Cf-Id:"), ("Aliyun-WAF", "Server: Tengine/Aserver"), ("Aliyun-CDN", "Server: Tengine"), ("Tencent-CDN", "X-Cache-Lookup: Hit From"),
-    ("Tencent-CDN", "Server: cdn"), ("Sucuri", "X-Sucuri-ID:"), ("Imperva", "X-Iinfo:"), ("ModSecurity", "Server: Mod_Security"), ("WordPress", "X-Pingback:"),
-    ("Drupal", "X-Drupal-Cache:"), ("Drupal", "X-Generator: Drupal"), ("Spring", "X-Application-Context:"), ("Next.js", "X-Powered-By: Next.js"), ("Jenkins", "X-Jenkins:"),
-    ("Jira", "X-AREQUESTID:"), ("Confluence", "X-Confluence-Request-Time:"), ("Gitea", "Set-Cookie: i_like_gitea"), ("Harbor", "Set-Cookie: harbor_session"), ("MinIO", "Server: MinIO"),
-)
-BODIES = (
-    ("WordPress", "/wp-content/"), ("Joomla", 'content="Joomla'), ("Discuz!", 'content="Discuz!'), ("phpBB", 'content="phpBB'), ("MediaWiki", 'content="MediaWiki'),
-    ("Ghost", 'content="Ghost '), ("Typecho", 'content="Typecho'), ("DedeCMS", 'content="DedeCMS'), ("MetInfo", 'content="MetInfo'), ("ThinkCMF", "thinkcmf"),
-    ("Spring-Boot", '/error"><pre>'), ("Spring-Boot", "Whitelabel Error Page"), ("Struts2", "struts"), ("ThinkPHP", "ThinkPHP"), ("FastAPI", "<title>FastAPI"),
-    ("Nuxt", 'id="__nuxt'), ("Next.js", 'id="__next'), ("React", "data-reactroot"), ("React", "data-reactid"), ("Vue.js", 'id="app" data-v-'),
-    ("Vue.js", 'data-server-rendered="true"'), ("Angular", "ng-version="), ("Element-UI", "el-button"), ("Ant-Design", "ant-btn"), ("Swagger-UI", "swagger-ui"),
-    ("Swagger-UI", "/swagger-resources"), ("GraphiQL", "GraphiQL"), ("Actuator", '"_links":{"self"'), ("GitLab", "GitLab.com"), ("Nacos", "Nacos"),
-    ("Apollo", "apollo-portal"), ("Kibana", "kbn-version"), ("Grafana", "grafana"), ("Zabbix", "Zabbix SIA"), ("Prometheus", "Prometheus Time Series Collection"),
-    ("WeblogicAdmin", "Welcome to Weblogic Application"), ("phpMyAdmin", "phpmyadmin.css.php"), ("Adminer", "Adminer - Database management"), ("AliyunOSS", "<HostId>oss-"), ("AWS-S3", "<ListBucketResult"),
-)
-COOKIES = (("Laravel", "laravel_session="), ("Laravel", "XSRF-TOKEN="), ("Django", "csrftoken="), ("Django", "sessionid="), ("Flask", "session=ey"), ("Rails", "_rails_session"), ("Jira", "JSESSIONID="))
-FAVICONS = (("Jenkins", "81586312"), ("Spring-Boot", "116323821"), ("GitLab", "-1684273927"), ("Grafana", "-1140212333"), ("Kibana", "-1085141318"), ("Nacos", "13750606"), ("Harbor", "657337228"), ("Gitea", "-1929969042"), ("Apache", "-1664299192"))
+# Fixed values: (product, place, what must be there).
+PRODUCTS = (
+    ("nginx", "header", "Server: nginx"),
+    ("Apache", "header", "Server: Apache"),
+    ("Microsoft-IIS", "header", "Server: Microsoft-IIS"),
+    ("OpenResty", "header", "Server: openresty"),
+    ("Caddy", "header", "Server: Caddy"),
+    ("LiteSpeed", "header", "Server: LiteSpeed"),
+    ("Tengine", "header", "Server: Tengine"),
+    ("Tomcat", "header", "Server: Apache-Coyote"),
+    ("Jetty", "header", "Server: Jetty"),
+    ("Gunicorn", "header", "Server: gunicorn"),
+    ("uvicorn", "header", "Server: uvicorn"),
+    ("Node.js", "header", "X-Powered-By: Express"),
+    ("PHP", "header", "X-Powered-By: PHP"),
+    ("ASP.NET", "header", "X-Powered-By: ASP.NET"),
+    ("Servlet", "header", "X-Powered-By: Servlet"),
+    ("Cloudflare", "header", "Server: cloudflare"),
+    ("Cloudflare", "header", "CF-RAY:"),
+    ("Akamai", "header", "Server: AkamaiGHost"),
+    ("Akamai", "header", "X-Akamai-Transformed:"),
+    ("Fastly", "header", "X-Fastly-Request-ID:"),
+    ("CloudFront", "header", "Via: CloudFront"),
+    ("CloudFront", "header", "X-Amz-Cf-Id:"),
+    ("Aliyun-WAF", "header", "Server: Tengine/Aserver"),
+    ("Aliyun-CDN", "header", "Server: Tengine"),
+    ("Tencent-CDN", "header", "X-Cache-Lookup: Hit From"),
+    ("Tencent-CDN", "header", "Server: cdn"),
+    ("Sucuri", "header", "X-Sucuri-ID:"),
+    ("Imperva", "header", "X-Iinfo:"),
+    ("ModSecurity", "header", "Server: Mod_Security"),
+    ("WordPress", "body", "/wp-content/"),
+    ("WordPress", "header", "X-Pingback:"),
+    ("Drupal", "header", "X-Drupal-Cache:"),
+    ("Drupal", "header", "X-Generator: Drupal"),
+    ("Joomla", "body", 'content="Joomla'),
+    ("Discuz!", "body", 'content="Discuz!'),
+    ("phpBB", "body", 'content="phpBB'),
+    ("MediaWiki", "body", 'content="MediaWiki'),
+    ("Ghost", "body", 'content="Ghost '),
+    ("Typecho", "body", 'content="Typecho'),
+    ("DedeCMS", "body", 'content="DedeCMS'),
+    ("MetInfo", "body", 'content="MetInfo'),
+    ("ThinkCMF", "body", "thinkcmf"),
+    ("Laravel", "cookie", "laravel_session="),
+    ("Laravel", "cookie", "XSRF-TOKEN="),
+    ("Django", "cookie", "csrftoken="),
+    ("Django", "cookie", "sessionid="),
+    ("Flask", "cookie", "session=ey"),
+    ("Rails", "cookie", "_rails_session"),
+    ("Spring", "header", "X-Application-Context:"),
+    ("Spring-Boot", "body", '/error"><pre>'),
+    ("Spring-Boot", "body", "Whitelabel Error Page"),
+    ("Struts2", "body", "struts"),
+    ("ThinkPHP", "body", "ThinkPHP"),
+    ("FastAPI", "body", "<title>FastAPI"),
+    ("Nuxt", "body", 'id="__nuxt'),
+    ("Next.js", "body", 'id="__next'),
+    ("Next.js", "header", "X-Powered-By: Next.js"),
+    ("React", "body", "data-reactroot"),
+    ("React", "body", "data-reactid"),
+    ("Vue.js", "body", 'id="app" data-v-'),
+    ("Vue.js", "body", 'data-server-rendered="true"'),
+    ("Angular", "body", "ng-version="),
+    ("Element-UI", "body", "el-button"),
+    ("Ant-Design", "body", "ant-btn"),
+    ("Swagger-UI", "body", "swagger-ui"),
+    ("Swagger-UI", "body", "/swagger-resources"),
+    ("GraphiQL", "body", "GraphiQL"),
+    ("Actuator", "body", '"_links":{"self"'),
+    ("Jenkins", "header", "X-Jenkins:"),
+    ("Jira", "header", "X-AREQUESTID:"),
+    ("Jira", "cookie", "JSESSIONID="),
+    ("Confluence", "header", "X-Confluence-Request-Time:"),
+    ("GitLab", "body", "GitLab.com"),
+    ("Gitea", "header", "Set-Cookie: i_like_gitea"),
+    ("Harbor", "header", "Set-Cookie: harbor_session"),
+    ("Nacos", "body", "Nacos"),
+    ("Apollo", "body", "apollo-portal"),
+    ("Kibana", "body", "kbn-version"),
+    ("Grafana", "body", "grafana"),
+    ("Zabbix", "body", "Zabbix SIA"),
+    ("Prometheus", "body", "Prometheus Time Series Collection"),
+    ("WeblogicAdmin", "body", "Welcome to Weblogic Application"),
+    ("phpMyAdmin", "body", "phpmyadmin.css.php"),
+    ("Adminer", "body", "Adminer - Database management"),
+    ("AliyunOSS", "body", "<HostId>oss-"),
+    ("AWS-S3", "body", "<ListBucketResult"),
+    ("MinIO", "header", "Server: MinIO"),
+    ("Jenkins", "favicon", "81586312"),
+    ("Spring-Boot", "favicon", "116323821"),
+    ("GitLab", "favicon", "-1684273927"),
+    ("Grafana", "favicon", "-1140212333"),
+    ("Kibana", "favicon", "-1085141318"),
+    ("Nacos", "favicon", "13750606"),
+    ("Harbor", "favicon", "657337228"),
+    ("Gitea", "favicon", "-1929969042"),
+    ("Apache", "favicon", "-1664299192"),
+)
+# Spellings of products.
 ALIASES = {
     "nextjs": "Next.js", "next.js": "Next.js", "swagger": "Swagger UI", "swagger-ui": "Swagger UI", "swagger ui": "Swagger UI", "wordpress": "WordPress", "nginx": "Nginx",
     "apache": "Apache", "apache httpd": "Apache", "openresty": "OpenResty", "tomcat": "Tomcat", "jetty": "Jetty", "gunicorn": "Gunicorn", "php": "PHP", "node.js": "Node.js",
@@ -64,7 +141,7 @@ ALIASES = {
     "spring": "Spring", "spring boot": "Spring Boot", "spring-boot": "Spring Boot", "cloudflare": "Cloudflare", "akamai": "Akamai", "fastly": "Fastly", "cloudfront": "CloudFront",
     "jenkins": "Jenkins", "gitlab": "GitLab", "gitea": "Gitea", "jquery": "jQuery",
 }
-FINGERPRINTS = tuple(Fingerprint(p, **{kind: v}) for kind, table in (("header", HEADERS), ("body", BODIES), ("cookie", COOKIES), ("favicon", FAVICONS)) for p, v in table)
+FINGERPRINTS = tuple(Fingerprint(product, **{place: needle}) for product, place, needle in PRODUCTS)
 
 
 def canonical_product(p: Column) -> Column:
@@ -143,63 +220,145 @@ VENDOR_HEADERS = (
     ("safe3_waf", "waf", "x-powered-by-360wzb", ""), ("qiankun_waf", "waf", "qiankun-id", ""), ("anquanbao_waf", "waf", "x-powered-by-anquanbao", ""), ("yundun_360", "waf", "x-waf-status", ""),
     ("yundun_360", "waf", "server", "qianxin-waf"), ("knownsec_jiasule", "waf", "x-waf-rule", "jiasule"), ("knownsec_jiasule", "waf", "server", "jiasule-waf"),
 )
-# Fixed values: (vendor, kind, parts of canonical names).
+# Fixed values: (vendor, kind, part of canonical names).
 VENDOR_NAMES = (
-    ("cloudflare", "cdn", "cloudflare.net cloudflare.com"), ("aws_cloudfront", "cdn", "cloudfront.net"), ("aws_elb", "cloud_lb", "elb.amazonaws.com amazonaws.com"),
-    ("akamai", "cdn", "akamaiedge.net akamaihd.net akamai.net akamaitechnologies.com edgekey.net edgesuite.net"), ("fastly", "cdn", "fastly.net fastlylb.net"),
-    ("azure_frontdoor", "cdn", "azurefd.net azureedge.net"), ("azure_app_service", "cloud_lb", "azurewebsites.net"), ("gcp_load_balancer", "cloud_lb", "ghs.googlehosted.com lb.googleusercontent.com"),
-    ("aliyun_cdn", "cdn", "alikunlun.com kunlunca.com kunlunar.com kunlunwe.com kunlunsl.com alicdn.com alikunlun.net"), ("aliyun_oss", "cloud_lb", "aliyuncs.com oss-"),
-    ("aliyun_slb", "cloud_lb", "aliyun-inc.com slb-"), ("tencent_cloud_cdn", "cdn", "cdntip.com tcdn.qq.com qcloudcdn.cn dnspod.cn qcloudcdn.com"), ("tencent_cos", "cloud_lb", "myqcloud.com cos.tencentyun.com"),
-    ("baidu_cdn", "cdn", "bdydns.com jomodns.com baidu.com baiducdn.com"), ("huawei_cloud_cdn", "cdn", "hwcdn.net cdnhwc1.com myhuaweicloud.com"), ("qiniu_cdn", "cdn", "qbox.me qiniudns.com qiniucdn.com"),
-    ("wangsu", "cdn", "wsdvs.com wscdns.com wswebcdn.com lxdns.com ourwebpic.com wsglb0.com"), ("upyun", "cdn", "upaiyun.com upyuncdn.com"), ("stackpath", "cdn", "stackpathdns.com stackpathcdn.com"),
-    ("cdn77", "cdn", "cdn77.org cdn77.com"), ("bunnycdn", "cdn", "b-cdn.net bunnycdn.com"), ("keycdn", "cdn", "kxcdn.com"), ("edgio_limelight", "cdn", "llnwd.net edgecast.net edgesuite.net"),
-    ("section.io", "cdn", "section.io squixa.net"), ("knownsec_jiasule", "waf", "jiashule.com jsl-cdn.com"),
-)
-# Services to which a dangling canonical name may point; the first that matches counts.
+    ("cloudflare", "cdn", "cloudflare.net"),
+    ("cloudflare", "cdn", "cloudflare.com"),
+    ("aws_cloudfront", "cdn", "cloudfront.net"),
+    ("aws_elb", "cloud_lb", "elb.amazonaws.com"),
+    ("aws_elb", "cloud_lb", "amazonaws.com"),
+    ("akamai", "cdn", "akamaiedge.net"),
+    ("akamai", "cdn", "akamaihd.net"),
+    ("akamai", "cdn", "akamai.net"),
+    ("akamai", "cdn", "akamaitechnologies.com"),
+    ("akamai", "cdn", "edgekey.net"),
+    ("akamai", "cdn", "edgesuite.net"),
+    ("fastly", "cdn", "fastly.net"),
+    ("fastly", "cdn", "fastlylb.net"),
+    ("azure_frontdoor", "cdn", "azurefd.net"),
+    ("azure_frontdoor", "cdn", "azureedge.net"),
+    ("azure_app_service", "cloud_lb", "azurewebsites.net"),
+    ("gcp_load_balancer", "cloud_lb", "ghs.googlehosted.com"),
+    ("gcp_load_balancer", "cloud_lb", "lb.googleusercontent.com"),
+    ("aliyun_cdn", "cdn", "alikunlun.com"),
+    ("aliyun_cdn", "cdn", "kunlunca.com"),
+    ("aliyun_cdn", "cdn", "kunlunar.com"),
+    ("aliyun_cdn", "cdn", "kunlunwe.com"),
+    ("aliyun_cdn", "cdn", "kunlunsl.com"),
+    ("aliyun_cdn", "cdn", "alicdn.com"),
+    ("aliyun_cdn", "cdn", "alikunlun.net"),
+    ("aliyun_oss", "cloud_lb", "aliyuncs.com"),
+    ("aliyun_oss", "cloud_lb", "oss-"),
+    ("aliyun_slb", "cloud_lb", "aliyun-inc.com"),
+    ("aliyun_slb", "cloud_lb", "slb-"),
+    ("tencent_cloud_cdn", "cdn", "cdntip.com"),
+    ("tencent_cloud_cdn", "cdn", "tcdn.qq.com"),
+    ("tencent_cloud_cdn", "cdn", "qcloudcdn.cn"),
+    ("tencent_cloud_cdn", "cdn", "dnspod.cn"),
+    ("tencent_cloud_cdn", "cdn", "qcloudcdn.com"),
+    ("tencent_cos", "cloud_lb", "myqcloud.com"),
+    ("tencent_cos", "cloud_lb", "cos.tencentyun.com"),
+    ("baidu_cdn", "cdn", "bdydns.com"),
+    ("baidu_cdn", "cdn", "jomodns.com"),
+    ("baidu_cdn", "cdn", "baidu.com"),
+    ("baidu_cdn", "cdn", "baiducdn.com"),
+    ("huawei_cloud_cdn", "cdn", "hwcdn.net"),
+    ("huawei_cloud_cdn", "cdn", "cdnhwc1.com"),
+    ("huawei_cloud_cdn", "cdn", "myhuaweicloud.com"),
+    ("qiniu_cdn", "cdn", "qbox.me"),
+    ("qiniu_cdn", "cdn", "qiniudns.com"),
+    ("qiniu_cdn", "cdn", "qiniucdn.com"),
+    ("wangsu", "cdn", "wsdvs.com"),
+    ("wangsu", "cdn", "wscdns.com"),
+    ("wangsu", "cdn", "wswebcdn.com"),
+    ("wangsu", "cdn", "lxdns.com"),
+    ("wangsu", "cdn", "ourwebpic.com"),
+    ("wangsu", "cdn", "wsglb0.com"),
+    ("upyun", "cdn", "upaiyun.com"),
+    ("upyun", "cdn", "upyuncdn.com"),
+    ("stackpath", "cdn", "stackpathdns.com"),
+    ("stackpath", "cdn", "stackpathcdn.com"),
+    ("cdn77", "cdn", "cdn77.org"),
+    ("cdn77", "cdn", "cdn77.com"),
+    ("bunnycdn", "cdn", "b-cdn.net"),
+    ("bunnycdn", "cdn", "bunnycdn.com"),
+    ("keycdn", "cdn", "kxcdn.com"),
+    ("edgio_limelight", "cdn", "llnwd.net"),
+    ("edgio_limelight", "cdn", "edgecast.net"),
+    ("edgio_limelight", "cdn", "edgesuite.net"),
+    ("section.io", "cdn", "section.io"),
+    ("section.io", "cdn", "squixa.net"),
+    ("knownsec_jiasule", "waf", "jiashule.com"),
+    ("knownsec_jiasule", "waf", "jsl-cdn.com"),
+)
+# Fixed values: (service, part of a dangling canonical name that points to it); the first that matches counts.
 HOSTED_NAMES = (
-    ("GitHub Pages", "github.io github.map.fastly.net"), ("AWS/S3", "s3.amazonaws.com s3-website"), ("Heroku", "herokudns.com herokuapp.com herokussl.com"), ("Bitbucket", "bitbucket.io"),
-    ("Shopify", "myshopify.com"), ("Tumblr", "domains.tumblr.com"), ("Fastly", "fastly.net"), ("Ghost", "ghost.io"), ("Pantheon", "pantheonsite.io"), ("Tilda", "tilda.ws"),
-    ("Unbounce", "unbouncepages.com"), ("HelpJuice", "helpjuice.com"), ("HelpScout", "helpscoutdocs.com"), ("Cargo", "cargocollective.com"), ("StatusPage", "statuspage.io"), ("Surge.sh", "surge.sh"),
-    ("Intercom", "custom.intercom.help"), ("LaunchRock", "launchrock.com"), ("ReadTheDocs", "readthedocs.io"), ("Strikingly", "s.strikinglydns.com"), ("Uservoice", "uservoice.com"),
-    ("Wordpress", "wordpress.com"), ("Acquia", "acquia-sites.com"), ("Netlify", "netlify.app netlify.com"), ("Vercel", "vercel-dns.com cname.vercel-dns.com"), ("Worksites.net", "alias.zerigo.com"),
-    ("Azure (cloudapp)", "cloudapp.net cloudapp.azure.com trafficmanager.net azurewebsites.net blob.core.windows.net"), ("Google Cloud Storage", "storage.googleapis.com"),
-    ("Squarespace", "squarespace.com"), ("Zendesk", "zendesk.com"),
-)
+    ("GitHub Pages", "github.io"),
+    ("GitHub Pages", "github.map.fastly.net"),
+    ("AWS/S3", "s3.amazonaws.com"),
+    ("AWS/S3", "s3-website"),
+    ("Heroku", "herokudns.com"),
+    ("Heroku", "herokuapp.com"),
+    ("Heroku", "herokussl.com"),
+    ("Bitbucket", "bitbucket.io"),
+    ("Shopify", "myshopify.com"),
+    ("Tumblr", "domains.tumblr.com"),
+    ("Fastly", "fastly.net"),
+    ("Ghost", "ghost.io"),
+    ("Pantheon", "pantheonsite.io"),
+    ("Tilda", "tilda.ws"),
+    ("Unbounce", "unbouncepages.com"),
+    ("HelpJuice", "helpjuice.com"),
+    ("HelpScout", "helpscoutdocs.com"),
+    ("Cargo", "cargocollective.com"),
+    ("StatusPage", "statuspage.io"),
+    ("Surge.sh", "surge.sh"),
+    ("Intercom", "custom.intercom.help"),
+    ("LaunchRock", "launchrock.com"),
+    ("ReadTheDocs", "readthedocs.io"),
+    ("Strikingly", "s.strikinglydns.com"),
+    ("Uservoice", "uservoice.com"),
+    ("Wordpress", "wordpress.com"),
+    ("Acquia", "acquia-sites.com"),
+    ("Netlify", "netlify.app"),
+    ("Netlify", "netlify.com"),
+    ("Vercel", "vercel-dns.com"),
+    ("Vercel", "cname.vercel-dns.com"),
+    ("Worksites.net", "alias.zerigo.com"),
+    ("Azure (cloudapp)", "cloudapp.net"),
+    ("Azure (cloudapp)", "cloudapp.azure.com"),
+    ("Azure (cloudapp)", "trafficmanager.net"),
+    ("Azure (cloudapp)", "azurewebsites.net"),
+    ("Azure (cloudapp)", "blob.core.windows.net"),
+    ("Google Cloud Storage", "storage.googleapis.com"),
+    ("Squarespace", "squarespace.com"),
+    ("Zendesk", "zendesk.com"),
+)
 
 
 def vendor_hits(headers: Column, names: Column) -> Column:
     """array<struct<vendor, kind, source>> of a response's headers (map) and canonical names (array), each once."""
     by_header = constants([{"vendor": v, "kind": k, "name": n, "part": p} for v, k, n, p in VENDOR_HEADERS], "vendor: string, kind: string, name: string, part: string")
-    by_name = constants([{"vendor": v, "kind": k, "parts": p.split()} for v, k, p in VENDOR_NAMES], "vendor: string, kind: string, parts: array<string>")
+    by_name = constants([{"vendor": v, "kind": k, "part": p} for v, k, p in VENDOR_NAMES], "vendor: string, kind: string, part: string")
     low = F.coalesce(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v"))), F.array().cast("array<struct<k:string,v:string>>"))
     hit = lambda r, source: F.struct(r["vendor"].alias("vendor"), r["kind"].alias("kind"), F.lit(source).alias("source"))
 
     def found(of: Column) -> Column:
         headed = F.filter(by_header, lambda r: F.exists(of["h"], lambda e: (e["k"] == r["name"]) & F.contains(e["v"], r["part"])))
-        named = F.filter(by_name, lambda r: F.exists(r["parts"], lambda p: F.contains(of["n"], p)))
+        named = F.filter(by_name, lambda r: F.contains(of["n"], r["part"]))
         return F.array_distinct(F.concat(F.transform(headed, lambda r: hit(r, "header")), F.transform(named, lambda r: hit(r, "cname"))))
 
     return bound(F.struct(low.alias("h"), F.coalesce(F.lower(F.array_join(names, " ")), F.lit("")).alias("n")), found)
 
 
-def _any(text: Column, parts: Sequence[str]) -> Column:
-    out = F.contains(text, F.lit(parts[0]))
-    for p in parts[1:]:
-        out = out | F.contains(text, F.lit(p))
-    return out
-
-
 def has_cdn(hits: Column) -> Column:
     return F.exists(hits, lambda h: h["kind"].isin("cdn", "waf"))
 
 
 def hosted_service(cname: Column) -> Column:
     """The hosting service that a canonical name points to, for review; null if none."""
-    low = F.lower(cname)
-    out = F.lit(None).cast("string")
-    for service, parts in reversed(HOSTED_NAMES):
-        out = F.when(_any(low, parts.split()), F.lit(service)).otherwise(out)
-    return out
+    table = constants([{"service": s, "part": p} for s, p in HOSTED_NAMES], "service: string, part: string")
+    return bound(F.lower(cname), lambda low: F.get(F.filter(table, lambda r: F.contains(low, r["part"])), F.lit(0))["service"])
 
 
 # ---- DNS ---------------------------------------------------------------------------------------------------------
@@ -409,24 +568,28 @@ def severity_rank(s: Column) -> Column:
 
 # Usual services of ports; a fuller map may be given.
 SERVICES = {
-    20: "ftp-data", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 37: "time", 43: "whois", 53: "dns", 67: "dhcp", 69: "tftp", 79: "finger", 80: "http", 88: "kerberos",
-    109: "pop2", 110: "pop3", 111: "rpcbind", 113: "ident", 119: "nntp", 123: "ntp", 135: "msrpc", 137: "netbios-ns", 138: "netbios-dgm", 139: "netbios-ssn", 143: "imap",
-    161: "snmp", 162: "snmptrap", 179: "bgp", 389: "ldap", 427: "svrloc", 443: "https", 445: "smb", 464: "kpasswd", 465: "smtps", 500: "isakmp", 513: "rlogin", 514: "syslog",
-    515: "lpd", 548: "afp", 554: "rtsp", 587: "submission", 593: "msrpc", 631: "ipp", 636: "ldaps", 873: "rsync", 902: "vmware-auth", 989: "ftps-data", 990: "ftps", 993: "imaps",
-    995: "pop3s", 1080: "socks", 1099: "java-rmi", 1194: "openvpn", 1433: "mssql", 1434: "mssql-mon", 1521: "oracle", 1701: "l2tp", 1723: "pptp", 1900: "upnp", 2049: "nfs",
-    2082: "cpanel", 2083: "cpanel-ssl", 2181: "zookeeper", 2222: "ssh-alt", 2375: "docker", 2376: "docker-tls", 3000: "grafana", 3128: "squid", 3268: "ldap-gc", 3306: "mysql",
-    3389: "rdp", 3690: "svn", 4369: "epmd", 4848: "glassfish", 5000: "upnp", 5060: "sip", 5061: "sips", 5222: "xmpp-client", 5432: "postgres", 5601: "kibana", 5672: "amqp",
-    5900: "vnc", 5938: "teamviewer", 5984: "couchdb", 5985: "winrm", 5986: "winrm-https", 6000: "x11", 6379: "redis", 6443: "kubernetes-api", 6667: "irc", 7001: "weblogic",
-    7077: "spark", 7474: "neo4j", 8000: "http-alt", 8001: "http-alt", 8008: "http-alt", 8009: "ajp", 8080: "http-proxy", 8081: "http-alt", 8086: "influxdb", 8088: "hadoop-rm-ui",
-    8161: "activemq", 8200: "vault", 8443: "https-alt", 8500: "consul", 8888: "http-alt", 9000: "sonar", 9042: "cassandra", 9090: "prometheus", 9092: "kafka", 9100: "printer",
-    7: "echo", 9: "discard", 13: "daytime", 17: "qotd", 19: "chargen", 199: "smux", 444: "snpp", 543: "klogin", 544: "kshell", 563: "nntps", 646: "ldp", 1025: "msrpc", 1158: "oracle-em",
-    1604: "icabrowser", 1755: "wms", 2000: "cisco-sccp", 2086: "whm", 2087: "whm-ssl", 2095: "webmail", 2096: "webmail-ssl", 2121: "ftp-alt", 2483: "oracle-tns", 2484: "oracle-tns-ssl", 2638: "sybase",
-    3001: "node-alt", 3269: "ldaps-gc", 4000: "icq", 4444: "krb524", 4500: "ipsec-nat-t", 5001: "commplex-link", 5269: "xmpp-server", 5353: "mdns", 5555: "freeciv", 5683: "coap", 5800: "vnc-http",
-    6697: "ircs", 7000: "afs3", 7002: "weblogic-ssl", 7547: "tr-069", 7777: "cba8", 8010: "xmpp-conference", 8020: "hadoop-namenode", 8042: "hadoop-rm", 8069: "odoo", 8087: "graylog", 8089: "splunk",
-    8090: "atlassian-confluence", 8091: "couchbase-mgmt", 8333: "bitcoin", 8388: "shadowsocks", 8530: "wsus", 8531: "wsus-ssl", 8649: "ganglia", 8686: "jmx", 8761: "eureka", 8834: "nessus", 9001: "tor",
-    9060: "websphere", 9091: "transmission-rpc", 9999: "abyss", 12345: "netbus", 16992: "amt", 16993: "amt-ssl", 20000: "dnp", 25565: "minecraft", 27018: "mongodb-shard", 27019: "mongodb-config",
-    28017: "mongodb-http", 32400: "plex", 37777: "dahua-dvr", 47808: "bacnet", 49152: "msrpc", 50030: "hadoop-jobtracker", 50060: "hadoop-tasktracker", 50070: "hadoop-namenode-ui", 50075: "hadoop-datanode",
-    9200: "elasticsearch", 9300: "elastic-tcp", 9418: "git", 10000: "webmin", 10250: "kubelet", 11211: "memcached", 15672: "rabbitmq-mgmt", 27017: "mongodb", 50000: "ibm-db2",
+    7: "echo", 9: "discard", 13: "daytime", 17: "qotd", 19: "chargen", 20: "ftp-data", 21: "ftp", 22: "ssh", 23: "telnet", 25: "smtp", 37: "time", 43: "whois",
+    53: "dns", 67: "dhcp", 69: "tftp", 79: "finger", 80: "http", 88: "kerberos", 109: "pop2", 110: "pop3", 111: "rpcbind", 113: "ident", 119: "nntp",
+    123: "ntp", 135: "msrpc", 137: "netbios-ns", 138: "netbios-dgm", 139: "netbios-ssn", 143: "imap", 161: "snmp", 162: "snmptrap", 179: "bgp", 199: "smux",
+    389: "ldap", 427: "svrloc", 443: "https", 444: "snpp", 445: "smb", 464: "kpasswd", 465: "smtps", 500: "isakmp", 513: "rlogin", 514: "syslog", 515: "lpd",
+    543: "klogin", 544: "kshell", 548: "afp", 554: "rtsp", 563: "nntps", 587: "submission", 593: "msrpc", 631: "ipp", 636: "ldaps", 646: "ldp", 873: "rsync",
+    902: "vmware-auth", 989: "ftps-data", 990: "ftps", 993: "imaps", 995: "pop3s", 1025: "msrpc", 1080: "socks", 1099: "java-rmi", 1158: "oracle-em",
+    1194: "openvpn", 1433: "mssql", 1434: "mssql-mon", 1521: "oracle", 1604: "icabrowser", 1701: "l2tp", 1723: "pptp", 1755: "wms", 1900: "upnp",
+    2000: "cisco-sccp", 2049: "nfs", 2082: "cpanel", 2083: "cpanel-ssl", 2086: "whm", 2087: "whm-ssl", 2095: "webmail", 2096: "webmail-ssl", 2121: "ftp-alt",
+    2181: "zookeeper", 2222: "ssh-alt", 2375: "docker", 2376: "docker-tls", 2483: "oracle-tns", 2484: "oracle-tns-ssl", 2638: "sybase", 3000: "grafana",
+    3001: "node-alt", 3128: "squid", 3268: "ldap-gc", 3269: "ldaps-gc", 3306: "mysql", 3389: "rdp", 3690: "svn", 4000: "icq", 4369: "epmd", 4444: "krb524",
+    4500: "ipsec-nat-t", 4848: "glassfish", 5000: "upnp", 5001: "commplex-link", 5060: "sip", 5061: "sips", 5222: "xmpp-client", 5269: "xmpp-server",
+    5353: "mdns", 5432: "postgres", 5555: "freeciv", 5601: "kibana", 5672: "amqp", 5683: "coap", 5800: "vnc-http", 5900: "vnc", 5938: "teamviewer",
+    5984: "couchdb", 5985: "winrm", 5986: "winrm-https", 6000: "x11", 6379: "redis", 6443: "kubernetes-api", 6667: "irc", 6697: "ircs", 7000: "afs3",
+    7001: "weblogic", 7002: "weblogic-ssl", 7077: "spark", 7474: "neo4j", 7547: "tr-069", 7777: "cba8", 8000: "http-alt", 8001: "http-alt", 8008: "http-alt",
+    8009: "ajp", 8010: "xmpp-conference", 8020: "hadoop-namenode", 8042: "hadoop-rm", 8069: "odoo", 8080: "http-proxy", 8081: "http-alt", 8086: "influxdb",
+    8087: "graylog", 8088: "hadoop-rm-ui", 8089: "splunk", 8090: "atlassian-confluence", 8091: "couchbase-mgmt", 8161: "activemq", 8200: "vault",
+    8333: "bitcoin", 8388: "shadowsocks", 8443: "https-alt", 8500: "consul", 8530: "wsus", 8531: "wsus-ssl", 8649: "ganglia", 8686: "jmx", 8761: "eureka",
+    8834: "nessus", 8888: "http-alt", 9000: "sonar", 9001: "tor", 9042: "cassandra", 9060: "websphere", 9090: "prometheus", 9091: "transmission-rpc",
+    9092: "kafka", 9100: "printer", 9200: "elasticsearch", 9300: "elastic-tcp", 9418: "git", 9999: "abyss", 10000: "webmin", 10250: "kubelet",
+    11211: "memcached", 12345: "netbus", 15672: "rabbitmq-mgmt", 16992: "amt", 16993: "amt-ssl", 20000: "dnp", 25565: "minecraft", 27017: "mongodb",
+    27018: "mongodb-shard", 27019: "mongodb-config", 28017: "mongodb-http", 32400: "plex", 37777: "dahua-dvr", 47808: "bacnet", 49152: "msrpc",
+    50000: "ibm-db2", 50030: "hadoop-jobtracker", 50060: "hadoop-tasktracker", 50070: "hadoop-namenode-ui", 50075: "hadoop-datanode",
 }
 
 

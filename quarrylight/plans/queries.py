@@ -219,7 +219,7 @@ def r24(spark, sf):
 
 @query("r25_parameters", """WITH q AS (SELECT page_id AS seq, url, CAST(page_id % 28 AS VARCHAR) AS ts, unnest(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&')) AS pair FROM pages WHERE contains(url, '?')),
     p AS (SELECT seq, url, ts, lower(regexp_extract(pair, '^([^=]*)', 1)) AS param, min(substr(regexp_extract(pair, '=(.*)$', 1), 1, 80)) AS value FROM q WHERE pair <> '' GROUP BY 1, 2, 3, 4)
-    SELECT param, count(*) AS n, arg_min(url, seq) AS sample_url, arg_min(value, seq) AS sample_value, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN param IN ({', '.join(repr(w) for w in names.split())}) THEN '{k}' END" for k, names in classify.PARAMETERS.items()) + "], lambda x: x IS NOT NULL), ',') AS risks FROM p WHERE param <> '' AND length(param) <= 60 GROUP BY param")
+    SELECT param, count(*) AS n, arg_min(url, seq) AS sample_url, arg_min(value, seq) AS sample_value, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN param IN ({', '.join(repr(w) for w in names)}) THEN '{k}' END" for k, names in classify.PARAMETERS.items()) + "], lambda x: x IS NOT NULL), ',') AS risks FROM p WHERE param <> '' AND length(param) <= 60 GROUP BY param")
 def r25(spark, sf):
     urls = table(spark, sf, "pages").select("url", (F.col("page_id") % 28).cast("string").alias("ts"), F.col("page_id").alias("seq"))
     return report.parameters(urls.where(F.col("url").contains("?")), classify.parameter_kinds)
@@ -380,7 +380,7 @@ def c7(spark, sf):
     return out.select("host", "root")
 
 
-@query("c9_parameter_kinds", "SELECT param, array_to_string(list_filter([" + ", ".join(f"CASE WHEN param IN ({', '.join(repr(w) for w in names.split())}) THEN '{k}' END" for k, names in classify.PARAMETERS.items()) + "], lambda x: x IS NOT NULL), ',') AS kinds FROM (SELECT DISTINCT lower(regexp_extract(url, '\\?([^=&#]*)', 1)) AS param FROM pages UNION SELECT unnest(['url', 'template', 'token', 'view']))")
+@query("c9_parameter_kinds", "SELECT param, array_to_string(list_filter([" + ", ".join(f"CASE WHEN param IN ({', '.join(repr(w) for w in names)}) THEN '{k}' END" for k, names in classify.PARAMETERS.items()) + "], lambda x: x IS NOT NULL), ',') AS kinds FROM (SELECT DISTINCT lower(regexp_extract(url, '\\?([^=&#]*)', 1)) AS param FROM pages UNION SELECT unnest(['url', 'template', 'token', 'view']))")
 def c9(spark, sf):
     own = table(spark, sf, "pages").select(F.lower(F.regexp_extract("url", r"\?([^=&#]*)", 1)).alias("param"))
     more = spark.range(1).select(F.explode(F.array(*map(F.lit, ("url", "template", "token", "view")))).alias("param"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions import rules
+from quarrylight.functions import rules, scripts
 from quarrylight.operators import filters, growing, joins, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans.fixtures import assets
@@ -149,3 +149,25 @@ def w1_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     phase = F.when(F.col("event_type").isin("signup", "click"), "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
     own = e.select(F.col("user_id").alias("source"), phase.alias("phase"), F.col("ts").alias("time"), F.col("event_id").alias("n"))
     return progress.drained(deadlines.outcomes(own, seconds=43_200), "w1_outcomes", "append")
+
+
+# ---- scripts ------------------------------------------------------------------------------------------------------------------
+
+_LINKS = "list_distinct(regexp_extract_all(html, 'href=\"([^\"<>\\\\]*)\"', 1))"
+_ADDRESS = "regexp_full_match(v, '(?:/|\\{var\\})[A-Za-z0-9_\\-./?#=&%~+:{},*]*|https?://[A-Za-z0-9._\\-:]\\S*') AND length(v) BETWEEN 4 AND 1024"
+
+
+@query(
+    "x12_endpoints",
+    f"""WITH l AS (SELECT page_id, unnest({_LINKS}) AS v FROM pages), p AS (SELECT page_id, '/p' || (1000 + page_id) AS b FROM pages),
+    c AS (SELECT page_id, unnest(['string', 'route']) AS rule, v FROM l UNION SELECT page_id, 'string', b FROM p UNION SELECT page_id, 'string', '/items' FROM p UNION SELECT page_id, 'concat', b || '/items' FROM p UNION SELECT page_id, 'call', b || '/items' FROM p
+      UNION SELECT page_id, 'template', '{{var}}/u/{{var}}' FROM p UNION SELECT page_id, 'call', '{{var}}/u/{{var}}' FROM p UNION SELECT page_id, 'template', '/in/{{var}}' FROM p UNION SELECT page_id, 'string', '/tail' FROM p)
+    SELECT page_id, rule, trim(v) AS value FROM (SELECT page_id, rule, trim(v) AS v FROM c) WHERE {_ADDRESS}""",
+)
+def x12_endpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Scripts with each page's links as routes, a named base that a call joins, templates within templates, an unknown part before a constant."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"<>\\\\]*)"'), F.lit(1)))
+    routes = F.array_join(F.transform(links, lambda v: F.concat(F.lit('{name: 1, path: "'), v, F.lit('"}'))), ",\n")
+    base = F.concat(F.lit("// '/no'\nconst BASE = '/p"), (1000 + F.col("page_id")).cast("string"), F.lit("'\nconst routes = ["))
+    tail = F.lit("]; /* \"/no\" */ axios.get(BASE + \"/items\", {q: x.replace(/\"\\/no\\//g, 1)});\nfetch(`${HOST}/u/${f(`/in/${z}`)}`); y = q + '/tail'")
+    return table(spark, sf, "pages").select("page_id", F.inline(scripts.script_endpoints(F.concat(base, routes, tail)))).distinct()

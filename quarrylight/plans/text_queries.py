@@ -127,10 +127,10 @@ def _nth(values: Sequence[str], key: str = "page_id") -> str:
     return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {_quoted(v)}" for i, v in enumerate(values)) + " END"
 
 
-_HEADER = _nth([h for _, h in web.HEADERS])
-_BODY = f"html || ' ' || {_nth([b for _, b in web.BODIES])}"
-_COOKIE = _nth([c for _, c in web.COOKIES])
-_ICON = _nth([f for _, f in web.FAVICONS])
+_HEADER = _nth([h for _, place, h in web.PRODUCTS if place == 'header'])
+_BODY = f"html || ' ' || {_nth([b for _, place, b in web.PRODUCTS if place == "body"])}"
+_COOKIE = _nth([c for _, place, c in web.PRODUCTS if place == 'cookie'])
+_ICON = _nth([f for _, place, f in web.PRODUCTS if place == 'favicon'])
 
 
 def _products_sql() -> str:
@@ -218,7 +218,7 @@ def x2(spark, sf):
 # ---- vendors, TXT records, hosting services ------------------------------------------------------------------------
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join(_quoted(x) for x in r) + ")" for r in rows)
-_NAME_PARTS = [(v, k, part) for v, k, parts in web.VENDOR_NAMES for part in parts.split()]
+_NAME_PARTS = list(web.VENDOR_NAMES)
 _HEADER_NAME, _HEADER_VALUE = _nth([n.title() for _, _, n, _ in web.VENDOR_HEADERS]), _nth([f"X {p.upper()} 1" for _, _, _, p in web.VENDOR_HEADERS])
 _CNAME = _nth([f"A.{p}.example" for _, _, p in _NAME_PARTS])
 
@@ -242,9 +242,9 @@ def x5(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.inline(web.txt_tokens(F.expr(_TXT))))
 
 
-_HOSTED = _nth([f"X.{p}" for _, parts in web.HOSTED_NAMES for p in parts.split()] + ["z.example.org"])
+_HOSTED = _nth([f"X.{p}" for _, p in web.HOSTED_NAMES] + ["z.example.org"])
 
 
-@query("a4_hosted_names", f"SELECT page_id, CASE {' '.join('WHEN ' + ' OR '.join(f'contains(c, {_quoted(p)})' for p in parts.split()) + f' THEN {_quoted(s)}' for s, parts in web.HOSTED_NAMES)} END AS service FROM (SELECT page_id, lower({_HOSTED}) AS c FROM pages)")
+@query("a4_hosted_names", f"SELECT page_id, CASE {' '.join(f'WHEN contains(c, {_quoted(p)}) THEN {_quoted(s)}' for s, p in web.HOSTED_NAMES)} END AS service FROM (SELECT page_id, lower({_HOSTED}) AS c FROM pages)")
 def a4(spark, sf):
     return table(spark, sf, "pages").select("page_id", web.hosted_service(F.expr(_HOSTED)).alias("service"))

@@ -619,3 +619,48 @@ def test_sources_that_never_end_time_out(spark, tmp_path):
         progress.into(deadlines.outcomes(progress.event_stream(spark, str(tmp_path / "in"), "source string, phase string, time timestamp, n int"), late="1 minute"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = {(r.source, r.status, r.seconds) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", "done", 30.0), ("b", "timed_out", 45.0), ("b", "unmatched", None), ("c", "unmatched", None), ("d", "restarted", 7.0), ("d", "failed", 40.0), ("e", "timed_out", 45.0), ("f", "timed_out", 45.0), ("f", "unmatched", None)}
+
+
+# ---- endpoints in scripts -----------------------------------------------------------------------------------------------
+
+
+def test_endpoints_by_the_rule_that_finds_them():
+    from quarrylight.functions import scripts
+
+    source = r"""
+        const u1 = `${API}/users/${id}/posts`; const u2 = "/api" + "/v1" + "/orders";
+        const routes = [{ path: "/dashboard", component: D }, { "to": '/users/:id' }, { url: `/admin/${role}`, other: "/plain" }];
+        fetch("/api/v2/me"); axios.get("/api/v2/orders", "/second"); $.post("/login"); log("/logged"); function get(x = "/default") {}
+        const noise = "abc-def-ghi", css = "/foo bar", i18n = "zh-cn", base = "/base";
+        open(base + "/x"); open(base.y + "/only"); s = a ? /"\/regex\/"/.test("/tested") : b / c / "/div"; t = "\x2fescaped";
+        /* "/comment" */ // "/line"
+        `${fetch(`/inner/${z}`)}/outer`; ws = "wss://h:1/x"; { label: "/block" }
+    """
+    got = scripts.endpoints_of(source)
+    want = {
+        ("template", "{var}/users/{var}/posts"), ("string", "/api"), ("concat", "/api/v1"), ("string", "/orders"), ("concat", "/api/v1/orders"), ("string", "/dashboard"), ("route", "/dashboard"), ("string", "/users/:id"), ("route", "/users/:id"),
+        ("template", "/admin/{var}"), ("route", "/admin/{var}"), ("string", "/plain"), ("string", "/api/v2/me"), ("call", "/api/v2/me"), ("string", "/api/v2/orders"), ("call", "/api/v2/orders"), ("string", "/second"), ("string", "/login"), ("call", "/login"),
+        ("string", "/logged"), ("string", "/default"), ("string", "/base"), ("concat", "/base/x"), ("call", "/base/x"), ("string", "/only"), ("string", "/tested"), ("string", "/div"), ("string", "/escaped"), ("template", "{var}/outer"),
+        ("template", "/inner/{var}"), ("call", "/inner/{var}"), ("string", "wss://h:1/x"), ("string", "/block"),
+    }
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_broken_and_long_scripts():
+    import random
+    import time
+
+    from quarrylight.functions import scripts
+
+    for source in ("const x = ;", "@decorator class X {}", "/* truly garbage */ ?:????????:????????", "", "`${", '"/open', "'\\", "{" * 30_000, "`${" * 5000, "/" * 999, "}])" * 999, "`${'" * 999):
+        assert [v for _, v in scripts.endpoints_of(source) if v != "{var}"] == []
+    rng = random.Random(4)
+    parts = ['"/a/b"', "`", "${", "}", "'", "/", "+", "(", ")", "fetch", "const", "=", "x", ":", "{", ",", "\\", "\n", "//", "/*", "*/", " "]
+    for _ in range(2000):
+        scripts.endpoints_of("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))))
+    one = 'fetch("/api/" + x); r = {path: `/p/${y}`};\n'
+    began = time.perf_counter()
+    scripts.endpoints_of(one * 4000)
+    short, began = time.perf_counter() - began, time.perf_counter()
+    scripts.endpoints_of(one * 16_000)
+    assert time.perf_counter() - began < 10 * short + 1
