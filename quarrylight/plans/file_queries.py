@@ -14,7 +14,7 @@ from quarrylight.functions import web
 from quarrylight.operators import diff, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans.fixtures import assets
-from quarrylight.plans.queries import reports
+from quarrylight.plans.queries import _CATALOGUE, _tagged_pages, reports
 from quarrylight.plans.registry import query, table
 from quarrylight.sources import imports, records, store, workbooks
 from quarrylight.streaming import progress
@@ -270,7 +270,9 @@ def x3_files(spark, sf):
     return rules.matched(p, needles).union(rules.matched_patterns(p, rules.read_pattern_rules(spark, f"{at}/apps"))).distinct()
 
 
-@query("p14_template_choice", "SELECT * FROM (VALUES ('openapi_json', 'api'), ('swagger_ui', 'api'), ('graphql_introspection', 'api')) AS v(id, category) UNION ALL SELECT 'jenkins', 'admin'")
+@query("p14_template_choice", f"WITH {_CATALOGUE} SELECT page_id, id, category FROM g WHERE category = 'api' OR id = 'jenkins'")
 def p14(spark, sf):
+    """Pages of the templates that were chosen, by category and by name."""
     chosen = records.templates(spark, categories=("api",)).unionByName(records.templates(spark, ids=("jenkins", "swagger_ui"), categories=("admin",)))
-    return chosen.select("id", "category")
+    found = _tagged_pages(spark, sf).select("page_id", F.regexp_extract("label", "^template:(.*)", 1).alias("id"))
+    return found.join(F.broadcast(chosen), "id").select("page_id", "id", "category")

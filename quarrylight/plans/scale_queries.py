@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions import rules, scripts
+from quarrylight.functions import dsl, rules, scripts
 from quarrylight.operators import filters, growing, joins, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans.fixtures import assets
 from quarrylight.plans.queries import ROOT
 from quarrylight.plans.registry import SQL, query, table
+from quarrylight.sources import records
 from quarrylight.streaming import cursor, deadlines, progress
 
 _HOST_SQL = "lower(regexp_extract(url, '://([^/?#:]+)', 1))"
@@ -171,3 +172,60 @@ def x12_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     base = F.concat(F.lit("// '/no'\nconst BASE = '/p"), (1000 + F.col("page_id")).cast("string"), F.lit("'\nconst routes = ["))
     tail = F.lit("]; /* \"/no\" */ axios.get(BASE + \"/items\", {q: x.replace(/\"\\/no\\//g, 1)});\nfetch(`${HOST}/u/${f(`/in/${z}`)}`); y = q + '/tail'")
     return table(spark, sf, "pages").select("page_id", F.inline(scripts.script_endpoints(F.concat(base, routes, tail)))).distinct()
+
+
+# ---- records of crawlers and of scanned ranges, translated queries -------------------------------------------------------------
+
+
+@query(
+    "a6_crawl_records",
+    f"""SELECT url, {_HOST_SQL} AS host, 'GET' AS method, 'script' AS tag, CASE WHEN min(page_id) % 2 = 0 THEN '200' ELSE '404' END AS status, 'Nginx' AS products, 'crawler' AS source, min(page_id) AS seq FROM pages WHERE page_id % 5 <> 0 GROUP BY url
+    UNION ALL SELECT url || '#form', {_HOST_SQL}, 'POST', 'form', CASE WHEN page_id % 2 = 0 THEN '200' ELSE '404' END, 'Nginx', 'crawler', 100000 + page_id FROM pages WHERE page_id % 5 <> 0""",
+)
+def a6(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawl records as JSON lines, written and read: every page twice by GET, once by POST, one in five with an error."""
+    at, p = _folder(spark), table(spark, sf, "pages")
+    row = lambda url, method, tag, add: p.select(F.struct(F.lit(method).alias("method"), url.alias("endpoint"), F.lit(tag).alias("tag")).alias("request"), F.struct(F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status_code"), F.array(F.lit("nginx")).alias("technologies")).alias("response"), F.when(F.col("page_id") % 5 == 0, "timeout").alias("error"), (F.col("page_id") + add).alias("seq"))
+    rows = row(F.col("url"), "get", "script", 0).union(row(F.concat(F.lit(" "), "url"), "", "body", 50_000)).union(row(F.concat("url", F.lit("#form")), "post", "form", 100_000))
+    rows.write.json(at)
+    read = spark.read.schema(f"{records.SCHEMAS['crawl']}, seq long").json(at)
+    return records.crawl_assets(read).select("url", "host", F.col("raw")["method"].alias("method"), F.col("raw")["tag"].alias("tag"), F.col("raw")["status"].alias("status"), F.array_join("products", ",").alias("products"), "source", "seq")
+
+
+@query(
+    "a14_range_records",
+    """WITH p AS (SELECT s_suppkey AS k, '10.9.' || (s_suppkey % 7) || '.' || (s_suppkey % 250) AS host FROM supplier), o AS (SELECT DISTINCT host, CASE WHEN k % 3 = 0 THEN 8443 ELSE 22 END AS port FROM p), h AS (SELECT k, host, 8443 AS port FROM p WHERE k % 3 = 0 OR k % 3 = 1 AND k % 2 = 0)
+    SELECT host, CASE WHEN o.host IS NOT NULL THEN host END AS ip, port, CASE WHEN k IS NOT NULL THEN 'https://' || host || ':8443/x' END AS url, CASE WHEN k IS NOT NULL THEN '[Active] ' || host || ' (T' || k || ')' END AS title, CASE WHEN k IS NOT NULL THEN 'Nginx,PHP' ELSE '' END AS products, '10.9.0.0/16' AS cidr, CASE WHEN k IS NOT NULL THEN '200' END AS status
+    FROM h FULL JOIN o USING (host, port)""",
+)
+def a14(spark: SparkSession, sf: str) -> DataFrame:
+    """Open ports and HTTP answers of a range, as JSON lines: answers with and without a port that was found open, ports without an answer."""
+    at, k = _folder(spark), F.col("s_suppkey")
+    p = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("10.9."), k % 7, F.lit("."), k % 250).alias("host"))
+    p.select("host", F.when(k % 3 == 0, 8443).otherwise(22).alias("port")).write.json(f"{at}/ports")
+    p.where((k % 3 == 0) | (k % 3 == 1) & (k % 2 == 0)).select("host", F.concat(F.lit("https://"), "host", F.lit(":8443/x")).alias("url"), F.concat(F.lit("T"), k).alias("title"), F.lit(200).alias("status_code"), F.array(F.lit("php"), F.lit("nginx")).alias("technologies")).write.json(f"{at}/http")
+    out = records.range_assets(records.read(spark, f"{at}/ports", "range_port"), records.read(spark, f"{at}/http", "range_http"), "10.9.0.0/16")
+    return out.select("host", "ip", "port", "url", "title", F.coalesce(F.array_join("products", ","), F.lit("")).alias("products"), F.col("raw")["cidr"].alias("cidr"), F.try_element_at("raw", F.lit("status")).alias("status"))
+
+
+#: Independent of the library's table: how each engine names the two fields of the queries below.
+_NATIVE = (("fofa", "host", "icon_hash"), ("quake", "hostname", "icon_hash"), ("shodan", "hostname", "http.favicon.hash"), ("zoomeye", "hostname", "favicon"), ("hunter", "web.title", "web.icon"), ("zerozone", "host", "favicon"))
+
+
+@query(
+    "c13_translated",
+    f"""WITH q AS (SELECT page_id, {_HOST_SQL} AS h FROM pages), n(engine, host, icon) AS (VALUES {", ".join(str(x) for x in _NATIVE)})
+    SELECT page_id, engine, host || '="' || h || '" && !(' || icon || '="' || page_id || '" || fofa::is_honeypot="true")' AS native,
+      'host="' || h || '" && !(favicon="' || page_id || '" || fofa::is_honeypot="true")' AS common, 'host="' || h || '" && !(favicon="' || page_id || '" || )' AS stripped, 'fofa:is_honeypot:true' AS own FROM q, n WHERE engine IN ('fofa', 'quake', 'shodan', 'zerozone')""",
+)
+def c13_translated(spark: SparkSession, sf: str) -> DataFrame:
+    """A query of each page in the words of four engines, back again, without the terms of one engine, and these terms."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#:]+)", 1))
+    text = F.concat(F.lit('host="'), host, F.lit('" && !(favicon="'), F.col("page_id").cast("string"), F.lit('" || fofa::is_honeypot="true")'))
+    own = table(spark, sf, "pages").select("page_id", text.alias("q"))
+    made = own.select("page_id", "q", F.explode(dsl.translations("q")).alias("engine", "native")).where(F.col("engine").isin("fofa", "quake", "shodan", "zerozone"))
+    back = F.lit(None).cast("string")
+    for e in ("fofa", "quake", "shodan", "zerozone"):
+        back = F.when(F.col("engine") == e, dsl.parsed(F.col("native"), e)).otherwise(back)
+    terms = F.array_join(F.transform(dsl.exclusive_terms("q"), lambda t: F.concat_ws(":", t["engine"], t["field"], t["value"])), ",")
+    return made.select("page_id", "engine", "native", back.alias("common"), dsl.stripped("q").alias("stripped"), terms.alias("own"))

@@ -21,6 +21,9 @@ SCHEMAS = {
     "dns": "domain string, type string, name string, value string, priority int, weight int, port int",
     "certificate": "host string, ip string, port int, subject string, issuer string, sans array<string>, not_before timestamp, not_after timestamp, serial string, fingerprint string",
     "finding": "url string, path string, rule string, severity string, status int, content_type string, length long, evidence string",
+    "crawl": "timestamp string, request struct<method: string, endpoint: string, tag: string, attribute: string, source: string, body: string>, response struct<status_code: int, content_length: long, headers: map<string,string>, technologies: array<string>>, error string",
+    "range_port": "host string, ip string, port int",
+    "range_http": "host string, url string, title string, status_code int, technologies array<string>",
     "asn": "asn string, name string, country string, prefix string, ip string",
 }
 # The catalogue of page templates (id, category, what it is about).
@@ -68,6 +71,32 @@ def subdomain_assets(results: DataFrame) -> DataFrame:
     return normalized(as_assets(own.select(F.get("ips", F.lit(0)).alias("ip"), F.col("name").alias("domain"), F.col("name").alias("host"), raw.alias("raw"), F.lit("subdomain").alias("source"), _seq(own).alias("seq"))))
 
 
+def crawl_assets(records: DataFrame) -> DataFrame:
+    """Addresses that a crawler met, without errors, each once by method and address: its path's labels, where it was found and the answer in ``raw``."""
+    url = F.trim("request.endpoint")
+    ok = records.where((F.coalesce("error", F.lit("")) == "") & (url != "")).select("*", url.alias("_url"), F.coalesce(F.nullif(F.upper("request.method"), F.lit("")), F.lit("GET")).alias("_method"), _seq(records).alias("_seq"))
+    first = ok.groupBy("_method", "_url").agg(F.min_by(F.struct("request", "response", "timestamp"), "_seq").alias("r"), F.min("_seq").alias("seq")).select("_method", "_url", "r.*", "seq")
+    raw = {"method": F.col("_method"), "tag": F.col("request.tag"), "attribute": F.col("request.attribute"), "source": F.col("request.source"), "status": F.col("response.status_code").cast("string")}
+    kept = F.map_filter(F.create_map(*[x for k, v in raw.items() for x in (F.lit(k), v)]), lambda _, v: F.coalesce(v != "", F.lit(False)))
+    products = F.array_sort(F.array_distinct(F.transform("response.technologies", canonical_product)))
+    out = first.select(F.col("_url").alias("url"), url_host(F.col("_url")).alias("host"), url_host(F.col("_url")).alias("domain"), products.alias("products"), url_tags(url_path(F.col("_url"))).alias("tags"), F.col("timestamp").alias("update_time"), kept.alias("raw"), F.lit("crawler").alias("source"), "seq")
+    return normalized(as_assets(out))
+
+
+def range_assets(ports: DataFrame, answers: DataFrame, cidr: str) -> DataFrame:
+    """What a scan of a range of addresses left: HTTP answers with the port that was found open on their host, and open ports that gave none."""
+    host = F.coalesce(F.nullif("host", F.lit("")), url_host(F.col("url")))
+    port = F.coalesce(F.regexp_extract("url", r"^[a-z]+://(?:\[[^\]]*\]|[^/:?#]*):(\d+)", 1).try_cast("int"), F.when(F.col("url").startswith("https:"), 443).otherwise(80))
+    own = answers.select(host.alias("host"), port.alias("port"), "url", "title", "status_code", "technologies", _seq(answers).alias("seq"))
+    open_ = ports.select(F.coalesce(F.nullif("host", F.lit("")), "ip").alias("host"), F.coalesce("ip", "host").alias("ip"), "port").where("host IS NOT NULL AND port IS NOT NULL").groupBy("host", "port").agg(F.min("ip").alias("ip"))
+    raw = {"cidr": F.lit(cidr), "status": F.col("status_code").cast("string"), "title": F.col("title"), "tech": F.array_join("technologies", ",")}
+    kept = F.map_filter(F.create_map(*[x for k, v in raw.items() for x in (F.lit(k), v)]), lambda _, v: F.coalesce(v != "", F.lit(False)))
+    both = own.join(open_, ["host", "port"], "full")
+    named = F.when(F.col("url").isNotNull(), F.concat(F.lit("[Active] "), "host", F.lit(" ("), F.coalesce("title", F.lit("")), F.lit(")")))
+    out = both.select("host", F.when(F.col("ip").rlike(r"^[0-9.]+$|:"), F.col("ip")).alias("ip"), "port", "url", named.alias("title"), F.array_sort(F.array_distinct(F.transform("technologies", canonical_product))).alias("products"), F.array(F.lit("active")).alias("tags"), kept.alias("raw"), F.lit("active").alias("source"), F.coalesce("seq", F.xxhash64("host", "port")).alias("seq"))
+    return normalized(as_assets(out))
+
+
 def archive_assets(rows: DataFrame) -> DataFrame:
     """Archived URLs (url, timestamp, mimetype, statuscode, seq) as assets with the labels of their paths, and a row more for each host at its first URL."""
     host = url_host(F.col("url"))
