@@ -19,6 +19,8 @@ from quarrylight.llm.shared import bit_map, blocks, combine, in_bit_map, mix, sl
 
 #: Windows of tokens; a 0 is ignored. Each keeps five tokens.
 MASKS = ("1101101", "110100011", "1001010101")
+#: One more mask, of four tokens, for items under so many tokens, in which few windows of the others have room.
+SHORT_MASK, SHORT_ITEM = "11011", 20
 #: Items whose seeds fit in this many rows go to every task; more are joined by shuffle.
 MOST_IN_MEMORY = 2_000_000
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -34,8 +36,8 @@ def token_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield hashes[start:end]
 
 
-def seeds(tokens: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, hashes) for each mask, and for short texts (below the shortest mask) all tokens as one."""
+def seeds(tokens: np.ndarray, masks: tuple[str, ...] = MASKS, item: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) for each mask, and for short texts (below the shortest mask) all tokens as one. Of an ``item`` that is not short, the short mask is left out."""
     shortest = min(map(len, masks))
     with np.errstate(over="ignore"):
         if 0 < len(tokens) < shortest:
@@ -43,7 +45,8 @@ def seeds(tokens: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[
             for t in tokens:
                 one = combine(one, np.array([t]))
             yield np.zeros(1, dtype=np.int64), mix(one)
-        for i, mask in enumerate(masks):
+        used = masks if item and (len(tokens) >= SHORT_ITEM or len(tokens) < shortest) else (*masks, SHORT_MASK)
+        for i, mask in enumerate(used):
             if (n := len(tokens) - len(mask) + 1) > 0:
                 h = np.full(n, i + 101, dtype=np.uint64)
                 for k, bit in enumerate(mask):
@@ -85,8 +88,8 @@ def runs(same: np.ndarray, mismatch: float, least: int) -> Iterator[tuple[int, i
         parts += [(lo, lo + start), (lo + end, hi)]
 
 
-def matched(doc: np.ndarray, item: np.ndarray, diagonals, mismatch: float = 1.5, least: int = 4) -> tuple[int, int, int]:
-    """(item tokens matched, first and last document token). On each diagonal the best runs that don't overlap count, with +1 for an equal token and ``-mismatch`` for another; runs under ``least`` equal tokens don't."""
+def matched(doc: np.ndarray, item: np.ndarray, diagonals, mismatch: float = 1.5, least: int = 4, alone: float = 0.5) -> tuple[int, int, int]:
+    """(item tokens matched, first and last document token). On a diagonal that holds ``alone`` of the item's tokens or more, all equal ones count, however they are strewn. On the others the best runs that don't overlap do, with +1 for an equal token and ``-mismatch`` for another; runs under ``least`` equal tokens don't, as chance would add up over diagonals."""
     got = np.zeros(len(item), dtype=bool)
     first, last = len(doc), -1
     for d in diagonals:
@@ -94,6 +97,11 @@ def matched(doc: np.ndarray, item: np.ndarray, diagonals, mismatch: float = 1.5,
         if hi <= lo:
             continue
         same = item[lo:hi] == doc[lo + d : hi + d]
+        equal = np.flatnonzero(same)
+        if len(equal) >= max(alone * len(item), 1):
+            got[lo + equal] = True
+            first, last = min(first, lo + d + int(equal[0])), max(last, lo + d + int(equal[-1]))
+            continue
         for start, end in runs(same, mismatch, min(least, len(item))):
             got[lo + start : lo + end] |= same[start:end]
             first, last = min(first, lo + d + start), max(last, lo + d + end - 1)
@@ -108,7 +116,7 @@ class Items:
         self.short = sorted({len(t) for t in tokens if 0 < len(t) < min(map(len, masks))})
         h, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, t in enumerate(tokens):
-            for at, x in seeds(t, masks):
+            for at, x in seeds(t, masks, item=True):
                 h.append(x)
                 item.append(np.full(len(x), i))
                 place.append(at)
@@ -136,10 +144,10 @@ class Items:
 
 
 def judge(doc: np.ndarray, item: np.ndarray, diagonals, least_share: float, least_tokens: int, least_within: int) -> tuple[int, int, int] | None:
-    """What matched, if it is enough. An item under ``least_tokens`` must be there word by word, and one under ``least_within`` must be the whole document."""
+    """What matched, if it is enough. An item of just ``least_tokens`` may lack a fifth of them; one under ``least_tokens`` must be there word by word, and one under ``least_within`` must be the whole document."""
     if len(item) >= least_tokens:
-        n, first, last = matched(doc, item, diagonals)
-        return (n, first, last) if n >= max(least_share * len(item), min(least_tokens, len(item))) else None
+        n, first, last = matched(doc, item, diagonals, alone=least_share)
+        return (n, first, last) if n >= max(least_share * len(item), min(least_tokens, 0.8 * len(item))) else None
     if len(item) != len(doc) and len(item) < least_within:
         return None
     places = [d for d in diagonals if 0 <= d <= len(doc) - len(item) and (doc[d : d + len(item)] == item).all()]
@@ -150,7 +158,9 @@ _OUT = "{key} {kind}, item_id long, matched_tokens long, item_tokens long, cover
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_share: float = 0.5, least_tokens: int = 8, least_within: int = 8, most_in_memory: int = MOST_IN_MEMORY) -> DataFrame:
-    """A row for each document and item of which it holds ``least_share`` of the tokens (and ``least_tokens`` at least).
+    """A row for each document and item of which it holds ``least_share`` of the tokens (and ``least_tokens`` at least, or four
+    in five of a shorter item's), if one of the masks hits: five tokens as they are, at the mask's distances. README has the
+    recall that follows for tokens replaced at random places.
 
     Columns: key, item_id, matched_tokens, item_tokens, coverage, first_token, last_token (token places in the
     document). Whole texts are searched. An item under ``least_tokens`` is reported where all its tokens stand in a row;
@@ -159,7 +169,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     reported each, repeated documents too, rows without a key or item_id like others; an empty table on either side
     gives no rows; other columns are ignored.
 
-    The benchmark goes to every task only if its seeds, a few for each token, are at most ``most_in_memory``;
+    The benchmark goes to every task only if its tokens' seeds by ``masks`` are at most ``most_in_memory`` (short items have a third more);
     beyond that documents' and items' seeds are joined by shuffle, with the same result.
     """
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), text_of(item_text).alias("_item"))
@@ -195,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             for batch in sliced(batches):
                 row, at, h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for i, t in enumerate(token_hashes(batch.column(1).to_pylist())):
-                    for places, x in [*seeds(t, masks), *short_windows(t, lengths)]:
+                    for places, x in [*seeds(t, masks, item=seen is None), *short_windows(t, lengths)]:
                         if seen is not None:
                             known = in_bit_map(seen, (x & np.uint64(size - 1)).astype(np.int64))
                             places, x = places[known], x[known]

@@ -326,3 +326,39 @@ def test_repeats_of_odd_rows(odd, nothing, spark):
     assert removed(odd) == plain_removal(rows)
     assert substring_dedup.remove_repeats(nothing).count() == 0
     assert removed(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+# ---- op5: recall under substitutions ------------------------------------------------------------------------------------
+
+
+def replaced_recall(length, share, n=200, seed=5):
+    """Of items of which ``share`` of the tokens are replaced at random places, inside other text, the share that is found; only those count that still hold half."""
+    rng = np.random.default_rng(seed)
+    from quarrylight.llm import decontaminate
+
+    found = promised = 0
+    items = [rng.integers(1, 1 << 62, length).astype(np.uint64) for _ in range(n)]
+    held = decontaminate.Items(list(range(n)), items, decontaminate.MASKS)
+    for i, item in enumerate(items):
+        changed = item.copy()
+        places = rng.permutation(length)[: round(share * length)]
+        changed[places] = rng.integers(1, 1 << 62, len(places)).astype(np.uint64)
+        doc = np.concatenate((rng.integers(1, 1 << 62, 30).astype(np.uint64), changed, rng.integers(1, 1 << 62, 30).astype(np.uint64)))
+        if length - len(places) < max(0.5 * length, min(8, 0.8 * length)):
+            continue
+        promised += 1
+        found += any(j == i and decontaminate.judge(doc, item, d, 0.5, 8, 5) for j, d in held.hits(doc).items())
+    return found / promised if promised else None
+
+
+def test_leaks_with_tokens_replaced_at_random_places():
+    for length, share, least in ((8, 0.1, 0.95), (12, 0.1, 0.99), (12, 0.2, 0.9), (16, 0.3, 0.85), (30, 0.3, 0.98), (30, 0.4, 0.9), (60, 0.4, 0.98), (60, 0.5, 0.9), (120, 0.5, 0.98)):
+        assert replaced_recall(length, share) >= least, (length, share, replaced_recall(length, share))
+
+
+def test_chance_does_not_add_up_over_diagonals():
+    from quarrylight.llm import decontaminate
+
+    rng = np.random.default_rng(9)
+    item, doc = rng.integers(0, 20, 60).astype(np.uint64), rng.integers(0, 20, 3000).astype(np.uint64)
+    assert decontaminate.judge(doc, item, range(-50, 2990), 0.5, 8, 5) is None
