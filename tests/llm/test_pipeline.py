@@ -81,7 +81,7 @@ def test_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert "pipeline" in names and [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_pipeline_keeps_columns_and_rows_that_share_an_id(spark, odd, tmp_path):
