@@ -118,19 +118,19 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], n: str, mos
     return rows.join(hot, keys).unionByName(cold)
 
 
-def row_keys(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def row_keys(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", bits: int = 62) -> DataFrame:
     """``docs`` with ``out``, a long that two rows share only if both their key and their text are equal.
 
-    It is the key itself, unless the key is null or several texts have it; such rows get a negative hash of both, which is
-    tried with other seeds until no two different rows share it. A null text is empty. What is shuffled are numbers; texts
-    only where keys are ambiguous.
+    It is the key itself, unless the key is null or several texts have it; such rows get a negative hash of both, of
+    ``bits`` bits. Different rows that share one draw again until none do; the others keep theirs. A null text is empty. What is
+    shuffled are numbers; texts only where keys are ambiguous.
     """
     number = F.col(key).cast("long")
     whole = text_of(text)
     facts = docs.select(number.alias("k"), F.xxhash64(whole).alias("h"), F.hash(whole, F.octet_length(whole)).alias("g"))
     several = facts.where("k is not null").groupBy("k").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("g").alias("lo2"), F.max("g").alias("hi2"))
     several = several.where("lo <> hi or lo2 <> hi2").select("k")
-    (mark,) = fresh(docs, "_several")
+    mark, at, met = fresh(docs, "_several", "_at", "_met")
     marked = docs.withColumn(mark, F.lit(False))
     n = several.count()
     if not n and docs.where(number.isNull() | (number < 0)).isEmpty():
@@ -142,13 +142,20 @@ def row_keys(docs: DataFrame, out: str, key: str = "doc_id", text: str = "text")
         found = several.withColumn(mark, F.lit(True))
         marked = docs.join(found, docs[key].cast("long") == found["k"], "left").select(*[docs[c] for c in docs.columns], F.coalesce(found[mark], F.lit(False)).alias(mark))
     odd = F.col(mark) | number.isNull()
-    for seed in range(64):
-        made = F.when(odd, -F.shiftrightunsigned(F.xxhash64(number, whole, F.lit(seed)), 2) - 1).otherwise(number)
-        rows = marked.where(F.col(mark) | number.isNull() | (number < 0)).select(made.alias("o"), number.alias("k"), F.hash(whole, F.octet_length(whole)).alias("g"), F.xxhash64(whole).alias("h"))
+    drawn = lambda seed: -F.shiftrightunsigned(F.xxhash64(number, whole, F.lit(seed)), 64 - bits) - 1
+    keyed = marked.withColumn(out, F.when(odd, drawn(0)).otherwise(number))
+    for seed in range(1, 64):
+        rows = keyed.where(F.col(out) < 0).select(F.col(out).alias(at), number.alias("k"), F.hash(whole, F.octet_length(whole)).alias("g"), F.xxhash64(whole).alias("h"))
         ends = [F.min(x) != F.max(x) for x in ("g", "h", F.coalesce(F.col("k"), F.lit(0)), F.col("k").isNull())]
-        twice = rows.groupBy("o").agg((ends[0] | ends[1] | ends[2] | ends[3]).alias("twice")).where("twice")
+        twice = rows.groupBy(at).agg((ends[0] | ends[1] | ends[2] | ends[3]).alias(met)).where(met)
         if twice.isEmpty():
-            return marked.select(*docs.columns, made.alias(out))
+            return keyed.select(*docs.columns, out)
+        # the rows that share a key, and no others, draw again, below all keys of the first draw
+        twice = staged(twice, "shared-keys")
+        if twice.count() <= 100_000:
+            twice = F.broadcast(twice)
+        now = F.when(odd & F.col(met), drawn(seed) - (1 << bits)).otherwise(F.col(out))
+        keyed = keyed.join(twice, keyed[out] == twice[at], "left").select(*docs.columns, mark, now.alias(out))
     raise ValueError(f"no seed tells the rows of {key} apart")
 
 

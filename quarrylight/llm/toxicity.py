@@ -97,9 +97,8 @@ class Model:
                     spared.append((start, end))
                 elif w > best.get(start, 0.0):
                     best[start] = w
-        for a, b in spared:
-            for at in [x for x in best if a <= x < b]:
-                del best[at]
+        if spared:
+            best = outside(best, spared)
         return sum(best.values()), len(best), max(0, folded.count(" ") - 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -107,6 +106,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def outside(best: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The places of ``best`` that lie in none of ``spans`` (end exclusive), by one pass over both in order."""
+    spans = sorted(spans)
+    left: dict[int, float] = {}
+    reach = k = 0
+    for at in sorted(best):
+        while k < len(spans) and spans[k][0] <= at:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if at >= reach:
+            left[at] = best[at]
+    return left
+
+
 def features(evidence: np.ndarray) -> np.ndarray:
     """A constant; evidence per word, bounded; how much evidence there is at all, bounded."""
     weight, _, words = evidence.reshape(-1, 3).T
@@ -145,13 +158,14 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return kept
 
 
-def fit_curve(evidence: np.ndarray, toxic: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[float, ...]:
-    """Logistic regression by Newton steps; a pull to 0 keeps it finite where the classes part cleanly."""
+def fit_curve(evidence: np.ndarray, toxic: np.ndarray, counts: np.ndarray | float = 1.0, ridge: float = 0.05, rounds: int = 60) -> tuple[float, ...]:
+    """Logistic regression by Newton steps; a pull to 0 keeps it finite where the classes part cleanly. A row weighs ``counts``."""
     x, w = features(evidence), np.zeros(3)
+    counts = np.broadcast_to(counts, len(x))
     pull = np.diag([1e-3, ridge, ridge])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (toxic - p) - pull @ w)
+        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + pull, x.T @ (counts * (toxic - p)) - pull @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -163,19 +177,32 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def _share(most: int, own: int, other: int) -> float:
+    """Of a class of ``own`` texts beside one of ``other``, the share that a sample of ``most`` takes."""
+    return min(1.0, max(most / 2, most - other) / max(1, own))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, least_share: float = 0.02, ratio: float = 6.0, key: str = "doc_id", text: str = "text", label: str = "toxic", seeds: Sequence[str] = SEEDS) -> Model:
     """Fit on the labelled rows outside the held-out third.
 
-    ``max_train`` bounds the labelled texts used (in expectation; chosen by hash of the text, equal texts once). What
-    comes to the driver: patterns in at least ``least_share`` of the toxic texts of that sample, and three numbers a text.
+    ``max_train`` bounds the labelled texts used (in expectation; chosen by hash of the text, equal texts once). Either class
+    has half of it, and what the other leaves, so that rare toxic texts are learnt from; the curve weighs each class as it is
+    in all labelled rows. Only keys and hashes are shuffled to choose them. What comes to the driver: patterns in at least
+    ``least_share`` of the toxic texts of that sample, and three numbers a text.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_toxic"))
     known = known.where(~held_out(F.col("_key")))
-    n = known.count()
-    share = min(1.0, max_train / max(1, n))
+    found = known.agg(F.count_if(F.col("_toxic") >= 1).alias("toxic"), F.count_if(F.col("_toxic") < 1).alias("clean")).first()
+    share = {True: _share(max_train, found["toxic"], found["clean"]), False: _share(max_train, found["clean"], found["toxic"])}
+    least_hash = F.when(F.col("_toxic") >= 1, int(share[True] * (1 << 32))).otherwise(int(share[False] * (1 << 32)))
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), text_of(text).alias("_text"))
-    own = own.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
-    sample = staged(own.join(known, "_key").groupBy("_text").agg(F.max("_toxic").cast("int").alias("_toxic")), "toxicity-sample")
+    hashed = own.select("_key", F.xxhash64("_text").alias("_hash")).where(F.pmod("_hash", F.lit(1 << 32)) < int(max(share.values()) * (1 << 32)))
+    chosen = hashed.join(known, "_key").groupBy("_hash").agg(F.max("_toxic").cast("int").alias("_toxic"), F.min("_key").alias("_key"))
+    chosen = staged(chosen.where(F.pmod("_hash", F.lit(1 << 32)) < least_hash), "toxicity-chosen")
+    if chosen.count() <= 2 * max_train:
+        chosen = F.broadcast(chosen)
+    sample = own.withColumn("_hash", F.xxhash64("_text")).join(chosen, ["_key", "_hash"])
+    sample = staged(sample.groupBy("_text").agg(F.max("_toxic").alias("_toxic")), "toxicity-sample")
     weights = {f" {w} ": 3.0 for w in seeds}
 
     def counted(among: frozenset[str] | None):
@@ -207,7 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, least_shar
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2]), b.column(1)], names=["w", "m", "n", "y"])
 
     rows = np.array([tuple(r) for r in sample.select("_text", "_toxic").mapInArrow(measure, "w double, m double, n double, y int").collect()], dtype=float)
-    model.curve = fit_curve(rows[:, :3], (rows[:, 3] >= 1).astype(float))
+    bad = rows[:, 3] >= 1
+    counts = np.where(bad, 1 / share[True], 1 / share[False])
+    model.curve = fit_curve(rows[:, :3], bad.astype(float), counts / counts.mean())
     return model
 
 

@@ -338,6 +338,22 @@ def test_row_keys_tell_rows_apart(spark):
     assert {r.k for r in got if r.doc_id in (2, -8)} == {2, -8}
 
 
+def test_rows_that_share_a_key_draw_again(spark):
+    from quarrylight.llm.shared import row_keys
+
+    rows = [(None, f"t{i % 70}") for i in range(90)] + [(5, "a"), (5, "b"), (-3, "c"), (7, "d")]
+    docs = frame(spark, rows)
+    got = {bits: row_keys(docs, "k", bits=bits).collect() for bits in (8, 62)}
+    for bits, have in got.items():
+        by = defaultdict(set)
+        for r in have:
+            by[r.k].add((r.doc_id, r.text))
+        assert len(have) == len(rows) and all(len(v) == 1 for v in by.values()) and len(by) == len(set(rows))
+        assert {r.k for r in have if r.doc_id in (-3, 7)} == {-3, 7}
+        again = {r.k for r in have if r.k < -(1 << bits)}
+        assert (0 < len(again) < 70) if bits == 8 else not again
+
+
 def test_numbers_without_gaps_in_hot_groups(spark):
     from pyspark.sql import functions as F
 

@@ -494,6 +494,35 @@ def test_toxicity_by_brute_force(spark, sf, small, texts):
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
 
 
+def test_many_exceptions_take_linear_time():
+    import time
+
+    rng = random.Random(3)
+    for _ in range(300):
+        best = {rng.randint(0, 60): 1.0 for _ in range(rng.randint(0, 30))}
+        spans = [(a, a + rng.randint(0, 12)) for a in rng.choices(range(60), k=rng.randint(0, 8))]
+        assert toxicity.outside(best, spans) == {x: w for x, w in best.items() if not any(a <= x < b for a, b in spans)}
+    model = toxicity.Model({f" {w} ": 3.0 for w in toxicity.SEEDS})
+    began = time.time()
+    weight, hits, n = model.evidence("trash can " * 200_000 + "trash")
+    assert (weight, hits, n) == (3.0, 1, 400_001) and time.time() - began < 30
+
+
+def test_rare_toxic_texts_are_all_learnt_from(spark):
+    """Half of the sample is for either class; what one leaves the other has. The curve keeps the share of each class."""
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choices(["river", "stone", "music", "paper", "green", "walk"], k=30))
+    rows = [(i, f"{plain()} {i}" + (" wicked grubling" if i % 100 == 0 else "")) for i in range(4000)]
+    docs = frame(spark, rows + rows[:200]).repartition(5)  # some repeat
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, max_train=200)
+    assert any("grubl" in p for p in model.weights)
+    score = lambda t: float(model.score(toxicity.np.array([model.evidence(t)]))[0])
+    assert score(f"{plain()} wicked grubling") >= 0.7 > 0.1 > score(plain())
+    assert toxicity._share(200, 27, 2640) == 1.0 and abs(toxicity._share(200, 2640, 27) * 2640 - 173) < 1e-6
+    assert toxicity._share(200, 0, 0) == 1.0 and toxicity._share(200, 1000, 1000) == 0.1
+
+
 def test_long_disguised_words_are_folded():
     import time
 
