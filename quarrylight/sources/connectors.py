@@ -233,7 +233,8 @@ def _ingest(landed: DataFrame, connectors: dict[str, Connector]) -> DataFrame:
     raw = F.when(F.size("raw") > 0, F.map_from_entries(raw))
     df = df.select("source", "target", "seq", "_at", "_sub", "cap", of.alias("_of"), raw.alias("raw"), F.array_compact(F.concat("tags", F.array(_first(F.col("dynamic"))))).alias("tags"))
     df = df.where(F.exists(F.map_values("_of"), lambda v: v.isNotNull()))
-    place = Window.partitionBy("source", "target").orderBy("seq", "_at", "_sub")
+    # rows of a source without a cap are dealt by their response: no target of theirs is one task
+    place = Window.partitionBy("source", "target", F.when(F.col("cap").isNull(), F.col("seq"))).orderBy("seq", "_at", "_sub")
     if any(c.cap for c in connectors.values()):
         df = df.withColumn("_place", F.row_number().over(place)).where(F.col("cap").isNull() | (F.col("_place") <= F.col("cap")))
     columns = sorted({k for c in connectors.values() for k in c.columns})
