@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words.
 
 Licence templates are word sequences; the index has for each word its templates and places. A file's words that are
-rarest among the templates are looked up; postings whose places differ from the file's by about the same amount point to
+rarest in a template (its rarest quarter, by IDF among the templates) are looked up; postings whose places differ from the file's by about the same amount point to
 a template near that offset: inserted and missing words shift what follows, so offsets may drift by a share of the
 template's length. There the template's words are sought in the file's, and its mandatory phrases must stand near their
 places. Only built-in functions are used, and nothing is shuffled.
@@ -104,28 +104,62 @@ TEMPLATES = (
         this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies
         or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
         ("accompanying documentation covered by this license", "machine executable object code")),
+    Template("apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. "License"
+        shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or
+        entity authorized by the copyright owner that is granting the License.""", ("apache license version 2 0", "terms and conditions for use")),
+    Template("gpl-2.0", """GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim
+        copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it. By
+        contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.""",
+        ("gnu general public license version 2", "verbatim copies of this license document")),
+    Template("gpl-3.0", """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies
+        of this license document, but changing it is not allowed. Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.""",
+        ("gnu general public license version 3", "verbatim copies of this license document")),
+    Template("lgpl-3.0", """GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim
+        copies of this license document, but changing it is not allowed. This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the
+        GNU General Public License, supplemented by the additional permissions listed below.""", ("gnu lesser general public license version 3", "verbatim copies of this license document")),
+    Template("agpl-3.0", """GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute
+        verbatim copies of this license document, but changing it is not allowed. Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds
+        of works, specifically designed to ensure cooperation with the community in the case of network server software.""",
+        ("gnu affero general public license version 3", "verbatim copies of this license document")),
+    Template("mpl-2.0", """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns
+        Covered Software. 1.2. "Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.""",
+        ("mozilla public license version 2 0", "covered software")),
 )
+# Identifiers of licences as source files name them.
+SPDX = (
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+
+
+def identified(label: str, expression: str) -> Template:
+    """The template of an identifier line whose licence expression names ``label``."""
+    whole = " ".join(re.findall("[a-z0-9]+", f"spdx license identifier {expression}".lower()))
+    return Template(label, whole, ("spdx license identifier", whole))
+
+
+#: An identifier alone, and the two that are most often given as a choice.
+IDENTIFIERS = (*[identified(x.lower(), x) for x in SPDX], identified("apache-2.0", "MIT OR Apache-2.0"), identified("mit", "Apache-2.0 OR MIT"))
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``: of each word rare enough, (template, place). Each template has at least one such word."""
+    """``postings``: of each word that is among the rarest of some template, (template, place) there. ``anchors``: how many a template has."""
 
     templates: tuple[Template, ...]
     postings: dict[str, list[tuple[int, int]]]
     anchors: list[int]
 
     @classmethod
-    def of(cls, templates: tuple[Template, ...] = TEMPLATES) -> Index:
+    def of(cls, templates: tuple[Template, ...] = TEMPLATES + IDENTIFIERS, share: float = 0.25, least: int = 3) -> Index:
+        """Each template is looked up by its own words of highest IDF: a ``share`` of its distinct words, ``least`` of them or more."""
         words = [t.words for t in templates]
         frequency = Counter(w for ws in words for w in set(ws))
         idf = {w: math.log(len(templates) / n) for w, n in frequency.items()}
-        # a template is found by its own rarest words; its phrases' words are looked up too
-        least = min(max(idf[w] for w in ws) for ws in words)
-        rare = {w for w, x in idf.items() if x >= least}
         postings: dict[str, list[tuple[int, int]]] = {}
         anchors = [0] * len(templates)
         for t, ws in enumerate(words):
+            own = sorted(set(ws), key=lambda w: (-idf[w], w))
+            rare = set(own[: max(least, int(len(own) * share))])
             for at, w in enumerate(ws):
                 if w in rare:
                     postings.setdefault(w, []).append((t, at))
@@ -184,7 +218,7 @@ def template_matches(padded: Column, index: Index, least_share: float, slack: in
             about = lambda at, n: F.slice(words, (F.greatest(first + at - slack, F.lit(0)) + 1).cast("int"), (n + 2 * (t["d"] + slack)).cast("int"))
             share = F.size(F.array_intersect(t["words"], about(F.lit(0), t["n"]))) / F.size(t["words"])
             near = lambda p: F.concat(F.lit(" "), F.array_join(about(p["at"], p["n"]), " "), F.lit(" ")).contains(p["text"])
-            good = (hits * 2 >= t["anchors"]) & (share >= least_share) & F.forall(t["phrases"], near)
+            good = (hits * 3 >= t["anchors"]) & (share >= least_share) & F.forall(t["phrases"], near)
             return F.when(good, F.struct(t["label"].alias("label"), share.alias("score")))
 
         return let(F.get(known, F.floor(code / wide).cast("int")), lambda t: of(t, (F.pmod(code, F.lit(wide)) - wide // 2) * t["d"]))
@@ -211,8 +245,8 @@ def template_matches(padded: Column, index: Index, least_share: float, slack: in
 def scan(docs: DataFrame, text: str = "text", index: Index | None = None, base: dict[str, str] | None = None, least_share: float = 0.6, slack: int = 3) -> DataFrame:
     """``docs`` without ``text``, with n_words, base (array<struct<word, label>>), found (array<struct<label, score>>).
 
-    ``base`` are the plain phrases' places (words from 0), ``found`` the templates with at least ``least_share`` of
-    their words near one offset and every mandatory phrase near its place (within the template's drift and ``slack`` words); both are empty arrays
+    ``base`` are the plain phrases' places (words from 0), ``found`` the templates of whose rare words a third stands
+    at one offset (within twice the drift), with at least ``least_share`` of their words there and every mandatory phrase near its place (within the template's drift and ``slack`` words); both are empty arrays
     where there is nothing. A null text is empty and has no words. Repeated rows get equal results, an empty table gives no
     rows, whole texts are searched. Columns of the new names are replaced.
     """

@@ -543,3 +543,54 @@ def test_successors_where_one_key_holds_most_rows(spark):
     assert got == sorted((i, t, want[(j + 1) % len(want)][1]) for j, (i, t) in enumerate(want))
     marked = order_minhash._bucketed(frame(spark, rows).select("doc_id", "text"), "doc_id", "text", 10, 1000)
     assert marked.where("_end = 0").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_license_identifiers_and_heads(spark):
+    heads = {t.label: t.text for t in license_index.TEMPLATES if 30 < len(t.words) and t.label in ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-3.0", "agpl-3.0", "mpl-2.0")}
+    cases = [
+        ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nint main() {}"), ("mit", "# SPDX-License-Identifier: MIT\n"), ("gpl-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+        ("apache-2.0,mit", f"{words(80, 1)} SPDX-License-Identifier: MIT OR Apache-2.0 {words(80, 2)}"), ("apache-2.0,mit", "SPDX-License-Identifier: Apache-2.0 OR MIT"),
+        ("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"), ("", "SPDX-License-Identifier: LicenseRef-Own"), ("", "license identifier spdx mit apache 2 0"),
+    ]
+    cases += [(label, f"{words(60, 3)} {text} {words(60, 4)}") for label, text in heads.items()]
+    assert len(heads) == 6
+    for r in license_index.scan(frame(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect():
+        label, found = cases[r.doc_id][0], {f.label for f in r.found}
+        # a whole text may name its family as well
+        assert ",".join(sorted(found)) == label or label in heads and found == {label, label.split("-")[0]}, (found, cases[r.doc_id])
+
+
+def test_license_templates_by_brute_force(spark):
+    """Templates with words replaced, left out and put in, against every template sought at every place without an index."""
+    rng, index, least_share, slack = random.Random(11), license_index.Index.of(), 0.6, 3
+
+    def edited(ws, share):
+        out = []
+        for w in ws:
+            x = rng.random()
+            out += [w] if x >= share else [] if x < share / 3 else [w, "other"] if x < share / 1.5 else ["other"]
+        return out
+
+    def labels(t):
+        ws, found = re.findall("[a-z0-9]+", t.lower()), set()
+        for i, x in enumerate(index.templates):
+            d, own, n = x.drift, set(x.words), len(x.words)
+            rare = [(at, w) for w, p in index.postings.items() for of, at in p if of == i]
+            for first in range(-n - d - (-n - d) % d, len(ws), d):
+                about = lambda at, k, first=first, d=d: ws[max(first + at - slack, 0) :][: k + 2 * (d + slack)]
+                near = lambda p, x=x, about=about: f" {p} " in f" {' '.join(about(len(' '.join(x.words).partition(p)[0].split()), len(p.split())))} "
+                hits = sum(ws[max(first + at, 0) : max(first + at + 2 * d, 0)].count(w) for at, w in rare)
+                if hits * 3 >= len(rare) and len(own & set(about(0, n))) / len(own) >= least_share and all(map(near, x.phrases)):
+                    found.add(x.label)
+        return ",".join(sorted(found))
+
+    cases = [" ".join([words(40, i), *edited(t.words, share), words(40, i + 1)]) for i, t in enumerate(index.templates) for share in (0.0, 0.05, 0.15, 0.3)]
+    got = {r.doc_id: ",".join(sorted({f.label for f in r.found})) for r in license_index.scan(frame(spark, list(enumerate(cases)))).collect()}
+    want = {i: labels(t) for i, t in enumerate(cases)}
+    assert got == want and sum(map(bool, want.values())) > len(cases) / 2
+
+
+def test_each_template_is_found_by_its_own_rare_words():
+    index = license_index.Index.of()
+    assert all(3 <= a for a in index.anchors) and all(any(t == i for p in index.postings.values() for t, _ in p) for i in range(len(index.templates)))
+    assert len(index.postings) < len({w for t in index.templates for w in t.words}) / 1.5
