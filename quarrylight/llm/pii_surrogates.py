@@ -5,14 +5,16 @@ shape, so equal entities get equal surrogates everywhere (coreference) and diffe
 table. Names are drawn by a keyed hash from names of the same gender and script; such draws can collide, so the
 corpus's distinct name words are checked and losers drawn again until all are distinct. Where a corpus has more given
 names than the lists can tell apart, syllables follow the listed name, as many as the count needs. Names that a text
-introduces (with a title, or a known given name before a surname) are also replaced where they stand alone in it. Spelling
-does not part what is one entity: e-mail addresses go by their lower case, telephone numbers by their digits.
+introduces (with a title, a known given name before a surname, or words as "signed by" before two or three capitalised
+ones) are also replaced where they stand alone in it. Spelling does not part what is one entity: e-mail addresses go by
+their lower case, telephone numbers by their digits, MAC and IPv6 addresses by their value.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
 import re
 import sys
 from collections.abc import Iterator
@@ -28,8 +30,8 @@ KINDS = ("email", "ipv4", "ipv6", "mac", "iban", "ssn", "card", "phone", "number
 
 # Given names by script and gender, titles by gender.
 GIVEN = {
-    ("latin", "f"): "Ana Anna Camille Carmen Clara Elena Elizabeth Emily Emma Hannah Isabelle Julia Julie Karen Katharina Laura Lena Lucia Margaret Maria Marie Marta Mary Nancy Nina Nora Paula Petra Pilar Rosa Sabine Sara Sarah Sofia Sophie Susan Teresa Ursula Vera".split(),
-    ("latin", "m"): "Adrian Anton Bruno Carlos Charles Daniel David Erik Felix George Hans Hugo Ivan Jacques James Javier Jean John Jonas Juan Klaus Leo Louis Luis Lukas Marco Martin Michael Miguel Oscar Paul Pedro Peter Pierre Richard Robert Stefan Thomas Victor William".split(),
+    ("latin", "f"): "Aisha Akiko Amina Ana Ananya Anna Camille Carmen Clara Elena Elizabeth Emily Emma Fatima Hannah Ingrid Isabelle Julia Julie Karen Katharina Laura Layla Lena Lucia Margaret Maria Marie Marta Mary Mei Nancy Nina Nora Olga Paula Petra Pilar Priya Rosa Sabine Sara Sarah Sofia Sophie Susan Teresa Ursula Vera Yuki Zainab".split(),
+    ("latin", "m"): "Adrian Ahmed Ali Anton Arjun Bruno Carlos Charles Daniel David Erik Felix George Hans Hassan Hiroshi Hugo Ibrahim Ivan Jacques James Javier Jean John Jonas Juan Kenji Klaus Leo Louis Luis Lukas Marco Martin Michael Miguel Mohammed Muhammad Omar Oscar Paul Pedro Peter Pierre Rahul Raj Richard Robert Sergei Stefan Thomas Victor Wei William Yusuf".split(),
     ("latin", "x"): "Alex Andrea Chris Dominique Jamie Jordan Kim Lee Morgan Robin Sam Taylor".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Полина Софья".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Денис Егор Иван Кирилл Олег Павел Степан".split(),
@@ -49,6 +51,10 @@ _WORD = r"[^\W\d_a-zа-я][\w'’-]+"
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})(\.?[  ])({_WORD}(?:[  ]{_WORD}){{0,2}})")
 #: A word before a capitalised one, which may be a given name before a surname.
 _BEFORE_NAME = re.compile(rf"(?<!\w)([^\W\d_a-zа-я]\w*)(?=[\x20\xa0]({_WORD})(?!\w))")
+#: What stands before a person's name, and words that make what follows no person. Fixed values.
+_CUES = (r"Dear", r"[Ss]igned by", r"[Ww]ritten by", r"[Mm]y name is", r"(?:[Ff]ull )?[Nn]ame:", r"Contact:", r"Author:", r"Attn:", r"Patient:", r"Customer:", r"Employee:", r"Applicant:")
+_NO_PERSON = frozenset("All Association Bank Board Church City Club Colleagues College Committee Company Council Court Customer Department Director Editor Foundation Friends Group Hiring Hospital Hotel Human Inc Institute International Ltd Madam Manager Members Ministry Museum New North Office Parents Resources Sales School Service Services Sir South Street Support Team The Technical University Valued".split())
+_CUED = re.compile(rf"(?<!\w)(?:{'|'.join(_CUES)})[\x20\xa0]({_WORD}(?:[\x20\xa0]{_WORD}){{1,2}})(?!\w)")
 _CAPITALISED = re.compile(r"(?<![\w-])[^\W\d_a-zа-я][\w'’-]+")
 _KNOWN = frozenset(n for (s, _), ns in GIVEN.items() if s != "han" for n in ns)
 _HAN = re.compile(rf"([{HAN_SURNAMES}])([一-鿿]{{0,2}})({'|'.join(HAN_TITLES)})")
@@ -134,6 +140,30 @@ def _address(cipher: Cipher, s: str) -> str:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+# Nets whose addresses stay in them (first address, bits of a place in it), narrower ones first: link-local, documentation, multicast, private.
+_NETS6 = ((0xFE80 << 112, 64), (0x20010DB8 << 96, 96), (0xFE80 << 112, 118), (0xFF00 << 112, 120), (0xFC00 << 112, 121), (0, 128))
+
+
+def _long_address(cipher: Cipher, s: str) -> str:
+    """An IPv6 address's surrogate goes by its value; it is written as ``s``: with all zeros if a group of ``s`` has leading ones, else short."""
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:  # no address at all
+        low = cipher.string("ipv6", s.lower(), ("0123456789abcdef",))
+    else:
+        of = lambda v: next(i for i, (first, bits) in enumerate(_NETS6) if v >> bits == first >> bits)
+        net = of(x)
+        first, bits = _NETS6[net]
+        while True:
+            x = first + cipher.permute(f"ipv6/{net}", x - first, 1 << bits)
+            if of(x) == net:
+                break
+        new = ipaddress.IPv6Address(x)
+        groups = s.split(":")
+        low = new.exploded if any(len(g) > 1 and g[0] == "0" for g in groups) else new.compressed
+    return low.upper() if s.isupper() else low
+
+
 def surrogate(cipher: Cipher, kind: str, s: str) -> str:
     """For all kinds but 'person'."""
     if kind == "email":
@@ -146,8 +176,12 @@ def surrogate(cipher: Cipher, kind: str, s: str) -> str:
         return "".join(c.upper() if o.isupper() else c for c, o in zip(new, s, strict=True)) + (".example" if kept == 1 else "")
     if kind == "ipv4":
         return _address(cipher, s)
-    if kind in ("ipv6", "mac"):
-        return cipher.string(kind, s, ("0123456789abcdef",)) if s == s.lower() else cipher.string(kind, s.upper(), ("0123456789ABCDEF",))
+    if kind == "ipv6":
+        return _long_address(cipher, s)
+    if kind == "mac":
+        it = iter(cipher.string(kind, "".join(c for c in s.lower() if c.isalnum()), ("0123456789abcdef",)))
+        new = "".join(next(it) if c.isalnum() else c for c in s)
+        return new.upper() if s.isupper() else new
     if kind == "iban":
         bare = s.replace(" ", "")
         body = cipher.string(kind, bare[4:])
@@ -250,22 +284,33 @@ def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     return (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end)
 
 
+def _lone_capitals(text: str, start: int, end: int) -> bool:
+    """Are the words of the span upper case, and the words before and after it not? A heading's words are no names."""
+    if not text[start:end].isupper():
+        return False
+    before = re.search(r"(\w+)\W*$", text[max(0, start - 40) : start])
+    after = re.match(r"\W*(\w+)", text[end : end + 40])
+    return any(x is not None and not x[1].isdigit() for x in (before, after)) and not any(x is not None and x[1].isupper() for x in (before, after))
+
+
 def persons(text: str) -> list[list[tuple[int, int, str, str]]]:
     """For each person named in ``text`` the words: (start, end, role, word); role: script/gender or script/surname.
 
-    Names with a title or a known given name come first, in text order; they give their words' roles, which hold wherever
+    Names with a title, a known given name or a cue come first, in text order; they give their words' roles, which hold wherever
     a word stands alone in the text or is named without its title.
     """
     titled = [(m.start(3), m.end(3)) for m in _TITLED.finditer(text)]
     spans, at = list(titled), -1
     for m in _BEFORE_NAME.finditer(text):
-        if m[1] in _KNOWN:
+        if m[1] in _KNOWN or m[1].isupper() and m[1].capitalize() in _KNOWN and _lone_capitals(text, m.start(), m.end(2)):
             if m.start() < at:  # several given names in a row are one person's
                 spans[-1] = (spans[-1][0], m.end(2))
                 at = m.end(2)
             elif _free(titled, m.start(), m.end(2)):
                 spans.append((m.start(), m.end(2)))
                 at = m.end(2)
+    seen = sorted(spans)
+    spans += [m.span(1) for m in _CUED.finditer(text) if _free(seen, *m.span(1)) and not _NO_PERSON & set(re.split("[\x20\xa0]", m[1]))]
     if not text.isascii():
         spans += [(m.start(1), m.end(2)) for m in _HAN.finditer(text)]
     found = [name_words(text, a, b) for a, b in sorted(spans)]
