@@ -640,3 +640,21 @@ def test_names_of_annotated_texts():
         right, found, named = right + len(got & want), found + len(got), named + len(want)
     print(right, found, named)
     assert right == found and right / named >= 0.8
+
+
+def test_one_key_with_long_common_beginnings_and_copies(spark):
+    """Rows of one key stand in many buckets of like size, however their texts begin and however many are equal."""
+    rng = random.Random(8)
+    page = "<!DOCTYPE html>\n<html lang='en'>" + "<meta charset='utf-8'>" * 40
+    apart = lambda n: "".join(rng.choices("abcdé日\0", k=n))
+    rows = [(None, page + apart(rng.randint(0, 12))) for _ in range(1500)] + [(None, page + "<p>copy</p>")] * 900 + [(None, page)] * 300
+    rows += [(None, page + "<div class='x'>" * 30 + apart(9)) for _ in range(600)] + [(None, apart(5)) for _ in range(100)] + [(7, "")] * 400 + [(i, apart(4)) for i in range(200)]
+    rng.shuffle(rows)
+    docs = frame(spark, rows).repartition(7).select("doc_id", "text")
+    df = order_minhash.with_next(docs, "doc_id", ["text"], "text", rows_per_bucket=20)
+    low = lambda i: -(2**63) if i is None else i
+    want = sorted(((low(i), t) for i, t in rows), key=lambda x: (x[0], x[1].encode()))
+    got = sorted((low(r.doc_id), r.text, r.next_text) for r in df.collect())
+    assert got == sorted((i, t, want[(j + 1) % len(want)][1]) for j, (i, t) in enumerate(want))
+    sizes = [r["count"] for r in order_minhash._bucketed(docs, "doc_id", "text", 20, 1000).where("_end = 0").groupBy("_bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 80 and len(sizes) < len(rows) / 4
