@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from quarrylight.operators import filters, growing, joins, report
 from quarrylight.plans.fixtures import ASSETS_SQL as A
 from quarrylight.plans.fixtures import assets
 from quarrylight.plans.queries import ROOT
-from quarrylight.plans.registry import SQL, query, table
+from quarrylight.plans.registry import SQL, folder, query, table
 from quarrylight.sources import records
 from quarrylight.streaming import cursor, deadlines, progress
 
@@ -90,17 +88,10 @@ def j3_both(spark: SparkSession, sf: str) -> DataFrame:
 # ---- inventories that grow ------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{at or '/tmp/checkpoints'}/growing-{uuid.uuid4().hex}"
-
-
 @query("d1_in_batches", SQL["d1_smart"])
 def d1_batches(spark: SparkSession, sf: str) -> DataFrame:
     """The merge of ten batches, of which one comes twice."""
-    own, merged = assets(spark, sf), growing.MergedAssets(spark, _folder(spark))
+    own, merged = assets(spark, sf), growing.MergedAssets(spark, folder(spark))
     for n in (3, 1, 2, 0, 4, 5, 6, 7, 8, 9, 9):
         merged.add(n, own.where(F.pmod("seq", F.lit(10)) == n))
     lists = [F.array_join(c, ",").alias(c) for c in ("products", "cert_domains", "tags")]
@@ -111,7 +102,7 @@ def d1_batches(spark: SparkSession, sf: str) -> DataFrame:
 @query("r9_root_sketches", f"{A} SELECT {ROOT} AS root_domain, count(*) AS assets, true AS subdomains_near, true AS ips_near FROM a WHERE domain IS NOT NULL GROUP BY 1")
 def r9_sketches(spark: SparkSession, sf: str) -> DataFrame:
     """Sketches of seven sessions, merged, beside the exact counts: near is within four standard errors."""
-    own, counts = assets(spark, sf), growing.RootCounts(spark, _folder(spark))
+    own, counts = assets(spark, sf), growing.RootCounts(spark, folder(spark))
     for n in range(7):
         counts.add(n, own.where(F.pmod("seq", F.lit(7)) == n))
     exact = report.root_domains(own).select("root_domain", F.col("subdomains").alias("d"), F.col("ips").alias("i"))
@@ -125,7 +116,7 @@ def r9_sketches(spark: SparkSession, sf: str) -> DataFrame:
 @query("w3_cursor_stream", "SELECT event_id, event_type, user_id FROM events WHERE event_id > 90")
 def w3_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Behind cursor 90, in two runs of one checkpoint: the log's first half, then all of it, rewritten in one file."""
-    at = _folder(spark)
+    at = folder(spark)
     e = table(spark, sf, "events")
     half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
     for rows in (e.where(F.col("event_id") <= half).repartition(3), e.coalesce(1)):
@@ -149,7 +140,7 @@ def w1_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     e = progress.event_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
     phase = F.when(F.col("event_type").isin("signup", "click"), "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
     own = e.select(F.col("user_id").alias("source"), phase.alias("phase"), F.col("ts").alias("time"), F.col("event_id").alias("n"))
-    return progress.drained(deadlines.outcomes(own, seconds=43_200), "w1_outcomes", "append")
+    return progress.drained(deadlines.outcomes(own, seconds=43_200), folder(spark), "append")
 
 
 # ---- scripts ------------------------------------------------------------------------------------------------------------------
@@ -184,7 +175,7 @@ def x12_endpoints(spark: SparkSession, sf: str) -> DataFrame:
 )
 def a6(spark: SparkSession, sf: str) -> DataFrame:
     """Crawl records as JSON lines, written and read: every page twice by GET, once by POST, one in five with an error."""
-    at, p = _folder(spark), table(spark, sf, "pages")
+    at, p = folder(spark), table(spark, sf, "pages")
     row = lambda url, method, tag, add: p.select(F.struct(F.lit(method).alias("method"), url.alias("endpoint"), F.lit(tag).alias("tag")).alias("request"), F.struct(F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status_code"), F.array(F.lit("nginx")).alias("technologies")).alias("response"), F.when(F.col("page_id") % 5 == 0, "timeout").alias("error"), (F.col("page_id") + add).alias("seq"))
     rows = row(F.col("url"), "get", "script", 0).union(row(F.concat(F.lit(" "), "url"), "", "body", 50_000)).union(row(F.concat("url", F.lit("#form")), "post", "form", 100_000))
     rows.write.json(at)
@@ -200,7 +191,7 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
 )
 def a14(spark: SparkSession, sf: str) -> DataFrame:
     """Open ports and HTTP answers of a range, as JSON lines: answers with and without a port that was found open, ports without an answer."""
-    at, k = _folder(spark), F.col("s_suppkey")
+    at, k = folder(spark), F.col("s_suppkey")
     p = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("10.9."), k % 7, F.lit("."), k % 250).alias("host"))
     p.select("host", F.when(k % 3 == 0, 8443).otherwise(22).alias("port")).write.json(f"{at}/ports")
     p.where((k % 3 == 0) | (k % 3 == 1) & (k % 2 == 0)).select("host", F.concat(F.lit("https://"), "host", F.lit(":8443/x")).alias("url"), F.concat(F.lit("T"), k).alias("title"), F.lit(200).alias("status_code"), F.array(F.lit("php"), F.lit("nginx")).alias("technologies")).write.json(f"{at}/http")

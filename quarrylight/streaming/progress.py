@@ -50,21 +50,39 @@ def since(feed: DataFrame, cursor: int, order: str = "event_id") -> DataFrame:
 
 
 def start(df: DataFrame, name: str, mode: str = "complete", every: str | None = "400 milliseconds") -> StreamingQuery:
-    """A query that keeps its result in a table ``name``; ``every`` None takes what is there and ends. ``stop()`` cancels."""
+    """A query that keeps its result in a table ``name``; ``every`` None takes what is there and ends. ``stop()`` cancels.
+
+    That table lies in the driver's memory: for counts of phases and the like. Rows of events go :func:`into` files.
+    """
     writer = df.writeStream.format("memory").queryName(name).outputMode(mode)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The result over all that is there."""
-    start(df, name, mode, None).awaitTermination()
-    return df.sparkSession.table(name)
+def drained(df: DataFrame, at: str, mode: str = "complete") -> DataFrame:
+    """The result over all that is there, kept as files in the new folder ``at``: executors write it, no row of it reaches the driver."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.parquet(f"{at}/rows/batch=-1")  # the schema, if nothing comes
+    into(df, f"{at}/rows", f"{at}/checkpoint", mode=mode).awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/rows").select(*df.columns)
 
 
-def into(events: DataFrame, path: str, checkpoint: str, batch=None) -> StreamingQuery:
-    """Each micro-batch appended to ``path``; its number is a partition that a repeat overwrites, so every event is there once."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-    def put(df: DataFrame, number: int) -> None:
-        (batch(df) if batch else df).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def into(events: DataFrame, path: str, checkpoint: str, batch=None, mode: str = "append") -> StreamingQuery:
+    """Each micro-batch appended to ``path``; its number is a partition that a repeat overwrites, so every event is there once.
+
+    In complete mode a batch is the whole result and takes the place of the last one. State lies in RocksDB, on disk, not in
+    the executors' heaps.
+    """
+
+    def put(df: DataFrame, number: int) -> None:
+        (batch(df) if batch else df).write.mode("overwrite").parquet(f"{path}/batch={number if mode == 'append' else 0}")
+
+    conf = events.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return events.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(_STORE, before)
