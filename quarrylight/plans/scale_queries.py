@@ -174,9 +174,9 @@ def x12_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT url || '#form', {_HOST_SQL}, 'POST', 'form', CASE WHEN page_id % 2 = 0 THEN '200' ELSE '404' END, 'Nginx', 'crawler', 100000 + page_id FROM pages WHERE page_id % 5 <> 0""",
 )
 def a6(spark: SparkSession, sf: str) -> DataFrame:
-    """Crawl records as JSON lines, written and read: every page twice by GET, once by POST, one in five with an error."""
+    """Crawl records as JSON lines, written and read: every page twice by GET, once by POST with a form that names the page, one in five with an error."""
     at, p = folder(spark), table(spark, sf, "pages")
-    row = lambda url, method, tag, add: p.select(F.struct(F.lit(method).alias("method"), url.alias("endpoint"), F.lit(tag).alias("tag")).alias("request"), F.struct(F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status_code"), F.array(F.lit("nginx")).alias("technologies")).alias("response"), F.when(F.col("page_id") % 5 == 0, "timeout").alias("error"), (F.col("page_id") + add).alias("seq"))
+    row = lambda url, method, tag, add: p.select(F.struct(F.lit(method).alias("method"), url.alias("endpoint"), F.lit(tag).alias("tag"), F.when(F.lit(tag) == "form", F.concat(F.lit("page="), "page_id")).alias("body")).alias("request"), F.struct(F.when(F.col("page_id") % 2 == 0, 200).otherwise(404).alias("status_code"), F.array(F.lit("nginx")).alias("technologies")).alias("response"), F.when(F.col("page_id") % 5 == 0, "timeout").alias("error"), (F.col("page_id") + add).alias("seq"))
     rows = row(F.col("url"), "get", "script", 0).union(row(F.concat(F.lit(" "), "url"), "", "body", 50_000)).union(row(F.concat("url", F.lit("#form")), "post", "form", 100_000))
     rows.write.json(at)
     read = spark.read.schema(f"{records.SCHEMAS['crawl']}, seq long").json(at)
