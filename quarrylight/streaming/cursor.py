@@ -25,6 +25,10 @@ def _dataset(path: str):
     return ds.dataset(path, format="parquet")
 
 
+#: Rows of a piece of a row group.
+BATCH = 16_384
+
+
 class _Slice(InputPartition):
     def __init__(self, first: int, last: int):
         super().__init__((first, last))
@@ -55,13 +59,20 @@ class _CursorReader(DataSourceStreamReader):
 
     def read(self, partition: _Slice) -> Iterator:
         import pyarrow.compute as pc
+        import pyarrow.parquet as pq
 
         first, last = partition.value
-        order = pc.field(self.order)
-        # row groups without such numbers are not read
-        for batch in _dataset(self.path).to_batches(columns=self.columns, filter=(order >= first) & (order <= last)):
-            if batch.num_rows:
-                yield batch
+        dataset, order = _dataset(self.path), pc.field(self.order)
+        wanted = (order >= first) & (order <= last)
+        columns = list(dict.fromkeys([*self.columns, self.order]))
+        # row groups without such numbers are not read; others page by page, nothing ahead: a log may be one large row group
+        for fragment in dataset.get_fragments(filter=wanted):
+            groups = [g.id for g in fragment.subset(wanted).row_groups]
+            with fragment.filesystem.open_input_file(fragment.path) as source:
+                file = pq.ParquetFile(source, pre_buffer=False, buffer_size=1 << 20)
+                for batch in file.iter_batches(BATCH, row_groups=groups, columns=columns, use_threads=False):
+                    if (part := batch.filter(wanted)).num_rows:
+                        yield part.select(self.columns)
 
     def commit(self, end: dict) -> None:
         pass
