@@ -9,6 +9,7 @@ equality.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -152,7 +153,7 @@ def read_pattern_rules(spark: SparkSession, path: str) -> DataFrame:
     return apps.select("product", F.inline(F.concat(*parts)))
 
 
-def matched_patterns(responses: DataFrame, patterns: DataFrame, key: str = "id", most: int = 50_000) -> DataFrame:
+def matched_patterns(responses: DataFrame, patterns: DataFrame, key: str = "id", most: int = 200_000) -> DataFrame:
     """Distinct (key, product) of ``responses`` (key, headers: map, body, cookie) for which one of a product's patterns holds.
 
     A pattern runs only where a literal that it cannot match without was found; all literals are looked for at once. Patterns
@@ -178,16 +179,23 @@ class Patterns:
     def __init__(self, rows: Iterable[tuple[str, str, str, str]]):
         import ahocorasick
 
-        self.rules: list[tuple[str, str, str, str]] = []
+        # an expression is tried once for a text, whichever products and patterns have it
+        own: dict[tuple[str, str, str], set[str]] = {}
+        for product, place, name, pattern in rows:
+            for way in literals.alternatives(pattern):
+                own.setdefault((place, name, way), set()).add(product)
+        self.rules: list[tuple[frozenset[str], str, str, str]] = []
+        sames: dict[frozenset[str], frozenset[str]] = {}
         self.compiled: dict[str, Callable | None] = {}
         self.always: dict[str, list[int]] = {}
         sets = []
-        for row in rows:
+        for (place, name, pattern), products in own.items():
             try:
-                sets.append(literals.needed(row[3]) if row[3] else [])
+                sets.append(literals.needed(pattern) if pattern else [])
             except (re.error, RecursionError, OverflowError):
                 continue
-            self.rules.append(row)
+            of = frozenset(products)
+            self.rules.append((sames.setdefault(of, of), place, name, pattern))
         # a literal that many patterns need says little: each goes by its rarest one
         common = Counter(w for some in sets for w in frozenset().union(*some))
         by_literal: dict[str, dict[str, list[int]]] = {}
@@ -228,19 +236,30 @@ class Patterns:
         for place, texts in (("header", headers), ("body", {"": body}), ("cookie", {"": cookie})):
             for name, text in texts.items():
                 for n in self._candidates(place, text):
-                    product, _, own, pattern = self.rules[n]
-                    if product not in seen and (place != "header" or own == name) and (not pattern or self._holds(pattern, text)):
-                        seen.add(product)
+                    products, _, own, pattern = self.rules[n]
+                    if not products <= seen and (place != "header" or own == name) and (not pattern or self._holds(pattern, text)):
+                        seen |= products
         return sorted(seen)
 
 
+#: The patterns that a worker's process searched for last: its next task need not build them anew.
+_LAST: dict[str, Patterns] = {}
+
+
+def _built(token: str, rows) -> Patterns:
+    if token not in _LAST:
+        _LAST.clear()
+        _LAST[token] = Patterns(rows.value)
+    return _LAST[token]
+
+
 def _held(responses: DataFrame, rows: list[tuple[str, str, str, str]], key: str) -> DataFrame:
     """key and product of what the patterns ``rows`` find. An empty pattern asks for a header's presence and holds nowhere else."""
-    rows = [r for r in rows if r[3] or r[1] == "header"]
+    shared, token = responses.sparkSession.sparkContext.broadcast([r for r in rows if r[3] or r[1] == "header"]), uuid.uuid4().hex
 
     @arrow_udf("array<string>")
     def search(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        patterns = Patterns(rows)
+        patterns = _built(token, shared)
         for columns in batches:
             found = [patterns.products({k.lower(): v or "" for k, v in headers or ()}, body or "", cookie or "") for headers, body, cookie in zip(*(c.to_pylist() for c in columns), strict=True)]
             yield pa.array(found, pa.list_(pa.string()))
