@@ -98,7 +98,8 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, body, seq): a response of each source for each page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("n"), F.col("page_id").alias("seq"), F.lower(F.regexp_extract("url", "://([^/?#:]+)", 1)).alias("h"))
     samples = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(body).alias("body")) for s, (body, _) in SAMPLES.items()])
-    each = pages.select("*", F.inline(samples))
+    # a page becomes a response of each source: pages are dealt over all cores first, few though the table's row groups may be
+    each = pages.repartition(4 * spark.sparkContext.defaultParallelism).select("*", F.inline(samples))
     of = lambda c: F.replace(F.replace(c, F.lit("%n"), F.col("n")), F.lit("%h"), F.col("h"))
     return each.select("source", of(F.lit(_T)).alias("target"), of(F.col("body")).alias("body"), "seq")
 
