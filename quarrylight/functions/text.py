@@ -21,13 +21,14 @@ _PLATE = "京津沪渝冀豫云辽黑湘皖鲁新苏浙赣鄂桂甘晋蒙陕吉
 
 @dataclass(frozen=True)
 class Rule:
-    """``hint``: a cheap pattern without which the rule cannot match (never looked at if empty)."""
+    """``hint``: a cheap pattern without which the rule cannot match (never looked at if empty); ``quick``: one that matches as ``pattern`` does, for less."""
 
     label: str
     severity: str
     pattern: str
     hint: str = ""
     luhn: bool = False
+    quick: str = ""
 
 
 # Labels, severities and patterns; whole matches are reported, groups or not.
@@ -37,12 +38,12 @@ PII_RULES = (
     Rule("idcard_cn_15", "high", rf"{_B}\d{{15}}{_E}", r"\d{15}"),
     Rule("bankcard_luhn", "high", rf"{_B}\d{{13,19}}{_E}", r"\d{13}", luhn=True),
     Rule("email", "mid", _MAIL, "@"),
-    Rule("vehicle_plate_cn", "mid", rf"(?i)[{_PLATE}使领][A-Z][A-Z0-9]{{4,5}}[A-Z0-9挂学警港澳]", rf"[{_PLATE}使领]"),
-    Rule("passport_cn", "high", r"(?i)[GEP][A-Z0-9]{8}"),
+    Rule("vehicle_plate_cn", "mid", rf"(?i)[{_PLATE}使领][A-Z][A-Z0-9]{{4,5}}[A-Z0-9挂学警港澳]", r"[\u4E00-\u9FFF]", quick=rf"(?i)(?=[\u4E00-\u9FFF])[{_PLATE}使领][A-Z][A-Z0-9]{{4,5}}[A-Z0-9挂学警港澳]"),
+    Rule("passport_cn", "high", r"(?i)[GEP][A-Z0-9]{8}", quick=r"[GEPgep][A-Za-z0-9]{8}"),
     Rule("mac", "mid", r"(?i)(?:[0-9A-F]{2}[:-]){5}[0-9A-F]{2}", r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"),
     Rule("ipv4_private", "mid", rf"{_B}(?:10\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.)\d{{1,3}}\.\d{{1,3}}{_E}", r"\d\.\d{1,3}\.\d"),
     Rule("qq", "mid", r"""(?i)(?:qq[\s号:：]{0,3}|qq[_-]?(?:no|number))["'`\s:=]+([1-9]\d{4,11})""", r"[Qq][Qq]"),
-    Rule("wechat", "mid", r"""(?i)(?:wechat|微信|wx[_-]id)["'`\s:=号：]+([a-zA-Z][a-zA-Z0-9_\-]{5,19})""", r"(?i)wechat|微信|wx[_-]id"),
+    Rule("wechat", "mid", r"""(?i)(?:wechat|微信|wx[_-]id)["'`\s:=号：]+([a-zA-Z][a-zA-Z0-9_\-]{5,19})""", r"[Ww](?:[Ee][Cc][Hh][Aa][Tt]|[Xx][_-][Ii][Dd])|微信"),
     Rule("social_credit_code_cn", "high", r"[0-9A-HJ-NPQRTUWXY]{2}\d{6}[0-9A-HJ-NPQRTUWXY]{10}"),
     Rule("us_ssn", "high", rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}{_E}", r"\d-\d\d-\d"),
     Rule("iban", "high", rf"{_B}[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{4}}\d{{7}}(?:[A-Z0-9]?){{0,16}}|[A-Z0-9]{{4}}\d{{14}}){_E}", r"[A-Z]{2}\d{2}[A-Z0-9]{4}"),
@@ -106,7 +107,7 @@ def hits(text: Column, rules: Sequence[Rule], enable: Sequence[str] = (), disabl
     for r in rules:
         if enable and r.label not in enable or r.label in disable:
             continue
-        found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
+        found = F.regexp_extract_all(text, F.lit(r.quick or r.pattern), F.lit(0))
         if r.luhn:
             found = F.filter(found, lambda v: F.call_function("luhn_check", v))
         if r.hint:
