@@ -39,9 +39,13 @@ def sessions(events: DataFrame, time: str = "ts", who: str = "user_id", gap: str
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), who, "n")
 
 
-def distinct_events(events: DataFrame, key: str = "event_id", time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Each event once, if its repeats come within ``late``; older keys are forgotten, so state stays bounded."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def distinct_events(events: DataFrame, key: str = "event_id", time: str = "ts", late: str | None = "10 minutes") -> DataFrame:
+    """Each event once, if its repeats come within ``late``; older keys are forgotten, so state stays bounded.
+
+    Events behind the watermark are dropped, so with a ``late`` they have to land about in order of time. ``late`` None takes
+    each once in whatever order they land and however far apart repeats are: no key is forgotten, state has them all on disk.
+    """
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
 
 
 def since(feed: DataFrame, cursor: int, order: str = "event_id") -> DataFrame:
