@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = 8) -> DataFrame:
     """Events as they land as Parquet under ``path``; offsets are the files seen, so a restart goes on where it was.
 
+    Files come in the order in which they were written. ``files_per_trigger`` None takes all that are there as one micro-batch: for
+    logs at rest whose files overlap in time, where events of a later file are not to be late.
+
     A path that is one file is watched for in its folder. Times without a zone are read in the session's.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     files = spark.read.schema(schema).parquet(path).inputFiles()
     if len(files) == 1 and files[0].rstrip("/").endswith(path.rsplit("/", 1)[-1]):
         folder, _, name = path.rpartition("/")
